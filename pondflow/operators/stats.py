@@ -121,7 +121,7 @@ def quantiles(df: DataFrame, keys, col: str, probs: Sequence[float], method: str
     # 4. interpolate between the two picked ranks of every probability
     n_per_key = parts.select(*k, "_n").distinct()
     vals = picked.groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"))
-    out = vals.join(n_per_key, k)
+    out = vals.join(n_per_key, k) if k else vals.crossJoin(n_per_key)
     cols = []
     for i, p in enumerate(probs):
         posc = F.lit(float(p)) * (F.col("_n") - 1)

@@ -659,3 +659,86 @@ def null_quality_report_q(spark, sf):
 register("null_quality_report", _USER_SPINE + """
 SELECT site, count(*) AS n_rows, count_if(v IS NULL OR isnan(v)) AS n_null_v FROM a GROUP BY site""")(
     null_quality_report_q)
+
+# ---------------------------------------------------------------------------
+# Models (rows-only checks: tree ensembles have no SQL form)
+# ---------------------------------------------------------------------------
+
+
+def hash_split_q(spark, sf):
+    from pondflow.operators.models import hash_split
+    train, test = hash_split(T.table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), ["o_orderkey"], 0.2)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+register("hash_split", None)(hash_split_q)
+
+
+def evaporation_forecast_q(spark, sf):
+    from pondflow.operators.models import EVAPORATION_TARGETS
+    from pondflow.plans import forecast as fc
+    cm = fc.fit_calendar_models(T.weather_daily(spark, sf), EVAPORATION_TARGETS)
+    out, _ = fc.forecast_evaporation(spark, cm, "2002-01", "2002-11", mode="a")
+    return sinks.to_display(out, "evaporation")
+
+
+register("evaporation_forecast", None)(evaporation_forecast_q)
+
+
+def evaporation_after_last_q(spark, sf):
+    from pondflow.operators.models import EVAPORATION_TARGETS
+    from pondflow.plans import forecast as fc
+    hist = T.weather_daily(spark, sf)
+    cm = fc.fit_calendar_models(hist, EVAPORATION_TARGETS)
+    return fc.forecast_after_last(spark, cm, hist, 365).select("date", "evaporation", *EVAPORATION_TARGETS)
+
+
+register("evaporation_forecast_after_last", None)(evaporation_after_last_q)
+
+
+def water_level_forecast_q(spark, sf):
+    from pondflow.plans import forecast as fc
+    hist = T.zone_wl(spark, sf).groupBy("date").agg(F.avg("wl").alias("wl"))
+    cm = fc.fit_calendar_models(hist, ["wl"])
+    out = fc.forecast_water_level(spark, cm, "2002-01", "2002-11")
+    return out.select("date", *fc.FEATURES, "wl")
+
+
+register("water_level_forecast", None)(water_level_forecast_q)
+
+
+def _pond_rows(spark, sf):
+    p = bal.pond_balance(T.pond_evap(spark, sf), T.pond_in(spark, sf), T.pond_out(spark, sf),
+                         IN_CON_POND, area=_pond_area())
+    j = p.join(T.pond_in(spark, sf), ["site", "date"]).join(T.pond_out(spark, sf), ["site", "date"])
+    return j.select("site", "date", "brine_in", "brine_out", F.col("c1").alias("initial_concentration"),
+                    F.col("c2").alias("final_concentration"))
+
+
+def final_concentration_q(spark, sf):
+    from pondflow.plans import forecast as fc
+    rows = _pond_rows(spark, sf)
+    model = fc.fit_concentration_model(rows, keys=["site"])
+    return fc.score_final_concentration(model, rows.drop("final_concentration"), "1998-01", "1998-12",
+                                        keys=["site"])
+
+
+register("final_concentration_score", None)(final_concentration_q)
+
+
+def _flag_history(spark, sf):
+    wl, ev = T.zone_flag_inputs(spark, sf)
+    z = bal.zone_balance(wl, ev, IN_CON_ZONE, chained=False)
+    cols = ["c2", "wl", "evaporation", "volume", "surface_area", "evap_volume"]
+    h = sr.asfreq_daily(z.select("site", "date", *cols), ["site"])
+    return sr.interpolate_time(h, ["site"], cols)
+
+
+def recursive_forecast_q(spark, sf):
+    from pondflow.plans import forecast as fc
+    hist = _flag_history(spark, sf)
+    return fc.forecast_concentration(spark, hist, ["site"], "2002-01", "2002-03",
+                                     exog=["wl", "evaporation", "volume", "surface_area", "evap_volume"])
+
+
+register("recursive_forecast", None)(recursive_forecast_q)

@@ -152,3 +152,29 @@ SQL = {
 def with_sql(*names: str) -> str:
     """``WITH`` clause defining the named derived series for an oracle query."""
     return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + "\n"
+
+
+def weather_daily(spark, sf_dir) -> DataFrame:
+    """Daily history with the 8 evaporation-model targets, derived from lineitem by ship date."""
+    li = table(spark, sf_dir, "lineitem")
+    return (li.select(F.to_date("l_shipdate").alias("date"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+            .groupBy("date")
+            .agg((F.avg("l_extendedprice") / 100.0).alias("solar_irradiance"),
+                 (F.avg("l_quantity") / 10.0).alias("slope"),
+                 (F.avg("l_tax") * 30.0).alias("saturation_vapour"),
+                 (F.avg("l_discount") * 20.0).alias("actual_vapour"),
+                 (F.count(F.lit(1)) / 10.0).alias("wind_speed"),
+                 (F.avg("l_quantity") / 5.0).alias("radiation_based_evaporation"),
+                 (F.avg("l_discount") * 100.0).alias("aerodynamics_evaporation"),
+                 (F.avg("l_tax") * 10.0 + 0.06).alias("psychrometric_constant")))
+
+
+def zone_flag_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Zone water level and evaporation keyed by return flag only (long daily series)."""
+    li = table(spark, sf_dir, "lineitem")
+    base = li.select(F.col("l_returnflag").alias("site"), F.to_date("l_shipdate").alias("date"),
+                     "l_quantity", "l_tax", "l_linestatus")
+    wl = base.groupBy("site", "date").agg(rnd(F.avg("l_quantity") / 25.5 - 0.4, 6).alias("wl"))
+    ev = (base.where(F.col("l_linestatus") == "O").groupBy("site", "date")
+          .agg(rnd(F.avg("l_tax") * 100, 6).alias("evaporation")))
+    return wl, ev
