@@ -8,7 +8,6 @@ base score), so equal *capability* is claimed, not equal numbers.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -37,6 +36,19 @@ EVAPORATION_TARGETS = ["solar_irradiance", "slope", "saturation_vapour", "actual
 
 # Upper bound on nodes collected from a fitted ensemble (trees * 2^(depth+1)).
 MAX_MODEL_NODES = 2_000_000
+# Training rows per partition: tree fitting runs several jobs per tree, so tiny
+# partitions only add task overhead; large training sets keep full parallelism.
+ROWS_PER_FIT_PARTITION = 200_000
+
+
+def sized_for_fit(df: DataFrame, rows_per_partition: int = ROWS_PER_FIT_PARTITION) -> DataFrame:
+    """Repartition a training frame to ``ceil(rows / rows_per_partition)`` partitions
+    (capped by the cluster's default parallelism) and cache it for the many passes
+    of boosting."""
+    n = df.count()
+    sc = df.sparkSession.sparkContext
+    parts = max(1, min(sc.defaultParallelism, -(-n // rows_per_partition)))
+    return df.repartition(parts).cache()
 
 
 def hash_split(df: DataFrame, cols: Sequence[str], test_fraction: float = 0.1,
@@ -68,7 +80,14 @@ def fit_regressor(df: DataFrame, features: Sequence[str], label: str, params: di
     stages.append(VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="error"))
     stages.append(GBTRegressor(featuresCol="_features", labelCol=label, predictionCol=prediction, **p))
     cast = df.withColumns({c: F.col(c).cast("double") for c in features})
-    return Pipeline(stages=stages).fit(cast)
+    own = not df.is_cached
+    if own:
+        cast = sized_for_fit(cast)
+    try:
+        return Pipeline(stages=stages).fit(cast)
+    finally:
+        if own:
+            cast.unpersist()
 
 
 def fit_many(df: DataFrame, features: Sequence[str], labels: Sequence[str], params: dict | None = None,
@@ -78,7 +97,7 @@ def fit_many(df: DataFrame, features: Sequence[str], labels: Sequence[str], para
     The fits are independent Spark jobs, so they are submitted from a thread
     pool and run concurrently on the cluster.
     """
-    shared = df.cache()
+    shared = sized_for_fit(df.withColumns({c: F.col(c).cast("double") for c in features}))
     try:
         with ThreadPoolExecutor(max_workers=max(1, min(threads, len(labels)))) as ex:
             futs = {t: ex.submit(fit_regressor, shared, features, t, params, impute, f"pred_{t}")
@@ -100,6 +119,18 @@ def score(models: dict[str, PipelineModel] | PipelineModel, df: DataFrame,
     return out.select(*keep) if keep else out
 
 
+def ea_scaling_constant(df: DataFrame, wind: str, es: str, ea: str, target: str, keys=()) -> DataFrame:
+    """Slope K of ``target ~ aerodynamic_base(wind, es, ea)`` (least squares with intercept).
+
+    One partial+final aggregate (``regr_slope``) instead of a fitted estimator.
+    """
+    from pondflow.functions.physics import aerodynamic_base
+    base = df.where(F.col(wind).isNotNull() & F.col(es).isNotNull() & F.col(ea).isNotNull()
+                    & F.col(target).isNotNull())
+    base = base.withColumn("_ea_base", aerodynamic_base(wind, es, ea))
+    return base.groupBy(*keys).agg(F.regr_slope(F.col(target), F.col("_ea_base")).alias("k"))
+
+
 # --- scaling statistics (A8, F24, M2) ---------------------------------------
 
 def fit_minmax(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -132,27 +163,25 @@ def minmax_arrays(stats: DataFrame, features: Sequence[str]) -> tuple[np.ndarray
 class ModelRegistry:
     """Fitted pipelines under ``root/<name>`` plus their feature list.
 
-    ``root`` must be shared storage on a cluster (e.g. under the checkpoint dir).
+    Everything is written through Spark, so ``root`` can be any shared Hadoop
+    file system path (it must be shared storage on a cluster).
     """
 
-    def __init__(self, root: str):
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
         self.root = root.rstrip("/")
 
-    def _meta(self, name: str) -> str:
-        return f"{self.root}/{name}/features.json"
-
     def save(self, name: str, model: PipelineModel, features: Sequence[str]) -> None:
         model.write().overwrite().save(f"{self.root}/{name}/model")
-        os.makedirs(f"{self.root}/{name}", exist_ok=True)
-        with open(self._meta(name), "w") as fh:
-            json.dump(list(features), fh)
+        meta = self.spark.createDataFrame([(json.dumps(list(features)),)], "value string")
+        meta.coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/features")
 
     def load(self, name: str) -> tuple[PipelineModel, list[str]] | None:
-        if not os.path.exists(self._meta(name)):
+        try:
+            feats = json.loads(self.spark.read.text(f"{self.root}/{name}/features").first()[0])
+            return PipelineModel.load(f"{self.root}/{name}/model"), feats
+        except Exception:  # noqa: BLE001 - absent or unreadable entry: treat as missing
             return None
-        with open(self._meta(name)) as fh:
-            feats = json.load(fh)
-        return PipelineModel.load(f"{self.root}/{name}/model"), feats
 
     def load_or_fit(self, name: str, features: Sequence[str],
                     fit: Callable[[], PipelineModel]) -> PipelineModel:

@@ -128,11 +128,13 @@ def _forecast_fn(bc, lo: np.ndarray, rng: np.ndarray, keys: list[str], y: str, e
 def recursive_forecast(spark: SparkSession, hist: DataFrame, keys, y: str, exog: Sequence[str],
                        start_ym: str, end_ym: str, lags: int = 120, windows: Sequence[int] = (14, 30, 60),
                        params: dict | None = None, compat: bool = False, date: str = "date",
-                       model_path: str | None = None) -> DataFrame:
+                       model_path: str | None = None, horizon_days: int | None = None) -> DataFrame:
     """Fit on ``hist`` and forecast ``y`` per key over ``start_ym..end_ym``.
 
     ``hist`` is a daily series per key without gaps (use ``asfreq_daily`` +
-    ``interpolate_time`` first, as the reference does).
+    ``interpolate_time`` first, as the reference does). ``horizon_days`` (M15)
+    forecasts a fixed number of days after the last observation and then
+    slices the requested range.
     Returns ``(keys…, date, prediction)``.
     """
     k = _keys(keys)
@@ -160,7 +162,8 @@ def recursive_forecast(spark: SparkSession, hist: DataFrame, keys, y: str, exog:
                                    F.count(F.lit(1)).cast("double").alias("_n_train"))
     start, end = month_start(F.lit(start_ym)), month_end(F.lit(end_ym))
     first = start if compat else F.date_add("_last", 1)
-    bounds = state.join(tstate, k).select(*k, first.alias("lo"), end.alias("hi"))
+    last = F.date_add("_last", int(horizon_days)) if horizon_days else end
+    bounds = state.join(tstate, k).select(*k, first.alias("lo"), last.alias("hi"))
     fut = date_spine(bounds, k, "lo", "hi", out=date)
     fut = fut.join(bounds.select(*k, "lo"), k).withColumn("idx", F.datediff(date, "lo"))
     cal = calendar_columns(date)
@@ -174,5 +177,7 @@ def recursive_forecast(spark: SparkSession, hist: DataFrame, keys, y: str, exog:
     schema = Ty.StructType([Ty.StructField(c, key_types[c]) for c in k]
                            + [Ty.StructField(date, Ty.DateType()), Ty.StructField("prediction", Ty.DoubleType())])
     fn = _forecast_fn(bc, lo, rng, k, y, exog, lags, windows, compat)
+    # fresh attribute ids on both sides: they share lineage with ``hist``
+    seed, fut = seed.toDF(*seed.columns), fut.toDF(*fut.columns)
     out = seed.groupBy(*k).cogroup(fut.groupBy(*k)).applyInPandas(fn, schema)
     return out.where(F.col(date).between(start, end))

@@ -169,6 +169,11 @@ def out_of_range(inputs: DataFrame, trained: DataFrame, features: Sequence[str],
     return j.withColumn("violated", (F.col("in_min") < F.col("tr_min")) | (F.col("in_max") > F.col("tr_max")))
 
 
+def row_counts(df: DataFrame, keys) -> DataFrame:
+    """A10: rows per key."""
+    return df.groupBy(*_keys(keys)).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def null_report(df: DataFrame, keys, cols: Sequence[str]) -> DataFrame:
     """P5/P13/P14/P16 as counts: rows, and NULL-or-NaN per column, per key."""
     k = _keys(keys)

@@ -711,16 +711,16 @@ def _pond_rows(spark, sf):
     p = bal.pond_balance(T.pond_evap(spark, sf), T.pond_in(spark, sf), T.pond_out(spark, sf),
                          IN_CON_POND, area=_pond_area())
     j = p.join(T.pond_in(spark, sf), ["site", "date"]).join(T.pond_out(spark, sf), ["site", "date"])
-    return j.select("site", "date", "brine_in", "brine_out", F.col("c1").alias("initial_concentration"),
-                    F.col("c2").alias("final_concentration"))
+    return j.select(F.substring_index("site", "-", 2).alias("pond"), "date", "brine_in", "brine_out",
+                    F.col("c1").alias("initial_concentration"), F.col("c2").alias("final_concentration"))
 
 
 def final_concentration_q(spark, sf):
     from pondflow.plans import forecast as fc
     rows = _pond_rows(spark, sf)
-    model = fc.fit_concentration_model(rows, keys=["site"])
+    model = fc.fit_concentration_model(rows, keys=["pond"])
     return fc.score_final_concentration(model, rows.drop("final_concentration"), "1998-01", "1998-12",
-                                        keys=["site"])
+                                        keys=["pond"])
 
 
 register("final_concentration_score", None)(final_concentration_q)
@@ -742,3 +742,66 @@ def recursive_forecast_q(spark, sf):
 
 
 register("recursive_forecast", None)(recursive_forecast_q)
+
+# ---------------------------------------------------------------------------
+# S1/S2/K1 round trip, F22/F25 labels, M11
+# ---------------------------------------------------------------------------
+
+
+def csv_roundtrip_q(spark, sf):
+    """Write the zone water level as reference-style CSV (dd-MM-yyyy, display header,
+    one folder per site prefix) to shared storage, then read it back with the
+    multi-file, multi-dialect reader."""
+    from pondflow.session import checkpoint_dir
+    from pondflow.sources import csv as C
+    out = f"{checkpoint_dir(spark).rstrip('/')}/pondflow-csv/zone_wl-{abs(hash(sf)) % 10**8}"
+    wl = T.zone_wl(spark, sf).withColumn("flag", F.substring("site", 1, 1))
+    sinks.write_csv(wl.select("flag", "site", F.date_format("date", "dd-MM-yyyy").alias("Date"),
+                              F.col("wl").alias("Wl"), F.lit(None).cast("string").alias("")),
+                    out, partition_by=["flag"])
+    back = C.read_readings(spark, f"{out}/flag=*/*.csv", {"Wl": "wl"}, hourly=False)
+    return r(back.select("site", "date", "wl"))
+
+
+register("csv_roundtrip", T.with_sql("zone_wl") + "SELECT site, date, round(wl, 6) AS wl FROM zone_wl")(csv_roundtrip_q)
+
+
+def result_labels_q(spark, sf):
+    from pondflow.functions.labels import result_label, site_key
+    s = T.pond_in(spark, sf).select(F.substring_index("site", "-", 2).alias("pond")).distinct()
+    modes = s.crossJoin(F.broadcast(spark.createDataFrame([("a",), ("b",)], "mode string")))
+    return modes.select("pond", "mode", site_key("pond").alias("pond_key"),
+                        result_label("mode", "pond").alias("prediction_label"),
+                        result_label("mode", "pond", "Calculation").alias("calculation_label"))
+
+
+register("result_labels", T.with_sql("pond_in") + """,
+p AS (SELECT DISTINCT split_part(site, '-', 1) || '-' || split_part(site, '-', 2) AS pond FROM pond_in),
+m AS (SELECT * FROM p, (VALUES ('a'), ('b')) t(mode))
+SELECT pond, mode, upper(trim(pond)) AS pond_key,
+       CASE WHEN mode = 'a' THEN 'Prediction for Zone-B' WHEN mode = 'b' AND pond IS NOT NULL AND pond <> ''
+            THEN 'Prediction for ' || pond ELSE 'Prediction' END AS prediction_label,
+       CASE WHEN mode = 'a' THEN 'Calculation for Zone-B' WHEN mode = 'b' AND pond IS NOT NULL AND pond <> ''
+            THEN 'Calculation for ' || pond ELSE '' END AS calculation_label
+FROM m""")(result_labels_q)
+
+
+def ea_scaling_q(spark, sf):
+    from pondflow.operators.models import ea_scaling_constant
+    li = T.table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("site"), (F.col("l_quantity") / 10.0).alias("wind"),
+        (F.col("l_extendedprice") / 10000.0).alias("es"), (F.col("l_discount") * 10.0).alias("ea"),
+        (F.col("l_tax") * 100.0).alias("ea_obs"))
+    return r(ea_scaling_constant(li, "wind", "es", "ea", "ea_obs", ["site"]))
+
+
+register("ea_scaling_constant", f"""
+WITH a AS (SELECT l_returnflag AS site,
+                  {D(ph.AERO_COEF)} * (l_quantity / {D(10)}) / {D(ph.AERO_LOG_SQ)}
+                  * ((l_extendedprice / {D(10000)}) - (l_discount * {D(10)})) AS ea_base,
+                  l_tax * {D(100)} AS ea FROM lineitem)
+SELECT site, round(regr_slope(ea, ea_base), 6) AS k FROM a GROUP BY site""")(ea_scaling_q)
+
+
+register("row_counts", T.with_sql("zone_wl") + "SELECT site, count(*) AS n_rows FROM zone_wl GROUP BY site")(
+    lambda spark, sf: st.row_counts(T.zone_wl(spark, sf), ["site"]))

@@ -66,7 +66,11 @@ def read_readings(spark: SparkSession, paths, measures: Mapping[str, str] | Sequ
         names = {c: canonical(c) for c in raw.columns if c not in (date_col, "site")}
     else:
         names = dict(measures) if isinstance(measures, Mapping) else {m: canonical(m) for m in measures}
-        raw = read_csv(spark, paths, columns=[date_col, *names], site=site, site_from_path=site_from_path)
+        cols = [date_col, *names]
+        if site is None and not site_from_path:
+            probe = spark.read.option("header", True).csv(paths if isinstance(paths, str) else list(paths))
+            cols += ["site"] if "site" in probe.columns else []
+        raw = read_csv(spark, paths, columns=cols, site=site, site_from_path=site_from_path)
     d = F.col(f"`{date_col}`")
     keys = ["site"] if "site" in raw.columns else []
     vals = [F.trim(F.col(f"`{r}`")).try_cast("double").alias(c) for r, c in names.items()]
