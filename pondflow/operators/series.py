@@ -44,13 +44,12 @@ def detect_frequency(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> Data
 
     The mean of sorted consecutive differences telescopes to
     ``(max - min) / (n - 1)``, so this is one partial+final hash aggregate and
-    needs no sort or window.
+    needs no sort or window. ``n`` counts parseable timestamps; a key with
+    fewer than two (even none) is ``monthly``, as the reference's NaN mean is.
     """
     k = _keys(keys)
     e = epoch_seconds(ts)
-    agg = (df.where(F.col(ts).isNotNull())
-           .groupBy(*k)
-           .agg(F.count(F.lit(1)).alias("n"), F.min(e).alias("_lo"), F.max(e).alias("_hi")))
+    agg = df.groupBy(*k).agg(F.count(ts).alias("n"), F.min(e).alias("_lo"), F.max(e).alias("_hi"))
     gap = F.when(F.col("n") >= 2, (F.col("_hi") - F.col("_lo")) / (F.col("n") - 1))
     return (agg.withColumn("avg_gap_s", gap)
             .withColumn("freq", frequency_class("avg_gap_s"))

@@ -106,29 +106,25 @@ def quantiles(df: DataFrame, keys, col: str, probs: Sequence[float], method: str
     parts = (parts.withColumn("_off", F.coalesce(F.sum("_c").over(
         wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_n", F.sum("_c").over(Window.partitionBy(*k))))
-    # 3. wanted ranks per key: floor/ceil of p*(n-1), mapped to (partition, local position)
-    want = parts.select(*k, "_pid", "_c", "_off", "_n")
-    pos = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos"))
-                    for i, p in enumerate(probs)])
-    want = (want.withColumn("_t", F.explode(pos))
-            .withColumn("_r", F.explode(F.array_distinct(F.array(
-                F.floor(F.col("_t.pos")), F.ceil(F.col("_t.pos"))))))
-            .where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_c"))))
-    want = want.join(parts.select(*k, "_pid", "_m0"), k + ["_pid"])
-    want = want.select(*k, "_pid", (F.col("_m0") + F.col("_r") - F.col("_off")).alias("_mid"),
-                       "_r").distinct()
+    # 3. wanted ranks per key: floor/ceil of p*(n-1), mapped to (partition, row id)
+    pos = F.array(*[(F.lit(float(p)) * (F.col("_n") - 1)) for p in probs])
+    want = (parts.withColumn("_pos", F.explode(pos))
+            .withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+            .where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_c")))
+            .select(*k, "_pid", (F.col("_m0") + F.col("_r") - F.col("_off")).alias("_mid"), "_r", "_n")
+            .distinct())
+    # at most 2 * len(probs) rows per key: broadcast behind a row-count check
     picked = join_small(ranked.select(*k, "_pid", "_mid", "_x"), want, k + ["_pid", "_mid"])
     # 4. interpolate between the two picked ranks of every probability
-    n_per_key = parts.select(*k, "_n").distinct()
-    vals = picked.groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"))
-    out = vals.join(n_per_key, k) if k else vals.crossJoin(n_per_key)
+    vals = picked.groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"),
+                                  F.first("_n").alias("_n"))
     cols = []
     for i, p in enumerate(probs):
         posc = F.lit(float(p)) * (F.col("_n") - 1)
         lo, hi = F.floor(posc), F.ceil(posc)
         vlo, vhi = F.element_at("_m", lo), F.element_at("_m", hi)
         cols.append(_lerp(vlo, vhi, posc - lo).alias(names[i]))
-    return out.select(*k, *cols)
+    return vals.select(*k, *cols)
 
 
 def percentile_trim(df: DataFrame, keys, col: str, lo_p: float = 0.01, hi_p: float = 0.99,

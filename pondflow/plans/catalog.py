@@ -233,8 +233,8 @@ def detect_frequency_q(spark, sf):
 
 register("detect_frequency", T.with_sql("ev_readings", "user_readings") + """,
 u AS (SELECT * FROM ev_readings UNION ALL SELECT * FROM user_readings),
-a AS (SELECT site, count(*) AS n, epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi
-      FROM u WHERE ts IS NOT NULL GROUP BY site),
+a AS (SELECT site, count(ts) AS n, epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi
+      FROM u GROUP BY site),
 g AS (SELECT site, n, CASE WHEN n >= 2 THEN ((hi / 1e6) - (lo / 1e6)) / (n - 1) END AS avg_gap_s FROM a)
 SELECT site, n, round(avg_gap_s, 6) AS avg_gap_s,
        CASE WHEN avg_gap_s <= 3600.0 THEN 'hourly' WHEN avg_gap_s <= 86400.0 THEN 'daily'
@@ -632,7 +632,15 @@ def history_vs_forecast_q(spark, sf):
                                  "forecast": flt.date_range(fc, "1997-01-01", "1997-12-31")})
 
 
-register("history_vs_forecast", None)(history_vs_forecast_q)
+register("history_vs_forecast", _ZONE_JOIN + f""",
+g AS (SELECT *, {q.zone_volume()} AS volume, {q.zone_area()} AS surface_area FROM j),
+i AS (SELECT *, volume - evaporation * surface_area / {D(1000)} AS v2 FROM g),
+c AS (SELECT *, {q.running('product', 'volume / v2')} AS p FROM i)
+SELECT site, date, round_even({D(IN_CON_ZONE)} * p, 3) AS y, 'history' AS trace FROM c
+WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'
+UNION ALL
+SELECT site, date, round(volume * {D(IN_CON_ZONE)} / v2, 6) AS y, 'forecast' AS trace FROM i
+WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'""")(history_vs_forecast_q)
 
 
 def chart_series_q(spark, sf):
@@ -805,3 +813,48 @@ SELECT site, round(regr_slope(ea, ea_base), 6) AS k FROM a GROUP BY site""")(ea_
 
 register("row_counts", T.with_sql("zone_wl") + "SELECT site, count(*) AS n_rows FROM zone_wl GROUP BY site")(
     lambda spark, sf: st.row_counts(T.zone_wl(spark, sf), ["site"]))
+
+
+# ---------------------------------------------------------------------------
+# physical variants and the frequency probe
+# ---------------------------------------------------------------------------
+
+
+def running_sum_segmented_q(spark, sf):
+    from pondflow.operators.scan import running_sum
+    return r(running_sum(T.line_daily(spark, sf), ["site"], "v", "cum_v", segment=F.trunc("date", "month")))
+
+
+register("running_sum_segmented", T.with_sql("line_daily") + f"""
+SELECT site, date, round(v, 6) AS v, round({q.running('sum', 'v')}, 6) AS cum_v FROM line_daily""")(
+    running_sum_segmented_q)
+
+register("quantiles_hash", f"""
+WITH {_PRICE_SQL}
+SELECT site, round(quantile_cont(y, 0.01), 6) AS q0, round(quantile_cont(y, 0.99), 6) AS q1
+FROM price WHERE y IS NOT NULL AND NOT isnan(y) GROUP BY site""")(
+    lambda spark, sf: r(st.quantiles(_price(spark, sf), ["site"], "y", [0.01, 0.99], method="hash")))
+
+
+def frequency_probe_q(spark, sf):
+    """The reference's pre-check: repair hourly strings (F1), strict parse (F2), A4 per type."""
+    e = T.table(spark, sf, "events").select("event_type", "ts").withColumn("raw", _raw_stamp())
+    e = e.select(F.col("event_type").alias("site"), fd.parse_hourly(fd.fix_date_format("raw")).alias("ts"))
+    return r(sr.detect_frequency(e, ["site"], "ts"))
+
+
+register("frequency_probe", """
+WITH e AS (SELECT event_type AS site, CASE WHEN event_type = 'error' THEN strftime(ts, '%d-%m-%Y')
+                  ELSE strftime(ts, '%d-%m-%Y') || ' ' || CAST(hour(ts) AS VARCHAR) || '.' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0') END AS raw
+           FROM events),
+p AS (SELECT site, raw, string_split_regex(raw, '[.\\s]') AS parts FROM e),
+h AS (SELECT *, TRY_CAST(TRY_CAST(parts[2] AS DOUBLE) AS BIGINT) AS hr FROM p),
+f AS (SELECT site, CASE WHEN len(parts) >= 2 AND hr IS NOT NULL
+             THEN parts[1] || ' ' || printf('%02d', hr) || ':00' ELSE raw END AS fixed FROM h),
+t AS (SELECT site, try_strptime(fixed, '%d-%m-%Y %H:%M') AS ts FROM f),
+a AS (SELECT site, count(ts) AS n, epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM t
+      GROUP BY site),
+g AS (SELECT site, n, CASE WHEN n >= 2 THEN ((hi / 1e6) - (lo / 1e6)) / (n - 1) END AS avg_gap_s FROM a)
+SELECT site, n, round(avg_gap_s, 6) AS avg_gap_s,
+       CASE WHEN avg_gap_s <= 3600.0 THEN 'hourly' WHEN avg_gap_s <= 86400.0 THEN 'daily' ELSE 'monthly' END AS freq
+FROM g""")(frequency_probe_q)
