@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -125,18 +126,26 @@ def _forecast_fn(bc, lo: np.ndarray, rng: np.ndarray, keys: list[str], y: str, e
     return fn
 
 
-def recursive_forecast(spark: SparkSession, hist: DataFrame, keys, y: str, exog: Sequence[str],
-                       start_ym: str, end_ym: str, lags: int = 120, windows: Sequence[int] = (14, 30, 60),
-                       params: dict | None = None, compat: bool = False, date: str = "date",
-                       model_path: str | None = None, horizon_days: int | None = None) -> DataFrame:
-    """Fit on ``hist`` and forecast ``y`` per key over ``start_ym..end_ym``.
-
-    ``hist`` is a daily series per key without gaps (use ``asfreq_daily`` +
-    ``interpolate_time`` first, as the reference does). ``horizon_days`` (M15)
-    forecasts a fixed number of days after the last observation and then
-    slices the requested range.
-    Returns ``(keys…, date, prediction)``.
-    """
+@dataclass
+class RecursiveModel:
+    """A fitted recursive forecaster: broadcast trees, scaler vectors and settings."""
+    trees: object          # Broadcast of the node arrays
+    lo: np.ndarray
+    rng: np.ndarray
+    keys: list[str]
+    y: str
+    exog: list[str]
+    lags: int
+    windows: list[int]
+    train: DataFrame       # cached training frame (exogenous lookup, trend state)
+    date: str = "date"
+
+
+def fit_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, exog: Sequence[str], lags: int = 120,
+                  windows: Sequence[int] = (14, 30, 60), params: dict | None = None, date: str = "date",
+                  model_path: str | None = None) -> RecursiveModel:
+    """M12 fit: window features -> min-max scaling -> one pooled boosted-tree regressor,
+    exported as bounded node arrays and broadcast once."""
     k = _keys(keys)
     exog = list(exog)
     windows = [int(w) for w in windows]
@@ -150,16 +159,25 @@ def recursive_forecast(spark: SparkSession, hist: DataFrame, keys, y: str, exog:
     model = M.fit_regressor(scaled, feats, y, params or M.GBT_RECURSIVE)
     path = model_path or f"{checkpoint_dir(spark).rstrip('/')}/pondflow-models/recursive-{model.uid}"
     trees = M.tree_arrays(spark, M.gbt_stage(model), path)
-    bc = spark.sparkContext.broadcast(trees)
+    return RecursiveModel(spark.sparkContext.broadcast(trees), lo, rng, k, y, exog, lags, windows, train, date)
 
-    span = max([lags, *windows])
+
+def forecast_recursive(rm: RecursiveModel, hist: DataFrame, start_ym: str, end_ym: str,
+                       compat: bool = False, horizon_days: int | None = None) -> DataFrame:
+    """M14/M15 scoring: ``(keys…, date, prediction)`` over ``start_ym..end_ym``.
+
+    ``horizon_days`` (M15) forecasts a fixed number of days after the last
+    observation and then slices the requested range.
+    """
+    k, y, exog, date = rm.keys, rm.y, rm.exog, rm.date
+    span = max([rm.lags, *rm.windows])
     hist_y = hist.select(*k, date, y).where(F.col(y).isNotNull())
     state = hist_y.groupBy(*k).agg(
         F.count(y).cast("double").alias("_n"), F.avg(y).alias("_mean"),
         F.coalesce(F.var_samp(y) * (F.count(y) - 1), F.lit(0.0)).alias("_m2"),
         F.max(date).alias("_last"))
-    tstate = train.groupBy(*k).agg(F.max("trend").alias("_last_trend"),
-                                   F.count(F.lit(1)).cast("double").alias("_n_train"))
+    tstate = rm.train.groupBy(*k).agg(F.max("trend").alias("_last_trend"),
+                                      F.count(F.lit(1)).cast("double").alias("_n_train"))
     start, end = month_start(F.lit(start_ym)), month_end(F.lit(end_ym))
     first = start if compat else F.date_add("_last", 1)
     last = F.date_add("_last", int(horizon_days)) if horizon_days else end
@@ -168,16 +186,30 @@ def recursive_forecast(spark: SparkSession, hist: DataFrame, keys, y: str, exog:
     fut = fut.join(bounds.select(*k, "lo"), k).withColumn("idx", F.datediff(date, "lo"))
     cal = calendar_columns(date)
     fut = fut.withColumns({c: cal[c] for c in CAL})
-    fut = cyclic_lookup(fut, train.select(*k, date, *exog), k, exog, idx="idx", date=date)
+    fut = cyclic_lookup(fut, rm.train.select(*k, date, *exog), k, exog, idx="idx", date=date)  # J4
     fut = fut.join(state, k).join(tstate, k)
     fut = fut.select(*k, date, *CAL, *exog, "_n", "_mean", "_m2", "_last_trend", "_n_train")
-    seed = last_n_rows(hist_y, k, span, date=date)
+    seed = last_n_rows(hist_y, k, span, date=date)  # O3
 
     key_types = {f.name: f.dataType for f in hist.schema.fields if f.name in k}
     schema = Ty.StructType([Ty.StructField(c, key_types[c]) for c in k]
                            + [Ty.StructField(date, Ty.DateType()), Ty.StructField("prediction", Ty.DoubleType())])
-    fn = _forecast_fn(bc, lo, rng, k, y, exog, lags, windows, compat)
+    fn = _forecast_fn(rm.trees, rm.lo, rm.rng, k, y, exog, rm.lags, rm.windows, compat)
     # fresh attribute ids on both sides: they share lineage with ``hist``
     seed, fut = seed.toDF(*seed.columns), fut.toDF(*fut.columns)
     out = seed.groupBy(*k).cogroup(fut.groupBy(*k)).applyInPandas(fn, schema)
     return out.where(F.col(date).between(start, end))
+
+
+def recursive_forecast(spark: SparkSession, hist: DataFrame, keys, y: str, exog: Sequence[str],
+                       start_ym: str, end_ym: str, lags: int = 120, windows: Sequence[int] = (14, 30, 60),
+                       params: dict | None = None, compat: bool = False, date: str = "date",
+                       model_path: str | None = None, horizon_days: int | None = None) -> DataFrame:
+    """Fit on ``hist`` and forecast ``y`` per key over ``start_ym..end_ym``.
+
+    ``hist`` is a daily series per key without gaps (use ``asfreq_daily`` +
+    ``interpolate_time`` first, as the reference does).
+    Returns ``(keys…, date, prediction)``.
+    """
+    rm = fit_recursive(spark, hist, keys, y, exog, lags, windows, params, date, model_path)
+    return forecast_recursive(rm, hist, start_ym, end_ym, compat=compat, horizon_days=horizon_days)

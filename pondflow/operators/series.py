@@ -104,34 +104,62 @@ def spine_after_last(df: DataFrame, keys: Sequence[str], n_days: int, date: str
     return date_spine(b, k, "lo", "hi", out=out)
 
 
+def fill_gaps(df: DataFrame, keys: Sequence[str], values: Sequence[str], date: str = "date",
+              freq: str = "D", fill: float | None = None) -> DataFrame:
+    """Insert the missing days (or month ends) between each key's observed bins.
+
+    Each row looks at the next observed bin of its key (``lead``) and emits
+    itself plus one row per missing bin, with ``fill`` (NULL by default) as the
+    value. This is a window over already-binned rows, so the source is read
+    once and nothing is joined.
+    """
+    k = _keys(keys)
+    others = [c for c in df.columns if c not in k and c != date]
+    nxt = F.lead(date).over(Window.partitionBy(*k).orderBy(date))
+    if freq == "D":
+        stop = F.coalesce(F.date_sub(nxt, 1), F.col(date))
+        seq = F.sequence(F.col(date), stop, F.expr("interval 1 day"))
+    elif freq == "M":
+        start = F.trunc(F.col(date), "month")
+        stop = F.coalesce(F.add_months(F.trunc(nxt, "month"), -1), start)
+        seq = F.sequence(start, stop, F.expr("interval 1 month"))
+    else:
+        raise ValueError(f"unsupported frequency {freq!r}; use 'D' or 'M'")
+    g = df.withColumn("_seq", seq).select(*k, date, *others, F.posexplode("_seq").alias("_i", "_d"))
+    if freq == "M":
+        g = g.withColumn("_d", F.last_day("_d"))
+    filler = F.lit(fill).cast("double") if fill is not None else F.lit(None)
+    vals = {c: F.when(F.col("_i") == 0, F.col(c)).otherwise(filler if c in values else F.lit(None))
+            for c in others}
+    return g.withColumns(vals).withColumn(date, F.col("_d")).select(*k, date, *others)
+
+
 def resample(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str],
              freq: str = "D", how: str = "sum", out: str = "date") -> DataFrame:
     """A1-A3: bin readings to days or month ends per key, including empty bins.
 
     ``how='sum'`` gives 0 for empty bins, ``how='mean'`` gives NULL, matching
-    pandas ``resample().sum()`` / ``.mean()``. Spine rows (with NULL measures)
-    are unioned into the readings before a single aggregation, so the job is
-    one map-side combined shuffle rather than aggregate-then-join.
+    pandas ``resample().sum()`` / ``.mean()``. The readings are scanned once and
+    combined map-side (partial + final aggregate); empty bins are then added
+    from the small binned result (:func:`fill_gaps`), without a join.
     """
     k = _keys(keys)
     if how not in ("sum", "mean"):
         raise ValueError("how must be 'sum' or 'mean'")
     binned = df.select(*k, bucket_of(ts, freq).alias(out), *[F.col(v).cast("double").alias(v) for v in values])
     binned = binned.where(F.col(out).isNotNull())
-    spine = spine_for(binned, k, out, freq=freq)
-    spine = spine.select(*k, out, *[F.lit(None).cast("double").alias(v) for v in values])
-    allrows = binned.unionByName(spine)
     if how == "sum":
-        aggs = [F.coalesce(F.sum(v), F.lit(0.0)).alias(v) for v in values]
-    else:
-        aggs = [F.avg(v).alias(v) for v in values]
-    return allrows.groupBy(*k, out).agg(*aggs)
+        agg = binned.groupBy(*k, out).agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(v) for v in values])
+        return fill_gaps(agg, k, values, out, freq, fill=0.0)
+    agg = binned.groupBy(*k, out).agg(*[F.avg(v).alias(v) for v in values])
+    return fill_gaps(agg, k, values, out, freq)
 
 
 def asfreq_daily(df: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
-    """Left-join each series onto its dense daily spine (missing days -> NULL rows)."""
+    """Each series on its dense daily spine (missing days -> NULL rows), one pass."""
     k = _keys(keys)
-    return spine_for(df, k, date).join(df, k + [date], "left")
+    others = [c for c in df.columns if c not in k and c != date]
+    return fill_gaps(df.where(F.col(date).isNotNull()), k, others, date, "D")
 
 
 def interpolate_time(df: DataFrame, keys: Sequence[str], cols: Sequence[str],

@@ -742,11 +742,13 @@ def _flag_history(spark, sf):
     return sr.interpolate_time(h, ["site"], cols)
 
 
+RECURSIVE_EXOG = ["wl", "evaporation", "volume", "surface_area", "evap_volume"]
+
+
 def recursive_forecast_q(spark, sf):
     from pondflow.plans import forecast as fc
     hist = _flag_history(spark, sf)
-    return fc.forecast_concentration(spark, hist, ["site"], "2002-01", "2002-03",
-                                     exog=["wl", "evaporation", "volume", "surface_area", "evap_volume"])
+    return fc.forecast_concentration(spark, hist, ["site"], "2002-01", "2002-03", exog=RECURSIVE_EXOG)
 
 
 register("recursive_forecast", None)(recursive_forecast_q)
