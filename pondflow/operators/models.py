@@ -63,24 +63,33 @@ def hash_split(df: DataFrame, cols: Sequence[str], test_fraction: float = 0.1,
     return df.where(b < cut), df.where(b >= cut)
 
 
+def with_null_indicators(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``_isnull_<f>`` = 1.0 where a feature is NULL/NaN, so imputed rows stay distinguishable."""
+    return df.withColumns({f"_isnull_{c}": (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("double")
+                           for c in features})
+
+
 def fit_regressor(df: DataFrame, features: Sequence[str], label: str, params: dict | None = None,
                   impute: bool = False, prediction: str = "prediction") -> PipelineModel:
     """Assemble ``features`` and fit a boosted-tree regressor.
 
-    ``impute=True`` adds median imputation (Spark's GBT rejects NULL/NaN where
-    XGBoost routes them; M6 inputs contain blanks).
+    ``impute=True`` adds median imputation plus one null-indicator column per
+    feature (Spark's GBT rejects NULL/NaN where XGBoost routes them; M6 inputs
+    contain blanks). Score with :func:`score` / ``transform`` on a frame passed
+    through :func:`with_null_indicators` the same way (``score`` does it).
     """
     p = dict(GBT_CALENDAR if params is None else params)
     feats = list(features)
     stages = []
     if impute:
+        df = with_null_indicators(df, feats)
         imp_out = [f"_imp_{c}" for c in feats]
         stages.append(Imputer(inputCols=feats, outputCols=imp_out, strategy="median"))
-        feats = imp_out
+        feats = imp_out + [f"_isnull_{c}" for c in features]
     stages.append(VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="error"))
     stages.append(GBTRegressor(featuresCol="_features", labelCol=label, predictionCol=prediction, **p))
-    cast = df.withColumns({c: F.col(c).cast("double") for c in features})
     own = not df.is_cached
+    cast = df.withColumns({c: F.col(c).cast("double") for c in features})
     if own:
         cast = sized_for_fit(cast)
     try:
@@ -109,28 +118,24 @@ def fit_many(df: DataFrame, features: Sequence[str], labels: Sequence[str], para
 
 def score(models: dict[str, PipelineModel] | PipelineModel, df: DataFrame,
           keep: Sequence[str] | None = None) -> DataFrame:
-    """M7/M8: chained ``transform`` of one or many fitted models."""
+    """M7/M8: chained ``transform`` of one or many fitted models.
+
+    Pipelines fitted with ``impute=True`` get their null-indicator columns here.
+    """
+    from pyspark.ml.feature import ImputerModel
     out = df
     if isinstance(models, PipelineModel):
         models = {"": models}
     for _, m in models.items():
+        for st in m.stages:
+            if isinstance(st, ImputerModel):
+                cols = st.getInputCols()
+                out = with_null_indicators(out.withColumns({c: F.col(c).cast("double") for c in cols}), cols)
         out = m.transform(out)
         out = out.drop(*[c for c in out.columns if c.startswith("_")])
     return out.select(*keep) if keep else out
 
 
-def ea_scaling_constant(df: DataFrame, wind: str, es: str, ea: str, target: str, keys=()) -> DataFrame:
-    """Slope K of ``target ~ aerodynamic_base(wind, es, ea)`` (least squares with intercept).
-
-    One partial+final aggregate (``regr_slope``) instead of a fitted estimator.
-    """
-    from pondflow.functions.physics import aerodynamic_base
-    base = df.where(F.col(wind).isNotNull() & F.col(es).isNotNull() & F.col(ea).isNotNull()
-                    & F.col(target).isNotNull())
-    base = base.withColumn("_ea_base", aerodynamic_base(wind, es, ea))
-    return base.groupBy(*keys).agg(F.regr_slope(F.col(target), F.col("_ea_base")).alias("k"))
-
-
 # --- scaling statistics (A8, F24, M2) ---------------------------------------
 
 def fit_minmax(df: DataFrame, features: Sequence[str]) -> DataFrame:

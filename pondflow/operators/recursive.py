@@ -163,11 +163,14 @@ def fit_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, exog: Sequ
 
 
 def forecast_recursive(rm: RecursiveModel, hist: DataFrame, start_ym: str, end_ym: str,
-                       compat: bool = False, horizon_days: int | None = None) -> DataFrame:
+                       compat: bool = False, horizon_days: int | None = None,
+                       index_base: int = 0) -> DataFrame:
     """M14/M15 scoring: ``(keys…, date, prediction)`` over ``start_ym..end_ym``.
 
     ``horizon_days`` (M15) forecasts a fixed number of days after the last
-    observation and then slices the requested range.
+    observation and then slices the requested range. ``index_base`` is where
+    the cyclic exogenous lookup (J4) starts counting (0, or 1 in the older
+    fixed-horizon variant).
     """
     k, y, exog, date = rm.keys, rm.y, rm.exog, rm.date
     span = max([rm.lags, *rm.windows])
@@ -183,7 +186,7 @@ def forecast_recursive(rm: RecursiveModel, hist: DataFrame, start_ym: str, end_y
     last = F.date_add("_last", int(horizon_days)) if horizon_days else end
     bounds = state.join(tstate, k).select(*k, first.alias("lo"), last.alias("hi"))
     fut = date_spine(bounds, k, "lo", "hi", out=date)
-    fut = fut.join(bounds.select(*k, "lo"), k).withColumn("idx", F.datediff(date, "lo"))
+    fut = fut.join(bounds.select(*k, "lo"), k).withColumn("idx", F.datediff(date, "lo") + int(index_base))
     cal = calendar_columns(date)
     fut = fut.withColumns({c: cal[c] for c in CAL})
     fut = cyclic_lookup(fut, rm.train.select(*k, date, *exog), k, exog, idx="idx", date=date)  # J4

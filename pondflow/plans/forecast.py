@@ -129,7 +129,8 @@ def score_final_concentration(model: PipelineModel, rows: DataFrame, start_ym: s
     """Q5: P8 range filter with fallback, then score every remaining row (M8)."""
     df = with_calendar(rows.where(F.col(date).isNotNull()), date)  # P14 quarantine: undated rows skipped
     df = month_range_with_fallback(df, list(keys), start_ym, end_ym, date)
-    scored = model.transform(df.withColumns({c: F.col(c).cast("double") for c in CONC_FEATURES[:3]}))
+    df = M.with_null_indicators(df.withColumns({c: F.col(c).cast("double") for c in CONC_FEATURES}), CONC_FEATURES)
+    scored = model.transform(df)
     return scored.select(*keys, date, *CONC_FEATURES, "predicted_final")
 
 

@@ -19,6 +19,31 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_executor: int = 4) -> dict:
+    """Settings for a large cluster run (e.g. 100 TB over 1000 executors).
+
+    * initial shuffle partitions sized for ~128 MB partitions, assuming map-side
+      combining shrinks the scanned volume about 8x before the shuffle, and never
+      fewer than two per core; AQE then coalesces the (usually much smaller,
+      already aggregated) shuffles down to ~64 MB partitions;
+    * 256 MB scan splits keep the number of scan tasks near 400k for 100 TB;
+    * AQE skew-join splitting for the few joins on non-aggregated data;
+    * Arrow batches bounded for the grouped-pandas steps.
+    """
+    total_cores = executors * cores_per_executor
+    shuffle_parts = max(total_cores * 2, int(input_tb * 1024 * 1024 / 128 / 8))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle_parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }
+
+
 def get_spark(master: str | None = None, app: str = "pondflow",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:

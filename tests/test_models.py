@@ -87,3 +87,11 @@ def test_recursive_forecast_compat_mode(spark, seasonal):
     kw = dict(lags=20, windows=(7, 14), params=SMALL, compat=True)
     out = recursive_forecast(spark, seasonal, ["site"], "y", ["evap"], "2021-03", "2021-03", **kw)
     assert out.count() == 2 * 31
+
+
+def test_impute_with_null_indicators(spark):
+    rows = [(float(i), None if i % 5 == 0 else float(i % 7), 2.0 * i) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    model = M.fit_regressor(df, ["a", "b"], "y", SMALL, impute=True)
+    out = M.score(model, df.limit(10))
+    assert out.count() == 10 and "prediction" in out.columns
