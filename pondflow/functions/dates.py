@@ -81,7 +81,7 @@ def cyc_cos(x, period: float) -> Column:
 
 
 def calendar_columns(date="date", day_of_year: bool = True) -> dict[str, Column]:
-    """F5-F8 as a dict for ``withColumns``.
+    """F5-F8 as a dict for ``withColumns`` (F6 is ``dayofyear``).
 
     Day/Month/Year, month sin/cos over 12 and day-of-year sin/cos over 365
     (365 also in leap years, as in the reference).

@@ -18,6 +18,11 @@ def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys or [])
 
 
+def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Drop columns, ignoring absent ones (Spark's ``drop`` already does)."""
+    return df.drop(*cols)
+
+
 def drop_null_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """Drop rows with NULL (or NaN) in ``subset`` (all columns when None)."""
     cols = list(subset) if subset else df.columns

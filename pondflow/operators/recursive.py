@@ -82,6 +82,9 @@ def training_frame(hist: DataFrame, keys, y: str, exog: Sequence[str], lags: int
 
 def _forecast_fn(bc, lo: np.ndarray, rng: np.ndarray, keys: list[str], y: str, exog: list[str],
                  lags: int, windows: list[int], compat: bool):
+    """Per-group scoring loop. Trailing means/stds of the growing prediction list
+    (A11; population std in ``compat`` mode, as the reference) feed each step; the
+    result is a schema'd frame built from parallel columns (S9)."""
     span = max([lags, *windows])
 
     def fn(seed: pd.DataFrame, fut: pd.DataFrame) -> pd.DataFrame:

@@ -155,6 +155,46 @@ def resample(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str],
     return fill_gaps(agg, k, values, out, freq)
 
 
+def normalize_readings(evap: DataFrame, wl: DataFrame | None, keys: Sequence[str], ts: str = "ts",
+                       evap_values: Sequence[str] = ("evaporation",),
+                       wl_values: Sequence[str] = ("wl",)) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Daily normalisation driven by the evaporation readings' frequency, per key.
+
+    ``hourly`` keys: evaporation summed per day (A1), water level averaged per
+    day (A2); ``monthly`` keys: both averaged per month end (A3); ``daily``
+    keys: one row per day (mean of same-day readings). The frequency table
+    (one row per key, A4) is joined back, so mixed-frequency sites are handled
+    in one plan. Returns ``(evap_daily, wl_daily, freq)``.
+    """
+    k = _keys(keys)
+    freq = detect_frequency(evap, k, ts).select(*k, "freq")
+
+    def norm(df: DataFrame, values: Sequence[str], sum_hourly: bool) -> DataFrame:
+        j = (df.select(*k, ts, *values).join(freq, k, "left")
+             .withColumn("freq", F.coalesce(F.col("freq"), F.lit("daily"))))
+        d = F.to_date(F.col(ts))
+        j = j.withColumn("date", F.when(F.col("freq") == "monthly", F.last_day(d)).otherwise(d))
+        j = j.where(F.col("date").isNotNull())
+        aggs = []
+        for v in values:
+            x = F.col(v).cast("double")
+            if sum_hourly:
+                aggs.append(F.when(F.col("freq") == "hourly", F.coalesce(F.sum(x), F.lit(0.0)))
+                            .otherwise(F.avg(x)).alias(v))
+            else:
+                aggs.append(F.avg(x).alias(v))
+        out = j.groupBy(*k, "freq", "date").agg(*aggs)
+        if not sum_hourly:
+            return out.drop("freq")
+        # hourly sums have explicit zero days between readings, as resample('D').sum()
+        hourly = fill_gaps(out.where(F.col("freq") == "hourly").drop("freq"), k, values, "date", "D", fill=0.0)
+        return hourly.unionByName(out.where(F.col("freq") != "hourly").drop("freq"))
+
+    ev = norm(evap, evap_values, True)
+    wd = norm(wl, wl_values, False) if wl is not None else None
+    return ev, wd, freq
+
+
 def asfreq_daily(df: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
     """Each series on its dense daily spine (missing days -> NULL rows), one pass."""
     k = _keys(keys)

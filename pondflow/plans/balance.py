@@ -1,7 +1,8 @@
 """Mass-balance queries: zone (Q3, Q7, Q8) and pond (Q4, Q9).
 
 Each is one lazy plan: an equi-join on (keys, date), row-local physics
-columns, and at most one prefix scan per key for the chained concentration.
+columns (P4 computed/constant columns, F13 unit scaling by 1e6 and 1/1000),
+and at most one prefix scan per key for the chained concentration.
 Inputs are keyed daily series; outputs keep canonical snake_case names
 (display names are applied at the sink, see ``sources.sinks.DISPLAY_NAMES``).
 """
@@ -114,7 +115,7 @@ def pond_balance(evap: DataFrame, inflow: DataFrame, outflow: DataFrame, in_con:
 def pond_constant_balance(evap: DataFrame, pond: str | Column, in_con: float, keys=("site",),
                           date: str = "date", volume_set: str = "m3", chained: bool = False,
                           segment: Column | None = None) -> DataFrame:
-    """Q9: constant-volume pond (legacy) with area 9 m^2.
+    """Constant-volume pond (legacy) with area 9 m^2, volume looked up by pond letter.
 
     ``volume_set='ml'``: table values are ML and multiplied by 1000 (older code);
     ``volume_set='m3'``: table values used as is. Unknown ponds take the
@@ -137,3 +138,24 @@ def pond_constant_balance(evap: DataFrame, pond: str | Column, in_con: float, ke
                          "c1", "c2")
     df = df.withColumn("c2", ph.stateless_concentration("volume", "v2", in_con))
     return df.select(*k, date, "evaporation", "volume", "v2", "surface_area", "evap_volume", "c2")
+
+
+def zone_balance_from_readings(evap_readings: DataFrame, wl_readings: DataFrame, in_con: float,
+                               keys=("site",), ts: str = "ts", **kw) -> DataFrame:
+    """Q3 end to end: readings -> per-key frequency (A4) -> daily/monthly
+    normalisation (A1-A3) -> zone balance. Readings carry ``ts`` plus
+    ``evaporation`` / ``wl`` (see ``sources.csv.read_readings``)."""
+    from pondflow.operators.series import normalize_readings
+    ev, wl, _ = normalize_readings(evap_readings, wl_readings, _keys(keys), ts)
+    return zone_balance(wl, ev, in_con, keys=keys, **kw)
+
+
+def pond_balance_from_readings(evap_readings: DataFrame, inflow: DataFrame, outflow: DataFrame,
+                               in_con: float, keys=("site",), ts: str = "ts", **kw) -> DataFrame:
+    """Q4 end to end: evaporation normalised by its frequency; flows summed per day."""
+    from pondflow.operators.series import normalize_readings, resample
+    k = _keys(keys)
+    ev, _, _ = normalize_readings(evap_readings, None, k, ts)
+    fin = resample(inflow, k, ts, ["brine_in"], "D", "sum")
+    fout = resample(outflow, k, ts, ["brine_out"], "D", "sum")
+    return pond_balance(ev, fin, fout, in_con, keys=keys, **kw)

@@ -860,3 +860,47 @@ g AS (SELECT site, n, CASE WHEN n >= 2 THEN ((hi / 1e6) - (lo / 1e6)) / (n - 1)
 SELECT site, n, round(avg_gap_s, 6) AS avg_gap_s,
        CASE WHEN avg_gap_s <= 3600.0 THEN 'hourly' WHEN avg_gap_s <= 86400.0 THEN 'daily' ELSE 'monthly' END AS freq
 FROM g""")(frequency_probe_q)
+
+
+def _event_readings(spark, sf):
+    """Raw readings per event type: evaporation from ``value``, water level scaled from it."""
+    e = T.table(spark, sf, "events").select(F.col("event_type").alias("site"), "ts", "value")
+    ev = e.select("site", "ts", (F.col("value") / 1000.0).alias("evaporation"))
+    wl = e.select("site", "ts", (F.col("value") / 50.0 - 0.4).alias("wl"))
+    return ev, wl
+
+
+def zone_balance_from_readings_q(spark, sf):
+    ev, wl = _event_readings(spark, sf)
+    df = bal.zone_balance_from_readings(ev, wl, IN_CON_ZONE)
+    return r(df, 6, ["wl", "evaporation", "volume_v1_m3", "evap_volume", "surface_area", "volume_v2_m3"])
+
+
+register("zone_balance_from_readings", f"""
+WITH e AS (SELECT event_type AS site, ts, value FROM events),
+fq AS (SELECT site, CASE WHEN count(ts) >= 2 THEN ((epoch_us(max(ts)) / 1e6) - (epoch_us(min(ts)) / 1e6)) / (count(ts) - 1) END AS g
+       FROM e GROUP BY site),
+f AS (SELECT site, CASE WHEN g <= 3600.0 THEN 'hourly' WHEN g <= 86400.0 THEN 'daily' ELSE 'monthly' END AS freq FROM fq),
+b AS (SELECT e.site, f.freq, CASE WHEN f.freq = 'monthly' THEN last_day(CAST(e.ts AS DATE)) ELSE CAST(e.ts AS DATE) END AS date,
+             e.value FROM e JOIN f USING (site) WHERE e.ts IS NOT NULL),
+ev0 AS (SELECT site, freq, date, CASE WHEN freq = 'hourly' THEN COALESCE(sum(value / {D(1000)}), 0.0)
+                                     ELSE avg(value / {D(1000)}) END AS evaporation
+        FROM b GROUP BY site, freq, date),
+sp AS (SELECT site, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date
+       FROM ev0 WHERE freq = 'hourly' GROUP BY site),
+ev AS (SELECT sp.site, sp.date, COALESCE(ev0.evaporation, 0.0) AS evaporation FROM sp LEFT JOIN ev0 USING (site, date)
+       UNION ALL SELECT site, date, evaporation FROM ev0 WHERE freq <> 'hourly'),
+wl AS (SELECT site, date, avg(value / {D(50)} - {D(0.4)}) AS wl FROM b GROUP BY site, date),
+j AS (SELECT w.site, w.date, w.wl, v.evaporation FROM wl w JOIN ev v USING (site, date)
+      WHERE w.wl IS NOT NULL AND v.evaporation IS NOT NULL AND NOT isnan(w.wl) AND NOT isnan(v.evaporation)),
+g AS (SELECT *, {q.zone_volume()} AS volume, {q.zone_area()} AS surface_area FROM j),
+h AS (SELECT *, evaporation * surface_area / {D(1000)} AS evap_volume FROM g),
+i AS (SELECT *, volume - evap_volume AS v2 FROM h),
+c AS (SELECT *, {q.running('product', 'volume / v2')} AS p,
+             COALESCE({q.running('product', 'volume / v2', exclusive=True)}, {D(1)}) AS pe FROM i)
+SELECT site, date, round(wl, 6) AS wl, round(evaporation, 6) AS evaporation,
+       round(volume * {D(1e6)}, 6) AS volume_v1_m3, round(evap_volume, 6) AS evap_volume,
+       round(surface_area, 6) AS surface_area, round(v2 * {D(1e6)}, 6) AS volume_v2_m3,
+       round_even({D(IN_CON_ZONE)} * pe, 3) AS c1, round_even({D(IN_CON_ZONE)} * p, 3) AS c2,
+       round_even(v2 * {D(1e6)} * {D(IN_CON_ZONE)} / {D(1000)}, 3) AS quantity_t
+FROM c""")(zone_balance_from_readings_q)

@@ -48,9 +48,19 @@ def to_display(df: DataFrame, kind: str, keep_keys: Sequence[str] = ()) -> DataF
     return df.select(*cols)
 
 
-def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), single_file: bool = False) -> None:
-    """K1/K2: overwrite CSV with header; optional ``site=``/``unit=`` partitions."""
-    out = df.coalesce(1) if single_file else df
+def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), single_file: bool = False,
+              sort_by: Sequence[str] = ()) -> None:
+    """K1/K2: overwrite CSV with header; optional ``site=``/``unit=`` partitions.
+
+    O1: ``sort_by`` (e.g. ``["site", "date"]``) orders rows inside each output
+    task only (``sortWithinPartitions`` after clustering on the partition
+    columns), so files come out date-ordered without a global sort.
+    """
+    out = df
+    if sort_by:
+        out = (out.repartition(*[F.col(c) for c in partition_by]) if partition_by else out)
+        out = out.sortWithinPartitions(*sort_by)
+    out = out.coalesce(1) if single_file else out
     w = out.write.mode("overwrite").option("header", True)
     if partition_by:
         w = w.partitionBy(*partition_by)

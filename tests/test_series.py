@@ -155,3 +155,34 @@ def test_result_page_stable(spark):
     p1 = [r["id"] for r in flt.result_page(df, "v", page=1, page_size=10, descending=True, tie_break=["id"]).collect()]
     allrows = sorted(((-r["v"], r["id"]) for r in df.collect()))
     assert p1 == [i for _, i in allrows[10:20]]
+
+
+def test_normalize_readings_mixed_frequencies(spark):
+    ev_rows = ([("h", ts(2024, 1, 1) + dt.timedelta(minutes=10 * i), 1.0) for i in range(144)]
+               + [("h", ts(2024, 1, 3, 0, 30), 2.0)]
+               + [("d", ts(2024, 1, dd), float(dd)) for dd in range(1, 4)]
+               + [("m", ts(2024, mm, 10), float(mm)) for mm in (1, 2)] + [("m", ts(2024, 2, 20), 4.0)])
+    wl_rows = [(s, t, v / 10) for s, t, v in ev_rows]
+    ev = spark.createDataFrame(ev_rows, "site string, ts timestamp_ntz, evaporation double")
+    wl = spark.createDataFrame(wl_rows, "site string, ts timestamp_ntz, wl double")
+    e, w, f = sr.normalize_readings(ev, wl, ["site"])
+    assert {r["site"]: r["freq"] for r in f.collect()} == {"h": "hourly", "d": "daily", "m": "monthly"}
+    got = {(r["site"], r["date"]): r["evaporation"] for r in e.collect()}
+    assert got[("h", dt.date(2024, 1, 1))] == 144.0         # hourly -> daily sum
+    assert got[("h", dt.date(2024, 1, 2))] == 0.0           # empty day inside the range -> 0
+    assert got[("d", dt.date(2024, 1, 2))] == 2.0
+    assert got[("m", dt.date(2024, 2, 29))] == 3.0          # monthly -> month-end mean
+    wg = {(r["site"], r["date"]): r["wl"] for r in w.collect()}
+    assert wg[("h", dt.date(2024, 1, 1))] == pytest.approx(0.1)   # water level -> daily mean
+
+
+def test_pond_balance_from_readings(spark):
+    from pondflow.plans import balance as bal
+    ev = spark.createDataFrame([("p", ts(2024, 1, d), 5.0) for d in range(1, 6)], "site string, ts timestamp_ntz, evaporation double")
+    fin = spark.createDataFrame([("p", ts(2024, 1, d, h), 1000.0) for d in range(1, 6) for h in (1, 9)],
+                                "site string, ts timestamp_ntz, brine_in double")
+    fout = spark.createDataFrame([("p", ts(2024, 1, d, 3), 500.0) for d in range(1, 6)],
+                                 "site string, ts timestamp_ntz, brine_out double")
+    out = bal.pond_balance_from_readings(ev, fin, fout, 0.3).orderBy("date").collect()
+    assert len(out) == 5
+    assert [r["cum_net_flow"] for r in out] == [1500.0, 3000.0, 4500.0, 6000.0, 7500.0]
