@@ -51,18 +51,32 @@ def cyclic_lookup(target: DataFrame, series: DataFrame, keys, value_cols: Sequen
     """For each target row take the series value at ``date``; when that date
     is not in the series take the row at position ``pmod(idx, n)`` (0-based, in
     date order, ``n`` = rows of that key's series).
+
+    No join: target and series rows are unioned, one window per key numbers the
+    series rows and counts them, and the value is read from the series row that
+    shares the target's date (window over key+date) or its cyclic slot (window
+    over key+slot). Each input is scanned once; every window holds one key's
+    calendar-bounded rows at most.
     """
     k = _keys(keys)
     vals = list(value_cols)
-    w = Window.partitionBy(*k).orderBy(date)
-    indexed = series.select(*k, date, *vals).withColumn("_rn", F.row_number().over(w) - 1)
-    counts = indexed.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    exact = indexed.select(*k, date, F.lit(True).alias("_hit"), *[F.col(v).alias(f"_x_{v}") for v in vals])
-    cyc = indexed.select(*k, F.col("_rn").alias("_pos"), *[F.col(v).alias(f"_c_{v}") for v in vals])
-    t = (target.join(counts, k, "left")
-         .withColumn("_pos", F.when(F.col("_n") > 0, F.pmod(F.col(idx), F.col("_n"))))
-         .join(exact, k + [date], "left")
-         .join(cyc, k + ["_pos"], "left"))
-    for v in vals:
-        t = t.withColumn(v, F.when(F.col("_hit"), F.col(f"_x_{v}")).otherwise(F.col(f"_c_{v}")))
-    return t.drop("_n", "_pos", "_hit", *[f"_x_{v}" for v in vals], *[f"_c_{v}" for v in vals])
+    vtypes = {f.name: f.dataType for f in series.schema.fields}
+    tcols = [c for c in target.columns if c not in k and c not in vals]
+    tstruct = F.struct(*[F.col(c) for c in tcols])
+    t = target.select(*k, F.col(date).alias("_d"), F.col(idx).cast("long").alias("_idx"),
+                      *[F.lit(None).cast(vtypes[v]).alias(v) for v in vals], F.lit(0).alias("_s"),
+                      tstruct.alias("_t"))
+    s = series.select(*k, F.col(date).alias("_d"), F.lit(None).cast("long").alias("_idx"), *vals,
+                      F.lit(1).alias("_s"), F.lit(None).cast(t.schema["_t"].dataType).alias("_t"))
+    u = s.unionByName(t)
+    wk = Window.partitionBy(*k).orderBy("_d", F.col("_s").desc())
+    u = (u.withColumn("_rn", F.sum("_s").over(wk.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+         .withColumn("_n", F.sum("_s").over(Window.partitionBy(*k))))
+    u = u.withColumn("_slot", F.when(F.col("_s") == 1, F.col("_rn"))
+                     .when(F.col("_n") > 0, F.pmod(F.col("_idx"), F.col("_n"))))
+    by_slot = Window.partitionBy(*k, "_slot")
+    by_date = Window.partitionBy(*k, "_d")
+    hit = F.max("_s").over(by_date) == 1
+    picks = {v: F.when(hit, F.max(F.when(F.col("_s") == 1, F.col(v))).over(by_date))
+             .otherwise(F.max(F.when(F.col("_s") == 1, F.col(v))).over(by_slot)) for v in vals}
+    return u.withColumns(picks).where(F.col("_s") == 0).select(*k, "_t.*", *vals)

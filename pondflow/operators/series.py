@@ -105,13 +105,14 @@ def spine_after_last(df: DataFrame, keys: Sequence[str], n_days: int, date: str
 
 
 def fill_gaps(df: DataFrame, keys: Sequence[str], values: Sequence[str], date: str = "date",
-              freq: str = "D", fill: float | None = None) -> DataFrame:
+              freq: str = "D", fill: float | None = None, only_if: Column | None = None) -> DataFrame:
     """Insert the missing days (or month ends) between each key's observed bins.
 
     Each row looks at the next observed bin of its key (``lead``) and emits
     itself plus one row per missing bin, with ``fill`` (NULL by default) as the
     value. This is a window over already-binned rows, so the source is read
-    once and nothing is joined.
+    once and nothing is joined. ``only_if`` restricts gap filling to rows where
+    it holds (other rows pass through unchanged).
     """
     k = _keys(keys)
     others = [c for c in df.columns if c not in k and c != date]
@@ -125,6 +126,8 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], values: Sequence[str], date: s
         seq = F.sequence(start, stop, F.expr("interval 1 month"))
     else:
         raise ValueError(f"unsupported frequency {freq!r}; use 'D' or 'M'")
+    if only_if is not None:
+        seq = F.when(only_if, seq).otherwise(F.array(F.col(date)))
     g = df.withColumn("_seq", seq).select(*k, date, *others, F.posexplode("_seq").alias("_i", "_d"))
     if freq == "M":
         g = g.withColumn("_d", F.last_day("_d"))
@@ -157,42 +160,64 @@ def resample(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str],
 
 def normalize_readings(evap: DataFrame, wl: DataFrame | None, keys: Sequence[str], ts: str = "ts",
                        evap_values: Sequence[str] = ("evaporation",),
-                       wl_values: Sequence[str] = ("wl",)) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+                       wl_values: Sequence[str] = ("wl",)) -> DataFrame:
     """Daily normalisation driven by the evaporation readings' frequency, per key.
 
-    ``hourly`` keys: evaporation summed per day (A1), water level averaged per
-    day (A2); ``monthly`` keys: both averaged per month end (A3); ``daily``
-    keys: one row per day (mean of same-day readings). The frequency table
-    (one row per key, A4) is joined back, so mixed-frequency sites are handled
-    in one plan. Returns ``(evap_daily, wl_daily, freq)``.
+    Returns ``(keys…, date, freq, <evap_values>, <wl_values>)``:
+
+    * ``hourly`` keys: evaporation summed per day (A1; days inside the
+      evaporation record without readings give 0), water level averaged (A2);
+    * ``daily`` keys: one row per day (mean of same-day readings);
+    * ``monthly`` keys: both averaged per month end (A3).
+
+    One pipeline, no join on raw data: both sources are unioned and combined
+    map-side into per-(key, day) sums/counts plus the evaporation timestamp
+    bounds; the frequency (A4) is then a window over that small per-key result,
+    and month-end keys are re-binned from the daily partials. A row keeps NULL
+    for a measure its source did not report (the balance's inner join drops it).
     """
     k = _keys(keys)
-    freq = detect_frequency(evap, k, ts).select(*k, "freq")
-
-    def norm(df: DataFrame, values: Sequence[str], sum_hourly: bool) -> DataFrame:
-        j = (df.select(*k, ts, *values).join(freq, k, "left")
-             .withColumn("freq", F.coalesce(F.col("freq"), F.lit("daily"))))
-        d = F.to_date(F.col(ts))
-        j = j.withColumn("date", F.when(F.col("freq") == "monthly", F.last_day(d)).otherwise(d))
-        j = j.where(F.col("date").isNotNull())
-        aggs = []
-        for v in values:
-            x = F.col(v).cast("double")
-            if sum_hourly:
-                aggs.append(F.when(F.col("freq") == "hourly", F.coalesce(F.sum(x), F.lit(0.0)))
-                            .otherwise(F.avg(x)).alias(v))
-            else:
-                aggs.append(F.avg(x).alias(v))
-        out = j.groupBy(*k, "freq", "date").agg(*aggs)
-        if not sum_hourly:
-            return out.drop("freq")
-        # hourly sums have explicit zero days between readings, as resample('D').sum()
-        hourly = fill_gaps(out.where(F.col("freq") == "hourly").drop("freq"), k, values, "date", "D", fill=0.0)
-        return hourly.unionByName(out.where(F.col("freq") != "hourly").drop("freq"))
-
-    ev = norm(evap, evap_values, True)
-    wd = norm(wl, wl_values, False) if wl is not None else None
-    return ev, wd, freq
+    ev_v, wl_v = list(evap_values), list(wl_values) if wl is not None else []
+    e = epoch_seconds(ts)
+    parts = [evap.select(*k, F.col(ts).alias("_ts"), *[F.col(v).cast("double").alias(v) for v in ev_v],
+                         *[F.lit(None).cast("double").alias(v) for v in wl_v], F.lit(True).alias("_e"))]
+    if wl is not None:
+        parts.append(wl.select(*k, F.col(ts).alias("_ts"), *[F.lit(None).cast("double").alias(v) for v in ev_v],
+                               *[F.col(v).cast("double").alias(v) for v in wl_v], F.lit(False).alias("_e")))
+    u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    u = u.withColumn("date", F.to_date("_ts")).where(F.col("date").isNotNull())
+    ee = F.when(F.col("_e"), epoch_seconds("_ts"))
+    aggs = [F.count_if(F.col("_e")).alias("_n"), F.min(ee).alias("_lo"), F.max(ee).alias("_hi")]
+    for v in ev_v + wl_v:
+        aggs += [F.sum(v).alias(f"_s_{v}"), F.count(v).alias(f"_c_{v}")]
+    daily = u.groupBy(*k, "date").agg(*aggs)
+    wkey = Window.partitionBy(*k)
+    n, lo, hi = F.sum("_n").over(wkey), F.min("_lo").over(wkey), F.max("_hi").over(wkey)
+    daily = daily.withColumns({"_ntot": n, "_elo": lo, "_ehi": hi})
+    gap = F.when(F.col("_ntot") >= 2, (F.col("_ehi") - F.col("_elo")) / (F.col("_ntot") - 1))
+    daily = daily.withColumn("freq", frequency_class(gap))
+    daily = daily.withColumn("date", F.when(F.col("freq") == "monthly", F.last_day("date")).otherwise(F.col("date")))
+    sums = [F.sum(f"_s_{v}").alias(f"_s_{v}") for v in ev_v + wl_v]
+    cnts = [F.sum(f"_c_{v}").alias(f"_c_{v}") for v in ev_v + wl_v]
+    binned = daily.groupBy(*k, "date", "freq").agg(*sums, *cnts, F.first("_elo").alias("_elo"),
+                                                   F.first("_ehi").alias("_ehi"))
+    in_record = F.col("date").between(F.to_date(F.timestamp_seconds(F.col("_elo"))),
+                                      F.to_date(F.timestamp_seconds(F.col("_ehi"))))
+    outs = {}
+    for v in ev_v:
+        mean = F.col(f"_s_{v}") / F.col(f"_c_{v}")
+        outs[v] = (F.when(F.col("freq") == "hourly",
+                          F.when(in_record, F.coalesce(F.col(f"_s_{v}"), F.lit(0.0))))
+                   .otherwise(F.when(F.col(f"_c_{v}") > 0, mean)))
+    for v in wl_v:
+        outs[v] = F.when(F.col(f"_c_{v}") > 0, F.col(f"_s_{v}") / F.col(f"_c_{v}"))
+    out = binned.withColumns(outs).select(*k, "date", "freq", *ev_v, *wl_v)
+    if wl is None:
+        # evaporation alone (pond mode): hourly keys get explicit zero days across gaps
+        out = fill_gaps(out, k, ev_v, "date", "D", fill=0.0, only_if=F.col("freq") == "hourly")
+        out = out.withColumn("freq", F.last("freq", ignorenulls=True).over(
+            Window.partitionBy(*k).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+    return out
 
 
 def asfreq_daily(df: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:

@@ -36,6 +36,15 @@ def zone_balance(wl: DataFrame, evap: DataFrame, in_con: float, keys=("site",),
     """
     k = _keys(keys)
     df = wl.select(*k, date, "wl").join(evap.select(*k, date, "evaporation"), k + [date], "inner")  # J1
+    return zone_balance_frame(df, in_con, keys=k, date=date, chained=chained, geometry=geometry, unit=unit,
+                              segment=segment)
+
+
+def zone_balance_frame(df: DataFrame, in_con: float, keys=("site",), date: str = "date",
+                       chained: bool = True, geometry: str = "piecewise", unit: str = "wt%",
+                       segment: Column | None = None) -> DataFrame:
+    """:func:`zone_balance` on an already joined ``(keys, date, wl, evaporation)`` frame."""
+    k = _keys(keys)
     df = drop_null_rows(df, ["wl", "evaporation"])  # P5
     if geometry == "cubic":
         df = df.withColumns({"volume": ph.cubic_volume("wl"), "surface_area": ph.cubic_surface("wl")})
@@ -85,6 +94,13 @@ def pond_balance(evap: DataFrame, inflow: DataFrame, outflow: DataFrame, in_con:
     df = (evap.select(*k, date, "evaporation")
           .join(inflow.select(*k, date, "brine_in"), k + [date], "inner")
           .join(outflow.select(*k, date, "brine_out"), k + [date], "inner"))  # J2
+    return pond_balance_frame(df, in_con, keys=k, date=date, area=area, segment=segment)
+
+
+def pond_balance_frame(df: DataFrame, in_con: float, keys=("site",), date: str = "date",
+                       area: Column | None = None, segment: Column | None = None) -> DataFrame:
+    """:func:`pond_balance` on an already joined ``(keys, date, evaporation, brine_in, brine_out)`` frame."""
+    k = _keys(keys)
     df = drop_null_rows(df, ["evaporation", "brine_in", "brine_out"])
     df = df.withColumn("net_flow", F.col("brine_in") - F.col("brine_out"))
     df = running_sum(df, k, "net_flow", "cum_net_flow", date=date, segment=segment)  # W1
@@ -146,8 +162,8 @@ def zone_balance_from_readings(evap_readings: DataFrame, wl_readings: DataFrame,
     normalisation (A1-A3) -> zone balance. Readings carry ``ts`` plus
     ``evaporation`` / ``wl`` (see ``sources.csv.read_readings``)."""
     from pondflow.operators.series import normalize_readings
-    ev, wl, _ = normalize_readings(evap_readings, wl_readings, _keys(keys), ts)
-    return zone_balance(wl, ev, in_con, keys=keys, **kw)
+    daily = normalize_readings(evap_readings, wl_readings, _keys(keys), ts)
+    return zone_balance_frame(daily.drop("freq"), in_con, keys=keys, **kw)
 
 
 def pond_balance_from_readings(evap_readings: DataFrame, inflow: DataFrame, outflow: DataFrame,
@@ -155,7 +171,7 @@ def pond_balance_from_readings(evap_readings: DataFrame, inflow: DataFrame, outf
     """Q4 end to end: evaporation normalised by its frequency; flows summed per day."""
     from pondflow.operators.series import normalize_readings, resample
     k = _keys(keys)
-    ev, _, _ = normalize_readings(evap_readings, None, k, ts)
+    ev = normalize_readings(evap_readings, None, k, ts).drop("freq")
     fin = resample(inflow, k, ts, ["brine_in"], "D", "sum")
     fout = resample(outflow, k, ts, ["brine_out"], "D", "sum")
     return pond_balance(ev, fin, fout, in_con, keys=keys, **kw)

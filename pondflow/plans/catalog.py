@@ -62,7 +62,7 @@ j AS (SELECT w.site, w.date, w.wl, e.evaporation FROM zone_wl w JOIN zone_evap e
 
 
 def zone_balance_chained(spark, sf):
-    df = bal.zone_balance(T.zone_wl(spark, sf), T.zone_evap(spark, sf), IN_CON_ZONE)
+    df = bal.zone_balance_frame(T.zone_inputs(spark, sf), IN_CON_ZONE)
     return r(df, 6, ["volume_v1_m3", "evap_volume", "surface_area", "volume_v2_m3"])
 
 
@@ -81,7 +81,7 @@ FROM c""")(zone_balance_chained)
 
 
 def zone_balance_stateless(spark, sf):
-    return r(bal.zone_balance(T.zone_wl(spark, sf), T.zone_evap(spark, sf), IN_CON_ZONE, chained=False))
+    return r(bal.zone_balance_frame(T.zone_inputs(spark, sf), IN_CON_ZONE, chained=False))
 
 
 register("zone_balance_stateless", _ZONE_JOIN + f""",
@@ -95,8 +95,7 @@ FROM i""")(zone_balance_stateless)
 
 
 def zone_balance_cubic_wt(spark, sf):
-    return r(bal.zone_balance(T.zone_wl(spark, sf), T.zone_evap(spark, sf), IN_CON_ZONE,
-                              geometry="cubic", unit="wt%"))
+    return r(bal.zone_balance_frame(T.zone_inputs(spark, sf), IN_CON_ZONE, geometry="cubic", unit="wt%"))
 
 
 register("zone_balance_cubic_wt", _ZONE_JOIN + f""",
@@ -109,8 +108,7 @@ FROM h""")(zone_balance_cubic_wt)
 
 
 def zone_balance_cubic_kg(spark, sf):
-    return r(bal.zone_balance(T.zone_wl(spark, sf), T.zone_evap(spark, sf), IN_CON_ZONE,
-                              geometry="cubic", unit="kg"))
+    return r(bal.zone_balance_frame(T.zone_inputs(spark, sf), IN_CON_ZONE, geometry="cubic", unit="kg"))
 
 
 register("zone_balance_cubic_kg", _ZONE_JOIN + f""",
@@ -133,8 +131,7 @@ def _pond_area():
 
 
 def pond_balance_chained(spark, sf):
-    df = bal.pond_balance(T.pond_evap(spark, sf), T.pond_in(spark, sf), T.pond_out(spark, sf),
-                          IN_CON_POND, area=_pond_area())
+    df = bal.pond_balance_frame(T.pond_inputs(spark, sf), IN_CON_POND, area=_pond_area())
     return r(df, 6, ["cum_net_flow", "evaporation"])
 
 
@@ -596,7 +593,7 @@ FROM v""")(penman_q)
 
 
 def cyclic_lookup_q(spark, sf):
-    series = T.zone_wl(spark, sf).join(T.zone_evap(spark, sf), ["site", "date"])
+    series = T.zone_inputs(spark, sf)
     months = series.groupBy("site").agg(F.trunc(F.min("date"), "month").alias("lo"))
     months = months.withColumn("hi", F.last_day("lo"))
     target = sr.date_spine(months, ["site"], "lo", "hi").withColumn("idx", F.dayofmonth("date") - 1)

@@ -73,6 +73,38 @@ def pond_evap(spark, sf_dir) -> DataFrame:
             .agg(rnd(F.avg(F.col("o_orderkey") % 9) + 0.5, 6).alias("evaporation")))
 
 
+# --- one-scan inputs ----------------------------------------------------------
+# The balances need several series of the same table on the same (site, date)
+# grid. Reading them as separate filtered aggregates scans the fact table once
+# per series; conditional aggregates over one grouping read it once and need
+# no join (an inner join on the filtered series == "has at least one row").
+
+def zone_inputs(spark, sf_dir) -> DataFrame:
+    """``(site, date, wl, evaporation)`` = ``zone_wl`` inner-joined with ``zone_evap``, one scan."""
+    li = table(spark, sf_dir, "lineitem")
+    is_o = F.col("l_linestatus") == "O"
+    agg = (li.select(F.concat(F.col("l_returnflag"), F.lit("-"), _ym("l_shipdate")).alias("site"),
+                     F.to_date("l_shipdate").alias("date"), "l_quantity", "l_tax", is_o.alias("_o"))
+           .groupBy("site", "date")
+           .agg(F.avg("l_quantity").alias("_q"), F.avg(F.when(F.col("_o"), F.col("l_tax"))).alias("_t"),
+                F.count_if(F.col("_o")).alias("_n_o")))
+    return agg.where(F.col("_n_o") > 0).select(
+        "site", "date", rnd(F.col("_q") / 25.5 - 0.4, 6).alias("wl"), rnd(F.col("_t") * 100, 6).alias("evaporation"))
+
+
+def pond_inputs(spark, sf_dir) -> DataFrame:
+    """``(site, date, evaporation, brine_in, brine_out)`` = ``pond_evap`` ⋈ ``pond_in`` ⋈ ``pond_out``, one scan."""
+    o = table(spark, sf_dir, "orders")
+    is_f = F.col("o_orderstatus") == "F"
+    agg = (o.select(*_pond_keys(), "o_totalprice", "o_orderkey", is_f.alias("_f"))
+           .groupBy("site", "date")
+           .agg(F.sum("o_totalprice").alias("_in"), F.sum(F.when(F.col("_f"), F.col("o_totalprice"))).alias("_out"),
+                F.count_if(F.col("_f")).alias("_n_f"), F.avg(F.col("o_orderkey") % 9).alias("_e")))
+    return agg.where(F.col("_n_f") > 0).select(
+        "site", "date", rnd(F.col("_e") + 0.5, 6).alias("evaporation"), rnd(F.col("_in"), 2).alias("brine_in"),
+        rnd(F.col("_out") * 0.6, 2).alias("brine_out"))
+
+
 # --- event series ------------------------------------------------------------
 
 def ev_readings(spark, sf_dir) -> DataFrame:
