@@ -50,8 +50,9 @@ def month_range_with_fallback(df: DataFrame, keys, start_ym: str | None, end_ym:
                               date: str = "date") -> DataFrame:
     """Per key keep the rows in range; a key with no row in range keeps all rows.
 
-    No range (D13) keeps everything. One plan, no driver action: the per-key
-    "any row in range" flag is a map-side combined aggregate joined back.
+    No range (D13) keeps everything. The per-key "any row in range" flag is a
+    map-side combined aggregate joined back (broadcast when the key count is
+    small, which a row count checks).
     """
     if not start_ym or not end_ym:
         return df
@@ -60,7 +61,9 @@ def month_range_with_fallback(df: DataFrame, keys, start_ym: str | None, end_ym:
     flagged = df.withColumn("_in", inr)
     # one row per key (partial aggregation, skew-safe); joined back on the key
     hits = flagged.groupBy(*k).agg(F.max(F.col("_in").cast("int")).alias("_hit"))
-    joined = flagged.join(hits, k) if k else flagged.crossJoin(F.broadcast(hits))
+    # one row per key: broadcast behind a row-count check, so the data is never reshuffled
+    from pondflow.operators.stats import join_small
+    joined = join_small(flagged, hits, k)
     return joined.where(F.col("_in") | (F.col("_hit") == 0)).drop("_in", "_hit")
 
 

@@ -206,7 +206,7 @@ FROM c""")(pond_balance_constant_chained)
 
 def running_sum_q(spark, sf):
     from pondflow.operators.scan import running_sum
-    j = T.pond_in(spark, sf).join(T.pond_out(spark, sf), ["site", "date"])
+    j = T.pond_inputs(spark, sf).drop("evaporation")
     j = j.withColumn("net_flow", F.col("brine_in") - F.col("brine_out"))
     return r(running_sum(j, ["site"], "net_flow", "cum_net_flow"), 6)
 
