@@ -135,7 +135,7 @@ def pond_constant_balance(evap: DataFrame, pond: str | Column, in_con: float, ke
 
     ``volume_set='ml'``: table values are ML and multiplied by 1000 (older code);
     ``volume_set='m3'``: table values used as is. Unknown ponds take the
-    reference's default. ``chained=True`` chains C2 (pond C golden output).
+    reference's default. ``chained=True`` chains C2 (the chained constant-volume variant).
     """
     k = _keys(keys)
     pond_col = F.col(pond) if isinstance(pond, str) else pond

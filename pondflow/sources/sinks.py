@@ -11,7 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Display names with units, as the reference's output files label them.
+# ---------------------------------------------------------------------------
+# Display names with units, as the reference labels its outputs.
+# ---------------------------------------------------------------------------
 DISPLAY_NAMES = {
     "zone": {
         "date": "Date", "wl": "Water Level (m)", "evaporation": "Evaporation (mm/day)",

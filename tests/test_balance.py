@@ -120,7 +120,7 @@ def test_pond_constant_chained_golden(spark):
 
 
 def test_pond_geometry_v1(spark):
-    # C4 golden: cumulative flows 63822, +20787, +49198 on the "dhordo" area
+    # golden rows: cumulative flows 63822, +20787, +49198 on the "dhordo" area
     rows = [("2024-03-01", 63822.0, 0.0, 6.403629119), ("2024-03-02", 20787.0, 0.0, 14.53856449),
             ("2024-03-03", 49198.0, 0.0, 21.464539067)]
     df = spark.createDataFrame(rows, "date string, brine_in double, brine_out double, evaporation double")

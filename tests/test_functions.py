@@ -56,7 +56,7 @@ def test_calendar_golden(spark):
 
 
 def test_zone_geometry_both_branches(spark):
-    # golden rows: Bromine_Prediction_Dataset (wl, Volume, SurfaceArea)
+    # golden rows of the reference (wl, volume, surface area), both geometry branches
     rows = [(-0.01, 34.74824717, 36.18876741), (0.05, 36.99684872, 38.98306299),
             (0.77, 127.7203, 263.99), (0.62, 88.1218, 263.99)]
     df = spark.createDataFrame(rows, "wl double, v double, a double")
