@@ -37,7 +37,7 @@ from pondflow.functions.dates import calendar_columns, month_end, month_start
 from pondflow.operators import models as M
 from pondflow.operators.lookup import cyclic_lookup
 from pondflow.operators.series import date_spine
-from pondflow.operators.windows import last_n_rows
+from pondflow.operators.windows import lag_features, last_n_rows
 from pondflow.session import checkpoint_dir
 
 CAL = ["dayofyear_sin", "dayofyear_cos", "month_sin", "month_cos"]
@@ -70,10 +70,8 @@ def training_frame(hist: DataFrame, keys, y: str, exog: Sequence[str], lags: int
         full = F.count(y).over(fr) == int(n)
         cols[f"rolling_mean_{n}"] = F.when(full, F.avg(y).over(fr))
         cols[f"rolling_std_{n}"] = F.when(full, F.stddev_samp(y).over(fr))
-    for i in range(1, lags + 1):
-        cols[f"lag_{i}"] = F.lag(y, i).over(w)
     feats = feature_names(exog, lags, windows)
-    out = hist.withColumns(cols).select(*k, date, y, *feats)
+    out = lag_features(hist.withColumns(cols), k, y, lags, date=date).select(*k, date, y, *feats)
     ok = F.lit(True)
     for c in [y, *feats]:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c)

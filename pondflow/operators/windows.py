@@ -48,17 +48,21 @@ def lag_features(df: DataFrame, keys, col: str, n: int, date: str = "date",
                  as_array: bool = False, prefix: str = "lag") -> DataFrame:
     """Lags 1..n of ``col``.
 
-    ``as_array=True`` keeps them as one ``ARRAY<DOUBLE>`` column (newest first),
-    which avoids n separate window expressions for the 120-lag feature set;
-    rows with fewer than n predecessors get NULL, as ``shift`` would.
+    One sliding frame of the ``n`` preceding rows is collected per row (values
+    wrapped in structs so NULLs keep their positions) and the lags are read
+    from it, instead of ``n`` separate offset-window functions. Rows with
+    fewer than ``i`` predecessors get NULL for ``lag_i``, as ``shift`` gives.
+    ``as_array=True`` keeps one ``ARRAY<DOUBLE>`` column (newest first), NULL
+    until ``n`` predecessors exist.
     """
-    w = w_keys(keys, date)
+    frame = w_keys(keys, date).rowsBetween(-int(n), -1)
+    hist = F.collect_list(F.struct(F.col(col).alias("v"))).over(frame)
+    out = df.withColumn("_hist", hist)
     if as_array:
-        frame = w.rowsBetween(-int(n), -1)
-        hist = F.collect_list(col).over(frame)
-        arr = F.when(F.size(hist) == int(n), F.reverse(hist))
-        return df.withColumn(f"{prefix}s", arr)
-    return df.withColumns({f"{prefix}_{i}": F.lag(col, i).over(w) for i in range(1, int(n) + 1)})
+        arr = F.when(F.size("_hist") == int(n), F.reverse(F.transform("_hist", lambda s: s["v"])))
+        return out.withColumn(f"{prefix}s", arr).drop("_hist")
+    lags = {f"{prefix}_{i}": F.try_element_at(F.col("_hist"), F.lit(-i))["v"] for i in range(1, int(n) + 1)}
+    return out.withColumns(lags).drop("_hist")
 
 
 def trend_index(df: DataFrame, keys, date: str = "date", out: str = "trend") -> DataFrame:
