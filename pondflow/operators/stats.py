@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pondflow.functions.numeric import minmax_inverse, minmax_transform
+from pondflow.session import checkpoint_dir
 
 # Stats tables with at most this many rows are broadcast when joined back.
 BROADCAST_ROW_LIMIT = 200_000
@@ -24,11 +25,22 @@ def _keys(keys) -> list[str]:
 
 def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join a stats table back; broadcast it only when its row count is proven small."""
+    """Join a statistics table back; broadcast it only when its row count is proven small.
+
+    The small side is materialised once with a reliable checkpoint into the
+    shared ``spark.checkpoint.dir`` (lineage cut, nothing to recompute after an
+    executor loss); its row count then decides the join strategy and the join
+    reads the checkpointed rows instead of recomputing them.
+    """
     on = list(on)
+    checkpoint_dir(small.sparkSession)
+    small = small.checkpoint(eager=True)
+    n = small.count()
     if not on:
-        return df.crossJoin(F.broadcast(small)) if small.count() <= 1 else _one_row_error()
-    right = F.broadcast(small) if small.count() <= limit else small
+        if n > 1:
+            _one_row_error()
+        return df.crossJoin(F.broadcast(small))
+    right = F.broadcast(small) if n <= limit else small
     return df.join(right, on, how)
 
 
