@@ -9,6 +9,7 @@ itself) because the check compares value hashes.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -679,10 +680,19 @@ def hash_split_q(spark, sf):
 register("hash_split", None)(hash_split_q)
 
 
+def _model_root(spark, sf, name):
+    """Registry folder under the shared checkpoint dir, one per input table set and model."""
+    import hashlib
+    from pondflow.session import checkpoint_dir
+    tag = hashlib.sha1(os.path.abspath(sf).encode()).hexdigest()[:12]
+    return f"{checkpoint_dir(spark).rstrip('/')}/pondflow-models/{name}-{tag}"
+
+
 def evaporation_forecast_q(spark, sf):
     from pondflow.operators.models import EVAPORATION_TARGETS
     from pondflow.plans import forecast as fc
-    cm = fc.fit_calendar_models(T.weather_daily(spark, sf), EVAPORATION_TARGETS)
+    cm = fc.calendar_models(spark, T.weather_daily(spark, sf), EVAPORATION_TARGETS,
+                            _model_root(spark, sf, "evaporation"))  # M9: load or fit + save
     out, _ = fc.forecast_evaporation(spark, cm, "2002-01", "2002-11", mode="a")
     return sinks.to_display(out, "evaporation")
 
@@ -694,7 +704,7 @@ def evaporation_after_last_q(spark, sf):
     from pondflow.operators.models import EVAPORATION_TARGETS
     from pondflow.plans import forecast as fc
     hist = T.weather_daily(spark, sf)
-    cm = fc.fit_calendar_models(hist, EVAPORATION_TARGETS)
+    cm = fc.calendar_models(spark, hist, EVAPORATION_TARGETS, _model_root(spark, sf, "evaporation"))
     return fc.forecast_after_last(spark, cm, hist, 365).select("date", "evaporation", *EVAPORATION_TARGETS)
 
 

@@ -79,3 +79,17 @@ def test_compare_series(spark):
     out = fc.compare_series(h, f, "2023-01-03", "2023-01-20", "c2").collect()
     assert sorted(r["trace"] for r in out).count("history") == 8
     assert [r["y"] for r in out if r["trace"] == "forecast"] == [5.0]
+
+
+def test_calendar_model_registry_roundtrip(spark, cm, weather):
+    import tempfile
+    root = tempfile.mkdtemp(prefix="pf-cal-") + "/evap"
+    fc.save_calendar_model(spark, cm, root)
+    back = fc.load_calendar_model(spark, root, EVAPORATION_TARGETS)
+    assert back is not None
+    assert fc.load_calendar_model(spark, root, ["slope"]) is None        # other targets -> refit (M10)
+    a, _ = fc.forecast_evaporation(spark, cm, "2024-01", "2024-01")
+    b, _ = fc.forecast_evaporation(spark, back, "2024-01", "2024-01")
+    pa = sorted((r["date"], r["evaporation"]) for r in a.collect())
+    pb = sorted((r["date"], r["evaporation"]) for r in b.collect())
+    assert [x for _, x in pa] == pytest.approx([x for _, x in pb])
