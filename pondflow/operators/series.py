@@ -235,15 +235,18 @@ def interpolate_time(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
     carries the last known value (as pandas does); a leading gap stays NULL.
     """
     k = _keys(keys)
-    before = Window.partitionBy(*k).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*k).orderBy(date).rowsBetween(0, Window.unboundedFollowing)
+    # both neighbours are running frames (O(n) per key): the next known value is
+    # the running last non-null in descending date order. A frame from the
+    # current row to UNBOUNDED FOLLOWING would be re-aggregated for every row.
+    before = Window.partitionBy(*k).orderBy(F.col(date).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*k).orderBy(F.col(date).desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = df
     for c in cols:
         known_d = F.when(F.col(c).isNotNull(), F.col(date))
         v0 = F.last(c, ignorenulls=True).over(before)
         d0 = F.last(known_d, ignorenulls=True).over(before)
-        v1 = F.first(c, ignorenulls=True).over(after)
-        d1 = F.first(known_d, ignorenulls=True).over(after)
+        v1 = F.last(c, ignorenulls=True).over(after)
+        d1 = F.last(known_d, ignorenulls=True).over(after)
         slope = (v1 - v0) / F.datediff(d1, d0)
         filled = (F.when(F.col(c).isNotNull(), F.col(c))
                   .when(v0.isNull(), F.lit(None))
