@@ -2,6 +2,11 @@
 
 All windows in one call share the same partitioning and ordering, so Spark
 plans one Exchange and one Sort for the whole feature block.
+
+These operators expect daily (or coarser) series, where a key holds at most
+one row per day, so a window partition is bounded by the calendar rather than
+by data volume. Resample raw readings first (``series.resample``), which
+combines them map-side.
 """
 
 from __future__ import annotations
