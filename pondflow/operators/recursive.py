@@ -35,6 +35,7 @@ from pyspark.sql import types as Ty
 
 from pondflow.functions.dates import calendar_columns, month_end, month_start
 from pondflow.operators import models as M
+from pondflow.operators.filters import require_feature_count
 from pondflow.operators.lookup import cyclic_lookup
 from pondflow.operators.series import date_spine
 from pondflow.operators.windows import lag_features, last_n_rows
@@ -158,6 +159,7 @@ def fit_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, exog: Sequ
     rng = np.where(hi == lo, 1.0, hi - lo)
     scaled = M.apply_minmax(train, stats, feats)
     model = M.fit_regressor(scaled, feats, y, params or M.GBT_RECURSIVE)
+    require_feature_count(len(feats), M.gbt_stage(model).numFeatures)  # P17
     path = model_path or f"{checkpoint_dir(spark).rstrip('/')}/pondflow-models/recursive-{model.uid}"
     trees = M.tree_arrays(spark, M.gbt_stage(model), path)
     return RecursiveModel(spark.sparkContext.broadcast(trees), lo, rng, k, y, exog, lags, windows, train, date)
