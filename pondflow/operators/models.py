@@ -116,6 +116,49 @@ def fit_many(df: DataFrame, features: Sequence[str], labels: Sequence[str], para
         shared.unpersist()
 
 
+MAX_PER_KEY_MODELS = 64
+
+
+def fit_per_key(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str,
+                params: dict | None = None, impute: bool = False, threads: int = 8,
+                max_keys: int = MAX_PER_KEY_MODELS) -> dict[tuple, PipelineModel]:
+    """M6/M9 per site: one model per key value, fitted concurrently.
+
+    Meant for a handful of sites, as in the reference (one model per pond);
+    the number of distinct keys is checked against ``max_keys`` first. For many
+    sites fit one pooled model with the key statistics as features instead.
+    """
+    keys = list(keys)
+    distinct = df.select(*keys).distinct()
+    n = distinct.count()
+    if n > max_keys:
+        raise ValueError(f"{n} distinct keys exceed max_keys={max_keys}; fit a pooled model instead")
+    values = [tuple(r) for r in distinct.collect()]
+
+    def one(v):
+        cond = F.lit(True)
+        for c, x in zip(keys, v):
+            cond = cond & (F.col(c) == F.lit(x))
+        return fit_regressor(df.where(cond), features, label, params, impute)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(values)))) as ex:
+        futs = {v: ex.submit(one, v) for v in values}
+        return {v: f.result() for v, f in futs.items()}
+
+
+def score_per_key(models: dict[tuple, PipelineModel], df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Score each key's rows with its own model (rows of keys without a model are dropped)."""
+    keys = list(keys)
+    out = None
+    for v, m in models.items():
+        cond = F.lit(True)
+        for c, x in zip(keys, v):
+            cond = cond & (F.col(c) == F.lit(x))
+        part = score(m, df.where(cond))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def score(models: dict[str, PipelineModel] | PipelineModel, df: DataFrame,
           keep: Sequence[str] | None = None) -> DataFrame:
     """M7/M8: chained ``transform`` of one or many fitted models.

@@ -95,3 +95,12 @@ def test_impute_with_null_indicators(spark):
     model = M.fit_regressor(df, ["a", "b"], "y", SMALL, impute=True)
     out = M.score(model, df.limit(10))
     assert out.count() == 10 and "prediction" in out.columns
+
+
+def test_per_key_models(spark, seasonal):
+    models = M.fit_per_key(seasonal, ["site"], ["evap"], "y", SMALL)
+    assert set(models) == {("a",), ("b",)}
+    out = M.score_per_key(models, seasonal, ["site"])
+    assert out.count() == seasonal.count()
+    with pytest.raises(ValueError, match="max_keys"):
+        M.fit_per_key(seasonal, ["site"], ["evap"], "y", SMALL, max_keys=1)
