@@ -911,3 +911,54 @@ SELECT site, date, round(wl, 6) AS wl, round(evaporation, 6) AS evaporation,
        round_even({D(IN_CON_ZONE)} * pe, 3) AS c1, round_even({D(IN_CON_ZONE)} * p, 3) AS c2,
        round_even(v2 * {D(1e6)} * {D(IN_CON_ZONE)} / {D(1000)}, 3) AS quantity_t
 FROM c""")(zone_balance_from_readings_q)
+
+
+def _order_readings(spark, sf):
+    """Per-order readings keyed by priority and month: evaporation, inflow and (status F) outflow."""
+    o = T.table(spark, sf, "orders")
+    site = F.concat(F.col("o_orderpriority"), F.lit("-"), F.date_format("o_orderdate", "yyyyMM")).alias("site")
+    ev = o.select(site, F.col("o_orderdate").alias("ts"), ((F.col("o_orderkey") % 9) + 0.5).alias("evaporation"))
+    fin = o.select(site, F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("brine_in"))
+    fout = o.where(F.col("o_orderstatus") == "F").select(site, F.col("o_orderdate").alias("ts"),
+                                                         (F.col("o_totalprice") * 0.6).alias("brine_out"))
+    return ev, fin, fout
+
+
+def pond_balance_from_readings_q(spark, sf):
+    ev, fin, fout = _order_readings(spark, sf)
+    df = bal.pond_balance_from_readings(ev, fin, fout, IN_CON_POND, area=_pond_area())
+    return r(df, 6, ["cum_net_flow", "evaporation"])
+
+
+register("pond_balance_from_readings", f"""
+WITH o AS (SELECT o_orderpriority || '-' || strftime(o_orderdate, '%Y%m') AS site, o_orderdate AS ts, o_orderkey,
+                  o_totalprice, o_orderstatus FROM orders),
+fq AS (SELECT site, CASE WHEN count(ts) >= 2 THEN ((epoch_us(max(ts)) / 1e6) - (epoch_us(min(ts)) / 1e6)) / (count(ts) - 1) END AS g
+       FROM o GROUP BY site),
+f AS (SELECT site, CASE WHEN g <= 3600.0 THEN 'hourly' WHEN g <= 86400.0 THEN 'daily' ELSE 'monthly' END AS freq FROM fq),
+eb AS (SELECT o.site, f.freq, CASE WHEN f.freq = 'monthly' THEN last_day(CAST(o.ts AS DATE)) ELSE CAST(o.ts AS DATE) END AS date,
+              (o_orderkey % 9) + {D(0.5)} AS e FROM o JOIN f USING (site) WHERE o.ts IS NOT NULL),
+ev AS (SELECT site, date, CASE WHEN freq = 'hourly' THEN COALESCE(sum(e), 0.0) ELSE avg(e) END AS evaporation
+       FROM eb GROUP BY site, freq, date),
+fi AS (SELECT site, CAST(ts AS DATE) AS date, sum(o_totalprice) AS v FROM o GROUP BY 1, 2),
+fo AS (SELECT site, CAST(ts AS DATE) AS date, sum(o_totalprice * {D(0.6)}) AS v FROM o WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+spi AS (SELECT site, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM fi GROUP BY site),
+spo AS (SELECT site, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM fo GROUP BY site),
+bi AS (SELECT spi.site, spi.date, COALESCE(fi.v, 0.0) AS brine_in FROM spi LEFT JOIN fi USING (site, date)),
+bo AS (SELECT spo.site, spo.date, COALESCE(fo.v, 0.0) AS brine_out FROM spo LEFT JOIN fo USING (site, date)),
+j AS (SELECT ev.site, ev.date, ev.evaporation, bi.brine_in, bo.brine_out
+      FROM ev JOIN bi USING (site, date) JOIN bo USING (site, date)
+      WHERE ev.evaporation IS NOT NULL AND NOT isnan(ev.evaporation)),
+g0 AS (SELECT *, {q.running('sum', 'brine_in - brine_out')} AS cum_net_flow, {POND_AREA_SQL} AS surface_area FROM j),
+g AS (SELECT *, {D(ph.POND_BASE_DEPTH)} + cum_net_flow / surface_area AS depth FROM g0),
+h AS (SELECT *, surface_area * depth AS volume, surface_area * (evaporation / {D(1000)}) AS evap_loss FROM g),
+i AS (SELECT *, volume - evap_loss AS v2 FROM h),
+c AS (SELECT *, {q.running('product', 'volume / v2')} AS p,
+             COALESCE({q.running('product', 'volume / v2', exclusive=True)}, {D(1)}) AS pe FROM i)
+SELECT site, date, round(cum_net_flow, 6) AS cum_net_flow, round_even(depth, 6) AS water_level,
+       round_even(volume, 2) AS volume_v1_m3, round(evaporation, 6) AS evaporation,
+       round_even(evap_loss, 2) AS evap_volume, round_even(surface_area, 2) AS surface_area,
+       round_even(v2, 2) AS volume_v2_m3, round_even({D(IN_CON_POND)} * pe, 3) AS c1,
+       round_even({D(IN_CON_POND)} * p, 3) AS c2,
+       round_even(v2 * {D(IN_CON_POND)} / {D(1000)}, 0) AS quantity_t
+FROM c""")(pond_balance_from_readings_q)
