@@ -714,7 +714,7 @@ register("evaporation_forecast_after_last", None)(evaporation_after_last_q)
 def water_level_forecast_q(spark, sf):
     from pondflow.plans import forecast as fc
     hist = T.zone_wl(spark, sf).groupBy("date").agg(F.avg("wl").alias("wl"))
-    cm = fc.fit_calendar_models(hist, ["wl"])
+    cm = fc.calendar_models(spark, hist, ["wl"], _model_root(spark, sf, "water-level"))  # S10/M9
     out = fc.forecast_water_level(spark, cm, "2002-01", "2002-11")
     return out.select("date", *fc.FEATURES, "wl")
 
@@ -732,8 +732,11 @@ def _pond_rows(spark, sf):
 
 def final_concentration_q(spark, sf):
     from pondflow.plans import forecast as fc
+    from pondflow.operators.models import ModelRegistry
     rows = _pond_rows(spark, sf)
-    model = fc.fit_concentration_model(rows, keys=["pond"])
+    reg = ModelRegistry(spark, _model_root(spark, sf, "final-concentration"))
+    model = reg.load_or_fit("pooled", fc.CONC_FEATURES,
+                            lambda: fc.fit_concentration_model(rows, keys=["pond"]))  # M9
     return fc.score_final_concentration(model, rows.drop("final_concentration"), "1998-01", "1998-12",
                                         keys=["pond"])
 

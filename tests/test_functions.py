@@ -4,7 +4,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from pondflow.functions import dates as fd
 from pondflow.functions import numeric as nm

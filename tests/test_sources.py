@@ -6,7 +6,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from pondflow.functions.labels import result_label
 from pondflow.operators import series as sr
@@ -93,3 +92,16 @@ def test_result_label(spark):
     assert got == ["Prediction for Zone-B", "Prediction for Khavda", "Prediction"]
     got = [r[0] for r in df.select(result_label("mode", "pond", "Calculation")).collect()]
     assert got == ["Calculation for Zone-B", "Calculation for Khavda", ""]
+
+
+def test_write_csv_sorted_per_site(spark):
+    out = tempfile.mkdtemp(prefix="pf-out-") + "/sorted"
+    rows = [("A", dt.date(2024, 1, d), float(d)) for d in (5, 1, 3)] + [("B", dt.date(2024, 2, d), float(d)) for d in (2, 1)]
+    df = spark.createDataFrame(rows, "site string, date date, v double").repartition(3)
+    sinks.write_csv(df, out, partition_by=["site"], sort_by=["site", "date"])
+    for site, exp in (("A", ["2024-01-01", "2024-01-03", "2024-01-05"]), ("B", ["2024-02-01", "2024-02-02"])):
+        files = sorted(f for f in os.listdir(f"{out}/site={site}") if f.endswith(".csv"))
+        assert len(files) == 1                                # one task per site
+        with open(f"{out}/site={site}/{files[0]}") as fh:
+            lines = fh.read().splitlines()[1:]
+        assert [ln.split(",")[0] for ln in lines] == exp      # O1: date order inside the file

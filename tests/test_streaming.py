@@ -1,11 +1,9 @@
 """Streaming forms: watermarked daily rollup and the stateful chained balance."""
 
 import datetime as dt
-import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from pondflow.plans import balance as bal
 from pondflow.streaming import balance as sb
