@@ -84,8 +84,10 @@ def quantiles(df: DataFrame, keys, col: str, probs: Sequence[float], method: str
 
     ``sort``   exact and skew-proof. One global range-partitioned sort on
                ``(keys, value)`` spreads even a single hot key across all
-               tasks; per-partition counts give every row its rank within its
-               key, and only the 2 rows around each wanted rank are kept.
+               tasks; the sorted ``(key, value, partition, row id)`` rows are
+               checkpointed once, per-partition counts give every row its
+               rank within its key, and only the 2 rows around each wanted
+               rank are kept.
     ``hash``   exact, Spark's ``percentile`` aggregate: one task per key holds
                the key's distinct values. Fine for small groups only.
     ``approx`` ``percentile_approx`` (bounded memory, approximate).
@@ -107,11 +109,16 @@ def quantiles(df: DataFrame, keys, col: str, probs: Sequence[float], method: str
     if method != "sort":
         raise ValueError("method must be 'sort', 'hash' or 'approx'")
 
-    # 1. global sort; row ids increase along the sorted order within a partition
+    # 1. global sort; row ids increase along the sorted order within a partition.
+    # The range partitioner samples with a seed that changes per execution, so
+    # the ranked rows are checkpointed once: counts and picks must see the same
+    # layout (and the lineage is cut, nothing to redo after an executor loss).
+    checkpoint_dir(df.sparkSession)
     ranked = (base.repartitionByRange(*[F.col(c) for c in k], F.col("_x"))
               .sortWithinPartitions(*k, "_x")
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
     # 2. per (key, partition) counts -> offset of each partition within its key
     parts = ranked.groupBy(*k, "_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
     wk = Window.partitionBy(*k).orderBy("_pid")
