@@ -27,6 +27,14 @@ def epoch_seconds(ts) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 
+def span_seconds(lo, hi) -> Column:
+    """``hi - lo`` in seconds, computed on the values as given (no session time-zone
+    conversion, so wall-clock readings are not shifted by daylight-saving rules)."""
+    lo = F.col(lo) if isinstance(lo, str) else lo
+    hi = F.col(hi) if isinstance(hi, str) else hi
+    return F.timestamp_diff("MICROSECOND", lo, hi) / F.lit(1e6)
+
+
 def frequency_class(avg_gap_s) -> Column:
     """Mean gap -> ``hourly`` (<= 1 h), ``daily`` (<= 1 day), else ``monthly``.
 
@@ -48,9 +56,8 @@ def detect_frequency(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> Data
     fewer than two (even none) is ``monthly``, as the reference's NaN mean is.
     """
     k = _keys(keys)
-    e = epoch_seconds(ts)
-    agg = df.groupBy(*k).agg(F.count(ts).alias("n"), F.min(e).alias("_lo"), F.max(e).alias("_hi"))
-    gap = F.when(F.col("n") >= 2, (F.col("_hi") - F.col("_lo")) / (F.col("n") - 1))
+    agg = df.groupBy(*k).agg(F.count(ts).alias("n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    gap = F.when(F.col("n") >= 2, span_seconds("_lo", "_hi") / (F.col("n") - 1))
     return (agg.withColumn("avg_gap_s", gap)
             .withColumn("freq", frequency_class("avg_gap_s"))
             .drop("_lo", "_hi"))
@@ -178,7 +185,6 @@ def normalize_readings(evap: DataFrame, wl: DataFrame | None, keys: Sequence[str
     """
     k = _keys(keys)
     ev_v, wl_v = list(evap_values), list(wl_values) if wl is not None else []
-    e = epoch_seconds(ts)
     parts = [evap.select(*k, F.col(ts).alias("_ts"), *[F.col(v).cast("double").alias(v) for v in ev_v],
                          *[F.lit(None).cast("double").alias(v) for v in wl_v], F.lit(True).alias("_e"))]
     if wl is not None:
@@ -186,7 +192,7 @@ def normalize_readings(evap: DataFrame, wl: DataFrame | None, keys: Sequence[str
                                *[F.col(v).cast("double").alias(v) for v in wl_v], F.lit(False).alias("_e")))
     u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     u = u.withColumn("date", F.to_date("_ts")).where(F.col("date").isNotNull())
-    ee = F.when(F.col("_e"), epoch_seconds("_ts"))
+    ee = F.when(F.col("_e"), F.col("_ts"))
     aggs = [F.count_if(F.col("_e")).alias("_n"), F.min(ee).alias("_lo"), F.max(ee).alias("_hi")]
     for v in ev_v + wl_v:
         aggs += [F.sum(v).alias(f"_s_{v}"), F.count(v).alias(f"_c_{v}")]
@@ -194,15 +200,14 @@ def normalize_readings(evap: DataFrame, wl: DataFrame | None, keys: Sequence[str
     wkey = Window.partitionBy(*k)
     n, lo, hi = F.sum("_n").over(wkey), F.min("_lo").over(wkey), F.max("_hi").over(wkey)
     daily = daily.withColumns({"_ntot": n, "_elo": lo, "_ehi": hi})
-    gap = F.when(F.col("_ntot") >= 2, (F.col("_ehi") - F.col("_elo")) / (F.col("_ntot") - 1))
+    gap = F.when(F.col("_ntot") >= 2, span_seconds("_elo", "_ehi") / (F.col("_ntot") - 1))
     daily = daily.withColumn("freq", frequency_class(gap))
     daily = daily.withColumn("date", F.when(F.col("freq") == "monthly", F.last_day("date")).otherwise(F.col("date")))
     sums = [F.sum(f"_s_{v}").alias(f"_s_{v}") for v in ev_v + wl_v]
     cnts = [F.sum(f"_c_{v}").alias(f"_c_{v}") for v in ev_v + wl_v]
     binned = daily.groupBy(*k, "date", "freq").agg(*sums, *cnts, F.first("_elo").alias("_elo"),
                                                    F.first("_ehi").alias("_ehi"))
-    in_record = F.col("date").between(F.to_date(F.timestamp_seconds(F.col("_elo"))),
-                                      F.to_date(F.timestamp_seconds(F.col("_ehi"))))
+    in_record = F.col("date").between(F.to_date("_elo"), F.to_date("_ehi"))
     outs = {}
     for v in ev_v:
         mean = F.col(f"_s_{v}") / F.col(f"_c_{v}")

@@ -233,7 +233,7 @@ register("detect_frequency", T.with_sql("ev_readings", "user_readings") + """,
 u AS (SELECT * FROM ev_readings UNION ALL SELECT * FROM user_readings),
 a AS (SELECT site, count(ts) AS n, epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi
       FROM u GROUP BY site),
-g AS (SELECT site, n, CASE WHEN n >= 2 THEN ((hi / 1e6) - (lo / 1e6)) / (n - 1) END AS avg_gap_s FROM a)
+g AS (SELECT site, n, CASE WHEN n >= 2 THEN ((hi - lo) / 1e6) / (n - 1) END AS avg_gap_s FROM a)
 SELECT site, n, round(avg_gap_s, 6) AS avg_gap_s,
        CASE WHEN avg_gap_s <= 3600.0 THEN 'hourly' WHEN avg_gap_s <= 86400.0 THEN 'daily'
             ELSE 'monthly' END AS freq
@@ -866,7 +866,7 @@ f AS (SELECT site, CASE WHEN len(parts) >= 2 AND hr IS NOT NULL
 t AS (SELECT site, try_strptime(fixed, '%d-%m-%Y %H:%M') AS ts FROM f),
 a AS (SELECT site, count(ts) AS n, epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM t
       GROUP BY site),
-g AS (SELECT site, n, CASE WHEN n >= 2 THEN ((hi / 1e6) - (lo / 1e6)) / (n - 1) END AS avg_gap_s FROM a)
+g AS (SELECT site, n, CASE WHEN n >= 2 THEN ((hi - lo) / 1e6) / (n - 1) END AS avg_gap_s FROM a)
 SELECT site, n, round(avg_gap_s, 6) AS avg_gap_s,
        CASE WHEN avg_gap_s <= 3600.0 THEN 'hourly' WHEN avg_gap_s <= 86400.0 THEN 'daily' ELSE 'monthly' END AS freq
 FROM g""")(frequency_probe_q)
@@ -888,7 +888,7 @@ def zone_balance_from_readings_q(spark, sf):
 
 register("zone_balance_from_readings", f"""
 WITH e AS (SELECT event_type AS site, ts, value FROM events),
-fq AS (SELECT site, CASE WHEN count(ts) >= 2 THEN ((epoch_us(max(ts)) / 1e6) - (epoch_us(min(ts)) / 1e6)) / (count(ts) - 1) END AS g
+fq AS (SELECT site, CASE WHEN count(ts) >= 2 THEN ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) / (count(ts) - 1) END AS g
        FROM e GROUP BY site),
 f AS (SELECT site, CASE WHEN g <= 3600.0 THEN 'hourly' WHEN g <= 86400.0 THEN 'daily' ELSE 'monthly' END AS freq FROM fq),
 b AS (SELECT e.site, f.freq, CASE WHEN f.freq = 'monthly' THEN last_day(CAST(e.ts AS DATE)) ELSE CAST(e.ts AS DATE) END AS date,
@@ -936,7 +936,7 @@ def pond_balance_from_readings_q(spark, sf):
 register("pond_balance_from_readings", f"""
 WITH o AS (SELECT o_orderpriority || '-' || strftime(o_orderdate, '%Y%m') AS site, o_orderdate AS ts, o_orderkey,
                   o_totalprice, o_orderstatus FROM orders),
-fq AS (SELECT site, CASE WHEN count(ts) >= 2 THEN ((epoch_us(max(ts)) / 1e6) - (epoch_us(min(ts)) / 1e6)) / (count(ts) - 1) END AS g
+fq AS (SELECT site, CASE WHEN count(ts) >= 2 THEN ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) / (count(ts) - 1) END AS g
        FROM o GROUP BY site),
 f AS (SELECT site, CASE WHEN g <= 3600.0 THEN 'hourly' WHEN g <= 86400.0 THEN 'daily' ELSE 'monthly' END AS freq FROM fq),
 eb AS (SELECT o.site, f.freq, CASE WHEN f.freq = 'monthly' THEN last_day(CAST(o.ts AS DATE)) ELSE CAST(o.ts AS DATE) END AS date,

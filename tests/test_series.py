@@ -188,3 +188,15 @@ def test_pond_balance_from_readings(spark):
     out = bal.pond_balance_from_readings(ev, fin, fout, 0.3).orderBy("date").collect()
     assert len(out) == 5
     assert [r["cum_net_flow"] for r in out] == [1500.0, 3000.0, 4500.0, 6000.0, 7500.0]
+
+
+def test_frequency_ignores_session_time_zone(spark):
+    """Wall-clock hourly readings across a DST switch keep a 1 h mean gap in any session zone."""
+    rows = [("s", ts(2024, 3, 10, 0) + dt.timedelta(hours=h)) for h in range(6)]
+    df = spark.createDataFrame(rows, "site string, ts timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        r = sr.detect_frequency(df, ["site"], "ts").first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert r["avg_gap_s"] == 3600.0 and r["freq"] == "hourly"
