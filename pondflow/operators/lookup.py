@@ -40,10 +40,10 @@ def map_lookup(key, table: Mapping[str, float], default: float | None = None,
 
 def dimension_join(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left",
                    max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """J5 for dimension DataFrames: broadcast only after proving the row count is small."""
-    n = dim.count()
-    right = F.broadcast(dim) if n <= max_broadcast_rows else dim
-    return df.join(right, list(on), how)
+    """J5 for dimension DataFrames: broadcast only after proving the row count is small
+    (the dimension is materialised once, see ``stats.join_small``)."""
+    from pondflow.operators.stats import join_small
+    return join_small(df, dim, on, how, limit=max_broadcast_rows)
 
 
 def cyclic_lookup(target: DataFrame, series: DataFrame, keys, value_cols: Sequence[str],
