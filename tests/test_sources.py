@@ -105,3 +105,24 @@ def test_write_csv_sorted_per_site(spark):
         with open(f"{out}/site={site}/{files[0]}") as fh:
             lines = fh.read().splitlines()[1:]
         assert [ln.split(",")[0] for ln in lines] == exp      # O1: date order inside the file
+
+
+def test_documented_cluster_workflow_end_to_end(spark):
+    """The README example on local files: per-site folders, reference date dialects."""
+    from pondflow.plans import balance
+    d = tempfile.mkdtemp(prefix="pf-flow-")
+    _write(f"{d}/wl/site=A/part.csv", "Date,Wl\n01-08-2025,2.8807013\n02-08-2025,2.8928807\n03-08-2025,3.0343904\n")
+    _write(f"{d}/ev/site=A/part.csv", "Date,Evaporation\n01-08-2025,8.277748\n02-08-2025,8.060364\n03-08-2025,7.9807916\n")
+    # site B reports hourly in the "dd-MM-yyyy H.MM" dialect
+    hours = "".join(f"01-08-2025 {h}.00,{0.5}\n" for h in range(24)) + "02-08-2025 0.00,0.5\n"
+    _write(f"{d}/ev/site=B/part.csv", "Date,Evaporation\n" + hours)
+    _write(f"{d}/wl/site=B/part.csv", "Date,Wl\n" + "".join(f"01-08-2025 {h}.00,1.0\n" for h in range(24)))
+    wl = C.read_readings(spark, f"{d}/wl/site=*/*.csv", {"Wl": "wl"}, site_from_path=r"site=([^/]+)")
+    ev = C.read_readings(spark, f"{d}/ev/site=*/*.csv", {"Evaporation": "evaporation"}, site_from_path=r"site=([^/]+)")
+    out = balance.zone_balance_from_readings(ev, wl, in_con=0.3)
+    sinks.write_parquet(out, f"{d}/out", partition_by=["site"])
+    got = {(r["site"], r["date"]): r for r in spark.read.parquet(f"{d}/out").collect()}
+    a1 = got[("A", dt.date(2025, 8, 1))]
+    assert (a1["c1"], a1["c2"], a1["quantity_t"]) == (0.3, 0.301, 204821.728)   # golden zone row
+    b1 = got[("B", dt.date(2025, 8, 1))]
+    assert b1["evaporation"] == pytest.approx(12.0) and b1["wl"] == pytest.approx(1.0)   # hourly: sum / mean
