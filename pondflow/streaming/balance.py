@@ -6,6 +6,9 @@ incrementally:
 
 * :func:`daily_rollup` - event-time tumbling day windows with a watermark
   (A1 sum / A2 mean), emitted once a day is closed.
+* :func:`daily_zone_rollup` - both reading streams (evaporation summed, water
+  level averaged, as for hourly inputs) in one windowed aggregation, no
+  stream-stream join.
 * :func:`chained_zone_balance` - the W10/W12 recurrence carried across
   micro-batches with ``applyInPandasWithState``: the state per site is the
   last unrounded closing concentration and the last processed date, so each
@@ -13,6 +16,9 @@ incrementally:
   dates already processed are reported with ``late = true`` and do not move
   the chain (a batch recomputation is needed to restate history).
 
+* :func:`start_zone_pipeline` - the two as separate queries joined by a
+  Parquet table (one stateful operator per query).
+
 State is one small tuple per site; checkpoints go under the session's
 ``spark.checkpoint.dir`` (shared storage on a cluster).
 """
@@ -43,6 +49,27 @@ def daily_rollup(readings: DataFrame, keys: Sequence[str], ts: str, values: Sequ
     return out.select(*keys, F.to_date(F.col("window.start")).alias("date"), *values)
 
 
+def daily_zone_rollup(evap: DataFrame, wl: DataFrame, keys: Sequence[str] = ("site",), ts: str = "ts",
+                      watermark: str = "1 day") -> DataFrame:
+    """A1 + A2 on two reading streams at once: per key and closed day, the
+    evaporation sum and the water-level mean, side by side.
+
+    Both streams are unioned (no stream-stream join) and aggregated by one
+    event-time day window with a watermark; a day is emitted once the
+    watermark passes it. Days missing either measure carry NULL (the balance
+    drops them, as the batch inner join does).
+    """
+    k = list(keys)
+    u = (evap.select(*k, F.col(ts).alias("_ts"), F.col("evaporation").cast("double").alias("evaporation"),
+                     F.lit(None).cast("double").alias("wl"))
+         .unionByName(wl.select(*k, F.col(ts).alias("_ts"), F.lit(None).cast("double").alias("evaporation"),
+                                F.col("wl").cast("double").alias("wl"))))
+    agg = (u.withWatermark("_ts", watermark)
+           .groupBy(*k, F.window("_ts", "1 day"))
+           .agg(F.sum("evaporation").alias("evaporation"), F.avg("wl").alias("wl")))
+    return agg.select(*k, F.to_date(F.col("window.start")).alias("date"), "evaporation", "wl")
+
+
 _STATE = Ty.StructType([Ty.StructField("c_last", Ty.DoubleType()), Ty.StructField("last_date", Ty.DateType())])
 
 
@@ -109,10 +136,32 @@ def chained_zone_balance(daily: DataFrame, in_con: float, keys: Sequence[str] =
             .applyInPandasWithState(step, out_schema, _STATE, "append", GroupStateTimeout.NoTimeout))
 
 
+def start_zone_pipeline(spark: SparkSession, evap: DataFrame, wl: DataFrame, in_con: float, root: str,
+                        keys: Sequence[str] = ("site",), ts: str = "ts", watermark: str = "1 day"):
+    """Two streaming queries: readings -> closed daily rows (Parquet under ``root/daily``)
+    -> chained zone balance (Parquet under ``root/balance``). Both checkpoint under the
+    shared checkpoint folder and run with ``availableNow`` (call again to catch up).
+
+    Returns the two finished ``StreamingQuery`` objects (the first is awaited before the
+    second starts, so the balance sees every day closed by this run).
+    """
+    daily_q = start_to_table(spark, daily_zone_rollup(evap, wl, keys, ts, watermark), "daily",
+                             f"{root}/daily")
+    daily_q.awaitTermination()
+    schema = Ty.StructType([f for f in spark.read.parquet(f"{root}/daily").schema.fields])
+    daily = spark.readStream.schema(schema).parquet(f"{root}/daily")
+    bal_q = start_to_table(spark, chained_zone_balance(daily, in_con, keys), "balance", f"{root}/balance")
+    bal_q.awaitTermination()
+    return daily_q, bal_q
+
+
 def start_to_table(spark: SparkSession, stream: DataFrame, name: str, table_path: str,
                    trigger_once: bool = True):
-    """Write a stream as Parquet (append) with its checkpoint in the shared checkpoint dir."""
-    ck = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    """Write a stream as Parquet (append) with its checkpoint in the shared checkpoint dir
+    (one checkpoint per output table)."""
+    import hashlib
+    tag = hashlib.sha1(table_path.encode()).hexdigest()[:12]
+    ck = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{tag}"
     w = stream.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", ck)
     w = w.outputMode("append")
     if trigger_once:
