@@ -104,3 +104,13 @@ def test_per_key_models(spark, seasonal):
     assert out.count() == seasonal.count()
     with pytest.raises(ValueError, match="max_keys"):
         M.fit_per_key(seasonal, ["site"], ["evap"], "y", SMALL, max_keys=1)
+
+
+def test_recursive_fixed_horizon_slice(spark, seasonal):
+    """Forecast a fixed number of days after the last observation, then slice."""
+    from pondflow.operators.recursive import fit_recursive, forecast_recursive
+    rm = fit_recursive(spark, seasonal, ["site"], "y", ["evap"], lags=20, windows=(7, 14), params=SMALL)
+    # history ends 2021-02-03; 40 days reach 2021-03-15, the slice keeps March 1-15
+    out = forecast_recursive(rm, seasonal, "2021-03", "2021-03", horizon_days=40, index_base=1)
+    dates = sorted({r["date"] for r in out.collect()})
+    assert dates[0] == dt.date(2021, 3, 1) and dates[-1] == dt.date(2021, 3, 15) and len(dates) == 15

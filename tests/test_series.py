@@ -200,3 +200,12 @@ def test_frequency_ignores_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert r["avg_gap_s"] == 3600.0 and r["freq"] == "hourly"
+
+
+def test_dimension_join_broadcast_and_default(spark):
+    df = spark.createDataFrame([("A", 1.0), ("B", 2.0), ("Z", 3.0)], "pond string, v double")
+    dim = spark.createDataFrame([("A", 10.0), ("B", 20.0)], "pond string, area double")
+    got = {r["pond"]: r["area"] for r in lk.dimension_join(df, dim, ["pond"]).collect()}
+    assert got == {"A": 10.0, "B": 20.0, "Z": None}
+    small = lk.dimension_join(df, dim, ["pond"], max_broadcast_rows=1)   # too big to broadcast -> shuffle join
+    assert small.count() == 3
