@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pondflow.functions.numeric import safe_div
+
 # ---------------------------------------------------------------------------
 # These constants must equal the reference's for equal results.
 # ---------------------------------------------------------------------------
@@ -91,8 +93,13 @@ def evaporated_volume(evap_mm, area) -> Column:
 
 
 def stateless_concentration(v1, v2, in_con) -> Column:
-    """``V1 * in_con / V2`` per row, no chaining."""
-    return _c(v1) * F.lit(float(in_con)) / _c(v2)
+    """``V1 * in_con / V2`` per row, no chaining (``V2 = 0`` gives ±inf, as numpy)."""
+    return safe_div(_c(v1) * F.lit(float(in_con)), _c(v2))
+
+
+def volume_ratio(v1, v2) -> Column:
+    """``V1 / V2``, the per-day factor of the chained concentration (±inf when ``V2 = 0``)."""
+    return safe_div(_c(v1), _c(v2))
 
 
 def solids_ratio_quantity(water_evaporated, in_con) -> Column:
@@ -110,7 +117,7 @@ def penman(delta, gamma, er, ea) -> Column:
     """``delta/(delta+gamma)*Er + gamma/(delta+gamma)*Ea``."""
     delta, gamma = _c(delta), _c(gamma)
     s = delta + gamma
-    return delta / s * _c(er) + gamma / s * _c(ea)
+    return safe_div(delta, s) * _c(er) + safe_div(gamma, s) * _c(ea)
 
 
 AERO_LOG_SQ = math.log(AERO_Z2 / AERO_Z0) ** 2

@@ -67,7 +67,7 @@ def zone_balance_frame(df: DataFrame, in_con: float, keys=("site",), date: str =
         return (df.withColumn("c2", ph.stateless_concentration("volume", "v2", in_con))
                 .select(*k, date, "wl", "evaporation", "volume", "v2", "surface_area", "evap_volume", "c2"))
 
-    df = chained_ratio(df, k, F.col("volume") / F.col("v2"), in_con, "c2", "c1",
+    df = chained_ratio(df, k, ph.volume_ratio("volume", "v2"), in_con, "c2", "c1",
                        date=date, segment=segment)  # W10, W12
     v2_m3 = F.col("v2") * MEGA
     return df.select(
@@ -111,7 +111,7 @@ def pond_balance_frame(df: DataFrame, in_con: float, keys=("site",), date: str =
     df = df.withColumn("volume", F.col("surface_area") * F.col("depth"))
     df = df.withColumn("evap_loss", F.col("surface_area") * (F.col("evaporation") / 1000.0))
     df = df.withColumn("v2", F.col("volume") - F.col("evap_loss"))
-    df = chained_ratio(df, k, F.col("volume") / F.col("v2"), in_con, "c2", "c1",
+    df = chained_ratio(df, k, ph.volume_ratio("volume", "v2"), in_con, "c2", "c1",
                        date=date, segment=segment)
     return df.select(
         *k, date,
@@ -148,7 +148,7 @@ def pond_constant_balance(evap: DataFrame, pond: str | Column, in_con: float, ke
     df = df.withColumn("evap_volume", ph.evaporated_volume("evaporation", "surface_area"))
     df = df.withColumn("v2", F.col("volume") - F.col("evap_volume"))
     if chained:
-        df = chained_ratio(df, k, F.col("volume") / F.col("v2"), in_con, "c2", "c1",
+        df = chained_ratio(df, k, ph.volume_ratio("volume", "v2"), in_con, "c2", "c1",
                            date=date, segment=segment)
         return df.select(*k, date, "evaporation", "volume", "v2", "surface_area", "evap_volume",
                          "c1", "c2")

@@ -87,7 +87,8 @@ def _zone_rows(pdf: pd.DataFrame, in_con: float, c0: float) -> tuple[pd.DataFram
     vol = np.where(lin, ph.ZONE_VOLUME_SLOPE * wl - ph.ZONE_VOLUME_OFFSET, horner(wl, ph.ZONE_VOLUME_POLY))
     area = np.where(lin, ph.ZONE_AREA_LINEAR, horner(wl, ph.ZONE_AREA_POLY))
     v2 = vol - ev * area / 1000.0
-    closing = c0 * np.cumprod(vol / v2)
+    with np.errstate(divide="ignore", invalid="ignore"):   # V2 = 0 -> inf, as the batch path
+        closing = c0 * np.cumprod(vol / v2)
     opening = np.concatenate([[c0], closing[:-1]])
     out = pdf.assign(volume_v1_m3=vol * 1e6, surface_area=area, volume_v2_m3=v2 * 1e6,
                      c1=opening, c2=closing, quantity_t=v2 * 1e6 * in_con / 1000.0)

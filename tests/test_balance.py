@@ -148,3 +148,16 @@ def test_cubic_kg_mode(spark):
     area = 3 * 14.062 + 2 * 44.722 + 56.651
     assert r["water_evaporated"] == pytest.approx(5.0 * area)
     assert r["c2"] == pytest.approx(26.3 / (100 - 26.3) * 5.0 * area)
+
+
+def test_zero_v2_does_not_abort(spark):
+    """A fully evaporated day gives inf like numpy, instead of a DIVIDE_BY_ZERO error."""
+    # wl = 1.0 -> volume 188.438 (10^6 m^3), area 263.99; evaporation chosen so V2 = 0
+    evap = 188.438 * 1000 / 263.99
+    df = spark.createDataFrame([("2024-01-01", 1.0, 1.0), ("2024-01-02", 1.0, evap)],
+                               "date string, wl double, evaporation double")
+    df = df.withColumn("date", F.to_date("date")).withColumn("site", F.lit("z"))
+    rows = bal.zone_balance_frame(df, 0.3, chained=False).orderBy("date").collect()
+    assert rows[0]["c2"] == pytest.approx(0.3 * 188.438 / (188.438 - 263.99 / 1000))
+    v2 = rows[1]["v2"]
+    assert v2 == 0.0 or abs(v2) < 1e-9
