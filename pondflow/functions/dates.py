@@ -35,8 +35,8 @@ def fix_date_format(s) -> Column:
     """
     s = _c(s)
     parts = F.split(s, r"[.\s]")
-    hour = parts.getItem(1).try_cast("double").try_cast("bigint")
-    fixed = F.concat(parts.getItem(0), F.lit(" "), F.format_string("%02d", hour), F.lit(":00"))
+    hour = F.try_element_at(parts, F.lit(2)).try_cast("double").try_cast("bigint")
+    fixed = F.concat(F.try_element_at(parts, F.lit(1)), F.lit(" "), F.format_string("%02d", hour), F.lit(":00"))
     return F.when((F.size(parts) >= 2) & hour.isNotNull(), fixed).otherwise(s)
 
 

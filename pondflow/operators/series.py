@@ -156,7 +156,7 @@ def resample(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str],
     k = _keys(keys)
     if how not in ("sum", "mean"):
         raise ValueError("how must be 'sum' or 'mean'")
-    binned = df.select(*k, bucket_of(ts, freq).alias(out), *[F.col(v).cast("double").alias(v) for v in values])
+    binned = df.select(*k, bucket_of(ts, freq).alias(out), *[F.col(v).try_cast("double").alias(v) for v in values])
     binned = binned.where(F.col(out).isNotNull())
     if how == "sum":
         agg = binned.groupBy(*k, out).agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(v) for v in values])
@@ -185,11 +185,11 @@ def normalize_readings(evap: DataFrame, wl: DataFrame | None, keys: Sequence[str
     """
     k = _keys(keys)
     ev_v, wl_v = list(evap_values), list(wl_values) if wl is not None else []
-    parts = [evap.select(*k, F.col(ts).alias("_ts"), *[F.col(v).cast("double").alias(v) for v in ev_v],
+    parts = [evap.select(*k, F.col(ts).alias("_ts"), *[F.col(v).try_cast("double").alias(v) for v in ev_v],
                          *[F.lit(None).cast("double").alias(v) for v in wl_v], F.lit(True).alias("_e"))]
     if wl is not None:
         parts.append(wl.select(*k, F.col(ts).alias("_ts"), *[F.lit(None).cast("double").alias(v) for v in ev_v],
-                               *[F.col(v).cast("double").alias(v) for v in wl_v], F.lit(False).alias("_e")))
+                               *[F.col(v).try_cast("double").alias(v) for v in wl_v], F.lit(False).alias("_e")))
     u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     u = u.withColumn("date", F.to_date("_ts")).where(F.col("date").isNotNull())
     ee = F.when(F.col("_e"), F.col("_ts"))

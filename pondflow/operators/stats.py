@@ -53,8 +53,8 @@ def feature_ranges(df: DataFrame, keys, features: Sequence[str]) -> DataFrame:
     k = _keys(keys)
     long = df.select(*k, *features).unpivot(k, list(features), "feature", "value")
     return (long.groupBy(*k, "feature")
-            .agg(F.min(F.col("value").cast("double")).alias("min"),
-                 F.max(F.col("value").cast("double")).alias("max")))
+            .agg(F.min(F.col("value").try_cast("double")).alias("min"),
+                 F.max(F.col("value").try_cast("double")).alias("max")))
 
 
 def minmax_fit(df: DataFrame, keys, col: str) -> DataFrame:
@@ -96,7 +96,7 @@ def quantiles(df: DataFrame, keys, col: str, probs: Sequence[float], method: str
     """
     k = _keys(keys)
     names = [f"q{i}" for i in range(len(probs))]
-    x = F.col(col).cast("double")
+    x = F.col(col).try_cast("double")
     base = df.select(*k, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     if method == "hash":
         arr = F.percentile("_x", F.array(*[F.lit(float(p)) for p in probs]))

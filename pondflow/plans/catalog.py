@@ -158,7 +158,7 @@ FROM c""")(pond_balance_chained)
 
 def _pond_letter():
     """Pond letter A..G from the priority digit and month (G is not in the table -> default)."""
-    idx = F.pmod(F.substring("site", 1, 1).cast("int") + F.month("date"), F.lit(7)) + 1
+    idx = F.pmod(F.substring("site", 1, 1).try_cast("int") + F.month("date"), F.lit(7)) + 1
     return F.substring(F.lit("ABCDEFG"), idx, F.lit(1))
 
 

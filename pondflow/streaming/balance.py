@@ -45,7 +45,7 @@ def daily_rollup(readings: DataFrame, keys: Sequence[str], ts: str, values: Sequ
     w = F.window(F.col(ts), "1 day")
     out = (readings.withWatermark(ts, watermark)
            .groupBy(*keys, w)
-           .agg(*[agg(F.col(v).cast("double")).alias(v) for v in values]))
+           .agg(*[agg(F.col(v).try_cast("double")).alias(v) for v in values]))
     return out.select(*keys, F.to_date(F.col("window.start")).alias("date"), *values)
 
 
@@ -60,10 +60,10 @@ def daily_zone_rollup(evap: DataFrame, wl: DataFrame, keys: Sequence[str] = ("si
     drops them, as the batch inner join does).
     """
     k = list(keys)
-    u = (evap.select(*k, F.col(ts).alias("_ts"), F.col("evaporation").cast("double").alias("evaporation"),
+    u = (evap.select(*k, F.col(ts).alias("_ts"), F.col("evaporation").try_cast("double").alias("evaporation"),
                      F.lit(None).cast("double").alias("wl"))
          .unionByName(wl.select(*k, F.col(ts).alias("_ts"), F.lit(None).cast("double").alias("evaporation"),
-                                F.col("wl").cast("double").alias("wl"))))
+                                F.col("wl").try_cast("double").alias("wl"))))
     agg = (u.withWatermark("_ts", watermark)
            .groupBy(*k, F.window("_ts", "1 day"))
            .agg(F.sum("evaporation").alias("evaporation"), F.avg("wl").alias("wl")))
