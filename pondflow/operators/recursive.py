@@ -92,37 +92,48 @@ def _forecast_fn(bc, lo: np.ndarray, rng: np.ndarray, keys: list[str], y: str, e
         trees = bc.value
         seed = seed.sort_values("date")
         fut = fut.sort_values("date").reset_index(drop=True)
-        past = [float(v) for v in seed[y].to_numpy()][-span:]
+        init = seed[y].to_numpy(dtype=float)[-span:]
+        h = len(fut)
+        buf = np.empty(len(init) + h)          # history tail followed by the predictions
+        buf[:len(init)] = init
+        m = len(init)
         first = fut.iloc[0]
         n, mean, m2 = float(first["_n"]), float(first["_mean"]), float(first["_m2"])
         trend0 = float(first["_n_train"] if compat else first["_last_trend"] + 1)
         ddof = 0 if compat else 1
         calx = fut[CAL].to_numpy(dtype=float)
-        exx = fut[exog].to_numpy(dtype=float) if exog else np.empty((len(fut), 0))
-        preds = np.empty(len(fut))
-        for i in range(len(fut)):
-            rm = [np.mean(past[-w:]) for w in windows]
-            rs = [np.std(past[-w:], ddof=ddof) if len(past[-w:]) > ddof else np.nan for w in windows]
+        exx = fut[exog].to_numpy(dtype=float) if exog else np.empty((h, 0))
+        nc, ne, nw = len(CAL), exx.shape[1], len(windows)
+        x = np.empty(nc + 3 + ne + 2 * nw + lags)
+        o_ex, o_rm = nc + 3, nc + 3 + ne
+        o_lag = o_rm + 2 * nw
+        for i in range(h):
+            x[:nc] = calx[i]
+            x[nc] = trend0 + i
             if compat:
-                cm, cs = np.mean(past), np.std(past)
-                lagv = past[-lags:]
+                hist = buf[:m]                 # the reference keeps every value
+                x[nc + 1], x[nc + 2] = hist.mean(), hist.std()
+                lagv = buf[max(0, m - lags):m]
             else:
-                cm = mean
-                cs = math.sqrt(m2 / (n - 1)) if n > 1 else np.nan
-                lagv = past[::-1][:lags]
-            x = np.concatenate([calx[i], [trend0 + i, cm, cs], exx[i], rm, rs, lagv])
-            xs = (x - lo) / rng
-            p = M.predict_trees(trees, xs)
-            preds[i] = p
-            past.append(p)
-            if len(past) > span and not compat:
-                past = past[-span:]
+                x[nc + 1] = mean
+                x[nc + 2] = math.sqrt(m2 / (n - 1)) if n > 1 else np.nan
+                lagv = buf[max(0, m - lags):m][::-1]
+            x[o_ex:o_rm] = exx[i]
+            for j, w in enumerate(windows):
+                win = buf[max(0, m - w):m]
+                x[o_rm + j] = win.mean()
+                x[o_rm + nw + j] = win.std(ddof=ddof) if len(win) > ddof else np.nan
+            x[o_lag:o_lag + len(lagv)] = lagv
+            x[o_lag + len(lagv):] = np.nan    # fewer predecessors than lags
+            p = M.predict_trees(trees, (x - lo) / rng)
+            buf[m] = p
+            m += 1
             n += 1.0  # Welford update of the carried full-history statistics
             d = p - mean
             mean += d / n
             m2 += d * (p - mean)
         out = fut[[*keys, "date"]].copy()
-        out["prediction"] = preds
+        out["prediction"] = buf[len(init):]
         return out
 
     return fn
