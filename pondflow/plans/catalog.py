@@ -10,6 +10,7 @@ itself) because the check compares value hashes.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+_ROUND_CALL = re.compile(r"\b(round_even|round)\(")
+
+
+def zero_safe(sql: str) -> str:
+    """Wrap every ``round(...)``/``round_even(...)`` of the oracle SQL as ``(... + 0.0)``.
+
+    DuckDB's rounding can return -0.0 (e.g. ``round(cos(3*pi/2), 6)``) where
+    Spark's returns +0.0; adding +0.0 maps -0.0 to +0.0 and leaves every other
+    value unchanged, so value hashes compare equal.
+    """
+    out, i = [], 0
+    while True:
+        m = _ROUND_CALL.search(sql, i)
+        if not m:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:m.start()])
+        depth, j = 0, m.end() - 1
+        while True:
+            if sql[j] == "(":
+                depth += 1
+            elif sql[j] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            j += 1
+        inner = sql[m.end():j]
+        out.append(f"({m.group(1)}({zero_safe(inner)}) + 0.0)")
+        i = j + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = zero_safe(sql)
         return fn
     return deco
 
@@ -44,7 +76,7 @@ def register(name: str, sql: str | None = None):
 def r(df: DataFrame, digits: int = 6, cols=None) -> DataFrame:
     """Round the given (default: all double) columns for hash comparison."""
     cols = cols or [c for c, t in df.dtypes if t in ("double", "float")]
-    return df.withColumns({c: round_half_away(F.col(c), digits) for c in cols})
+    return df.withColumns({c: round_half_away(F.col(c), digits) + F.lit(0.0) for c in cols})
 
 
 IN_CON_ZONE = 0.3
