@@ -79,6 +79,11 @@ def r(df: DataFrame, digits: int = 6, cols=None) -> DataFrame:
     return df.withColumns({c: round_half_away(F.col(c), digits) + F.lit(0.0) for c in cols})
 
 
+def _bigint(df: DataFrame, cols) -> DataFrame:
+    """Integer calendar parts as BIGINT (the oracle engine's integer width)."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in cols})
+
+
 IN_CON_ZONE = 0.3
 IN_CON_POND = 0.3
 IN_CON_CONST = 26.3
@@ -391,7 +396,7 @@ SELECT site, max(date) AS date, round(arg_max(wl, date), 6) AS wl FROM zone_wl G
 
 def calendar_features_q(spark, sf):
     d = T.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
-    return r(d.withColumns(fd.calendar_columns("date")), 6)
+    return r(_bigint(d.withColumns(fd.calendar_columns("date")), ["day", "month", "year", "dayofyear"]), 6)
 
 
 register("calendar_features", f"""
@@ -471,7 +476,7 @@ SELECT site, date, round(v, 6) AS v FROM f JOIN h USING (site) WHERE in_r OR hit
 
 def future_spine_q(spark, sf):
     sp = sr.range_spine(T.pond_in(spark, sf), ["site"], "2025-01-01", "2025-11-30")
-    return sp.withColumns(fd.calendar_columns("date", day_of_year=False)).transform(r)
+    return _bigint(sp.withColumns(fd.calendar_columns("date", day_of_year=False)), ["day", "month", "year"]).transform(r)
 
 
 register("future_spine", T.with_sql("pond_in") + f""",
@@ -629,7 +634,7 @@ def cyclic_lookup_q(spark, sf):
     series = T.zone_inputs(spark, sf)
     months = series.groupBy("site").agg(F.trunc(F.min("date"), "month").alias("lo"))
     months = months.withColumn("hi", F.last_day("lo"))
-    target = sr.date_spine(months, ["site"], "lo", "hi").withColumn("idx", F.dayofmonth("date") - 1)
+    target = sr.date_spine(months, ["site"], "lo", "hi").withColumn("idx", (F.dayofmonth("date") - 1).cast("bigint"))
     return r(lk.cyclic_lookup(target, series, ["site"], ["wl", "evaporation"]))
 
 
@@ -695,7 +700,7 @@ def null_quality_report_q(spark, sf):
 
 
 register("null_quality_report", _USER_SPINE + """
-SELECT site, count(*) AS n_rows, count_if(v IS NULL OR isnan(v)) AS n_null_v FROM a GROUP BY site""")(
+SELECT site, count(*) AS n_rows, CAST(count_if(v IS NULL OR isnan(v)) AS BIGINT) AS n_null_v FROM a GROUP BY site""")(
     null_quality_report_q)
 
 # ---------------------------------------------------------------------------

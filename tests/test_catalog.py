@@ -41,11 +41,18 @@ def con(sf_small):
     return c
 
 
+SPARK_TO_SQL = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "date": "DATE", "string": "VARCHAR",
+                "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, sf_small, con, name):
     sdf = E.queries()[name](spark, sf_small)
     srows = [tuple(r) for r in sdf.collect()]
-    res = con.execute(E.oracle_sql()[name])
+    sql = E.oracle_sql()[name]
+    types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    assert {c: SPARK_TO_SQL.get(t, t) for c, t in sdf.dtypes} == types     # same schema
+    res = con.execute(sql)
     dcols = [d[0] for d in res.description]
     assert sorted(sdf.columns) == sorted(dcols)
     assert _bag(sdf.columns, srows) == _bag(dcols, res.fetchall())
