@@ -737,6 +737,19 @@ def evaporation_forecast_q(spark, sf):
 register("evaporation_forecast", None)(evaporation_forecast_q)
 
 
+def evaporation_forecast_cumulative_q(spark, sf):
+    """Q1 in pond mode: the running sum of the daily forecast."""
+    from pondflow.operators.models import EVAPORATION_TARGETS
+    from pondflow.plans import forecast as fc
+    cm = fc.calendar_models(spark, T.weather_daily(spark, sf), EVAPORATION_TARGETS,
+                            _model_root(spark, sf, "evaporation"))
+    out, _ = fc.forecast_evaporation(spark, cm, "2002-01", "2002-11", mode="b")
+    return out.select("date", "evaporation")
+
+
+register("evaporation_forecast_cumulative", None)(evaporation_forecast_cumulative_q)
+
+
 def evaporation_after_last_q(spark, sf):
     from pondflow.operators.models import EVAPORATION_TARGETS
     from pondflow.plans import forecast as fc
@@ -815,7 +828,7 @@ def csv_roundtrip_q(spark, sf):
     wl = T.zone_wl(spark, sf).withColumn("flag", F.substring("site", 1, 1))
     sinks.write_csv(wl.select("flag", "site", F.date_format("date", "dd-MM-yyyy").alias("Date"),
                               F.col("wl").alias("Wl"), F.lit(None).cast("string").alias("")),
-                    out, partition_by=["flag"])
+                    out, partition_by=["flag"], sort_by=["site", "Date"])
     back = C.read_readings(spark, f"{out}/flag=*/*.csv", {"Wl": "wl"}, hourly=False)
     return r(back.select("site", "date", "wl"))
 
@@ -1002,3 +1015,69 @@ SELECT site, date, round(cum_net_flow, 6) AS cum_net_flow, round_even(depth, 6)
        round_even({D(IN_CON_POND)} * p, 3) AS c2,
        round_even(v2 * {D(IN_CON_POND)} / {D(1000)}, 0) AS quantity_t
 FROM c""")(pond_balance_from_readings_q)
+
+
+# ---------------------------------------------------------------------------
+# SURVEY §2 ids exercised by each registered query (read by tools/coverage_map.py)
+# ---------------------------------------------------------------------------
+QUERY_IDS = {
+    "zone_balance_chained": "Q3 J1 P5 F9 F10 F13 F14 W10 W11 W12 F21",
+    "zone_balance_stateless": "Q8 J1 P5 F9 F10 F14 F15",
+    "zone_balance_cubic_wt": "Q7 J1 P5 F11 F12 F14 F15",
+    "zone_balance_cubic_kg": "Q7 J1 P5 F11 F12 F16",
+    "pond_balance_chained": "Q4 J2 P5 W1 J5 F17 F14 W10 W11 W12 F21",
+    "pond_balance_constant": "Q9 F18 J5 F14 F15 P4 P5",
+    "pond_balance_constant_chained": "Q9 F18 J5 F14 W10 W12",
+    "running_sum": "W1 J2",
+    "detect_frequency": "A4",
+    "resample_daily_sum": "A1 J3 S7",
+    "resample_daily_mean": "A2 J3 S7",
+    "resample_hourly_to_daily": "A1 J3",
+    "resample_monthly_mean": "A3 J3",
+    "asfreq_daily": "J3 S7",
+    "interpolate_gaps": "W13 J3",
+    "rolling_stats": "W4 W5",
+    "expanding_stats": "W6 W7",
+    "lag_features": "W3",
+    "trend_index": "W8 W9",
+    "last_n_rows": "O3",
+    "last_row": "O4 A7",
+    "calendar_features": "F5 F6 F7 F8",
+    "fix_dates": "F1 F2 P14",
+    "parse_dates": "S2 S3 P14",
+    "month_range_filter": "F3 P7 P9",
+    "range_filter_fallback": "P8 F3",
+    "future_spine": "S7 F3 F4 F5 F7",
+    "future_spine_after_last": "S8 A7",
+    "quantiles": "A6",
+    "percentile_trim": "A6 P10",
+    "robust_scale": "M2 A6 P10 A8 F24 P3",
+    "minmax_scale": "A8 F24 P3",
+    "inverse_scale": "A8 F24",
+    "feature_ranges": "A5",
+    "out_of_range": "P15 A5 F5 F7",
+    "ols_slope": "A9 F20",
+    "penman": "F19",
+    "cyclic_lookup": "J4",
+    "result_page": "O5 O2 F15",
+    "history_vs_forecast": "Q10 U1 P6 P7",
+    "chart_series": "K6 U1",
+    "records_json": "K3",
+    "null_quality_report": "P13 P16 A10 J3",
+    "hash_split": "M1",
+    "evaporation_forecast": "Q1 M2 M3 M4 M7 M9 M10 M17 F3 F5 F7 F19 F24 S7 S10 P1 P2 P11 P12 P15 P16 K5",
+    "evaporation_forecast_after_last": "Q11 S8 A7 M7 F19",
+    "evaporation_forecast_cumulative": "Q1 W2 M7 M9 F19",
+    "water_level_forecast": "Q2 M5 M7 M9 S7 S10 F24",
+    "final_concentration_score": "Q5 M1 M6 M8 M9 P8 F5 F7 S10 K5",
+    "recursive_forecast": "Q6 M12 M14 M16 M17 W3 W4 W5 W6 W7 W8 W13 J3 J4 O3 A11 F6 F8 S9 P6 P17",
+    "csv_roundtrip": "S1 S2 S4 S5 S6 K1 K2 O1 F23",
+    "result_labels": "F25 F22",
+    "ea_scaling_constant": "M11 A9 F20",
+    "row_counts": "A10",
+    "running_sum_segmented": "W1",
+    "quantiles_hash": "A6",
+    "frequency_probe": "F1 F2 A4",
+    "zone_balance_from_readings": "Q3 A1 A2 A3 A4 J1 P5 W10 W11 W12",
+    "pond_balance_from_readings": "Q4 A1 A4 J2 W1 F17 W10 W11 W12",
+}

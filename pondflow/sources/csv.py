@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pondflow.functions.dates import fix_date_format, parse_date, parse_hourly, parse_timestamp
+from pondflow.functions.dates import fix_date_format, parse_date, parse_hourly, parse_timestamp, to_number
 
 _BLANK = re.compile(r"^_c\d+$")
 
@@ -73,7 +73,7 @@ def read_readings(spark: SparkSession, paths, measures: Mapping[str, str] | Sequ
         raw = read_csv(spark, paths, columns=cols, site=site, site_from_path=site_from_path)
     d = F.col(f"`{date_col}`")
     keys = ["site"] if "site" in raw.columns else []
-    vals = [F.trim(F.col(f"`{r}`")).try_cast("double").alias(c) for r, c in names.items()]
+    vals = [to_number(F.col(f"`{r}`")).alias(c) for r, c in names.items()]  # F23
     if hourly:
         ts = F.coalesce(parse_hourly(fix_date_format(d)), parse_timestamp(d))
         return raw.select(*keys, ts.alias("ts"), *vals)

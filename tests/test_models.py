@@ -114,3 +114,10 @@ def test_recursive_fixed_horizon_slice(spark, seasonal):
     out = forecast_recursive(rm, seasonal, "2021-03", "2021-03", horizon_days=40, index_base=1)
     dates = sorted({r["date"] for r in out.collect()})
     assert dates[0] == dt.date(2021, 3, 1) and dates[-1] == dt.date(2021, 3, 15) and len(dates) == 15
+
+
+def test_kg_variant_parameters(spark, seasonal):
+    """The 'kg' variant (30 lags, one 14-day window, column sampling, min gain)."""
+    kw = dict(lags=30, windows=(14,), params=dict(M.GBT_RECURSIVE_KG, maxIter=4))
+    out = recursive_forecast(spark, seasonal, ["site"], "y", ["evap"], "2021-03", "2021-03", **kw)
+    assert out.count() == 2 * 31
