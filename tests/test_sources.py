@@ -126,3 +126,12 @@ def test_documented_cluster_workflow_end_to_end(spark):
     assert (a1["c1"], a1["c2"], a1["quantity_t"]) == (0.3, 0.301, 204821.728)   # golden zone row
     b1 = got[("B", dt.date(2025, 8, 1))]
     assert b1["evaporation"] == pytest.approx(12.0) and b1["wl"] == pytest.approx(1.0)   # hourly: sum / mean
+
+
+def test_read_readings_infers_canonical_names(spark):
+    d = tempfile.mkdtemp(prefix="pf-csv-")
+    _write(f"{d}/x.csv", "Date,C2 (wt%),Final_Concentration_(gpl),\n01-01-2025,26.4,0.3,\n02-01-2025,bad,0.31,\n")
+    df = C.read_readings(spark, f"{d}/x.csv", hourly=False, site="s")
+    assert df.columns == ["site", "date", "c2_wt", "final_concentration_gpl"]    # blank header dropped
+    rows = sorted(df.collect(), key=lambda r: r["date"])
+    assert rows[0]["c2_wt"] == 26.4 and rows[1]["c2_wt"] is None                  # bad text -> NULL (F23)
