@@ -49,12 +49,21 @@ def _one_row_error():
 
 
 def feature_ranges(df: DataFrame, keys, features: Sequence[str]) -> DataFrame:
-    """A5: ``(keys…, feature, min, max)`` via one unpivot + hash aggregate."""
+    """A5: ``(keys…, feature, min, max)``.
+
+    One aggregate computes min and max of every feature column (map-side
+    combined, no row multiplication); the small per-key result is then
+    reshaped to one row per feature.
+    """
     k = _keys(keys)
-    long = df.select(*k, *features).unpivot(k, list(features), "feature", "value")
-    return (long.groupBy(*k, "feature")
-            .agg(F.min(F.col("value").try_cast("double")).alias("min"),
-                 F.max(F.col("value").try_cast("double")).alias("max")))
+    aggs = []
+    for i, f in enumerate(features):
+        x = F.col(f).try_cast("double")
+        aggs += [F.min(x).alias(f"_min{i}"), F.max(x).alias(f"_max{i}")]
+    wide = df.groupBy(*k).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_min{i}").alias("min"),
+                              F.col(f"_max{i}").alias("max")) for i, f in enumerate(features)])
+    return wide.select(*k, F.inline(rows))
 
 
 def minmax_fit(df: DataFrame, keys, col: str) -> DataFrame:
