@@ -12,10 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pondflow.functions.dates import month_end, month_start
-
-
-def _keys(keys) -> list[str]:
-    return [keys] if isinstance(keys, str) else list(keys or [])
+from pondflow.keys import as_keys as _keys
 
 
 def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:

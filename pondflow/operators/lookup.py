@@ -13,14 +13,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pondflow.keys import as_keys as _keys
+
 # Dimension tables larger than this are joined with a shuffle instead of a broadcast.
 BROADCAST_ROW_LIMIT = 100_000
 
 
-def _keys(keys) -> list[str]:
-    return [keys] if isinstance(keys, str) else list(keys or [])
-
-
 def map_lookup(key, table: Mapping[str, float], default: float | None = None,
                normalise: str | None = "upper") -> Column:
     """J5 for constant tables: ``table.get(key.upper(), default)`` as a literal map.

@@ -40,14 +40,11 @@ from pondflow.operators.lookup import cyclic_lookup
 from pondflow.operators.series import date_spine
 from pondflow.operators.windows import lag_features, last_n_rows
 from pondflow.session import checkpoint_dir
+from pondflow.keys import as_keys as _keys
 
 CAL = ["dayofyear_sin", "dayofyear_cos", "month_sin", "month_cos"]
 
 
-def _keys(keys) -> list[str]:
-    return [keys] if isinstance(keys, str) else list(keys or [])
-
-
 def feature_names(exog: Sequence[str], lags: int, windows: Sequence[int]) -> list[str]:
     """Feature order shared by fit and forecast (M16: exogenous set is a parameter)."""
     return (CAL + ["trend", "cumulative_mean", "cumulative_std"] + list(exog)

@@ -27,11 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_AGG = {"sum": (F.sum, 0.0), "product": (F.product, 1.0)}
-
+from pondflow.keys import as_keys as _keys
 
-def _keys(keys) -> list[str]:
-    return [keys] if isinstance(keys, str) else list(keys or [])
+_AGG = {"sum": (F.sum, 0.0), "product": (F.product, 1.0)}
 
 
 def _combine(kind: str, a: Column, b: Column) -> Column:

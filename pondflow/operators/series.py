@@ -13,14 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pondflow.keys import as_keys as _keys
+
 HOUR_S = 3600.0
 DAY_S = 86400.0
 
 
-def _keys(keys) -> list[str]:
-    return [keys] if isinstance(keys, str) else list(keys or [])
-
-
 def epoch_seconds(ts) -> Column:
     """Seconds since epoch (with micros) for TIMESTAMP or TIMESTAMP_NTZ columns."""
     ts = F.col(ts) if isinstance(ts, str) else ts

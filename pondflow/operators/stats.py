@@ -14,15 +14,12 @@ from pyspark.sql import functions as F
 
 from pondflow.functions.numeric import minmax_inverse, minmax_transform
 from pondflow.session import checkpoint_dir
+from pondflow.keys import as_keys as _keys
 
 # Stats tables with at most this many rows are broadcast when joined back.
 BROADCAST_ROW_LIMIT = 200_000
 
 
-def _keys(keys) -> list[str]:
-    return [keys] if isinstance(keys, str) else list(keys or [])
-
-
 def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Join a statistics table back; broadcast it only when its row count is proven small.

@@ -16,9 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _keys(keys) -> list[str]:
-    return [keys] if isinstance(keys, str) else list(keys or [])
+from pondflow.keys import as_keys as _keys
 
 
 def w_keys(keys, date: str = "date"):

@@ -17,14 +17,11 @@ from pondflow.functions.numeric import round_even
 from pondflow.operators.filters import drop_null_rows
 from pondflow.operators.lookup import map_lookup
 from pondflow.operators.scan import chained_ratio, running_sum, telescoped_quantity
+from pondflow.keys import as_keys as _keys
 
 MEGA = 1_000_000.0
 
 
-def _keys(keys) -> list[str]:
-    return [keys] if isinstance(keys, str) else list(keys or [])
-
-
 def zone_balance(wl: DataFrame, evap: DataFrame, in_con: float, keys=("site",), date: str = "date",
                  chained: bool = True, geometry: str = "piecewise", unit: str = "wt%",
                  segment: Column | None = None) -> DataFrame:
