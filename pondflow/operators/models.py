@@ -263,14 +263,17 @@ def gbt_stage(model: PipelineModel) -> GBTRegressionModel:
     raise ValueError("pipeline has no GBTRegressionModel stage")
 
 
-def tree_arrays(spark: SparkSession, model: GBTRegressionModel, path: str) -> dict[str, np.ndarray]:
+def tree_arrays(spark: SparkSession, model: GBTRegressionModel, path: str,
+                save: bool = True) -> dict[str, np.ndarray]:
     """Flatten a fitted ensemble into node arrays for numpy scoring.
 
-    The model is saved to ``path`` (shared storage) and its node table read
-    back. Its size is bounded by ``maxIter * 2^(maxDepth+1)`` nodes and checked
-    against ``MAX_MODEL_NODES`` before it is collected.
+    The model is saved to ``path`` (shared storage; ``save=False`` when it is
+    already there) and its node table read back. Its size is bounded by
+    ``maxIter * 2^(maxDepth+1)`` nodes and checked against ``MAX_MODEL_NODES``
+    before it is collected.
     """
-    model.write().overwrite().save(path)
+    if save:
+        model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
     n = nodes.count()
     if n > MAX_MODEL_NODES:

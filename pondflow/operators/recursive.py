@@ -173,6 +173,40 @@ def fit_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, exog: Sequ
     return RecursiveModel(spark.sparkContext.broadcast(trees), lo, rng, k, y, exog, lags, windows, train, date)
 
 
+def fit_or_load_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, exog: Sequence[str], root: str,
+                          lags: int = 120, windows: Sequence[int] = (14, 30, 60), params: dict | None = None,
+                          date: str = "date") -> RecursiveModel:
+    """M9 for the recursive model: reuse the forest saved under ``root`` when it was
+    fitted for the same feature list and parameters, else fit and save it there.
+
+    Only the fitted ensemble and the scaler vectors are reused; the training
+    frame (exogenous lookup, per-key state) is rebuilt from ``hist``.
+    """
+    import json
+
+    from pyspark.ml.regression import GBTRegressionModel
+    k = _keys(keys)
+    windows = [int(w) for w in windows]
+    feats = feature_names(list(exog), lags, windows)
+    p = dict(params or M.GBT_RECURSIVE)
+    tag = json.dumps({"features": feats, "params": p, "y": y}, sort_keys=True)
+    try:
+        meta = json.loads(spark.read.text(f"{root}/meta").first()[0])
+        if meta["tag"] == tag:
+            model = GBTRegressionModel.load(f"{root}/gbt")
+            trees = M.tree_arrays(spark, model, f"{root}/gbt", save=False)
+            train = training_frame(hist, k, y, list(exog), lags, windows, date).cache()
+            return RecursiveModel(spark.sparkContext.broadcast(trees), np.array(meta["lo"]), np.array(meta["rng"]),
+                                  k, y, list(exog), lags, windows, train, date)
+    except Exception:  # noqa: BLE001 - nothing saved yet (or unreadable): fit
+        pass
+    rm = fit_recursive(spark, hist, k, y, exog, lags, windows, p, date, model_path=f"{root}/gbt")
+    meta = {"tag": tag, "lo": rm.lo.tolist(), "rng": rm.rng.tolist()}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
+        f"{root}/meta")
+    return rm
+
+
 def forecast_recursive(rm: RecursiveModel, hist: DataFrame, start_ym: str, end_ym: str,
                        compat: bool = False, horizon_days: int | None = None,
                        index_base: int = 0) -> DataFrame:

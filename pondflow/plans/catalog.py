@@ -806,9 +806,11 @@ RECURSIVE_EXOG = ["wl", "evaporation", "volume", "surface_area", "evap_volume"]
 
 
 def recursive_forecast_q(spark, sf):
-    from pondflow.plans import forecast as fc
+    from pondflow.operators.recursive import fit_or_load_recursive, forecast_recursive
     hist = _flag_history(spark, sf)
-    return fc.forecast_concentration(spark, hist, ["site"], "2002-01", "2002-03", exog=RECURSIVE_EXOG)
+    rm = fit_or_load_recursive(spark, hist, ["site"], "c2", RECURSIVE_EXOG,
+                               _model_root(spark, sf, "recursive"))  # M9: saved forest for these inputs
+    return forecast_recursive(rm, hist, "2002-01", "2002-03")
 
 
 register("recursive_forecast", None)(recursive_forecast_q)
@@ -1070,7 +1072,7 @@ QUERY_IDS = {
     "evaporation_forecast_cumulative": "Q1 W2 M7 M9 F19",
     "water_level_forecast": "Q2 M5 M7 M9 S7 S10 F24",
     "final_concentration_score": "Q5 M1 M6 M8 M9 P8 F5 F7 S10 K5",
-    "recursive_forecast": "Q6 M12 M14 M16 M17 W3 W4 W5 W6 W7 W8 W13 J3 J4 O3 A11 F6 F8 S9 P6 P17",
+    "recursive_forecast": "Q6 M9 M12 M14 M16 M17 W3 W4 W5 W6 W7 W8 W13 J3 J4 O3 A11 F6 F8 S9 S10 K5 P6 P17",
     "csv_roundtrip": "S1 S2 S4 S5 S6 K1 K2 O1 F23",
     "result_labels": "F25 F22",
     "ea_scaling_constant": "M11 A9 F20",

@@ -121,3 +121,18 @@ def test_kg_variant_parameters(spark, seasonal):
     kw = dict(lags=30, windows=(14,), params=dict(M.GBT_RECURSIVE_KG, maxIter=4))
     out = recursive_forecast(spark, seasonal, ["site"], "y", ["evap"], "2021-03", "2021-03", **kw)
     assert out.count() == 2 * 31
+
+
+def test_fit_or_load_recursive_reuses_forest(spark, seasonal):
+    import tempfile
+    from pondflow.operators.recursive import fit_or_load_recursive, forecast_recursive
+    root = tempfile.mkdtemp(prefix="pf-rec-") + "/m"
+    kw = dict(lags=20, windows=(7, 14), params=SMALL)
+    a = fit_or_load_recursive(spark, seasonal, ["site"], "y", ["evap"], root, **kw)
+    b = fit_or_load_recursive(spark, seasonal, ["site"], "y", ["evap"], root, **kw)   # loaded
+    pa = sorted(tuple(r) for r in forecast_recursive(a, seasonal, "2021-03", "2021-03").collect())
+    pb = sorted(tuple(r) for r in forecast_recursive(b, seasonal, "2021-03", "2021-03").collect())
+    assert pa == pb
+    other = dict(kw, params=dict(SMALL, maxIter=3))                                  # other params -> refit
+    c = fit_or_load_recursive(spark, seasonal, ["site"], "y", ["evap"], root, **other)
+    assert c.trees.value["weight"].shape[0] == 3
