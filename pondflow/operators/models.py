@@ -203,9 +203,10 @@ def fit_minmax(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def apply_minmax(df: DataFrame, stats: DataFrame, features: Sequence[str], suffix: str = "",
                  inverse: bool = False) -> DataFrame:
-    """F24 with a one-row statistics frame (broadcast cross join of exactly one row)."""
+    """F24 with a one-row statistics frame (attached by a broadcast constant-key join)."""
+    from pondflow.operators.stats import attach_one_row
     fn = minmax_inverse if inverse else minmax_transform
-    j = df.crossJoin(F.broadcast(stats))
+    j = attach_one_row(df, stats)
     j = j.withColumns({f"{c}{suffix}": fn(c, f"{c}_min", f"{c}_max") for c in features})
     return j.drop(*[f"{c}_{s}" for c in features for s in ("min", "max")])
 

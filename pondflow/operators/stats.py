@@ -36,11 +36,21 @@ def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     if not on:
         if n > 1:
             _one_row_error()
-        return df.crossJoin(F.broadcast(small))
+        return attach_one_row(df, small)
     right = F.broadcast(small) if n <= limit else small
     return df.join(right, on, how)
 
 
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a single-row table to every row of ``df``.
+
+    A broadcast equi-join on a constant key (a hash join that streams ``df``),
+    not a cartesian product.
+    """
+    key = "_one"
+    return df.withColumn(key, F.lit(1)).join(F.broadcast(one_row.withColumn(key, F.lit(1))), key).drop(key)
+
+
 def _one_row_error():
     raise ValueError("a key-less statistics table must have exactly one row")
 
@@ -171,7 +181,7 @@ def robust_minmax_fit(df: DataFrame, keys, col: str, method: str = "sort") -> Da
     trimmed = minmax_fit(percentile_trim(df, k, col, method=method), k, col)
     full = minmax_fit(df, k, col).withColumnsRenamed({f"{col}_min": "_fmin", f"{col}_max": "_fmax"})
     # without keys both sides are single-row global aggregates
-    j = full.join(trimmed, k, "left") if k else full.crossJoin(trimmed)
+    j = full.join(trimmed, k, "left") if k else attach_one_row(full, trimmed)
     return j.select(*k, F.coalesce(f"{col}_min", "_fmin").alias(f"{col}_min"),
                     F.coalesce(f"{col}_max", "_fmax").alias(f"{col}_max"))
 

@@ -841,7 +841,7 @@ register("csv_roundtrip", T.with_sql("zone_wl") + "SELECT site, date, round(wl,
 def result_labels_q(spark, sf):
     from pondflow.functions.labels import result_label, site_key
     s = T.pond_in(spark, sf).select(F.substring_index("site", "-", 2).alias("pond")).distinct()
-    modes = s.crossJoin(F.broadcast(spark.createDataFrame([("a",), ("b",)], "mode string")))
+    modes = s.withColumn("mode", F.explode(F.array(F.lit("a"), F.lit("b"))))
     return modes.select("pond", "mode", site_key("pond").alias("pond_key"),
                         result_label("mode", "pond").alias("prediction_label"),
                         result_label("mode", "pond", "Calculation").alias("calculation_label"))
