@@ -105,7 +105,8 @@ def quantiles(df: DataFrame, keys, col: str, probs: Sequence[float], method: str
                rank within its key, and only the 2 rows around each wanted
                rank are kept.
     ``hash``   exact, Spark's ``percentile`` aggregate: one task per key holds
-               the key's distinct values. Fine for small groups only.
+               all of the key's distinct values, so use it only for groups of
+               known small size (never for raw data with hot keys).
     ``approx`` ``percentile_approx`` (bounded memory, approximate).
 
     Result: ``(keys…, q_<i>)`` with one column per probability.

@@ -893,11 +893,11 @@ register("running_sum_segmented", T.with_sql("line_daily") + f"""
 SELECT site, date, round(v, 6) AS v, round({q.running('sum', 'v')}, 6) AS cum_v FROM line_daily""")(
     running_sum_segmented_q)
 
-register("quantiles_hash", f"""
+register("quantiles_p1_p99", f"""
 WITH {_PRICE_SQL}
 SELECT site, round(quantile_cont(y, 0.01), 6) AS q0, round(quantile_cont(y, 0.99), 6) AS q1
 FROM price WHERE y IS NOT NULL AND NOT isnan(y) GROUP BY site""")(
-    lambda spark, sf: r(st.quantiles(_price(spark, sf), ["site"], "y", [0.01, 0.99], method="hash")))
+    lambda spark, sf: r(st.quantiles(_price(spark, sf), ["site"], "y", [0.01, 0.99])))
 
 
 def frequency_probe_q(spark, sf):
@@ -1078,7 +1078,7 @@ QUERY_IDS = {
     "ea_scaling_constant": "M11 A9 F20",
     "row_counts": "A10",
     "running_sum_segmented": "W1",
-    "quantiles_hash": "A6",
+    "quantiles_p1_p99": "A6",
     "frequency_probe": "F1 F2 A4",
     "zone_balance_from_readings": "Q3 A1 A2 A3 A4 J1 P5 W10 W11 W12",
     "pond_balance_from_readings": "Q4 A1 A4 J2 W1 F17 W10 W11 W12",
