@@ -1083,3 +1083,51 @@ QUERY_IDS = {
     "zone_balance_from_readings": "Q3 A1 A2 A3 A4 J1 P5 W10 W11 W12",
     "pond_balance_from_readings": "Q4 A1 A4 J2 W1 F17 W10 W11 W12",
 }
+
+
+# ---------------------------------------------------------------------------
+# Structured Streaming over the driver tables
+# ---------------------------------------------------------------------------
+
+
+def zone_balance_streamed_q(spark, sf):
+    """Readings streamed from the events table (file source, availableNow): two-stream
+    daily rollup with a 1 h watermark, then the stateful chained balance. Days the
+    watermark has not closed yet are not emitted."""
+    import uuid
+
+    from pondflow.session import checkpoint_dir
+    from pondflow.streaming import balance as sb
+    path = f"{sf.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    src = spark.readStream.schema(schema).option("basePath", sf).parquet(f"{sf.rstrip('/')}/events*.parquet")
+    ts = F.col("ts").cast("timestamp").alias("ts")
+    ev = src.select(F.col("event_type").alias("site"), ts, (F.col("value") / 1000.0).alias("evaporation"))
+    wl = src.select(F.col("event_type").alias("site"), ts, (F.col("value") / 50.0 - 0.4).alias("wl"))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/pondflow-streams/zone-{uuid.uuid4().hex}"
+    sb.start_zone_pipeline(spark, ev, wl, IN_CON_ZONE, root, watermark="1 hour")
+    out = spark.read.parquet(f"{root}/balance").where(~F.col("late"))
+    from pondflow.functions.numeric import round_even
+    return r(out.select("site", "date", "wl", "evaporation", "volume_v1_m3", "surface_area", "volume_v2_m3",
+                        round_even("c1", 3).alias("c1"), round_even("c2", 3).alias("c2"),
+                        round_even("quantity_t", 3).alias("quantity_t")),
+             6, ["wl", "evaporation", "volume_v1_m3", "surface_area", "volume_v2_m3"])
+
+
+register("zone_balance_streamed", f"""
+WITH d AS (SELECT event_type AS site, CAST(ts AS DATE) AS date, sum(value / {D(1000)}) AS evaporation,
+                  avg(value / {D(50)} - {D(0.4)}) AS wl
+           FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT * FROM d WHERE CAST(date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+        AND wl IS NOT NULL AND evaporation IS NOT NULL),
+g AS (SELECT *, {q.zone_volume()} AS volume, {q.zone_area()} AS surface_area FROM j),
+i AS (SELECT *, volume - evaporation * surface_area / {D(1000)} AS v2 FROM g),
+c AS (SELECT *, {q.running('product', 'volume / v2')} AS p,
+             COALESCE({q.running('product', 'volume / v2', exclusive=True)}, {D(1)}) AS pe FROM i)
+SELECT site, date, round(wl, 6) AS wl, round(evaporation, 6) AS evaporation,
+       round(volume * {D(1e6)}, 6) AS volume_v1_m3, round(surface_area, 6) AS surface_area,
+       round(v2 * {D(1e6)}, 6) AS volume_v2_m3,
+       round_even({D(IN_CON_ZONE)} * pe, 3) AS c1, round_even({D(IN_CON_ZONE)} * p, 3) AS c2,
+       round_even(v2 * {D(1e6)} * {D(IN_CON_ZONE)} / {D(1000)}, 3) AS quantity_t
+FROM c""")(zone_balance_streamed_q)
+QUERY_IDS["zone_balance_streamed"] = "Q3 A1 A2 J1 W10 W11 W12 F9 F10 F14"
