@@ -72,6 +72,17 @@ def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df
 
 
+def require_unique(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Raise when two rows share ``cols`` (e.g. keys + date): ordered windows and the
+    chained balance would otherwise depend on arbitrary row order. One aggregate;
+    only a single offending key is brought to the driver for the message."""
+    dup = df.groupBy(*cols).count().where(F.col("count") > 1).limit(1).collect()
+    if dup:
+        raise ValueError(f"duplicate rows for {dict((c, dup[0][c]) for c in cols)}; "
+                         "aggregate first or pass a tie-break column")
+    return df
+
+
 def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
     """Raise when nothing is left after cleaning (``isEmpty`` reads one row at most)."""
     if df.isEmpty():

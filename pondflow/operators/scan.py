@@ -37,19 +37,23 @@ def _combine(kind: str, a: Column, b: Column) -> Column:
 
 
 def prefix_scan(df: DataFrame, keys, col, kind: str, out: str, date: str = "date",
-                exclusive_out: str | None = None, segment: Column | None = None) -> DataFrame:
+                exclusive_out: str | None = None, segment: Column | None = None,
+                tie_break: str | None = None) -> DataFrame:
     """Running ``sum`` or ``product`` of ``col`` per key in date order.
 
     ``out`` gets the inclusive prefix; ``exclusive_out`` (optional) the prefix
     ending one row earlier, with the identity (0 or 1) on a key's first row.
+    ``tie_break`` orders rows sharing a date (e.g. a file line number), so the
+    result is deterministic when dates repeat (see ``filters.require_unique``).
     """
+    order = [date, tie_break] if tie_break else [date]
     if kind not in _AGG:
         raise ValueError("kind must be 'sum' or 'product'")
     fn, identity = _AGG[kind]
     k = _keys(keys)
     val = F.col(col) if isinstance(col, str) else col
     if segment is None:
-        w = Window.partitionBy(*k).orderBy(date)
+        w = Window.partitionBy(*k).orderBy(*order)
         res = df.withColumn(out, fn(val).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         if exclusive_out:
             res = res.withColumn(exclusive_out, F.coalesce(
@@ -61,7 +65,7 @@ def prefix_scan(df: DataFrame, keys, col, kind: str, out: str, date: str = "date
     totals = base.groupBy(*k, seg).agg(fn("_v").alias("_tot"))
     ws = Window.partitionBy(*k).orderBy(seg).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*k, seg, F.coalesce(fn("_tot").over(ws), F.lit(identity)).alias("_off"))
-    wi = Window.partitionBy(*k, seg).orderBy(date)
+    wi = Window.partitionBy(*k, seg).orderBy(*order)
     joined = base.join(offsets, k + [seg], "inner")
     res = joined.withColumn(out, _combine(kind, F.col("_off"), fn("_v").over(
         wi.rowsBetween(Window.unboundedPreceding, 0))))
@@ -72,18 +76,18 @@ def prefix_scan(df: DataFrame, keys, col, kind: str, out: str, date: str = "date
 
 
 def running_sum(df: DataFrame, keys, col, out: str, date: str = "date",
-                segment: Column | None = None) -> DataFrame:
+                segment: Column | None = None, tie_break: str | None = None) -> DataFrame:
     """Cumulative sum per key."""
-    return prefix_scan(df, keys, col, "sum", out, date=date, segment=segment)
+    return prefix_scan(df, keys, col, "sum", out, date=date, segment=segment, tie_break=tie_break)
 
 
 def chained_ratio(df: DataFrame, keys, ratio, initial: float, closing: str, opening: str,
-                  date: str = "date", segment: Column | None = None) -> DataFrame:
+                  date: str = "date", segment: Column | None = None, tie_break: str | None = None) -> DataFrame:
     """W10 + W12: ``closing_i = initial * prod(ratio_1..i)``, ``opening_i = closing_{i-1}``
     (``initial`` on the first row). Both unrounded; round at the sink (F21).
     """
     res = prefix_scan(df, keys, ratio, "product", "_p", date=date,
-                      exclusive_out="_pe", segment=segment)
+                      exclusive_out="_pe", segment=segment, tie_break=tie_break)
     c0 = F.lit(float(initial))
     return (res.withColumn(closing, c0 * F.col("_p"))
             .withColumn(opening, c0 * F.col("_pe"))

@@ -209,3 +209,14 @@ def test_dimension_join_broadcast_and_default(spark):
     assert got == {"A": 10.0, "B": 20.0, "Z": None}
     small = lk.dimension_join(df, dim, ["pond"], max_broadcast_rows=1)   # too big to broadcast -> shuffle join
     assert small.count() == 3
+
+
+def test_duplicate_dates_detected_and_tie_break(spark):
+    from pondflow.operators.scan import running_sum
+    rows = [("s", dt.date(2024, 1, 1), 1.0, 0), ("s", dt.date(2024, 1, 1), 2.0, 1), ("s", dt.date(2024, 1, 2), 4.0, 2)]
+    df = spark.createDataFrame(rows, "site string, date date, v double, line int")
+    with pytest.raises(ValueError, match="duplicate rows"):
+        flt.require_unique(df, ["site", "date"])
+    got = [r["cum"] for r in running_sum(df, ["site"], "v", "cum", tie_break="line").orderBy("line").collect()]
+    assert got == [1.0, 3.0, 7.0]
+    assert flt.require_unique(df, ["site", "date", "line"]) is df
