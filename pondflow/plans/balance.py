@@ -39,8 +39,11 @@ def zone_balance(wl: DataFrame, evap: DataFrame, in_con: float, keys=("site",),
 
 def zone_balance_frame(df: DataFrame, in_con: float, keys=("site",), date: str = "date",
                        chained: bool = True, geometry: str = "piecewise", unit: str = "wt%",
-                       segment: Column | None = None) -> DataFrame:
-    """:func:`zone_balance` on an already joined ``(keys, date, wl, evaporation)`` frame."""
+                       segment: Column | None = None, tie_break: str | None = None) -> DataFrame:
+    """:func:`zone_balance` on an already joined ``(keys, date, wl, evaporation)`` frame.
+
+    ``tie_break`` orders rows that share a date inside the chain (see
+    ``scan.prefix_scan``)."""
     k = _keys(keys)
     df = drop_null_rows(df, ["wl", "evaporation"])  # P5
     if geometry == "cubic":
@@ -65,7 +68,7 @@ def zone_balance_frame(df: DataFrame, in_con: float, keys=("site",), date: str =
                 .select(*k, date, "wl", "evaporation", "volume", "v2", "surface_area", "evap_volume", "c2"))
 
     df = chained_ratio(df, k, ph.volume_ratio("volume", "v2"), in_con, "c2", "c1",
-                       date=date, segment=segment)  # W10, W12
+                       date=date, segment=segment, tie_break=tie_break)  # W10, W12
     v2_m3 = F.col("v2") * MEGA
     return df.select(
         *k, date, "wl", "evaporation",
@@ -95,12 +98,13 @@ def pond_balance(evap: DataFrame, inflow: DataFrame, outflow: DataFrame, in_con:
 
 
 def pond_balance_frame(df: DataFrame, in_con: float, keys=("site",), date: str = "date",
-                       area: Column | None = None, segment: Column | None = None) -> DataFrame:
+                       area: Column | None = None, segment: Column | None = None,
+                       tie_break: str | None = None) -> DataFrame:
     """:func:`pond_balance` on an already joined ``(keys, date, evaporation, brine_in, brine_out)`` frame."""
     k = _keys(keys)
     df = drop_null_rows(df, ["evaporation", "brine_in", "brine_out"])
     df = df.withColumn("net_flow", F.col("brine_in") - F.col("brine_out"))
-    df = running_sum(df, k, "net_flow", "cum_net_flow", date=date, segment=segment)  # W1
+    df = running_sum(df, k, "net_flow", "cum_net_flow", date=date, segment=segment, tie_break=tie_break)  # W1
     a = area if area is not None else ph.pond_area(F.col(k[0]))
     df = df.withColumn("surface_area", a)
     df = df.withColumn("level", F.col("cum_net_flow") / F.col("surface_area"))
@@ -109,7 +113,7 @@ def pond_balance_frame(df: DataFrame, in_con: float, keys=("site",), date: str =
     df = df.withColumn("evap_loss", F.col("surface_area") * (F.col("evaporation") / 1000.0))
     df = df.withColumn("v2", F.col("volume") - F.col("evap_loss"))
     df = chained_ratio(df, k, ph.volume_ratio("volume", "v2"), in_con, "c2", "c1",
-                       date=date, segment=segment)
+                       date=date, segment=segment, tie_break=tie_break)
     return df.select(
         *k, date,
         "cum_net_flow",
