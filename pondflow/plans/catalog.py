@@ -4,7 +4,9 @@ Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame that reads
 the driver tables (whole tables, no sampling), so its work grows with them.
 The oracle SQL restates the same query over the same tables. Floating
 results are rounded on both sides (6 digits unless the reference rounds
-itself) because the check compares value hashes.
+itself) because the check compares value hashes; ``zero_safe`` maps -0.0 to
++0.0 in the SQL. ``QUERY_IDS`` (end of file) lists the SURVEY §2 operators
+each query exercises.
 """
 
 from __future__ import annotations
