@@ -93,3 +93,14 @@ def test_calendar_model_registry_roundtrip(spark, cm, weather):
     pa = sorted((r["date"], r["evaporation"]) for r in a.collect())
     pb = sorted((r["date"], r["evaporation"]) for r in b.collect())
     assert [x for _, x in pa] == pytest.approx([x for _, x in pb])
+
+
+def test_calendar_model_beats_mean_baseline(spark, cm, weather):
+    """On a seasonal series the calendar regressor beats predicting the mean."""
+    import numpy as np
+    hist = weather.select("date", "slope").toPandas()
+    pred = fc.predict_calendar(cm, weather.select("date")).select("date", "slope").toPandas()
+    j = hist.merge(pred, on="date", suffixes=("", "_hat"))
+    rmse = float(np.sqrt(np.mean((j["slope"] - j["slope_hat"]) ** 2)))
+    baseline = float(np.sqrt(np.mean((j["slope"] - j["slope"].mean()) ** 2)))
+    assert rmse < 0.5 * baseline
