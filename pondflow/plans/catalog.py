@@ -817,6 +817,18 @@ def recursive_forecast_q(spark, sf):
 
 register("recursive_forecast", None)(recursive_forecast_q)
 
+
+def recursive_forecast_365_q(spark, sf):
+    """365 days after each series' last day (cyclic exogenous index from 1), sliced
+    to the requested months; reuses the forest saved by ``recursive_forecast``."""
+    from pondflow.operators.recursive import fit_or_load_recursive, forecast_recursive
+    hist = _flag_history(spark, sf)
+    rm = fit_or_load_recursive(spark, hist, ["site"], "c2", RECURSIVE_EXOG, _model_root(spark, sf, "recursive"))
+    return forecast_recursive(rm, hist, "2002-01", "2002-06", horizon_days=365, index_base=1)
+
+
+register("recursive_forecast_365", None)(recursive_forecast_365_q)
+
 # ---------------------------------------------------------------------------
 # S1/S2/K1 round trip, F22/F25 labels, M11
 # ---------------------------------------------------------------------------
@@ -1075,6 +1087,7 @@ QUERY_IDS = {
     "water_level_forecast": "Q2 M5 M7 M9 S7 S10 F24",
     "final_concentration_score": "Q5 M1 M6 M8 M9 P8 F5 F7 S10 K5",
     "recursive_forecast": "Q6 M9 M12 M14 M16 M17 W3 W4 W5 W6 W7 W8 W13 J3 J4 O3 A11 F6 F8 S9 S10 K5 P6 P17",
+    "recursive_forecast_365": "Q6 M9 M14 M15 J4 P9",
     "csv_roundtrip": "S1 S2 S4 S5 S6 K1 K2 O1 F23",
     "result_labels": "F25 F22",
     "ea_scaling_constant": "M11 A9 F20",
