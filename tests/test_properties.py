@@ -53,3 +53,17 @@ def test_interpolation_matches_pandas(spark, vals):
             assert g is None
         else:
             assert g == pytest.approx(e, rel=1e-9, abs=1e-9)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from(["a", "b"]),
+                               st.floats(min_value=-1e6, max_value=1e6, allow_nan=False)), min_size=1, max_size=80),
+       probs=st.lists(st.floats(min_value=0.0, max_value=1.0), min_size=1, max_size=3))
+def test_sort_quantiles_match_numpy(spark, rows, probs):
+    from pondflow.operators import stats
+    df = spark.createDataFrame(rows, "site string, y double").repartition(3)
+    got = {r["site"]: [r[f"q{i}"] for i in range(len(probs))]
+           for r in stats.quantiles(df, ["site"], "y", probs).collect()}
+    for site in {k for k, _ in rows}:
+        vals = np.array([v for k, v in rows if k == site])
+        assert got[site] == pytest.approx(list(np.percentile(vals, [100 * p for p in probs])), rel=1e-9, abs=1e-6)
