@@ -67,3 +67,22 @@ def test_sort_quantiles_match_numpy(spark, rows, probs):
     for site in {k for k, _ in rows}:
         vals = np.array([v for k, v in rows if k == site])
         assert got[site] == pytest.approx(list(np.percentile(vals, [100 * p for p in probs])), rel=1e-9, abs=1e-6)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(series_days=st.sets(st.integers(min_value=0, max_value=60), min_size=1, max_size=25),
+       targets=st.lists(st.tuples(st.integers(min_value=0, max_value=90), st.integers(min_value=0, max_value=500)),
+                        min_size=1, max_size=25, unique_by=lambda t: t[0]))
+def test_cyclic_lookup_matches_rule(spark, series_days, targets):
+    from pondflow.operators import lookup
+    d0 = dt.date(2024, 1, 1)
+    series = sorted((d0 + dt.timedelta(days=d), float(d) * 1.5) for d in series_days)
+    sdf = spark.createDataFrame([("k", d, v) for d, v in series], "site string, date date, v double")
+    tdf = spark.createDataFrame([("k", d0 + dt.timedelta(days=d), i) for d, i in targets],
+                                "site string, date date, idx long")
+    got = {r["date"]: r["v"] for r in lookup.cyclic_lookup(tdf, sdf, ["site"], ["v"]).collect()}
+    by_date = dict(series)
+    for d, i in targets:
+        day = d0 + dt.timedelta(days=d)
+        exp = by_date[day] if day in by_date else series[i % len(series)][1]
+        assert got[day] == exp
