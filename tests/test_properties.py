@@ -19,7 +19,7 @@ readings = st.lists(
 BASE = dt.datetime(2024, 1, 1)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=readings, how=st.sampled_from(["sum", "mean"]), freq=st.sampled_from(["D", "M"]))
 def test_resample_matches_pandas(spark, rows, how, freq):
     data = [(k, BASE + dt.timedelta(hours=h), float(v)) for k, h, v in rows]
@@ -40,7 +40,7 @@ def test_resample_matches_pandas(spark, rows, how, freq):
             assert got[key] == pytest.approx(v, rel=1e-9, abs=1e-9)
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(vals=st.lists(st.one_of(st.none(), st.floats(min_value=-100, max_value=100, allow_nan=False)),
                      min_size=2, max_size=40))
 def test_interpolation_matches_pandas(spark, vals):
@@ -55,7 +55,7 @@ def test_interpolation_matches_pandas(spark, vals):
             assert g == pytest.approx(e, rel=1e-9, abs=1e-9)
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=st.lists(st.tuples(st.sampled_from(["a", "b"]),
                                st.floats(min_value=-1e6, max_value=1e6, allow_nan=False)), min_size=1, max_size=80),
        probs=st.lists(st.floats(min_value=0.0, max_value=1.0), min_size=1, max_size=3))
@@ -69,7 +69,7 @@ def test_sort_quantiles_match_numpy(spark, rows, probs):
         assert got[site] == pytest.approx(list(np.percentile(vals, [100 * p for p in probs])), rel=1e-9, abs=1e-6)
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(series_days=st.sets(st.integers(min_value=0, max_value=60), min_size=1, max_size=25),
        targets=st.lists(st.tuples(st.integers(min_value=0, max_value=90), st.integers(min_value=0, max_value=500)),
                         min_size=1, max_size=25, unique_by=lambda t: t[0]))
