@@ -175,16 +175,17 @@ def percentile_trim(df: DataFrame, keys, col: str, lo_p: float = 0.01, hi_p: flo
 def robust_minmax_fit(df: DataFrame, keys, col: str, method: str = "sort") -> DataFrame:
     """M2 fit: min/max over the p1 < y < p99 rows only.
 
-    A key whose trimmed set is empty (a constant or two-valued column) falls
-    back to its untrimmed min/max instead of failing.
+    One aggregate after the quantile join computes the trimmed and the full
+    range together; a key whose trimmed set is empty (a constant or
+    two-valued column) falls back to its full min/max instead of failing.
     """
     k = _keys(keys)
-    trimmed = minmax_fit(percentile_trim(df, k, col, method=method), k, col)
-    full = minmax_fit(df, k, col).withColumnsRenamed({f"{col}_min": "_fmin", f"{col}_max": "_fmax"})
-    # without keys both sides are single-row global aggregates
-    j = full.join(trimmed, k, "left") if k else attach_one_row(full, trimmed)
-    return j.select(*k, F.coalesce(f"{col}_min", "_fmin").alias(f"{col}_min"),
-                    F.coalesce(f"{col}_max", "_fmax").alias(f"{col}_max"))
+    q = quantiles(df, k, col, [0.01, 0.99], method=method).withColumnsRenamed({"q0": "_plo", "q1": "_phi"})
+    j = join_small(df.select(*k, col), q, k)
+    inside = (F.col(col) > F.col("_plo")) & (F.col(col) < F.col("_phi"))
+    return j.groupBy(*k).agg(
+        F.coalesce(F.min(F.when(inside, F.col(col))), F.min(col)).alias(f"{col}_min"),
+        F.coalesce(F.max(F.when(inside, F.col(col))), F.max(col)).alias(f"{col}_max"))
 
 
 def robust_scale(df: DataFrame, keys, col: str, out: str | None = None, method: str = "sort") -> DataFrame:
