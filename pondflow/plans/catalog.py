@@ -1109,8 +1109,20 @@ def zone_balance_streamed_q(spark, sf):
     """Readings streamed from the events table (file source, availableNow): two-stream
     daily rollup with a 1 h watermark, then the stateful chained balance. Days the
     watermark has not closed yet are not emitted."""
+    # the wall-clock readings become instants for the watermark and day windows align to
+    # UTC midnight, so the streams are built and run in UTC whatever the caller's zone is
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        return _zone_balance_streamed(spark, sf)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", tz)
+
+
+def _zone_balance_streamed(spark, sf):
     import uuid
 
+    from pondflow.functions.numeric import round_even
     from pondflow.session import checkpoint_dir
     from pondflow.streaming import balance as sb
     path = f"{sf.rstrip('/')}/events.parquet"
@@ -1122,7 +1134,6 @@ def zone_balance_streamed_q(spark, sf):
     root = f"{checkpoint_dir(spark).rstrip('/')}/pondflow-streams/zone-{uuid.uuid4().hex}"
     sb.start_zone_pipeline(spark, ev, wl, IN_CON_ZONE, root, watermark="1 hour")
     out = spark.read.parquet(f"{root}/balance").where(~F.col("late"))
-    from pondflow.functions.numeric import round_even
     return r(out.select("site", "date", "wl", "evaporation", "volume_v1_m3", "surface_area", "volume_v2_m3",
                         round_even("c1", 3).alias("c1"), round_even("c2", 3).alias("c2"),
                         round_even("quantity_t", 3).alias("quantity_t")),
