@@ -72,13 +72,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this setting points at shared storage and is used as is. Only
     when it is unset (local tests) a private folder is created and registered.
+    pondflow's own folders (model registry, stream checkpoints) live under the
+    returned base path; RDD checkpoints go where the SparkContext puts them
+    (its directory is only set here when it has none, since every
+    ``setCheckpointDir`` call creates a new subfolder).
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        current = current.get() if current.isDefined() else None
-    if not current:
-        current = tempfile.mkdtemp(prefix="pondflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="pondflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", base)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(base)
+    return base
