@@ -16,8 +16,10 @@ incrementally:
   dates already processed are reported with ``late = true`` and do not move
   the chain (a batch recomputation is needed to restate history).
 
-* :func:`start_zone_pipeline` - the two as separate queries joined by a
-  Parquet table (one stateful operator per query).
+* :func:`chained_pond_balance` - the pond balance (Q4) carried the same way:
+  running net inflow plus the chained concentration per site.
+* :func:`start_zone_pipeline` - rollup and zone chain as separate queries
+  joined by a Parquet table (one stateful operator per query).
 
 State is one small tuple per site; checkpoints go under the session's
 ``spark.checkpoint.dir`` (shared storage on a cluster).
@@ -137,6 +139,62 @@ def chained_zone_balance(daily: DataFrame, in_con: float, keys: Sequence[str] =
             .applyInPandasWithState(step, out_schema, _STATE, "append", GroupStateTimeout.NoTimeout))
 
 
+_POND_STATE = Ty.StructType([Ty.StructField("cum", Ty.DoubleType()), Ty.StructField("c_last", Ty.DoubleType()),
+                             Ty.StructField("last_date", Ty.DateType())])
+
+
+def chained_pond_balance(daily: DataFrame, in_con: float, keys: Sequence[str] = ("site",),
+                         date: str = "date") -> DataFrame:
+    """Stateful Q4 over a stream of daily ``(keys, date, evaporation, brine_in, brine_out)`` rows.
+
+    The state per site is the running net inflow (W1), the last unrounded
+    closing concentration (W10/W12) and the last processed date, so each batch
+    continues exactly where the previous one stopped. The pond area follows
+    the reference's name rule on the first key (F17/J5). Rows for dates
+    already processed come out with ``late = true``.
+    """
+    keys = list(keys)
+    key_fields = [f for f in daily.schema.fields if f.name in keys]
+    names = ["cum_net_flow", "water_level", "volume_v1_m3", "evaporation", "evap_volume", "surface_area",
+             "volume_v2_m3", "c1", "c2", "quantity_t"]
+    out_schema = Ty.StructType(key_fields + [Ty.StructField(date, Ty.DateType())]
+                               + [Ty.StructField(n, Ty.DoubleType()) for n in names]
+                               + [Ty.StructField("late", Ty.BooleanType())])
+    cols = [f.name for f in out_schema.fields]
+    site_col = keys[0]
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True)
+        pdf = pdf.dropna(subset=["evaporation", "brine_in", "brine_out"]).sort_values(date)
+        cum0, c_last, last = state.get if state.exists else (0.0, float(in_con), None)
+        late_mask = pdf[date] <= last if last is not None else pd.Series(False, index=pdf.index)
+        fresh = pdf[~late_mask].drop_duplicates(subset=[date], keep="last")
+        if len(fresh):
+            site = str(fresh[site_col].iloc[0]).lower()
+            area = ph.POND_AREA_DHORDO if site == "dhordo" else ph.POND_AREA_OTHER
+            cum = cum0 + np.cumsum(fresh["brine_in"].to_numpy(float) - fresh["brine_out"].to_numpy(float))
+            depth = ph.POND_BASE_DEPTH + cum / area
+            vol = area * depth
+            loss = area * (fresh["evaporation"].to_numpy(float) / 1000.0)
+            v2 = vol - loss
+            with np.errstate(divide="ignore", invalid="ignore"):
+                closing = c_last * np.cumprod(vol / v2)
+            opening = np.concatenate([[c_last], closing[:-1]])
+            rows = fresh.assign(cum_net_flow=cum, water_level=depth, volume_v1_m3=vol, evap_volume=loss,
+                                surface_area=area, volume_v2_m3=v2, c1=opening, c2=closing,
+                                quantity_t=v2 * in_con / 1000.0, late=False)
+            state.update((float(cum[-1]), float(closing[-1]), rows[date].iloc[-1]))
+            yield rows[cols]
+        late = pdf[late_mask]
+        if len(late):
+            nan = np.full(len(late), np.nan)
+            yield late.assign(**{n: (late[n] if n == "evaporation" else nan) for n in names}, late=True)[cols]
+
+    return (daily.select(*keys, date, "evaporation", "brine_in", "brine_out")
+            .groupBy(*keys)
+            .applyInPandasWithState(step, out_schema, _POND_STATE, "append", GroupStateTimeout.NoTimeout))
+
+
 def start_zone_pipeline(spark: SparkSession, evap: DataFrame, wl: DataFrame, in_con: float, root: str,
                         keys: Sequence[str] = ("site",), ts: str = "ts", watermark: str = "1 day"):
     """Two streaming queries: readings -> closed daily rows (Parquet under ``root/daily``)
