@@ -1157,3 +1157,64 @@ SELECT site, date, round(wl, 6) AS wl, round(evaporation, 6) AS evaporation,
        round_even(v2 * {D(1e6)} * {D(IN_CON_ZONE)} / {D(1000)}, 3) AS quantity_t
 FROM c""")(zone_balance_streamed_q)
 QUERY_IDS["zone_balance_streamed"] = "Q3 A1 A2 J1 W10 W11 W12 F9 F10 F14"
+
+
+def pond_balance_streamed_q(spark, sf):
+    """Order readings streamed from the orders table: evaporation, inflow and (status F)
+    outflow summed per closed day, then the stateful pond chain. Built and run in UTC."""
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        return _pond_balance_streamed(spark, sf)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", tz)
+
+
+def _pond_balance_streamed(spark, sf):
+    import uuid
+
+    from pondflow.functions.numeric import round_even
+    from pondflow.session import checkpoint_dir
+    from pondflow.streaming import balance as sb
+    base = sf.rstrip("/")
+    schema = spark.read.parquet(f"{base}/orders.parquet").schema
+    src = spark.readStream.schema(schema).option("basePath", sf).parquet(f"{base}/orders*.parquet")
+    site = F.concat(F.col("o_orderpriority"), F.lit("-"), F.date_format("o_orderdate", "yyyyMM")).alias("site")
+    ts = F.col("o_orderdate").cast("timestamp").alias("ts")
+    ev = src.select(site, ts, ((F.col("o_orderkey") % 9) + 0.5).alias("evaporation"))
+    fin = src.select(site, ts, F.col("o_totalprice").alias("brine_in"))
+    fout = src.where(F.col("o_orderstatus") == "F").select(site, ts, (F.col("o_totalprice") * 0.6).alias("brine_out"))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/pondflow-streams/pond-{uuid.uuid4().hex}"
+    sb.start_pond_pipeline(spark, ev, fin, fout, IN_CON_POND, root, watermark="1 hour")
+    out = spark.read.parquet(f"{root}/balance").where(~F.col("late"))
+    return r(out.select("site", "date", "cum_net_flow", round_even("water_level", 6).alias("water_level"),
+                        round_even("volume_v1_m3", 2).alias("volume_v1_m3"), "evaporation",
+                        round_even("evap_volume", 2).alias("evap_volume"),
+                        round_even("surface_area", 2).alias("surface_area"),
+                        round_even("volume_v2_m3", 2).alias("volume_v2_m3"), round_even("c1", 3).alias("c1"),
+                        round_even("c2", 3).alias("c2"), round_even("quantity_t", 0).alias("quantity_t")),
+             6, ["cum_net_flow", "evaporation"])
+
+
+register("pond_balance_streamed", f"""
+WITH o AS (SELECT o_orderpriority || '-' || strftime(o_orderdate, '%Y%m') AS site, CAST(o_orderdate AS DATE) AS date,
+                  o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderdate IS NOT NULL),
+d AS (SELECT site, date, sum((o_orderkey % 9) + {D(0.5)}) AS evaporation, sum(o_totalprice) AS brine_in,
+             sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice * {D(0.6)} END) AS brine_out
+      FROM o GROUP BY site, date),
+j AS (SELECT * FROM d WHERE CAST(date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 HOUR
+        AND evaporation IS NOT NULL AND brine_in IS NOT NULL AND brine_out IS NOT NULL),
+f AS (SELECT *, {q.running('sum', 'brine_in - brine_out')} AS cum_net_flow, {D(ph.POND_AREA_OTHER)} AS surface_area FROM j),
+g AS (SELECT *, {D(ph.POND_BASE_DEPTH)} + cum_net_flow / surface_area AS depth FROM f),
+h AS (SELECT *, surface_area * depth AS volume, surface_area * (evaporation / {D(1000)}) AS evap_loss FROM g),
+i AS (SELECT *, volume - evap_loss AS v2 FROM h),
+c AS (SELECT *, {q.running('product', 'volume / v2')} AS p,
+             COALESCE({q.running('product', 'volume / v2', exclusive=True)}, {D(1)}) AS pe FROM i)
+SELECT site, date, round(cum_net_flow, 6) AS cum_net_flow, round_even(depth, 6) AS water_level,
+       round_even(volume, 2) AS volume_v1_m3, round(evaporation, 6) AS evaporation,
+       round_even(evap_loss, 2) AS evap_volume, round_even(surface_area, 2) AS surface_area,
+       round_even(v2, 2) AS volume_v2_m3, round_even({D(IN_CON_POND)} * pe, 3) AS c1,
+       round_even({D(IN_CON_POND)} * p, 3) AS c2,
+       round_even(v2 * {D(IN_CON_POND)} / {D(1000)}, 0) AS quantity_t
+FROM c""")(pond_balance_streamed_q)
+QUERY_IDS["pond_balance_streamed"] = "Q4 A1 J2 W1 F17 J5 W10 W11 W12 F21"

@@ -18,8 +18,9 @@ incrementally:
 
 * :func:`chained_pond_balance` - the pond balance (Q4) carried the same way:
   running net inflow plus the chained concentration per site.
-* :func:`start_zone_pipeline` - rollup and zone chain as separate queries
-  joined by a Parquet table (one stateful operator per query).
+* :func:`start_zone_pipeline` / :func:`start_pond_pipeline` - rollup and
+  chain as separate queries joined by a Parquet table (one stateful operator
+  per query).
 
 State is one small tuple per site; checkpoints go under the session's
 ``spark.checkpoint.dir`` (shared storage on a cluster).
@@ -72,6 +73,25 @@ def daily_zone_rollup(evap: DataFrame, wl: DataFrame, keys: Sequence[str] = ("si
     return agg.select(*k, F.to_date(F.col("window.start")).alias("date"), "evaporation", "wl")
 
 
+def daily_pond_rollup(evap: DataFrame, inflow: DataFrame, outflow: DataFrame, keys: Sequence[str] = ("site",),
+                      ts: str = "ts", watermark: str = "1 day") -> DataFrame:
+    """Evaporation and brine flows summed per key and closed day (D8), three streams
+    in one windowed aggregation (no stream-stream join)."""
+    k = list(keys)
+    cols = ["evaporation", "brine_in", "brine_out"]
+
+    def part(df, col):
+        return df.select(*k, F.col(ts).alias("_ts"),
+                         *[(F.col(c).try_cast("double") if c == col else F.lit(None).cast("double")).alias(c)
+                           for c in cols])
+
+    u = part(evap, "evaporation").unionByName(part(inflow, "brine_in")).unionByName(part(outflow, "brine_out"))
+    agg = (u.withWatermark("_ts", watermark)
+           .groupBy(*k, F.window("_ts", "1 day"))
+           .agg(*[F.sum(c).alias(c) for c in cols]))
+    return agg.select(*k, F.to_date(F.col("window.start")).alias("date"), *cols)
+
+
 _STATE = Ty.StructType([Ty.StructField("c_last", Ty.DoubleType()), Ty.StructField("last_date", Ty.DateType())])
 
 
@@ -214,6 +234,20 @@ def start_zone_pipeline(spark: SparkSession, evap: DataFrame, wl: DataFrame, in_
     return daily_q, bal_q
 
 
+def start_pond_pipeline(spark: SparkSession, evap: DataFrame, inflow: DataFrame, outflow: DataFrame,
+                        in_con: float, root: str, keys: Sequence[str] = ("site",), ts: str = "ts",
+                        watermark: str = "1 day"):
+    """Readings -> closed daily rows (``root/daily``) -> chained pond balance (``root/balance``)."""
+    daily_q = start_to_table(spark, daily_pond_rollup(evap, inflow, outflow, keys, ts, watermark), "pond-daily",
+                             f"{root}/daily")
+    daily_q.awaitTermination()
+    schema = spark.read.parquet(f"{root}/daily").schema
+    daily = spark.readStream.schema(schema).parquet(f"{root}/daily")
+    bal_q = start_to_table(spark, chained_pond_balance(daily, in_con, keys), "pond-balance", f"{root}/balance")
+    bal_q.awaitTermination()
+    return daily_q, bal_q
+
+
 def start_to_table(spark: SparkSession, stream: DataFrame, name: str, table_path: str,
                    trigger_once: bool = True):
     """Write a stream as Parquet (append) with its checkpoint in the shared checkpoint dir
