@@ -53,12 +53,15 @@ def prefix_scan(df: DataFrame, keys, col, kind: str, out: str, date: str = "date
     k = _keys(keys)
     val = F.col(col) if isinstance(col, str) else col
     if segment is None:
+        # the input is materialised once, so an expression (e.g. a guarded ratio) is
+        # not rebuilt for both the inclusive and the exclusive frame
+        base = df.withColumn("_v", val)
         w = Window.partitionBy(*k).orderBy(*order)
-        res = df.withColumn(out, fn(val).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        res = base.withColumn(out, fn("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         if exclusive_out:
             res = res.withColumn(exclusive_out, F.coalesce(
-                fn(val).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(identity)))
-        return res
+                fn("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(identity)))
+        return res.drop("_v")
 
     seg = "_seg"
     base = df.withColumn(seg, segment).withColumn("_v", val)
