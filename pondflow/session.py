@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -64,14 +65,38 @@ def get_spark(master: str | None = None, app: str = "pondflow",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per SparkContext.
+
+    Python workers import pondflow for the Arrow and pandas steps; they cannot see
+    the driver's folders, so the sources travel as one small zip file.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_pondflow_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    fd, path = tempfile.mkstemp(prefix="pondflow-", suffix=".zip")
+    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._pondflow_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is used as is. Only
-    when it is unset (local tests) a private folder is created and registered.
+    On a cluster this setting points at shared storage and is used as is; without
+    it a cluster session is refused, as a machine-local folder would be seen by one
+    machine only. Only a ``local`` master (tests) gets a private folder.
     pondflow's own folders (model registry, stream checkpoints) live under the
     returned base path; RDD checkpoints go where the SparkContext puts them
     (its directory is only set here when it has none, since every
@@ -79,6 +104,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="pondflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
