@@ -13,10 +13,15 @@ transpose, restricted to the blocks that can hold an entry large enough:
    with the others, never all with all. Size and position bounds discard pairs
    before their overlap is accumulated.
 4. Links make components. Pairs still open are those of one column whose ends are in
-   different components: the columns that hold such pairs are cut in blocks and
-   joined block by block under the same bounds, the rest of the column against its
-   largest component. No link is lost: a pair is left out only if its ends are
-   already connected or a bound rules it out.
+   different components. Where they would be many, further rounds pair the nodes
+   outside a column's largest component with another node of it. The rest is exact:
+   columns with open pairs are cut in blocks, and what lies outside the largest
+   component is joined with each block under the same bounds. No link is lost: a
+   pair is left out only if its ends are already connected or a bound rules it out.
+
+Before any overlap is accumulated a parity sketch per node (a bit is the parity of
+the shingles that hash to it) bounds it from above: the sketches of two sets differ in
+at most as many bits as the sets in elements.
 
 The overlap of a surviving pair is counted on its whole sets.
 """
@@ -36,13 +41,20 @@ from pondflow.llm.shingles import Hasher, set_name
 HOT_AT = 16            # a column with more nodes than this counts as common
 HOT_COLUMNS = 100_000  # most columns in the list of common ones (0.8 MB broadcast)
 BLOCK = 1024           # nodes of a column in one block of the second product
-FILTER_BITS = (1 << 16, 1 << 26)  # fewest and most bits of the node filter (8 MB broadcast)
+FILTER_BITS = (1 << 16, 1 << 26)  # fewest and most bits of the filter of documents (8 MB broadcast)
+SKETCH = 8             # longs of the parity sketch
+ROUNDS = 4             # most further rounds of pivots before the rest is joined
 
 
 def _prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    parity = np.bincount((shingles & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches, k: int) -> Iterator:
     """(ids, shingle sets, set names) of Arrow batches of (doc_id, text)."""
     hasher = Hasher()
@@ -67,8 +79,9 @@ def _describe(k: int, percent: int):
             node = np.array(names, np.uint64).view(np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(node, mask=sizes == 0), pa.array(sizes), pa.array(columns, pa.list_(pa.int64()))],
-                ["doc_id", "node", "n", "columns"])
+                [ids, pa.array(node, mask=sizes == 0), pa.array(sizes), pa.array(columns, pa.list_(pa.int64())),
+                 pa.array([_sketch(s) for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "node", "n", "columns", "sketch"])
     return run
 
 
@@ -104,38 +117,46 @@ def _entries(k: int, percent: int, hot: np.ndarray):
 
 
 def _chosen(k: int, bits: np.ndarray):
-    """(node, shingles) of the nodes that the filter lets through, each once a batch."""
-    size = np.uint64(len(bits) * 64 - 1)
+    """(node, shingles) of the documents whose mark the filter lets through."""
+    size = np.int64(len(bits) * 64 - 1)
 
     def run(batches):
         import pyarrow as pa
 
-        for _, sets, names in _sets(batches, k):
-            seen, nodes, rows = set(), [], []
-            for s, name in zip(sets, names):
-                slot = int(name & size)
-                if len(s) and name not in seen and int(bits[slot >> 6]) >> (slot & 63) & 1:
-                    seen.add(name)
-                    nodes.append(int(np.uint64(name).view(np.int64)))
-                    rows.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))],
-                                             ["node", "shingles"])
+        for batch in batches:
+            slot = batch.column(2).to_numpy() & size
+            batch = batch.filter(pa.array((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            for _, sets, names in _sets([batch], k):
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)),
+                                                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
     return run
 
 
-def _node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of the nodes' low bits, built by Spark and bounded in size whatever their number."""
+def _filter(marks: DataFrame) -> np.ndarray:
+    """A bitmap of the marks' low bits, built by Spark and bounded in size whatever their number."""
     least, most = FILTER_BITS
-    count = max(nodes.count(), 1)
-    size = min(most, max(least, 1 << (8 * count).bit_length()))
-    slot = F.col("node").bitwiseAND(F.lit(size - 1))
-    words = (nodes.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(node & 63 as int))").alias("b"))
+    size = min(most, max(least, 1 << (8 * marks.count()).bit_length()))
+    words = (marks.select(F.shiftright(F.col("mark").bitwiseAND(F.lit(size - 1)), 6).alias("w"),
+                          F.expr("shiftleft(1L, cast(mark & 63 as int))").alias("b"))
              .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
     bits = np.zeros(size // 64, np.uint64)
     bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
     return bits
 
 
+def _shingle_sets(docs: DataFrame, found: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of ``nodes``, from one document of each. A bitmap of those documents' ids lets
+    nearly all others pass without a shuffle; what it lets through besides is never joined."""
+    first = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    bits = _filter(first.select(F.xxhash64("doc_id").alias("mark")))
+    marked = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("mark"))
+    return materialise(marked.mapInArrow(_chosen(k, bits), "node long, shingles array<long>"), "shingles")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+
 def _possible(a: str, b: str, percent: int):
     """Whether two entries of one column (prefixes a, b of their columns' names) can reach the threshold:
     the overlap is at most 1 + the shorter rest after the shared column."""
@@ -144,13 +165,43 @@ def _possible(a: str, b: str, percent: int):
             & (rest * (100 + percent) >= (F.col(f"{a}n") + F.col(f"{b}n")) * percent))
 
 
+def _near(a, b, n, percent: int):
+    """Whether sketches a and b allow sets of n elements together to reach the threshold."""
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH)), F.lit(0))
+    return differ * (100 + percent) <= n * (100 - percent)
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    u = sketches.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+    v = sketches.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+    return (pairs.join(u, "u").join(v, "v").where(_near(F.col("su"), F.col("sv"), F.col("nu") + F.col("nv"), percent)).select("u", "v"))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets reach the threshold."""
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
     return (pairs.join(left, "u").join(right, "v").withColumn("o", both)
-            .where(F.col("o") * 100 >= (F.size("su") + F.size("sv") - F.col("o")) * percent).select("u", "v"))
+            .where(F.col("o") * 100 >= (F.size("su") + F.size("sv") - F.col("o")) * percent).select("u", "v").distinct())
+
+
+def _pair(a: str, b: str):
+    return F.struct(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).alias("x")
+
+
+def _open_columns(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """The entries of columns whose nodes are in several components, with ``component`` and the
+    column's largest one as ``main``. Pairs with a column's pivot are settled, so the pivot is left out."""
+    column = Window.partitionBy("col")
+    found = (entries.where("m > 2 and node != p_node").join(label, "node", "left")
+             .withColumn("component", F.coalesce("component", "node"))
+             .withColumn("lo", F.min("component").over(column)).withColumn("hi", F.max("component").over(column))
+             .where("lo != hi").select("col", "node", "n", "pos", "m", "component"))
+    found = materialise(found, "open")
+    main = (found.groupBy("col", "component").count().groupBy("col")
+            .agg(F.max(F.struct("count", "component")).alias("x")).select("col", F.col("x.component").alias("main")))
+    return found.join(main, "col")
 
 
 def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -165,7 +216,7 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     docs = documents(df, doc_id, text)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = materialise(docs.mapInArrow(_describe(k, percent),
-                                        f"doc_id {kind}, node long, n long, columns array<long>"), "sets")
+                                        f"doc_id {kind}, node long, n long, columns array<long>, sketch array<long>"), "sets")
     hot = (found.select(F.explode("columns").alias("col")).groupBy("col").count()
            .where(F.col("count") > HOT_AT).orderBy(F.desc("count"), "col").limit(HOT_COLUMNS).select("col").toPandas())
     hot = np.sort(hot["col"].to_numpy(np.int64).view(np.uint64))
@@ -180,36 +231,49 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
                        F.col("pivot.n").alias("p_n"), F.col("pivot.pos").alias("p_pos")))
     entries = materialise(entries, "entries")
 
+    sketches = materialise(found.join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+                           .select("node", "n", "sketch"), "sketches")
     stars = entries.where((F.col("node") != F.col("p_node")) & _possible("", "p_", percent))
-    tried = materialise(stars.select(F.greatest("node", "p_node").alias("u"), F.least("node", "p_node").alias("v")).distinct(), "pairs")
-    bits = _node_filter(entries.select("node").distinct())
-    sets = materialise(docs.mapInArrow(_chosen(k, bits), "node long, shingles array<long>")
-                       .join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "shingles")
-    links = materialise(_links(tried, sets, percent), "links")
+    tried = materialise(stars.select(_pair("node", "p_node")).distinct().select("x.*"), "pairs")
+    pairs = materialise(_plausible(tried, sketches, percent), "pairs")
+    links = materialise(_links(pairs, _shingle_sets(docs, found, _ends(pairs), k), percent), "links")
     label = connected_components(links)
-
-    # columns whose nodes are not yet in one component: all but the largest against all, in blocks
-    open_ = (entries.where("m > 2 and node != p_node").join(label, "node", "left")
-             .withColumn("component", F.coalesce("component", "node"))
-             .withColumn("lo", F.min("component").over(column)).withColumn("hi", F.max("component").over(column))
-             .where("lo != hi").select("col", "node", "n", "pos", "m", "component"))
-    open_ = materialise(open_, "open")
-    main = (open_.groupBy("col", "component").count().groupBy("col")
-            .agg(F.max(F.struct("count", "component")).alias("x")).select("col", F.col("x.component").alias("main")))
+    sets, total = None, entries.count()
+    for turn in range(ROUNDS):
+        open_ = _open_columns(entries, label)
+        outside, work = open_.where("component != main").agg(F.countDistinct("node"), F.sum(F.col("m").cast("double"))).first()
+        if (work or 0) <= 8 * total:
+            break
+        if sets is None:
+            sets = _shingle_sets(docs, found, open_.select("node").distinct(), k)
+        # any node of the largest component, another one in each column and round
+        pivot = F.max(F.struct(F.col("component") == F.col("main"), F.xxhash64("col", "node", F.lit(turn)), "node", "n", "pos")).over(column)
+        more = (open_.withColumn("p", pivot).where("component != main")
+                .select("*", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
+                .where(_possible("", "p_", percent)).select(_pair("node", "p_node")).distinct().select("x.*")
+                .join(tried, ["u", "v"], "left_anti"))
+        more = materialise(more, "pairs")
+        tried = tried.unionByName(more)
+        more = materialise(_links(_plausible(more, sketches, percent), sets, percent), "links")
+        links = links.unionByName(more)
+        label = connected_components(links)
+        if more.count() * 50 < outside:  # what is still outside hardly links to it
+            break
+
+    open_ = _open_columns(entries, label).join(sketches.select("node", "sketch"), "node")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    open_ = open_.join(main, "col")
-    rest = (open_.where(F.col("component") != F.col("main"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("col", "block", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "pos", "component")]))
-    all_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    pairs = (all_.join(rest, ["col", "block"])
+    rest = (open_.where("component != main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select("col", "block", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "pos", "component", "sketch")]))
+    pairs = (open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).join(rest, ["col", "block"])
              .where((F.col("component") != F.col("r_component"))
                     & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("r_node")))
-                    & _possible("", "r_", percent))
-             .select(F.greatest("node", "r_node").alias("u"), F.least("node", "r_node").alias("v")).distinct()
-             .join(tried, ["u", "v"], "left_anti"))
-    more = materialise(_links(pairs, sets, percent), "links")
-    label = materialise(connected_components(links.unionByName(more)), "labels")
+                    & _possible("", "r_", percent) & _near(F.col("sketch"), F.col("r_sketch"), F.col("n") + F.col("r_n"), percent))
+             .select(_pair("node", "r_node")).distinct().select("x.*").join(tried, ["u", "v"], "left_anti"))
+    pairs = materialise(pairs, "pairs")
+    if sets is None:
+        sets = _shingle_sets(docs, found, _ends(pairs), k)
+    links = links.unionByName(materialise(_links(pairs, sets, percent), "links"))
+    label = materialise(connected_components(links), "labels")
 
     named = (found.select("doc_id", "node", "n").join(label, "node", "left")
              .withColumn("component", F.coalesce("component", "node")))
