@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -28,7 +29,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of materialised tables that no later step reads, and let Spark's cleaner
+    drop the shuffle files of finished steps now instead of at the driver's next collection: at scale both
+    are most of a job's disk."""
+    for df in tables:
+        spark = df.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

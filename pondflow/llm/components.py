@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pondflow.llm.common import materialise
+from pondflow.llm.common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     now, mark = materialise(now, "edges"), None
     while True:
-        now = materialise(_small_star(_large_star(now)), "stars")
+        last, now = now, materialise(_small_star(_large_star(now)), "stars")
+        discard(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pondflow.llm.common import documents, materialise, string_buffers
+from pondflow.llm.common import discard, documents, materialise, string_buffers
 from pondflow.llm.components import connected_components
 from pondflow.llm.shingles import Hasher, set_name
 
@@ -177,13 +177,16 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     return (pairs.join(u, "u").join(v, "v").where(_near(F.col("su"), F.col("sv"), F.col("nu") + F.col("nv"), percent)).select("u", "v"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets reach the threshold."""
+def _links(pairs: DataFrame, docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets reach the threshold. Only the sets of ``pairs`` are read and moved."""
+    sets = _shingle_sets(docs, found, _ends(pairs), k)
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
-    return (pairs.join(left, "u").join(right, "v").withColumn("o", both)
-            .where(F.col("o") * 100 >= (F.size("su") + F.size("sv") - F.col("o")) * percent).select("u", "v").distinct())
+    out = materialise(pairs.join(left, "u").join(right, "v").withColumn("o", both)
+                      .where(F.col("o") * 100 >= (F.size("su") + F.size("sv") - F.col("o")) * percent).select("u", "v").distinct(), "links")
+    discard(sets)
+    return out
 
 
 def _pair(a: str, b: str):
@@ -204,6 +207,13 @@ def _open_columns(entries: DataFrame, label: DataFrame) -> DataFrame:
     return found.join(main, "col")
 
 
+def _slim(found: DataFrame) -> DataFrame:
+    """``found`` without the columns' hashes, which are no longer needed."""
+    out = materialise(found.drop("columns"), "sets")
+    discard(found)
+    return out
+
+
 def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of ``df``.
 
@@ -230,22 +240,21 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
                .select("col", "node", "n", "pos", "m", F.col("pivot.node").alias("p_node"),
                        F.col("pivot.n").alias("p_n"), F.col("pivot.pos").alias("p_pos")))
     entries = materialise(entries, "entries")
+    found = _slim(found)
 
     sketches = materialise(found.join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
                            .select("node", "n", "sketch"), "sketches")
     stars = entries.where((F.col("node") != F.col("p_node")) & _possible("", "p_", percent))
     tried = materialise(stars.select(_pair("node", "p_node")).distinct().select("x.*"), "pairs")
     pairs = materialise(_plausible(tried, sketches, percent), "pairs")
-    links = materialise(_links(pairs, _shingle_sets(docs, found, _ends(pairs), k), percent), "links")
+    links = _links(pairs, docs, found, k, percent)
     label = connected_components(links)
-    sets, total = None, entries.count()
+    total = entries.count()
     for turn in range(ROUNDS):
         open_ = _open_columns(entries, label)
         outside, work = open_.where("component != main").agg(F.countDistinct("node"), F.sum(F.col("m").cast("double"))).first()
         if (work or 0) <= 8 * total:
             break
-        if sets is None:
-            sets = _shingle_sets(docs, found, open_.select("node").distinct(), k)
         # any node of the largest component, another one in each column and round
         pivot = F.max(F.struct(F.col("component") == F.col("main"), F.xxhash64("col", "node", F.lit(turn)), "node", "n", "pos")).over(column)
         more = (open_.withColumn("p", pivot).where("component != main")
@@ -254,7 +263,7 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
                 .join(tried, ["u", "v"], "left_anti"))
         more = materialise(more, "pairs")
         tried = tried.unionByName(more)
-        more = materialise(_links(_plausible(more, sketches, percent), sets, percent), "links")
+        more = _links(materialise(_plausible(more, sketches, percent), "pairs"), docs, found, k, percent)
         links = links.unionByName(more)
         label = connected_components(links)
         if more.count() * 50 < outside:  # what is still outside hardly links to it
@@ -270,9 +279,7 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
                     & _possible("", "r_", percent) & _near(F.col("sketch"), F.col("r_sketch"), F.col("n") + F.col("r_n"), percent))
              .select(_pair("node", "r_node")).distinct().select("x.*").join(tried, ["u", "v"], "left_anti"))
     pairs = materialise(pairs, "pairs")
-    if sets is None:
-        sets = _shingle_sets(docs, found, _ends(pairs), k)
-    links = links.unionByName(materialise(_links(pairs, sets, percent), "links"))
+    links = links.unionByName(_links(pairs, docs, found, k, percent))
     label = materialise(connected_components(links), "labels")
 
     named = (found.select("doc_id", "node", "n").join(label, "node", "left")
