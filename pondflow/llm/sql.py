@@ -2,4 +2,88 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from pondflow.llm.chat import END
+from pondflow.llm.secret_scan import BASE, CANDIDATE, COPIED_OWNERS, KINDS, LEAST_DISTINCT, MOST_OWNERS, PLACEHOLDER, SIGN
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secrets() -> str:
+    parts = []
+    for kind, (pattern, group, least) in {**BASE, "owned": CANDIDATE}.items():
+        p = _quoted(pattern)
+        parts.append(f"""SELECT doc_id, source, '{kind}' AS kind, {KINDS.index(kind)} AS rnk, {least} AS least,
+            string_split_regex(t, {p}) AS g, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS v
+            FROM docs WHERE regexp_matches(t, {_quoted(SIGN[kind])})""")
+    return f"""
+    WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+    found AS ({' UNION ALL '.join(parts)}),
+    each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+    placed AS (SELECT doc_id, source, kind, rnk, least, v[i] AS val, length(m[i]) AS size,
+        list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS a FROM each),
+    spans AS (SELECT doc_id, source, kind, rnk, val, a::BIGINT AS a, (a + size)::BIGINT AS b FROM placed WHERE length(val) >= least),
+    base AS (SELECT * FROM spans WHERE kind <> 'owned'),
+    kept AS (SELECT * FROM base UNION ALL
+        SELECT * FROM spans s WHERE kind = 'owned' AND length(regexp_replace(val, '[^0-9]', '', 'g')) >= 3
+            AND length(regexp_replace(val, '[^A-Za-z]', '', 'g')) >= 3
+            AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = s.doc_id AND x.a < s.b AND x.b > s.a)),
+    owners AS (SELECT val, count(DISTINCT source) AS owners FROM kept GROUP BY val),
+    marked AS (SELECT kept.*, owners >= {COPIED_OWNERS} AS copied,
+        owners <= {MOST_OWNERS} AND len(list_distinct(string_split(val, ''))) >= {LEAST_DISTINCT}
+        AND NOT regexp_matches(val, {_quoted(PLACEHOLDER)}) AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AS live
+        FROM kept JOIN owners USING (val)),
+    final AS (SELECT *, kind || ':' || a || ':' || b AS span FROM marked WHERE kind <> 'owned' OR live)
+    SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        sha256(coalesce(string_agg(span, ',' ORDER BY a, rnk) FILTER (kind <> 'owned'), '')) AS base_sha256,
+        coalesce(string_agg(span, ',' ORDER BY a, rnk), '') AS spans, count(*) FILTER (kind = 'owned') AS n_owned,
+        count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied
+    FROM docs d LEFT JOIN final f ON d.doc_id = f.doc_id GROUP BY d.doc_id"""
+
+
+JACCARD = r"""
+    WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM grams a JOIN grams b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * o >= 80 * (x.n + y.n - o)),
+    edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+    reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT v, c FROM reach JOIN edges ON u = doc_id)
+    SELECT r.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(c) AS component_id
+    FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+EXACT = """
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+    SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM docs"""
+
+CHAT = rf"""
+    WITH talks AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+    a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
+        len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) + 2 AS tokens FROM talks),
+    b AS (SELECT *, n = 1 AND role = 'system' AS sys, sum(tokens) OVER (PARTITION BY conv_id ORDER BY n) - tokens AS start,
+        first_value(CASE WHEN n = 1 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n) AS kept FROM a),
+    c AS (SELECT *, greatest(1, floor((512 - 128 - kept) / 2)) AS stride FROM b),
+    d AS (SELECT *, floor(start / stride) AS step FROM c),
+    e AS (SELECT *, step IS DISTINCT FROM lag(step) OVER (PARTITION BY conv_id ORDER BY n) AS fresh FROM d),
+    f AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY n) - 1 AS w,
+        min(CASE WHEN fresh THEN start END) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM e),
+    g AS (SELECT *, CASE WHEN sys THEN max(w) OVER (PARTITION BY conv_id) WHEN start >= nxt - least(128, stride) THEN 1 ELSE 0 END AS again FROM f)
+    SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum((6 + length(replace(replace(replace(replace(replace(role, '\', '\s'), '<', '\l'), '#', '\h'), ':', '\c'), chr(10), '\n'))
+            + length(replace(replace(replace(text, '\', '\s'), '<', '\l'), '#', '\h')) + {len(END)}) * (1 + again))::BIGINT AS formatted_chars
+    FROM g GROUP BY conv_id"""
+
+ORACLE: dict[str, str] = {
+    "op1_secret_scans": _secrets(),
+    "op2_ngram_jaccard_join": JACCARD,
+    "op3_exact_dedup": EXACT,
+    "op9_chat_formatting": CHAT,
+}
