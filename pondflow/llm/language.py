@@ -186,7 +186,11 @@ def identify(df: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", l
         sample = known.where(place < share).select("doc_id", "text", "lang")
         keys = sample.select("doc_id", F.col("lang")).dropDuplicates(["doc_id"])
         vectors = sample.select("doc_id", "text").mapInArrow(_vectors(idf), f"doc_id {kind}, at array<int>, x array<float>").dropDuplicates(["doc_id"])
-        got = vectors.join(keys, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_rows).toPandas()
-        rows = [(np.asarray(a, np.int64), np.asarray(x, float), classes.index(y)) for a, x, y in zip(got["at"], got["x"], got["lang"])]
+        got = vectors.join(keys, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_rows).select("at", "x", "lang").toArrow()
+        rows = [(a.values.to_numpy(), x.values.to_numpy(), classes.index(y.as_py()))  # views of the table, no copies
+                for a, x, y in zip(*(got[c] for c in ("at", "x", "lang")))]
+        del got
     w, temperature = fit(rows, max(len(classes), 1))
-    return docs.mapInArrow(_predict(w, temperature, idf, classes if rows else []), f"doc_id {kind}, lang_pred string, score double")
+    learned = bool(rows)
+    del rows
+    return docs.mapInArrow(_predict(w, temperature, idf, classes if learned else []), f"doc_id {kind}, lang_pred string, score double")
