@@ -2,7 +2,7 @@
 
 Layout: ``functions`` (column expressions), ``operators`` (keyed DataFrame ->
 DataFrame operators), ``sources`` (readers, driver tables, sinks), ``plans``
-(composite queries and the driver catalog), ``streaming`` (incremental forms).
+(composite queries and the driver catalog).
 
 The most used entry points are re-exported here.
 """

@@ -116,24 +116,16 @@ def fit_many(df: DataFrame, features: Sequence[str], labels: Sequence[str], para
         shared.unpersist()
 
 
-MAX_PER_KEY_MODELS = 64
-
-
 def fit_per_key(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str,
-                params: dict | None = None, impute: bool = False, threads: int = 8,
-                max_keys: int = MAX_PER_KEY_MODELS) -> dict[tuple, PipelineModel]:
-    """M6/M9 per site: one model per key value, fitted concurrently.
+                params: dict | None = None, impute: bool = False, threads: int = 8) -> dict[tuple, PipelineModel]:
+    """M6/M9 per site: one model per key value, ``threads`` of them fitted at a time.
 
-    Meant for a handful of sites, as in the reference (one model per pond);
-    the number of distinct keys is checked against ``max_keys`` first. For many
-    sites fit one pooled model with the key statistics as features instead.
+    The driver holds the key values and one model each, so the work grows with the
+    number of keys; where sites are many, :func:`with_key_signal` gives one pooled
+    model the sites' own statistics instead.
     """
     keys = list(keys)
-    distinct = df.select(*keys).distinct()
-    n = distinct.count()
-    if n > max_keys:
-        raise ValueError(f"{n} distinct keys exceed max_keys={max_keys}; fit a pooled model instead")
-    values = [tuple(r) for r in distinct.collect()]
+    values = [tuple(r) for r in df.select(*keys).distinct().toLocalIterator()]
 
     def one(v):
         cond = F.lit(True)
@@ -147,16 +139,33 @@ def fit_per_key(df: DataFrame, keys: Sequence[str], features: Sequence[str], lab
 
 
 def score_per_key(models: dict[tuple, PipelineModel], df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Score each key's rows with its own model (rows of keys without a model are dropped)."""
+    """Score each key's rows with its own model.
+
+    Every row comes out: ``status`` is ``scored``, or ``no model`` with a NULL
+    prediction for keys (null ones too) that no model was fitted for.
+    """
     keys = list(keys)
-    out = None
+    out, known = None, F.lit(False)
     for v, m in models.items():
         cond = F.lit(True)
         for c, x in zip(keys, v):
-            cond = cond & (F.col(c) == F.lit(x))
-        part = score(m, df.where(cond))
+            cond = cond & F.col(c).eqNullSafe(F.lit(x))
+        known = known | cond
+        part = score(m, df.where(cond)).withColumn("status", F.lit("scored"))
         out = part if out is None else out.unionByName(part)
-    return out
+    rest = df.where(~known).withColumns({"status": F.lit("no model"), "prediction": F.lit(None).cast("double")})
+    return rest if out is None else out.unionByName(rest, allowMissingColumns=True)
+
+
+def with_key_signal(df: DataFrame, train: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Append ``key_mean``, ``key_std`` and ``key_rows`` of ``label``, computed per key on the training
+    part only, so one pooled model can tell any number of sites apart. Rows of keys without
+    training rows stay, with NULL statistics and 0 rows."""
+    k = list(keys)
+    stats = (train.where(F.col(label).isNotNull()).groupBy(*k)
+             .agg(F.avg(label).alias("key_mean"), F.stddev_samp(label).alias("key_std"), F.count(F.lit(1)).alias("key_rows")))
+    return df.join(stats, k, "left").withColumn("key_rows", F.coalesce("key_rows", F.lit(0)))
+
 
 
 def score(models: dict[str, PipelineModel] | PipelineModel, df: DataFrame,
@@ -232,29 +241,55 @@ class ModelRegistry:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def save(self, name: str, model: PipelineModel, features: Sequence[str]) -> None:
+    def save(self, name: str, model: PipelineModel, features: Sequence[str], tag: str = "") -> None:
         model.write().overwrite().save(f"{self.root}/{name}/model")
-        meta = self.spark.createDataFrame([(json.dumps(list(features)),)], "value string")
+        meta = self.spark.createDataFrame([(json.dumps({"features": list(features), "tag": tag}),)], "value string")
         meta.coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/features")
 
-    def load(self, name: str) -> tuple[PipelineModel, list[str]] | None:
-        try:
-            feats = json.loads(self.spark.read.text(f"{self.root}/{name}/features").first()[0])
-            return PipelineModel.load(f"{self.root}/{name}/model"), feats
-        except Exception:  # noqa: BLE001 - absent or unreadable entry: treat as missing
+    def load(self, name: str) -> tuple[PipelineModel, list[str], str] | None:
+        """(model, features, tag), or None when nothing is saved under the name; other errors are raised."""
+        line = read_saved(self.spark, f"{self.root}/{name}/features")
+        if line is None:
             return None
-
-    def load_or_fit(self, name: str, features: Sequence[str],
-                    fit: Callable[[], PipelineModel]) -> PipelineModel:
-        """M9 + M10: reuse a saved model when its feature list matches, else refit and save."""
+        meta = json.loads(line)
+        return PipelineModel.load(f"{self.root}/{name}/model"), meta["features"], meta["tag"]
+
+    def load_or_fit(self, name: str, features: Sequence[str], fit: Callable[[], PipelineModel],
+                    params: dict | None = None, data: DataFrame | None = None) -> PipelineModel:
+        """M9 + M10: reuse a saved model when its features, parameters and training data are the
+        same, else refit and save it. ``data`` is scanned each time for its fingerprint."""
+        tag = fit_tag(params, data)
         got = self.load(name)
-        if got is not None and got[1] == list(features):
+        if got is not None and got[1:] == (list(features), tag):
             return got[0]
         model = fit()
-        self.save(name, model, features)
+        self.save(name, model, features, tag)
         return model
 
 
+def read_saved(spark: SparkSession, path: str) -> str | None:
+    """The one line saved at ``path``, or None where the path does not exist."""
+    from pyspark.errors import AnalysisException
+    try:
+        row = spark.read.text(path).first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return row[0] if row is not None else None
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Row count and the sum of the rows' hashes: the same for the same rows in any order."""
+    n, h = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)"))).first()
+    return f"{n}:{h}"
+
+
+def fit_tag(params: dict | None, data: DataFrame | None, **more) -> str:
+    """What a fit depends on besides its features, as text."""
+    return json.dumps({"params": params, "data": None if data is None else fingerprint(data), **more}, sort_keys=True, default=str)
+
+
 # --- tree ensemble export for in-task scoring (M14) -------------------------
 
 def gbt_stage(model: PipelineModel) -> GBTRegressionModel:

@@ -177,7 +177,7 @@ def fit_or_load_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, ex
                           lags: int = 120, windows: Sequence[int] = (14, 30, 60), params: dict | None = None,
                           date: str = "date") -> RecursiveModel:
     """M9 for the recursive model: reuse the forest saved under ``root`` when it was
-    fitted for the same feature list and parameters, else fit and save it there.
+    fitted for the same feature list, parameters and history, else fit and save it there.
 
     Only the fitted ensemble and the scaler vectors are reused; the training
     frame (exogenous lookup, per-key state) is rebuilt from ``hist``.
@@ -189,17 +189,15 @@ def fit_or_load_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, ex
     windows = [int(w) for w in windows]
     feats = feature_names(list(exog), lags, windows)
     p = dict(params or M.GBT_RECURSIVE)
-    tag = json.dumps({"features": feats, "params": p, "y": y}, sort_keys=True)
-    try:
-        meta = json.loads(spark.read.text(f"{root}/meta").first()[0])
-        if meta["tag"] == tag:
-            model = GBTRegressionModel.load(f"{root}/gbt")
-            trees = M.tree_arrays(spark, model, f"{root}/gbt", save=False)
-            train = training_frame(hist, k, y, list(exog), lags, windows, date).cache()
-            return RecursiveModel(spark.sparkContext.broadcast(trees), np.array(meta["lo"]), np.array(meta["rng"]),
-                                  k, y, list(exog), lags, windows, train, date)
-    except Exception:  # noqa: BLE001 - nothing saved yet (or unreadable): fit
-        pass
+    tag = M.fit_tag(p, hist.select(*k, date, y, *exog), features=feats, y=y)
+    saved = M.read_saved(spark, f"{root}/meta")
+    meta = json.loads(saved) if saved is not None else None
+    if meta is not None and meta["tag"] == tag:
+        model = GBTRegressionModel.load(f"{root}/gbt")
+        trees = M.tree_arrays(spark, model, f"{root}/gbt", save=False)
+        train = training_frame(hist, k, y, list(exog), lags, windows, date).cache()
+        return RecursiveModel(spark.sparkContext.broadcast(trees), np.array(meta["lo"]), np.array(meta["rng"]),
+                              k, y, list(exog), lags, windows, train, date)
     rm = fit_recursive(spark, hist, k, y, exog, lags, windows, p, date, model_path=f"{root}/gbt")
     meta = {"tag": tag, "lo": rm.lo.tolist(), "rng": rm.rng.tolist()}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
@@ -210,7 +208,10 @@ def fit_or_load_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, ex
 def forecast_recursive(rm: RecursiveModel, hist: DataFrame, start_ym: str, end_ym: str,
                        compat: bool = False, horizon_days: int | None = None,
                        index_base: int = 0) -> DataFrame:
-    """M14/M15 scoring: ``(keys…, date, prediction)`` over ``start_ym..end_ym``.
+    """M14/M15 scoring: ``(keys…, date, prediction, status)`` over ``start_ym..end_ym``.
+
+    Series too short for one full training row (lag window) are not dropped: their days come
+    out with a NULL prediction and the status ``series too short``.
 
     ``horizon_days`` (M15) forecasts a fixed number of days after the last
     observation and then slices the requested range. ``index_base`` is where
@@ -246,7 +247,12 @@ def forecast_recursive(rm: RecursiveModel, hist: DataFrame, start_ym: str, end_y
     # fresh attribute ids on both sides: they share lineage with ``hist``
     seed, fut = seed.toDF(*seed.columns), fut.toDF(*fut.columns)
     out = seed.groupBy(*k).cogroup(fut.groupBy(*k)).applyInPandas(fn, schema)
-    return out.where(F.col(date).between(start, end))
+    out = out.where(F.col(date).between(start, end)).withColumn("status", F.lit("forecast"))
+    short = state.join(tstate, k, "left_anti").select(*k, first.alias("lo"), last.alias("hi"))
+    short = short.toDF(*short.columns)
+    short = (date_spine(short, k, "lo", "hi", out=date).where(F.col(date).between(start, end))
+             .select(*k, date, F.lit(None).cast("double").alias("prediction"), F.lit("series too short").alias("status")))
+    return out.unionByName(short)
 
 
 def recursive_forecast(spark: SparkSession, hist: DataFrame, keys, y: str, exog: Sequence[str],
@@ -257,7 +263,7 @@ def recursive_forecast(spark: SparkSession, hist: DataFrame, keys, y: str, exog:
 
     ``hist`` is a daily series per key without gaps (use ``asfreq_daily`` +
     ``interpolate_time`` first, as the reference does).
-    Returns ``(keys…, date, prediction)``.
+    Returns ``(keys…, date, prediction, status)``.
     """
     rm = fit_recursive(spark, hist, keys, y, exog, lags, windows, params, date, model_path)
     return forecast_recursive(rm, hist, start_ym, end_ym, compat=compat, horizon_days=horizon_days)

@@ -45,8 +45,10 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a single-row table to every row of ``df``.
 
     A broadcast equi-join on a constant key (a hash join that streams ``df``),
-    not a cartesian product.
+    not a cartesian product. A table of any other number of rows is refused.
     """
+    if one_row.limit(2).count() != 1:
+        _one_row_error()
     key = "_one"
     return df.withColumn(key, F.lit(1)).join(F.broadcast(one_row.withColumn(key, F.lit(1))), key).drop(key)
 

@@ -788,7 +788,7 @@ def final_concentration_q(spark, sf):
     rows = _pond_rows(spark, sf)
     reg = ModelRegistry(spark, _model_root(spark, sf, "final-concentration"))
     model = reg.load_or_fit("pooled", fc.CONC_FEATURES,
-                            lambda: fc.fit_concentration_model(rows, keys=["pond"]))  # M9
+                            lambda: fc.fit_concentration_model(rows, keys=["pond"]), data=rows)  # M9
     return fc.score_final_concentration(model, rows.drop("final_concentration"), "1998-01", "1998-12",
                                         keys=["pond"])
 
@@ -1037,10 +1037,10 @@ FROM c""")(pond_balance_from_readings_q)
 # SURVEY §2 ids exercised by each registered query (read by tools/coverage_map.py)
 # ---------------------------------------------------------------------------
 QUERY_IDS = {
-    "zone_balance_chained": "Q3 J1 P5 F9 F10 F13 F14 W10 W11 W12 F21",
-    "zone_balance_stateless": "Q8 J1 P5 F9 F10 F14 F15",
-    "zone_balance_cubic_wt": "Q7 J1 P5 F11 F12 F14 F15",
-    "zone_balance_cubic_kg": "Q7 J1 P5 F11 F12 F16",
+    "zone_balance_chained": "Q3 P5 F9 F10 F13 F14 W10 W11 W12 F21",
+    "zone_balance_stateless": "Q8 P5 F9 F10 F14 F15",
+    "zone_balance_cubic_wt": "Q7 P5 F11 F12 F14 F15",
+    "zone_balance_cubic_kg": "Q7 P5 F11 F12 F16",
     "pond_balance_chained": "Q4 J2 P5 W1 J5 F17 F14 W10 W11 W12 F21",
     "pond_balance_constant": "Q9 F18 J5 F14 F15 P4 P5",
     "pond_balance_constant_chained": "Q9 F18 J5 F14 W10 W12",
@@ -1063,7 +1063,7 @@ QUERY_IDS = {
     "parse_dates": "S2 S3 P14",
     "month_range_filter": "F3 P7 P9",
     "range_filter_fallback": "P8 F3",
-    "future_spine": "S7 F3 F4 F5 F7",
+    "future_spine": "S7 F3 F5 F7",
     "future_spine_after_last": "S8 A7",
     "quantiles": "A6",
     "percentile_trim": "A6 P10",
@@ -1076,7 +1076,7 @@ QUERY_IDS = {
     "penman": "F19",
     "cyclic_lookup": "J4",
     "result_page": "O5 O2 F15",
-    "history_vs_forecast": "Q10 U1 P6 P7",
+    "history_vs_forecast": "U1 P7",
     "chart_series": "K6 U1",
     "records_json": "K3",
     "null_quality_report": "P13 P16 A10 J3",
@@ -1088,133 +1088,13 @@ QUERY_IDS = {
     "final_concentration_score": "Q5 M1 M6 M8 M9 P8 F5 F7 S10 K5",
     "recursive_forecast": "Q6 M9 M12 M14 M16 M17 W3 W4 W5 W6 W7 W8 W13 J3 J4 O3 A11 F6 F8 S9 S10 K5 P6 P17",
     "recursive_forecast_365": "Q6 M9 M14 M15 J4 P9",
-    "csv_roundtrip": "S1 S2 S4 S5 S6 K1 K2 O1 F23",
+    "csv_roundtrip": "S1 S2 S4 S5 K1 K2 F23",
     "result_labels": "F25 F22",
     "ea_scaling_constant": "M11 A9 F20",
     "row_counts": "A10",
     "running_sum_segmented": "W1",
     "quantiles_p1_p99": "A6",
     "frequency_probe": "F1 F2 A4",
-    "zone_balance_from_readings": "Q3 A1 A2 A3 A4 J1 P5 W10 W11 W12",
+    "zone_balance_from_readings": "Q3 A1 A2 A3 A4 P5 W10 W11 W12",
     "pond_balance_from_readings": "Q4 A1 A4 J2 W1 F17 W10 W11 W12",
 }
-
-
-# ---------------------------------------------------------------------------
-# Structured Streaming over the driver tables
-# ---------------------------------------------------------------------------
-
-
-def zone_balance_streamed_q(spark, sf):
-    """Readings streamed from the events table (file source, availableNow): two-stream
-    daily rollup with a 1 h watermark, then the stateful chained balance. Days the
-    watermark has not closed yet are not emitted."""
-    # the wall-clock readings become instants for the watermark and day windows align to
-    # UTC midnight, so the streams are built and run in UTC whatever the caller's zone is
-    tz = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    try:
-        return _zone_balance_streamed(spark, sf)
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", tz)
-
-
-def _zone_balance_streamed(spark, sf):
-    import uuid
-
-    from pondflow.functions.numeric import round_even
-    from pondflow.session import checkpoint_dir
-    from pondflow.streaming import balance as sb
-    path = f"{sf.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    src = spark.readStream.schema(schema).option("basePath", sf).parquet(f"{sf.rstrip('/')}/events*.parquet")
-    ts = F.col("ts").cast("timestamp").alias("ts")
-    ev = src.select(F.col("event_type").alias("site"), ts, (F.col("value") / 1000.0).alias("evaporation"))
-    wl = src.select(F.col("event_type").alias("site"), ts, (F.col("value") / 50.0 - 0.4).alias("wl"))
-    root = f"{checkpoint_dir(spark).rstrip('/')}/pondflow-streams/zone-{uuid.uuid4().hex}"
-    sb.start_zone_pipeline(spark, ev, wl, IN_CON_ZONE, root, watermark="1 hour")
-    out = spark.read.parquet(f"{root}/balance").where(~F.col("late"))
-    return r(out.select("site", "date", "wl", "evaporation", "volume_v1_m3", "surface_area", "volume_v2_m3",
-                        round_even("c1", 3).alias("c1"), round_even("c2", 3).alias("c2"),
-                        round_even("quantity_t", 3).alias("quantity_t")),
-             6, ["wl", "evaporation", "volume_v1_m3", "surface_area", "volume_v2_m3"])
-
-
-register("zone_balance_streamed", f"""
-WITH d AS (SELECT event_type AS site, CAST(ts AS DATE) AS date, sum(value / {D(1000)}) AS evaporation,
-                  avg(value / {D(50)} - {D(0.4)}) AS wl
-           FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
-j AS (SELECT * FROM d WHERE CAST(date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
-        AND wl IS NOT NULL AND evaporation IS NOT NULL),
-g AS (SELECT *, {q.zone_volume()} AS volume, {q.zone_area()} AS surface_area FROM j),
-i AS (SELECT *, volume - evaporation * surface_area / {D(1000)} AS v2 FROM g),
-c AS (SELECT *, {q.running('product', 'volume / v2')} AS p,
-             COALESCE({q.running('product', 'volume / v2', exclusive=True)}, {D(1)}) AS pe FROM i)
-SELECT site, date, round(wl, 6) AS wl, round(evaporation, 6) AS evaporation,
-       round(volume * {D(1e6)}, 6) AS volume_v1_m3, round(surface_area, 6) AS surface_area,
-       round(v2 * {D(1e6)}, 6) AS volume_v2_m3,
-       round_even({D(IN_CON_ZONE)} * pe, 3) AS c1, round_even({D(IN_CON_ZONE)} * p, 3) AS c2,
-       round_even(v2 * {D(1e6)} * {D(IN_CON_ZONE)} / {D(1000)}, 3) AS quantity_t
-FROM c""")(zone_balance_streamed_q)
-QUERY_IDS["zone_balance_streamed"] = "Q3 A1 A2 J1 W10 W11 W12 F9 F10 F14"
-
-
-def pond_balance_streamed_q(spark, sf):
-    """Order readings streamed from the orders table: evaporation, inflow and (status F)
-    outflow summed per closed day, then the stateful pond chain. Built and run in UTC."""
-    tz = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    try:
-        return _pond_balance_streamed(spark, sf)
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", tz)
-
-
-def _pond_balance_streamed(spark, sf):
-    import uuid
-
-    from pondflow.functions.numeric import round_even
-    from pondflow.session import checkpoint_dir
-    from pondflow.streaming import balance as sb
-    base = sf.rstrip("/")
-    schema = spark.read.parquet(f"{base}/orders.parquet").schema
-    src = spark.readStream.schema(schema).option("basePath", sf).parquet(f"{base}/orders*.parquet")
-    site = F.concat(F.col("o_orderpriority"), F.lit("-"), F.date_format("o_orderdate", "yyyyMM")).alias("site")
-    ts = F.col("o_orderdate").cast("timestamp").alias("ts")
-    ev = src.select(site, ts, ((F.col("o_orderkey") % 9) + 0.5).alias("evaporation"))
-    fin = src.select(site, ts, F.col("o_totalprice").alias("brine_in"))
-    fout = src.where(F.col("o_orderstatus") == "F").select(site, ts, (F.col("o_totalprice") * 0.6).alias("brine_out"))
-    root = f"{checkpoint_dir(spark).rstrip('/')}/pondflow-streams/pond-{uuid.uuid4().hex}"
-    sb.start_pond_pipeline(spark, ev, fin, fout, IN_CON_POND, root, watermark="1 hour")
-    out = spark.read.parquet(f"{root}/balance").where(~F.col("late"))
-    return r(out.select("site", "date", "cum_net_flow", round_even("water_level", 6).alias("water_level"),
-                        round_even("volume_v1_m3", 2).alias("volume_v1_m3"), "evaporation",
-                        round_even("evap_volume", 2).alias("evap_volume"),
-                        round_even("surface_area", 2).alias("surface_area"),
-                        round_even("volume_v2_m3", 2).alias("volume_v2_m3"), round_even("c1", 3).alias("c1"),
-                        round_even("c2", 3).alias("c2"), round_even("quantity_t", 0).alias("quantity_t")),
-             6, ["cum_net_flow", "evaporation"])
-
-
-register("pond_balance_streamed", f"""
-WITH o AS (SELECT o_orderpriority || '-' || strftime(o_orderdate, '%Y%m') AS site, CAST(o_orderdate AS DATE) AS date,
-                  o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderdate IS NOT NULL),
-d AS (SELECT site, date, sum((o_orderkey % 9) + {D(0.5)}) AS evaporation, sum(o_totalprice) AS brine_in,
-             sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice * {D(0.6)} END) AS brine_out
-      FROM o GROUP BY site, date),
-j AS (SELECT * FROM d WHERE CAST(date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 HOUR
-        AND evaporation IS NOT NULL AND brine_in IS NOT NULL AND brine_out IS NOT NULL),
-f AS (SELECT *, {q.running('sum', 'brine_in - brine_out')} AS cum_net_flow, {D(ph.POND_AREA_OTHER)} AS surface_area FROM j),
-g AS (SELECT *, {D(ph.POND_BASE_DEPTH)} + cum_net_flow / surface_area AS depth FROM f),
-h AS (SELECT *, surface_area * depth AS volume, surface_area * (evaporation / {D(1000)}) AS evap_loss FROM g),
-i AS (SELECT *, volume - evap_loss AS v2 FROM h),
-c AS (SELECT *, {q.running('product', 'volume / v2')} AS p,
-             COALESCE({q.running('product', 'volume / v2', exclusive=True)}, {D(1)}) AS pe FROM i)
-SELECT site, date, round(cum_net_flow, 6) AS cum_net_flow, round_even(depth, 6) AS water_level,
-       round_even(volume, 2) AS volume_v1_m3, round(evaporation, 6) AS evaporation,
-       round_even(evap_loss, 2) AS evap_volume, round_even(surface_area, 2) AS surface_area,
-       round_even(v2, 2) AS volume_v2_m3, round_even({D(IN_CON_POND)} * pe, 3) AS c1,
-       round_even({D(IN_CON_POND)} * p, 3) AS c2,
-       round_even(v2 * {D(IN_CON_POND)} / {D(1000)}, 0) AS quantity_t
-FROM c""")(pond_balance_streamed_q)
-QUERY_IDS["pond_balance_streamed"] = "Q4 A1 J2 W1 F17 J5 W10 W11 W12 F21"

@@ -66,11 +66,11 @@ def fit_calendar_models(hist: DataFrame, targets: Sequence[str], date: str = "da
     return CalendarModel(x_stats, y_stats, models, ranges)
 
 
-def save_calendar_model(spark: SparkSession, cm: CalendarModel, root: str) -> None:
+def save_calendar_model(spark: SparkSession, cm: CalendarModel, root: str, tag: str = "") -> None:
     """K5: models through the registry, scaler statistics and feature ranges as Parquet."""
     reg = M.ModelRegistry(spark, root)
     for t, m in cm.models.items():
-        reg.save(f"model-{t}", m, FEATURES)
+        reg.save(f"model-{t}", m, FEATURES, tag)
     cm.x_stats.write.mode("overwrite").parquet(f"{root}/x_stats")
     cm.ranges.write.mode("overwrite").parquet(f"{root}/ranges")
     for t, df in cm.y_stats.items():
@@ -79,34 +79,34 @@ def save_calendar_model(spark: SparkSession, cm: CalendarModel, root: str) -> No
         f"{root}/targets")
 
 
-def load_calendar_model(spark: SparkSession, root: str, targets: Sequence[str]) -> CalendarModel | None:
-    """The saved bundle, or None when absent or saved for other targets/features."""
-    try:
-        saved = spark.read.text(f"{root}/targets").first()[0].split(",")
-        if saved != list(targets):
-            return None
-        reg = M.ModelRegistry(spark, root)
-        models = {}
-        for t in targets:
-            got = reg.load(f"model-{t}")
-            if got is None or got[1] != FEATURES:
-                return None
-            models[t] = got[0]
-        return CalendarModel(spark.read.parquet(f"{root}/x_stats"),
-                             {t: spark.read.parquet(f"{root}/y_stats-{t}") for t in targets},
-                             models, spark.read.parquet(f"{root}/ranges"))
-    except Exception:  # noqa: BLE001 - missing or partial bundle: refit
+def load_calendar_model(spark: SparkSession, root: str, targets: Sequence[str], tag: str = "") -> CalendarModel | None:
+    """The saved bundle, or None when absent or saved for other targets, features,
+    parameters or data (M10); a bundle that cannot be read raises."""
+    saved = M.read_saved(spark, f"{root}/targets")
+    if saved is None or saved.split(",") != list(targets):
         return None
+    reg = M.ModelRegistry(spark, root)
+    models = {}
+    for t in targets:
+        got = reg.load(f"model-{t}")
+        if got is None or got[1:] != (FEATURES, tag):
+            return None
+        models[t] = got[0]
+    return CalendarModel(spark.read.parquet(f"{root}/x_stats"),
+                         {t: spark.read.parquet(f"{root}/y_stats-{t}") for t in targets},
+                         models, spark.read.parquet(f"{root}/ranges"))
 
 
 def calendar_models(spark: SparkSession, hist: DataFrame, targets: Sequence[str], root: str,
                     **kw) -> CalendarModel:
-    """M9: load the saved bundle under ``root`` when it matches, else fit and save it."""
-    cm = load_calendar_model(spark, root, targets)
+    """M9: load the bundle under ``root`` when it was fitted with the same options on the same
+    history (which is scanned for its fingerprint), else fit and save it."""
+    tag = M.fit_tag(kw.get("params"), hist, **{n: v for n, v in kw.items() if n not in ("params", "threads")})
+    cm = load_calendar_model(spark, root, targets, tag)
     if cm is None:
         cm = fit_calendar_models(hist, targets, **kw)
-        save_calendar_model(spark, cm, root)
-        cm = load_calendar_model(spark, root, targets) or cm
+        save_calendar_model(spark, cm, root, tag)
+        cm = load_calendar_model(spark, root, targets, tag) or cm
     return cm
 
 

@@ -7,7 +7,6 @@ or the file name, and only the selected columns are parsed.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Mapping, Sequence
 
@@ -25,6 +24,13 @@ def canonical(name: str) -> str:
     return s or name
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path or glob names anything, on the file system Spark itself reads from."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jpath)
+    return found is not None and len(found) > 0
+
+
 def read_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None,
              site: str | None = None, site_from_path: str | None = None) -> DataFrame:
     """Header CSV read as strings; blank header cells (``_cN``) dropped.
@@ -35,7 +41,7 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[
     """
     plist = [paths] if isinstance(paths, str) else list(paths)
     for p in plist:
-        if "://" not in p and not any(ch in p for ch in "*?[") and not os.path.exists(p):
+        if not path_exists(spark, p):
             raise FileNotFoundError(f"input not found: {p}")
     df = spark.read.option("header", True).option("inferSchema", False).csv(plist)
     keep = [c for c in df.columns if not _BLANK.match(c)]

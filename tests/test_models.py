@@ -66,6 +66,30 @@ def test_registry_load_or_fit(spark, seasonal):
     assert len(calls) == 2
 
 
+def test_registry_compares_parameters_and_data(spark, seasonal):
+    reg = M.ModelRegistry(spark, tempfile.mkdtemp(prefix="pf-reg-"))
+    calls = []
+
+    def fit():
+        calls.append(1)
+        return M.fit_regressor(seasonal, ["evap"], "y", SMALL)
+
+    shifted = seasonal.withColumn("y", F.col("y") + 100)
+    for params, data, fits in ((SMALL, seasonal, 1), (SMALL, seasonal, 1), ({**SMALL, "maxIter": 3}, seasonal, 2),
+                               ({**SMALL, "maxIter": 3}, shifted, 3), ({**SMALL, "maxIter": 3}, shifted, 3)):
+        reg.load_or_fit("m", ["evap"], fit, params=params, data=data)
+        assert len(calls) == fits
+
+
+def test_registry_raises_what_is_not_a_missing_path(spark, tmp_path):
+    assert M.read_saved(spark, str(tmp_path / "none")) is None
+    reg = M.ModelRegistry(spark, str(tmp_path))
+    (tmp_path / "m" / "features").mkdir(parents=True)
+    (tmp_path / "m" / "features" / "part-0").write_text("no json")
+    with pytest.raises(ValueError):
+        reg.load("m")
+
+
 def test_training_frame_drops_incomplete_rows(seasonal):
     tf = training_frame(seasonal, ["site"], "y", ["evap"], lags=10, windows=(5, 7))
     assert tf.groupBy("site").count().collect()[0]["count"] == 400 - 10
@@ -102,8 +126,27 @@ def test_per_key_models(spark, seasonal):
     assert set(models) == {("a",), ("b",)}
     out = M.score_per_key(models, seasonal, ["site"])
     assert out.count() == seasonal.count()
-    with pytest.raises(ValueError, match="max_keys"):
-        M.fit_per_key(seasonal, ["site"], ["evap"], "y", SMALL, max_keys=1)
+    # rows of keys without a model stay, marked
+    new = seasonal.limit(15).withColumn("site", F.lit("new")).unionByName(seasonal.limit(1).withColumn("site", F.lit(None).cast("string")))
+    out = M.score_per_key(models, seasonal.unionByName(new), ["site"])
+    assert out.count() == seasonal.count() + 16
+    assert out.where("status = 'no model' and prediction is null").count() == 16
+
+
+def test_key_signal_keeps_rows_of_unseen_keys(seasonal):
+    new = seasonal.limit(15).withColumn("site", F.lit("new"))
+    out = M.with_key_signal(seasonal.unionByName(new), seasonal, ["site"], "y")
+    assert out.count() == seasonal.count() + 15
+    assert out.where("site = 'new' and key_rows = 0 and key_mean is null").count() == 15
+
+
+def test_short_series_come_out_of_the_recursive_forecast(spark, seasonal):
+    last = seasonal.agg(F.max("date")).first()[0]
+    short = seasonal.where("site = 'a'").where(F.col("date") > F.date_sub(F.lit(last), 15)).withColumn("site", F.lit("short"))
+    out = recursive_forecast(spark, seasonal.unionByName(short), ["site"], "y", ["evap"], "2021-03", "2021-03",
+                             lags=20, windows=(7, 14), params=SMALL)
+    rows = {(r["site"], r["status"]): r["n"] for r in out.groupBy("site", "status").agg(F.count("*").alias("n")).collect()}
+    assert rows == {("a", "forecast"): 31, ("b", "forecast"): 31, ("short", "series too short"): 31}
 
 
 def test_recursive_fixed_horizon_slice(spark, seasonal):
