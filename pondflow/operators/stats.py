@@ -100,12 +100,12 @@ def quantiles(df: DataFrame, keys, col: str, probs: Sequence[float], method: str
 
     ``method``:
 
-    ``sort``   exact and skew-proof. One global range-partitioned sort on
-               ``(keys, value)`` spreads even a single hot key across all
-               tasks; the sorted ``(key, value, partition, row id)`` rows are
-               checkpointed once, per-partition counts give every row its
-               rank within its key, and only the 2 rows around each wanted
-               rank are kept.
+    ``sort``   exact and skew-proof. Equal values of a key are counted into
+               one row first, then the distinct ``(key, value)`` rows are
+               range-partitioned, which spreads a single hot key across all
+               tasks. They are checkpointed once, per-partition counts give
+               each partition its first rank within its key, and only the
+               partitions around wanted ranks are summed up.
     ``hash``   exact, Spark's ``percentile`` aggregate: one task per key holds
                all of the key's distinct values, so use it only for groups of
                known small size (never for raw data with hot keys).
@@ -128,31 +128,32 @@ def quantiles(df: DataFrame, keys, col: str, probs: Sequence[float], method: str
     if method != "sort":
         raise ValueError("method must be 'sort', 'hash' or 'approx'")
 
-    # 1. global sort; row ids increase along the sorted order within a partition.
-    # The range partitioner samples with a seed that changes per execution, so
-    # the ranked rows are checkpointed once: counts and picks must see the same
-    # layout (and the lineage is cut, nothing to redo after an executor loss).
+    # 1. equal values become one row with a count (combined map-side), so neither a hot
+    # key nor a hot value lands whole in one task; the distinct values are range-partitioned.
+    # The range partitioner samples with a seed that changes per execution, so the
+    # rows are checkpointed once: offsets and picks must see the same layout.
     checkpoint_dir(df.sparkSession)
-    ranked = (base.repartitionByRange(*[F.col(c) for c in k], F.col("_x"))
-              .sortWithinPartitions(*k, "_x")
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    # 2. per (key, partition) counts -> offset of each partition within its key
-    parts = ranked.groupBy(*k, "_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
+    counted = (base.groupBy(*k, "_x").agg(F.count(F.lit(1)).alias("_c"))
+               .repartitionByRange(*[F.col(c) for c in k], F.col("_x"))
+               .withColumn("_pid", F.spark_partition_id())
+               .checkpoint(eager=True))
+    # 2. rows per (key, partition) -> offset of each partition within its key
+    parts = counted.groupBy(*k, "_pid").agg(F.sum("_c").alias("_c"))
     wk = Window.partitionBy(*k).orderBy("_pid")
     parts = (parts.withColumn("_off", F.coalesce(F.sum("_c").over(
         wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_n", F.sum("_c").over(Window.partitionBy(*k))))
-    # 3. wanted ranks per key: floor/ceil of p*(n-1), mapped to (partition, row id)
+    # 3. wanted ranks per key: floor/ceil of p*(n-1), each in one (key, partition)
     pos = F.array(*[(F.lit(float(p)) * (F.col("_n") - 1)) for p in probs])
-    want = (parts.withColumn("_pos", F.explode(pos))
-            .withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
-            .where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_c")))
-            .select(*k, "_pid", (F.col("_m0") + F.col("_r") - F.col("_off")).alias("_mid"), "_r", "_n")
-            .distinct())
-    # at most 2 * len(probs) rows per key: broadcast behind a row-count check
-    picked = join_small(ranked.select(*k, "_pid", "_mid", "_x"), want, k + ["_pid", "_mid"])
+    ranks = F.array_distinct(F.flatten(F.transform(pos, lambda x: F.array(F.floor(x), F.ceil(x)))))
+    ranks = F.filter(ranks, lambda x: (x >= F.col("_off")) & (x < F.col("_off") + F.col("_c")))
+    want = parts.select(*k, "_pid", "_off", "_n", ranks.alias("_ranks")).where(F.size("_ranks") > 0)
+    # only partitions that hold a wanted rank are summed up; each window group is one of them
+    here = join_small(counted, want, k + ["_pid"])
+    below = F.sum("_c").over(Window.partitionBy(*k, "_pid").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    here = here.withColumn("_hi", F.col("_off") + below)
+    picked = (here.withColumn("_r", F.explode(F.filter("_ranks", lambda x: (x >= F.col("_hi") - F.col("_c")) & (x < F.col("_hi")))))
+              .select(*k, "_r", "_x", "_n"))
     # 4. interpolate between the two picked ranks of every probability
     vals = picked.groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"),
                                   F.first("_n").alias("_n"))

@@ -44,6 +44,23 @@ def test_sort_quantiles_split_hot_key_and_stay_exact(spark, skewed):
     assert q["hot"] == pytest.approx(np.percentile(vals, 37), abs=1e-12)
 
 
+def test_sort_quantiles_split_a_hot_value(spark):
+    # 80% of one key's rows hold the same value: counted into one row, the rest spread by range
+    df = spark.range(200_000).select(F.lit("hot").alias("site"), F.when(F.col("id") % 5 == 0, F.col("id") % 40_003)
+                                     .otherwise(7).cast("double").alias("value")).repartition(8)
+    q = st.quantiles(df, ["site"], "value", [0.01, 0.5, 0.85, 0.99]).first()
+    vals = np.array([r[0] for r in df.select("value").collect()])
+    assert [q[f"q{i}"] for i in range(4)] == pytest.approx(list(np.percentile(vals, [1, 50, 85, 99])), abs=1e-9)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = (df.groupBy("site", "value").count().repartitionByRange("site", "value")
+                 .groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")))
+        sizes = [r["n"] for r in parts.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < 0.25 * sum(sizes)
+
+
 def test_segmented_scan_spreads_a_long_key(spark):
     # one key with 30 years of daily values: segments by month -> 360 window groups
     df = spark.range(30 * 365).select(F.lit("hot").alias("site"),
