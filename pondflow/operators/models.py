@@ -1,6 +1,7 @@
 """Regressors (M1-M13, K5, S10) on Spark ML.
 
-Boosted trees are Spark's ``GBTRegressor`` with the reference's capacity
+Parameters with ``maxIter`` fit boosted trees, those with ``numTrees`` a random forest, whose
+trees grow together: its jobs grow with the depth and not with the number of trees. Boosted trees are Spark's ``GBTRegressor`` with the reference's capacity
 knobs; they are not XGBoost (per-node column sampling, first-order gain, no
 base score), so equal *capability* is claimed, not equal numbers.
 """
@@ -14,7 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,36 +30,38 @@ GBT_CALENDAR = dict(maxIter=200, stepSize=0.05, maxDepth=5, subsamplingRate=0.8,
 GBT_RECURSIVE = dict(maxIter=300, stepSize=0.05, maxDepth=6, subsamplingRate=0.9, seed=SEED)  # M12
 GBT_RECURSIVE_KG = dict(maxIter=300, stepSize=0.05, maxDepth=6, subsamplingRate=0.8,
                         featureSubsetStrategy="0.8", minInfoGain=0.1, seed=SEED)  # M13
+# The same tree counts, depths and sampling for forests.
+FOREST_CALENDAR = dict(numTrees=200, maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
+FOREST_RECURSIVE = dict(numTrees=300, maxDepth=6, subsamplingRate=0.9, featureSubsetStrategy="all", seed=SEED)
 CALENDAR_FEATURES = ["day", "month", "year", "month_sin", "month_cos"]
 EVAPORATION_TARGETS = ["solar_irradiance", "slope", "saturation_vapour", "actual_vapour", "wind_speed",
                        "radiation_based_evaporation", "aerodynamics_evaporation", "psychrometric_constant"]
+PENMAN_TARGETS = ["slope", "psychrometric_constant", "radiation_based_evaporation", "aerodynamics_evaporation"]
 # ---------------------------------------------------------------------------
 
 # Upper bound on nodes collected from a fitted ensemble (trees * 2^(depth+1)).
 MAX_MODEL_NODES = 2_000_000
-# Training rows per partition: tree fitting runs several jobs per tree, so tiny
-# partitions only add task overhead; large training sets keep full parallelism.
-ROWS_PER_FIT_PARTITION = 200_000
+# Training rows per partition: at least the first (tree fitting runs many small jobs), at most the second.
+FIT_PARTITION_ROWS = (1_000, 200_000)
 
 
-def sized_for_fit(df: DataFrame, rows_per_partition: int = ROWS_PER_FIT_PARTITION) -> DataFrame:
-    """Repartition a training frame to ``ceil(rows / rows_per_partition)`` partitions
-    (capped by the cluster's default parallelism) and cache it for the many passes
-    of boosting."""
+def sized_for_fit(df: DataFrame, rows: tuple[int, int] = FIT_PARTITION_ROWS) -> DataFrame:
+    """Repartition a training frame over all cores, with ``rows`` per partition at least and at
+    most (more partitions than cores for large frames), and cache it for the many passes of a fit."""
     n = df.count()
-    sc = df.sparkSession.sparkContext
-    parts = max(1, min(sc.defaultParallelism, -(-n // rows_per_partition)))
-    return df.repartition(parts).cache()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, n // rows[0]), -(-n // rows[1]))).cache()
 
 
 def hash_split(df: DataFrame, cols: Sequence[str], test_fraction: float = 0.1,
                seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """M1: deterministic train/test split by a hash of ``cols``.
+    """M1: deterministic train/test split by an MD5 bucket of ``cols`` and ``seed``.
 
     Stable under repartitioning and re-execution (``randomSplit`` is not), and
     needs no shuffle.
     """
-    b = F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)), F.lit(10_000))
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed))))
+    b = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10_000
     cut = int(round((1.0 - test_fraction) * 10_000))
     return df.where(b < cut), df.where(b >= cut)
 
@@ -71,7 +74,7 @@ def with_null_indicators(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def fit_regressor(df: DataFrame, features: Sequence[str], label: str, params: dict | None = None,
                   impute: bool = False, prediction: str = "prediction") -> PipelineModel:
-    """Assemble ``features`` and fit a boosted-tree regressor.
+    """Assemble ``features`` and fit boosted trees (``maxIter``) or a forest (``numTrees``).
 
     ``impute=True`` adds median imputation plus one null-indicator column per
     feature (Spark's GBT rejects NULL/NaN where XGBoost routes them; M6 inputs
@@ -87,7 +90,8 @@ def fit_regressor(df: DataFrame, features: Sequence[str], label: str, params: di
         stages.append(Imputer(inputCols=feats, outputCols=imp_out, strategy="median"))
         feats = imp_out + [f"_isnull_{c}" for c in features]
     stages.append(VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="error"))
-    stages.append(GBTRegressor(featuresCol="_features", labelCol=label, predictionCol=prediction, **p))
+    kind = RandomForestRegressor if "numTrees" in p else GBTRegressor
+    stages.append(kind(featuresCol="_features", labelCol=label, predictionCol=prediction, **p))
     own = not df.is_cached
     cast = df.withColumns({c: F.col(c).cast("double") for c in features})
     if own:
@@ -292,20 +296,23 @@ def fit_tag(params: dict | None, data: DataFrame | None, **more) -> str:
 
 # --- tree ensemble export for in-task scoring (M14) -------------------------
 
-def gbt_stage(model: PipelineModel) -> GBTRegressionModel:
+Ensemble = GBTRegressionModel | RandomForestRegressionModel
+
+
+def tree_stage(model: PipelineModel) -> Ensemble:
     for s in model.stages:
-        if isinstance(s, GBTRegressionModel):
+        if isinstance(s, Ensemble):
             return s
-    raise ValueError("pipeline has no GBTRegressionModel stage")
+    raise ValueError("pipeline has no tree ensemble stage")
 
 
-def tree_arrays(spark: SparkSession, model: GBTRegressionModel, path: str,
+def tree_arrays(spark: SparkSession, model: Ensemble, path: str,
                 save: bool = True) -> dict[str, np.ndarray]:
     """Flatten a fitted ensemble into node arrays for numpy scoring.
 
     The model is saved to ``path`` (shared storage; ``save=False`` when it is
     already there) and its node table read back. Its size is bounded by
-    ``maxIter * 2^(maxDepth+1)`` nodes and checked against ``MAX_MODEL_NODES``
+    ``trees * 2^(maxDepth+1)`` nodes and checked against ``MAX_MODEL_NODES``
     before it is collected.
     """
     if save:
@@ -332,7 +339,7 @@ def tree_arrays(spark: SparkSession, model: GBTRegressionModel, path: str,
     thr = np.where(leaf, np.inf, thr)
     return {"root": offsets.astype(np.int64), "left": left.astype(np.int64), "right": right.astype(np.int64),
             "feat": feat.astype(np.int64), "thr": thr, "value": pdf["pred"].to_numpy(dtype=float),
-            "weight": np.asarray(model.treeWeights, dtype=float),
+            "weight": np.asarray(model.treeWeights, dtype=float) / (len(trees) if isinstance(model, RandomForestRegressionModel) else 1),
             "depth": np.int64(model.getOrDefault("maxDepth"))}
 
 

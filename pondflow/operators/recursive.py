@@ -167,9 +167,9 @@ def fit_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, exog: Sequ
     rng = np.where(hi == lo, 1.0, hi - lo)
     scaled = M.apply_minmax(train, stats, feats)
     model = M.fit_regressor(scaled, feats, y, params or M.GBT_RECURSIVE)
-    require_feature_count(len(feats), M.gbt_stage(model).numFeatures)  # P17
+    require_feature_count(len(feats), M.tree_stage(model).numFeatures)  # P17
     path = model_path or f"{checkpoint_dir(spark).rstrip('/')}/pondflow-models/recursive-{model.uid}"
-    trees = M.tree_arrays(spark, M.gbt_stage(model), path)
+    trees = M.tree_arrays(spark, M.tree_stage(model), path)
     return RecursiveModel(spark.sparkContext.broadcast(trees), lo, rng, k, y, exog, lags, windows, train, date)
 
 
@@ -184,7 +184,7 @@ def fit_or_load_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, ex
     """
     import json
 
-    from pyspark.ml.regression import GBTRegressionModel
+    from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
     k = _keys(keys)
     windows = [int(w) for w in windows]
     feats = feature_names(list(exog), lags, windows)
@@ -193,12 +193,12 @@ def fit_or_load_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, ex
     saved = M.read_saved(spark, f"{root}/meta")
     meta = json.loads(saved) if saved is not None else None
     if meta is not None and meta["tag"] == tag:
-        model = GBTRegressionModel.load(f"{root}/gbt")
-        trees = M.tree_arrays(spark, model, f"{root}/gbt", save=False)
+        model = (RandomForestRegressionModel if "numTrees" in p else GBTRegressionModel).load(f"{root}/trees")
+        trees = M.tree_arrays(spark, model, f"{root}/trees", save=False)
         train = training_frame(hist, k, y, list(exog), lags, windows, date).cache()
         return RecursiveModel(spark.sparkContext.broadcast(trees), np.array(meta["lo"]), np.array(meta["rng"]),
                               k, y, list(exog), lags, windows, train, date)
-    rm = fit_recursive(spark, hist, k, y, exog, lags, windows, p, date, model_path=f"{root}/gbt")
+    rm = fit_recursive(spark, hist, k, y, exog, lags, windows, p, date, model_path=f"{root}/trees")
     meta = {"tag": tag, "lo": rm.lo.tolist(), "rng": rm.rng.tolist()}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{root}/meta")

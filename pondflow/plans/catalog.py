@@ -106,7 +106,7 @@ def zone_balance_chained(spark, sf):
     return r(df, 6, ["volume_v1_m3", "evap_volume", "surface_area", "volume_v2_m3"])
 
 
-register("zone_balance_chained", _ZONE_JOIN + f""",
+ZONE_CHAINED_SQL = _ZONE_JOIN + f""",
 g AS (SELECT *, {q.zone_volume()} AS volume, {q.zone_area()} AS surface_area FROM j),
 h AS (SELECT *, evaporation * surface_area / {D(1000)} AS evap_volume FROM g),
 i AS (SELECT *, volume - evap_volume AS v2 FROM h),
@@ -117,7 +117,26 @@ SELECT site, date, wl, evaporation,
        round(surface_area, 6) AS surface_area, round(v2 * {D(1e6)}, 6) AS volume_v2_m3,
        round_even({D(IN_CON_ZONE)} * pe, 3) AS c1, round_even({D(IN_CON_ZONE)} * p, 3) AS c2,
        round_even(v2 * {D(1e6)} * {D(IN_CON_ZONE)} / {D(1000)}, 3) AS quantity_t
-FROM c""")(zone_balance_chained)
+FROM c"""
+register("zone_balance_chained", ZONE_CHAINED_SQL)(zone_balance_chained)
+
+
+def zone_balance_two_frames(spark, sf):
+    """Q3 as users call it: water level and evaporation as two frames, joined on site and date."""
+    df = bal.zone_balance(T.zone_wl(spark, sf), T.zone_evap(spark, sf), IN_CON_ZONE)
+    return r(df, 6, ["volume_v1_m3", "evap_volume", "surface_area", "volume_v2_m3"])
+
+
+register("zone_balance_two_frames", ZONE_CHAINED_SQL)(zone_balance_two_frames)
+
+
+def display_names_q(spark, sf):
+    """P1 + P2: the zone balance as an ordered projection under its display names."""
+    return sinks.to_display(zone_balance_chained(spark, sf), "zone", keep_keys=["site"])
+
+
+register("display_names", "SELECT site, " + ", ".join(f'{c} AS "{n}"' for c, n in sinks.DISPLAY_NAMES["zone"].items())
+         + f" FROM ({ZONE_CHAINED_SQL})")(display_names_q)
 
 
 def zone_balance_stateless(spark, sf):
@@ -663,20 +682,23 @@ ORDER BY c2 DESC NULLS LAST, site, date LIMIT 10 OFFSET 30""")(
 
 
 def history_vs_forecast_q(spark, sf):
-    hist = zone_balance_chained(spark, sf).select("site", "date", F.col("c2").alias("y"))
-    fc = zone_balance_stateless(spark, sf).select("site", "date", F.col("c2").alias("y"))
-    return sinks.labelled_union({"history": flt.date_range(hist, "1996-01-01", "1996-12-31"),
-                                 "forecast": flt.date_range(fc, "1997-01-01", "1997-12-31")})
+    """Q10: the chained balance of 1996 (null rows dropped, P6) beside the stateless one of 1997."""
+    from pondflow.plans.forecast import compare_series
+    z = T.zone_inputs(spark, sf)
+    fc = r(bal.zone_balance_frame(z, IN_CON_ZONE, chained=False), 6, ["c2"])
+    return compare_series(bal.zone_balance_frame(z, IN_CON_ZONE), flt.date_range(fc, "1997-01-01", "1997-12-31"),
+                          "1996-01-01", "1996-12-31", "c2", ["site"])
 
 
 register("history_vs_forecast", _ZONE_JOIN + f""",
 g AS (SELECT *, {q.zone_volume()} AS volume, {q.zone_area()} AS surface_area FROM j),
 i AS (SELECT *, volume - evaporation * surface_area / {D(1000)} AS v2 FROM g),
-c AS (SELECT *, {q.running('product', 'volume / v2')} AS p FROM i)
-SELECT site, date, round_even({D(IN_CON_ZONE)} * p, 3) AS y, 'history' AS trace FROM c
-WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'
+c AS (SELECT *, {q.running('product', 'volume / v2')} AS p FROM i),
+h AS (SELECT site, date, round_even({D(IN_CON_ZONE)} * p, 3) AS y FROM c)
+SELECT site, 'history' AS trace, date AS x, y FROM h
+WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND y IS NOT NULL AND NOT isnan(y)
 UNION ALL
-SELECT site, date, round(volume * {D(IN_CON_ZONE)} / v2, 6) AS y, 'forecast' AS trace FROM i
+SELECT site, 'forecast' AS trace, date AS x, round(volume * {D(IN_CON_ZONE)} / v2, 6) AS y FROM i
 WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'""")(history_vs_forecast_q)
 
 
@@ -693,7 +715,15 @@ c AS (SELECT site, date, round(volume * {D(1e6)}, 6) AS volume_v1_m3, round(v2 *
 SELECT site, trace, date AS x, y FROM (UNPIVOT c ON volume_v1_m3, volume_v2_m3, quantity_t INTO NAME trace VALUE y)""")(
     chart_series_q)
 
-register("records_json", None)(lambda spark, sf: sinks.records_json(zone_balance_chained(spark, sf)))
+
+
+def records_json_q(spark, sf):
+    """K3: the zone balance as one JSON record per row, read back from the JSON."""
+    z = zone_balance_chained(spark, sf)
+    return sinks.records_json(z).select(F.inline(F.array(F.from_json("record", z.schema))))
+
+
+register("records_json", ZONE_CHAINED_SQL)(records_json_q)
 
 
 def null_quality_report_q(spark, sf):
@@ -716,7 +746,81 @@ def hash_split_q(spark, sf):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-register("hash_split", None)(hash_split_q)
+register("hash_split", """
+SELECT o_orderkey, o_orderdate, CASE WHEN ('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '42')), 1, 8))::BIGINT % 10000
+       < 8000 THEN 'train' ELSE 'test' END AS part FROM orders""")(hash_split_q)
+
+
+def calendar_training_frame_q(spark, sf):
+    """P5, P11, P12, P16, F5, F7, M1 and M2 together: the rows a keyed calendar model learns from."""
+    from pondflow.operators import models as M
+    from pondflow.plans import forecast as fc
+    df = st.robust_scale(fc.calendar_history(T.line_daily(spark, sf), ["v"]), ["site"], "v").drop("v_min", "v_max")
+    train, test = M.hash_split(df, ["site", "date"], 0.1)
+    out = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return r(_bigint(out, ["day", "month", "year"]))
+
+
+register("calendar_training_frame", T.with_sql("line_daily") + f""",
+h AS (SELECT * FROM line_daily WHERE date IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)),
+qq AS (SELECT site, quantile_cont(v, 0.01) AS plo, quantile_cont(v, 0.99) AS phi FROM h GROUP BY site),
+mm AS (SELECT site, min(v) AS lo, max(v) AS hi FROM h JOIN qq USING (site) WHERE v > plo AND v < phi GROUP BY site)
+SELECT site, date, round(v, 6) AS v, CAST(day(date) AS BIGINT) AS day, CAST(month(date) AS BIGINT) AS month, CAST(year(date) AS BIGINT) AS year,
+       round(sin({D(fd.TWO_PI)} * month(date) / {D(12)}), 6) AS month_sin, round(cos({D(fd.TWO_PI)} * month(date) / {D(12)}), 6) AS month_cos,
+       round((v - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END, 6) AS v_scaled,
+       CASE WHEN ('0x' || substr(md5(concat_ws('|', site, CAST(date AS VARCHAR), '42')), 1, 8))::BIGINT % 10000
+            < 9000 THEN 'train' ELSE 'test' END AS part
+FROM h JOIN mm USING (site)""")(calendar_training_frame_q)
+
+
+def recursive_training_frame_q(spark, sf):
+    """The feature rows of the recursive forecast, every window full."""
+    from pondflow.operators.recursive import training_frame
+    return r(training_frame(T.line_daily(spark, sf), ["site"], "v", [], lags=5, windows=(7, 14)))
+
+
+_N = "ROW_NUMBER() OVER (PARTITION BY site ORDER BY date)"
+
+
+def _frame(w: int) -> str:
+    return f"OVER (PARTITION BY site ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+
+
+register("recursive_training_frame", T.with_sql("line_daily") + f""",
+f AS (SELECT site, date, v, sin({D(fd.TWO_PI)} * dayofyear(date) / {D(365)}) AS dayofyear_sin, cos({D(fd.TWO_PI)} * dayofyear(date) / {D(365)}) AS dayofyear_cos,
+             sin({D(fd.TWO_PI)} * month(date) / {D(12)}) AS month_sin, cos({D(fd.TWO_PI)} * month(date) / {D(12)}) AS month_cos,
+             CAST({_N} - 1 AS DOUBLE) AS trend, {q.running('avg', 'v')} AS cumulative_mean, {q.running('stddev_samp', 'v')} AS cumulative_std,
+             {", ".join(f"avg(v) {_frame(w)} AS rolling_mean_{w}, stddev_samp(v) {_frame(w)} AS rolling_std_{w}" for w in (7, 14))},
+             {", ".join(f"lag(v, {i}) OVER (PARTITION BY site ORDER BY date) AS lag_{i}" for i in range(1, 6))}
+      FROM line_daily)
+SELECT site, date, round(trend, 6) AS trend, {", ".join(f"round({c}, 6) AS {c}" for c in [
+    "v", "dayofyear_sin", "dayofyear_cos", "month_sin", "month_cos", "cumulative_mean", "cumulative_std",
+    "rolling_mean_7", "rolling_std_7", "rolling_mean_14", "rolling_std_14", *[f"lag_{i}" for i in range(1, 6)]])}
+FROM f WHERE trend >= 13""")(recursive_training_frame_q)
+
+
+def cumulative_evaporation_q(spark, sf):
+    """F19 + W2: daily Penman evaporation per return flag and its running sum."""
+    from pondflow.plans import forecast as fc
+    w = T.weather_daily(spark, sf).withColumn("evaporation", fc._penman())
+    return r(fc.cumulative_evaporation(w, ["site"]).select("site", "date", "evaporation"), 4)
+
+
+register("cumulative_evaporation", f"""
+WITH w AS (SELECT l_returnflag AS site, CAST(l_shipdate AS DATE) AS date, avg(l_quantity) / {D(10)} AS delta, avg(l_tax) * {D(10)} + {D(0.06)} AS gamma,
+                  avg(l_quantity) / {D(5)} AS er, avg(l_discount) * {D(100)} AS ea FROM lineitem GROUP BY 1, 2),
+e AS (SELECT site, date, delta / (delta + gamma) * er + gamma / (delta + gamma) * ea AS e FROM w)
+SELECT site, date, round({q.running('sum', 'e')}, 4) AS evaporation FROM e""")(cumulative_evaporation_q)
+
+
+def horizon_lengths_q(spark, sf):
+    """F4 + A7: days from each series' first to its last date, both counted."""
+    b = T.zone_wl(spark, sf).groupBy("site").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    return b.select("site", fd.horizon_days("lo", "hi").cast("bigint").alias("days"))
+
+
+register("horizon_lengths", T.with_sql("zone_wl") + """
+SELECT site, CAST(max(date) - min(date) + 1 AS BIGINT) AS days FROM zone_wl GROUP BY site""")(horizon_lengths_q)
 
 
 def _model_root(spark, sf, name):
@@ -727,26 +831,32 @@ def _model_root(spark, sf, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/pondflow-models/{name}-{tag}"
 
 
+def _evaporation_model(spark, sf, targets, name):
+    """M9: the saved forest for these targets and this history, else fitted and saved."""
+    from pondflow.operators.models import FOREST_CALENDAR
+    from pondflow.plans import forecast as fc
+    hist = T.weather_daily(spark, sf)
+    return hist, fc.calendar_models(spark, hist, targets, _model_root(spark, sf, name), params=FOREST_CALENDAR, keys=["site"])
+
+
 def evaporation_forecast_q(spark, sf):
     from pondflow.operators.models import EVAPORATION_TARGETS
     from pondflow.plans import forecast as fc
-    cm = fc.calendar_models(spark, T.weather_daily(spark, sf), EVAPORATION_TARGETS,
-                            _model_root(spark, sf, "evaporation"))  # M9: load or fit + save
+    _, cm = _evaporation_model(spark, sf, EVAPORATION_TARGETS, "evaporation")
     out, _ = fc.forecast_evaporation(spark, cm, "2002-01", "2002-11", mode="a")
-    return sinks.to_display(out, "evaporation")
+    return sinks.to_display(out, "evaporation", keep_keys=["site"])
 
 
 register("evaporation_forecast", None)(evaporation_forecast_q)
 
 
 def evaporation_forecast_cumulative_q(spark, sf):
-    """Q1 in pond mode: the running sum of the daily forecast."""
-    from pondflow.operators.models import EVAPORATION_TARGETS
+    """Q1 in pond mode: the running sum of the daily forecast (W2); only the targets Penman needs are fitted."""
+    from pondflow.operators.models import PENMAN_TARGETS
     from pondflow.plans import forecast as fc
-    cm = fc.calendar_models(spark, T.weather_daily(spark, sf), EVAPORATION_TARGETS,
-                            _model_root(spark, sf, "evaporation"))
+    _, cm = _evaporation_model(spark, sf, PENMAN_TARGETS, "penman")
     out, _ = fc.forecast_evaporation(spark, cm, "2002-01", "2002-11", mode="b")
-    return out.select("date", "evaporation")
+    return out.select("site", "date", "evaporation")
 
 
 register("evaporation_forecast_cumulative", None)(evaporation_forecast_cumulative_q)
@@ -755,25 +865,39 @@ register("evaporation_forecast_cumulative", None)(evaporation_forecast_cumulativ
 def evaporation_after_last_q(spark, sf):
     from pondflow.operators.models import EVAPORATION_TARGETS
     from pondflow.plans import forecast as fc
-    hist = T.weather_daily(spark, sf)
-    cm = fc.calendar_models(spark, hist, EVAPORATION_TARGETS, _model_root(spark, sf, "evaporation"))
-    return fc.forecast_after_last(spark, cm, hist, 365).select("date", "evaporation", *EVAPORATION_TARGETS)
+    hist, cm = _evaporation_model(spark, sf, EVAPORATION_TARGETS, "evaporation")
+    return fc.forecast_after_last(spark, cm, hist, 365).select("site", "date", "evaporation", *EVAPORATION_TARGETS)
 
 
 register("evaporation_forecast_after_last", None)(evaporation_after_last_q)
 
 
 def water_level_forecast_q(spark, sf):
+    from pondflow.operators.models import FOREST_CALENDAR
     from pondflow.plans import forecast as fc
-    hist = T.zone_wl(spark, sf).groupBy("date").agg(F.avg("wl").alias("wl"))
-    cm = fc.calendar_models(spark, hist, ["wl"], _model_root(spark, sf, "water-level"))  # S10/M9
+    hist, _ = T.zone_flag_inputs(spark, sf)
+    cm = fc.calendar_models(spark, hist, ["wl"], _model_root(spark, sf, "water-level"), params=FOREST_CALENDAR, keys=["site"])
     out = fc.forecast_water_level(spark, cm, "2002-01", "2002-11")
-    return out.select("date", *fc.FEATURES, "wl")
+    return out.select("site", "date", *fc.FEATURES, "wl")
 
 
 register("water_level_forecast", None)(water_level_forecast_q)
 
 
+def forecast_days_q(spark, sf):
+    """Q2's rows per site: every day of the range once, with a level inside the site's observed range."""
+    hist, _ = T.zone_flag_inputs(spark, sf)
+    seen = hist.groupBy("site").agg(F.min("wl").alias("lo"), F.max("wl").alias("hi"))
+    f = water_level_forecast_q(spark, sf).join(seen, "site")
+    return f.groupBy("site").agg(F.countDistinct("date").alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"),
+                                 F.count_if(F.col("wl").between(F.col("lo"), F.col("hi"))).alias("in_range"))
+
+
+register("forecast_days", """
+SELECT DISTINCT l_returnflag AS site, CAST(334 AS BIGINT) AS days, DATE '2002-01-01' AS first_day, DATE '2002-11-30' AS last_day,
+       CAST(334 AS BIGINT) AS in_range FROM lineitem""")(forecast_days_q)
+
+
 def _pond_rows(spark, sf):
     p = bal.pond_balance(T.pond_evap(spark, sf), T.pond_in(spark, sf), T.pond_out(spark, sf),
                          IN_CON_POND, area=_pond_area())
@@ -1038,6 +1162,13 @@ FROM c""")(pond_balance_from_readings_q)
 # ---------------------------------------------------------------------------
 QUERY_IDS = {
     "zone_balance_chained": "Q3 P5 F9 F10 F13 F14 W10 W11 W12 F21",
+    "zone_balance_two_frames": "Q3 J1 P5 W10 W11 W12",
+    "display_names": "P1 P2",
+    "calendar_training_frame": "P5 P11 P12 P16 F5 F7 M1 M2 A6 P10 A8",
+    "recursive_training_frame": "W3 W4 W5 W6 W7 W8 F6 F8 P6",
+    "cumulative_evaporation": "F19 W2",
+    "horizon_lengths": "F4 A7",
+    "forecast_days": "Q2 M5 M7 S7",
     "zone_balance_stateless": "Q8 P5 F9 F10 F14 F15",
     "zone_balance_cubic_wt": "Q7 P5 F11 F12 F14 F15",
     "zone_balance_cubic_kg": "Q7 P5 F11 F12 F16",
@@ -1076,7 +1207,7 @@ QUERY_IDS = {
     "penman": "F19",
     "cyclic_lookup": "J4",
     "result_page": "O5 O2 F15",
-    "history_vs_forecast": "U1 P7",
+    "history_vs_forecast": "Q10 U1 P6 P7",
     "chart_series": "K6 U1",
     "records_json": "K3",
     "null_quality_report": "P13 P16 A10 J3",

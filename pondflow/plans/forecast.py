@@ -1,6 +1,6 @@
 """Forecast and scoring queries: Q1, Q2, Q5, Q6, Q10, Q11.
 
-Q1/Q2 fit calendar-feature regressors (robust-scaled targets) and predict a
+Q1/Q2 and Q11 take ``keys``: one forecast per series. They fit calendar-feature regressors (robust-scaled targets) and predict a
 future date spine; Q5 scores supplied rows with a concentration model; Q6 is
 the recursive forecast (``operators.recursive``); Q10 labels history and
 forecast series for charts; Q11 is Q1 starting the day after the last
@@ -13,10 +13,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pondflow.functions import physics as ph
+from pondflow.functions.numeric import minmax_inverse
 from pondflow.functions.dates import calendar_columns, month_end, month_start
 from pondflow.operators import models as M
 from pondflow.operators import stats as st
@@ -32,11 +33,26 @@ FEATURES = M.CALENDAR_FEATURES
 
 @dataclass
 class CalendarModel:
-    """Fitted calendar regressors: X scaler, per-target Y scalers, models, feature ranges."""
+    """Fitted calendar regressors: X scaler, per-target Y scalers, models, feature ranges.
+
+    With ``keys`` one pooled model per target serves every series: targets are scaled per key, and
+    ``signals`` (a row per key: mean and deviation of its scaled targets over the training rows) are
+    features beside the calendar.
+    """
     x_stats: DataFrame
     y_stats: dict[str, DataFrame]
     models: dict[str, PipelineModel]
     ranges: DataFrame
+    keys: tuple[str, ...] = ()
+    signals: DataFrame | None = None
+
+    @property
+    def features(self) -> list[str]:
+        return _features(list(self.models), self.keys)
+
+
+def _features(targets: Sequence[str], keys: Sequence[str]) -> list[str]:
+    return FEATURES + ([f"key_{s}_{t}" for t in targets for s in ("mean", "std")] if keys else [])
 
 
 def with_calendar(df: DataFrame, date: str = "date") -> DataFrame:
@@ -45,41 +61,57 @@ def with_calendar(df: DataFrame, date: str = "date") -> DataFrame:
     return df.withColumns({c: cal[c] for c in FEATURES})
 
 
-def fit_calendar_models(hist: DataFrame, targets: Sequence[str], date: str = "date",
-                        params: dict | None = None, test_fraction: float = 0.1,
-                        threads: int = 8) -> CalendarModel:
-    """M2-M5: calendar features -> min-max X; robust min-max Y per target; one GBT per target."""
+def calendar_history(hist: DataFrame, targets: Sequence[str], date: str = "date") -> DataFrame:
+    """The rows a calendar model learns from: calendar features added (F5, F7), required columns
+    present (P11), rows with blanks dropped (P5), something left (P12), finite targets (P16)."""
     df = with_calendar(hist, date)
-    require_columns(df, [*targets, *FEATURES])  # P11
-    df = drop_null_rows(df, [*targets, *FEATURES])  # P5
-    require_rows(df, "history")  # P12
+    require_columns(df, [*targets, *FEATURES])
+    df = require_rows(drop_null_rows(df, [*targets, *FEATURES]), "history")
     for t in targets:
-        require_finite_target(df, t)  # P16
+        require_finite_target(df, t)
+    return df
+
+
+def fit_calendar_models(hist: DataFrame, targets: Sequence[str], date: str = "date",
+                        params: dict | None = None, test_fraction: float = 0.1,
+                        threads: int = 8, keys: Sequence[str] = ()) -> CalendarModel:
+    """M2-M5: calendar features -> min-max X; robust min-max Y per target and key; one tree ensemble
+    per target, for all series of ``keys`` together."""
+    k = list(keys)
+    df = calendar_history(hist, targets, date)
     x_stats = M.fit_minmax(df, FEATURES)  # A8
     scaled = M.apply_minmax(df, x_stats, FEATURES)
-    y_stats = {t: st.robust_minmax_fit(df, [], t) for t in targets}  # A6 + P10 + A8
-    for t in targets:
-        scaled = M.apply_minmax(scaled, y_stats[t], [t])  # F24 (outliers fall outside [0,1])
-    train, _ = M.hash_split(scaled, [date], test_fraction)  # M1
-    models = M.fit_many(train, FEATURES, list(targets), params or M.GBT_CALENDAR, threads=threads)  # M4
+    y_stats = {t: st.robust_minmax_fit(df, k, t) for t in targets}  # A6 + P10 + A8
+    for t in targets:  # F24 (outliers fall outside [0,1])
+        scaled = st.minmax_apply(scaled, y_stats[t], k, t).drop(f"{t}_min", f"{t}_max")
+    train, _ = M.hash_split(scaled, [*k, date], test_fraction)  # M1
+    signals = None
+    if k:
+        signals = train.groupBy(*k).agg(*[x for t in targets for x in (
+            F.avg(t).alias(f"key_mean_{t}"), F.coalesce(F.stddev_samp(t), F.lit(0.0)).alias(f"key_std_{t}"))])
+        train = st.join_small(train, signals, k)
+    models = M.fit_many(train, _features(targets, k), list(targets), params or M.GBT_CALENDAR, threads=threads)  # M4
     ranges = st.feature_ranges(df, [], FEATURES)  # A5
-    return CalendarModel(x_stats, y_stats, models, ranges)
+    return CalendarModel(x_stats, y_stats, models, ranges, tuple(k), signals)
 
 
 def save_calendar_model(spark: SparkSession, cm: CalendarModel, root: str, tag: str = "") -> None:
     """K5: models through the registry, scaler statistics and feature ranges as Parquet."""
     reg = M.ModelRegistry(spark, root)
     for t, m in cm.models.items():
-        reg.save(f"model-{t}", m, FEATURES, tag)
+        reg.save(f"model-{t}", m, cm.features, tag)
     cm.x_stats.write.mode("overwrite").parquet(f"{root}/x_stats")
     cm.ranges.write.mode("overwrite").parquet(f"{root}/ranges")
+    if cm.signals is not None:
+        cm.signals.write.mode("overwrite").parquet(f"{root}/signals")
     for t, df in cm.y_stats.items():
         df.write.mode("overwrite").parquet(f"{root}/y_stats-{t}")
     spark.createDataFrame([(",".join(cm.models),)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{root}/targets")
 
 
-def load_calendar_model(spark: SparkSession, root: str, targets: Sequence[str], tag: str = "") -> CalendarModel | None:
+def load_calendar_model(spark: SparkSession, root: str, targets: Sequence[str], tag: str = "",
+                        keys: Sequence[str] = ()) -> CalendarModel | None:
     """The saved bundle, or None when absent or saved for other targets, features,
     parameters or data (M10); a bundle that cannot be read raises."""
     saved = M.read_saved(spark, f"{root}/targets")
@@ -89,12 +121,13 @@ def load_calendar_model(spark: SparkSession, root: str, targets: Sequence[str],
     models = {}
     for t in targets:
         got = reg.load(f"model-{t}")
-        if got is None or got[1:] != (FEATURES, tag):
+        if got is None or got[1:] != (_features(targets, keys), tag):
             return None
         models[t] = got[0]
     return CalendarModel(spark.read.parquet(f"{root}/x_stats"),
                          {t: spark.read.parquet(f"{root}/y_stats-{t}") for t in targets},
-                         models, spark.read.parquet(f"{root}/ranges"))
+                         models, spark.read.parquet(f"{root}/ranges"), tuple(keys),
+                         spark.read.parquet(f"{root}/signals") if keys else None)
 
 
 def calendar_models(spark: SparkSession, hist: DataFrame, targets: Sequence[str], root: str,
@@ -102,57 +135,76 @@ def calendar_models(spark: SparkSession, hist: DataFrame, targets: Sequence[str]
     """M9: load the bundle under ``root`` when it was fitted with the same options on the same
     history (which is scanned for its fingerprint), else fit and save it."""
     tag = M.fit_tag(kw.get("params"), hist, **{n: v for n, v in kw.items() if n not in ("params", "threads")})
-    cm = load_calendar_model(spark, root, targets, tag)
+    keys = kw.get("keys", ())
+    cm = load_calendar_model(spark, root, targets, tag, keys)
     if cm is None:
-        cm = fit_calendar_models(hist, targets, **kw)
-        save_calendar_model(spark, cm, root, tag)
-        cm = load_calendar_model(spark, root, targets, tag) or cm
+        save_calendar_model(spark, fit_calendar_models(hist, targets, **kw), root, tag)
+        cm = load_calendar_model(spark, root, targets, tag, keys)
     return cm
 
 
 def predict_calendar(cm: CalendarModel, future: DataFrame, date: str = "date") -> DataFrame:
-    """M7: scale X, predict every target, inverse-scale each prediction."""
+    """M7: scale X, predict every target, inverse-scale each prediction. Rows of a key the model has
+    not seen come out with NULL predictions."""
+    k = list(cm.keys)
     df = with_calendar(future, date)
     raw = {f"_raw_{c}": F.col(c) for c in FEATURES}
     out = M.apply_minmax(df.withColumns(raw), cm.x_stats, FEATURES)  # scaled in place for the models
+    extra = [c for c in cm.features if c not in FEATURES]
+    if k:
+        out = st.join_small(out, cm.signals, k, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in extra})
     for t, m in cm.models.items():
         out = m.transform(out).drop("_features")
     for t in cm.models:
-        out = M.apply_minmax(out.withColumnRenamed(f"pred_{t}", t), cm.y_stats[t], [t], inverse=True)
-    return out.withColumns({c: F.col(f"_raw_{c}") for c in FEATURES}).drop(*raw)
+        out = st.join_small(out.withColumnRenamed(f"pred_{t}", t), cm.y_stats[t], k, "left" if k else "inner")
+        out = out.withColumn(t, minmax_inverse(t, f"{t}_min", f"{t}_max")).drop(f"{t}_min", f"{t}_max")
+    return out.withColumns({c: F.col(f"_raw_{c}") for c in FEATURES}).drop(*raw, *extra)
+
+
+def _month_spine(spark: SparkSession, cm: CalendarModel, start_ym: str, end_ym: str) -> DataFrame:
+    """The days of the month range, for every key of the model."""
+    series = cm.signals.select(*cm.keys) if cm.keys else spark.range(1)
+    bounds = series.withColumns({"lo": month_start(F.lit(start_ym)), "hi": month_end(F.lit(end_ym))})
+    return date_spine(bounds, list(cm.keys), "lo", "hi")
+
+
+def _penman() -> Column:
+    return ph.penman("slope", "psychrometric_constant", "radiation_based_evaporation", "aerodynamics_evaporation")  # F19
 
 
 def forecast_evaporation(spark: SparkSession, cm: CalendarModel, start_ym: str, end_ym: str,
                          mode: str = "a") -> tuple[DataFrame, DataFrame]:
-    """Q1: spine over the month range, 8 target predictions, Penman evaporation.
+    """Q1: spine over the month range per key, target predictions, Penman evaporation.
 
-    ``mode='b'`` (pond) emits the running sum of evaporation (W2). Returns the
+    ``mode='b'`` (pond) emits each key's running sum of evaporation (W2). Returns the
     forecast and the out-of-range report (P15).
     """
-    bounds = spark.range(1).select(month_start(F.lit(start_ym)).alias("lo"), month_end(F.lit(end_ym)).alias("hi"))
-    future = date_spine(bounds, [], "lo", "hi")  # S7
+    future = _month_spine(spark, cm, start_ym, end_ym)
     report = st.out_of_range(with_calendar(future), cm.ranges, FEATURES)
-    out = predict_calendar(cm, future)
-    out = out.withColumn("evaporation", ph.penman("slope", "psychrometric_constant",
-                                                  "radiation_based_evaporation", "aerodynamics_evaporation"))  # F19
+    out = predict_calendar(cm, future).withColumn("evaporation", _penman())
     if mode != "a":
-        out = running_sum(out.withColumn("_k", F.lit(1)), ["_k"], "evaporation", "evaporation").drop("_k")
+        out = cumulative_evaporation(out, cm.keys)
     return out, report
 
 
+def cumulative_evaporation(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``evaporation`` as each key's running sum by date."""
+    if keys:
+        return running_sum(daily, list(keys), "evaporation", "evaporation")
+    return running_sum(daily.withColumn("_k", F.lit(1)), ["_k"], "evaporation", "evaporation").drop("_k")
+
+
 def forecast_after_last(spark: SparkSession, cm: CalendarModel, hist: DataFrame, n_days: int,
                         date: str = "date") -> DataFrame:
-    """Q11: Q1 for the ``n_days`` after the last observed date (A7 + S8)."""
-    future = spine_after_last(hist.withColumn("_k", F.lit(1)), ["_k"], n_days, date=date).drop("_k")
-    out = predict_calendar(cm, future, date)
-    return out.withColumn("evaporation", ph.penman("slope", "psychrometric_constant",
-                                                   "radiation_based_evaporation", "aerodynamics_evaporation"))
+    """Q11: Q1 for the ``n_days`` after each key's last observed date (A7 + S8)."""
+    k = list(cm.keys) or ["_k"]
+    future = spine_after_last(hist if cm.keys else hist.withColumn("_k", F.lit(1)), k, n_days, date=date)
+    return predict_calendar(cm, future.drop("_k"), date).withColumn("evaporation", _penman())
 
 
 def forecast_water_level(spark: SparkSession, cm: CalendarModel, start_ym: str, end_ym: str) -> DataFrame:
-    """Q2: one calendar regressor for ``wl`` over the month range."""
-    bounds = spark.range(1).select(month_start(F.lit(start_ym)).alias("lo"), month_end(F.lit(end_ym)).alias("hi"))
-    return predict_calendar(cm, date_spine(bounds, [], "lo", "hi"))
+    """Q2: one calendar regressor for ``wl`` over the month range, per key."""
+    return predict_calendar(cm, _month_spine(spark, cm, start_ym, end_ym))
 
 
 CONC_FEATURES = ["brine_in", "brine_out", "initial_concentration", *FEATURES]

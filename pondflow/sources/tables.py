@@ -185,10 +185,11 @@ def with_sql(*names: str) -> str:
 
 
 def weather_daily(spark, sf_dir) -> DataFrame:
-    """Daily history with the 8 evaporation-model targets, derived from lineitem by ship date."""
+    """Daily history per return flag with the 8 evaporation-model targets, derived from lineitem by ship date."""
     li = table(spark, sf_dir, "lineitem")
-    return (li.select(F.to_date("l_shipdate").alias("date"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-            .groupBy("date")
+    return (li.select(F.col("l_returnflag").alias("site"), F.to_date("l_shipdate").alias("date"),
+                      "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+            .groupBy("site", "date")
             .agg((F.avg("l_extendedprice") / 100.0).alias("solar_irradiance"),
                  (F.avg("l_quantity") / 10.0).alias("slope"),
                  (F.avg("l_tax") * 30.0).alias("saturation_vapour"),

@@ -44,7 +44,7 @@ def test_tree_walk_equals_transform(spark, seasonal):
     df = seasonal.withColumn("yy", F.dayofyear("date").cast("double"))
     model = M.fit_regressor(df, feats, "y", SMALL)
     path = tempfile.mkdtemp(prefix="pf-model-") + "/gbt"
-    trees = M.tree_arrays(spark, M.gbt_stage(model), path)
+    trees = M.tree_arrays(spark, M.tree_stage(model), path)
     pdf = model.transform(df).select(*feats, "prediction").limit(50).toPandas()
     for _, r in pdf.iterrows():
         x = np.array([r[c] for c in feats], dtype=float)
