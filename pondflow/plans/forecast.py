@@ -9,7 +9,9 @@ observation.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pondflow.functions import physics as ph
-from pondflow.functions.numeric import minmax_inverse
+from pondflow.functions.numeric import minmax_inverse, minmax_transform
 from pondflow.functions.dates import calendar_columns, month_end, month_start
 from pondflow.operators import models as M
 from pondflow.operators import stats as st
@@ -26,6 +28,7 @@ from pondflow.operators.filters import (date_range, drop_null_rows, month_range_
 from pondflow.operators.recursive import recursive_forecast
 from pondflow.operators.scan import running_sum
 from pondflow.operators.series import date_spine, spine_after_last
+from pondflow.session import checkpoint_dir
 from pondflow.sources.sinks import labelled_union
 
 FEATURES = M.CALENDAR_FEATURES
@@ -78,23 +81,35 @@ def fit_calendar_models(hist: DataFrame, targets: Sequence[str], date: str = "da
     """M2-M5: calendar features -> min-max X; robust min-max Y per target and key; one tree ensemble
     per target, for all series of ``keys`` together."""
     k = list(keys)
-    df = calendar_history(hist, targets, date)
-    x_stats = M.fit_minmax(df, FEATURES)  # A8
-    scaled = M.apply_minmax(df, x_stats, FEATURES)
-    y_stats = {t: st.robust_minmax_fit(df, k, t) for t in targets}  # A6 + P10 + A8
-    for t in targets:  # F24 (outliers fall outside [0,1])
-        scaled = st.minmax_apply(scaled, y_stats[t], k, t).drop(f"{t}_min", f"{t}_max")
-    train, _ = M.hash_split(scaled, [*k, date], test_fraction)  # M1
-    signals = None
-    if k:
-        signals = train.groupBy(*k).agg(*[x for t in targets for x in (
-            F.avg(t).alias(f"key_mean_{t}"), F.coalesce(F.stddev_samp(t), F.lit(0.0)).alias(f"key_std_{t}"))])
-        train = st.join_small(train, signals, k)
-    models = M.fit_many(train, _features(targets, k), list(targets), params or M.GBT_CALENDAR, threads=threads)  # M4
-    ranges = st.feature_ranges(df, [], FEATURES)  # A5
+    checkpoint_dir(hist.sparkSession)
+    df = calendar_history(hist, targets, date).cache()  # read by every statistic below
+    try:
+        x_stats = M.fit_minmax(df, FEATURES).checkpoint()  # A8
+        ranges = st.feature_ranges(df, [], FEATURES).checkpoint()  # A5
+        with ThreadPoolExecutor(max_workers=max(1, min(threads, len(targets)))) as ex:  # independent jobs: A6 + P10 + A8
+            y_stats = dict(zip(targets, ex.map(lambda t: st.robust_minmax_fit(df, k, t).checkpoint(), targets)))
+        scaled = _attach(M.apply_minmax(df, x_stats, FEATURES), y_stats, k)
+        scaled = scaled.withColumns({t: minmax_transform(t, f"{t}_min", f"{t}_max") for t in targets})  # F24 (outliers fall outside [0,1])
+        train, _ = M.hash_split(scaled, [*k, date], test_fraction)  # M1
+        signals = None
+        if k:
+            signals = train.groupBy(*k).agg(*[x for t in targets for x in (
+                F.avg(t).alias(f"key_mean_{t}"), F.coalesce(F.stddev_samp(t), F.lit(0.0)).alias(f"key_std_{t}"))]).checkpoint()
+            train = st.join_small(train, signals, k)
+        models = M.fit_many(train, _features(targets, k), list(targets), params or M.GBT_CALENDAR, threads=threads)  # M4
+    finally:
+        df.unpersist()
     return CalendarModel(x_stats, y_stats, models, ranges, tuple(k), signals)
 
 
+def _attach(df: DataFrame, y_stats: dict[str, DataFrame], keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` with the ``<target>_min`` and ``<target>_max`` of every target, in one join on the keys."""
+    one = list(keys) or ["_one"]
+    tables = [t if keys else t.withColumn("_one", F.lit(1)) for t in y_stats.values()]
+    wide = functools.reduce(lambda x, y: x.join(y, one), tables)
+    return st.join_small(df, wide.drop("_one"), list(keys), how)
+
+
 def save_calendar_model(spark: SparkSession, cm: CalendarModel, root: str, tag: str = "") -> None:
     """K5: models through the registry, scaler statistics and feature ranges as Parquet."""
     reg = M.ModelRegistry(spark, root)
@@ -138,8 +153,8 @@ def calendar_models(spark: SparkSession, hist: DataFrame, targets: Sequence[str]
     keys = kw.get("keys", ())
     cm = load_calendar_model(spark, root, targets, tag, keys)
     if cm is None:
-        save_calendar_model(spark, fit_calendar_models(hist, targets, **kw), root, tag)
-        cm = load_calendar_model(spark, root, targets, tag, keys)
+        cm = fit_calendar_models(hist, targets, **kw)
+        save_calendar_model(spark, cm, root, tag)
     return cm
 
 
@@ -155,10 +170,10 @@ def predict_calendar(cm: CalendarModel, future: DataFrame, date: str = "date") -
         out = st.join_small(out, cm.signals, k, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in extra})
     for t, m in cm.models.items():
         out = m.transform(out).drop("_features")
-    for t in cm.models:
-        out = st.join_small(out.withColumnRenamed(f"pred_{t}", t), cm.y_stats[t], k, "left" if k else "inner")
-        out = out.withColumn(t, minmax_inverse(t, f"{t}_min", f"{t}_max")).drop(f"{t}_min", f"{t}_max")
-    return out.withColumns({c: F.col(f"_raw_{c}") for c in FEATURES}).drop(*raw, *extra)
+    out = _attach(out, cm.y_stats, k, "left" if k else "inner")
+    out = out.withColumns({t: minmax_inverse(f"pred_{t}", f"{t}_min", f"{t}_max") for t in cm.models})
+    used = [f"{a}{t}{b}" for t in cm.models for a, b in (("pred_", ""), ("", "_min"), ("", "_max"))]
+    return out.withColumns({c: F.col(f"_raw_{c}") for c in FEATURES}).drop(*raw, *extra, *used)
 
 
 def _month_spine(spark: SparkSession, cm: CalendarModel, start_ym: str, end_ym: str) -> DataFrame:
