@@ -30,9 +30,8 @@ GBT_CALENDAR = dict(maxIter=200, stepSize=0.05, maxDepth=5, subsamplingRate=0.8,
 GBT_RECURSIVE = dict(maxIter=300, stepSize=0.05, maxDepth=6, subsamplingRate=0.9, seed=SEED)  # M12
 GBT_RECURSIVE_KG = dict(maxIter=300, stepSize=0.05, maxDepth=6, subsamplingRate=0.8,
                         featureSubsetStrategy="0.8", minInfoGain=0.1, seed=SEED)  # M13
-# The same tree counts, depths and sampling for forests.
-FOREST_CALENDAR = dict(numTrees=200, maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
-FOREST_RECURSIVE = dict(numTrees=300, maxDepth=6, subsamplingRate=0.9, featureSubsetStrategy="all", seed=SEED)
+# The same tree count, depth and sampling for a forest; maxMemoryInMB bounds a task's histograms.
+FOREST_CALENDAR = dict(numTrees=200, maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8", maxMemoryInMB=64, seed=SEED)
 CALENDAR_FEATURES = ["day", "month", "year", "month_sin", "month_cos"]
 EVAPORATION_TARGETS = ["solar_irradiance", "slope", "saturation_vapour", "actual_vapour", "wind_speed",
                        "radiation_based_evaporation", "aerodynamics_evaporation", "psychrometric_constant"]

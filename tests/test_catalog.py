@@ -12,7 +12,7 @@ from pondflow.sources.tables import TABLES
 duckdb = pytest.importorskip("duckdb")
 
 # model fits with reference-size ensembles take minutes; covered by tests/test_models.py
-SLOW = {"evaporation_forecast", "evaporation_forecast_after_last", "water_level_forecast",
+SLOW = {"evaporation_forecast", "evaporation_forecast_after_last",
         "final_concentration_score", "recursive_forecast"}
 
 

@@ -56,6 +56,17 @@ def test_water_level_forecast(spark, weather):
     assert {r["month"] for r in out} == {2} and out[0]["month_sin"] == pytest.approx(math.sin(2 * math.pi * 2 / 12))
 
 
+def test_keyed_forecast_tells_sites_apart(spark, weather):
+    hist = (weather.select(F.lit("low").alias("site"), "date", F.col("slope").alias("wl"))
+            .unionByName(weather.select(F.lit("high").alias("site"), "date", (F.col("slope") + 100).alias("wl"))))
+    m = fc.fit_calendar_models(hist, ["wl"], params=dict(numTrees=5, maxDepth=3, seed=42), keys=["site"])
+    out = fc.forecast_water_level(spark, m, "2024-02", "2024-02").collect()
+    assert len(out) == 58 and len({(r["site"], r["date"]) for r in out}) == 58
+    assert all((1.0 < r["wl"] < 2.0) if r["site"] == "low" else (101.0 < r["wl"] < 102.0) for r in out)
+    new = spark.createDataFrame([("other", dt.date(2024, 2, 1))], "site string, date date")
+    assert [r["wl"] for r in fc.predict_calendar(m, new).collect()] == [None]     # unseen site: kept, not scored
+
+
 def test_final_concentration_scoring_with_fallback(spark):
     rows = []
     for pond in ("P1", "P2"):

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 
 SKIP = {"evaporation_forecast", "evaporation_forecast_after_last", "evaporation_forecast_cumulative",
-        "water_level_forecast", "final_concentration_score", "recursive_forecast", "csv_roundtrip"}
+        "water_level_forecast", "forecast_days", "final_concentration_score", "recursive_forecast", "csv_roundtrip"}
 
 
 def plan(df) -> str:
