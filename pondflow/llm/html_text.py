@@ -1,14 +1,17 @@
 """HTML extraction by equivalence classes of template tokens.
 
 A page is a sequence of tokens: its tags in the context of the containers that are
-open around them, and its runs of text outside the article. The occurrence vector of a
-token counts it on each page of the host. Tokens with equal vectors form an
+open around them, and its runs of text. The occurrence vector of a token counts it on each
+page of the host; pages of equal main text are one page, so copies do not make their
+body template. Tokens with equal vectors form an
 equivalence class (vectors are compared by a fingerprint that Spark aggregates, so no
 vector is gathered); classes of two tokens or more that occur on half of the host's
-pages are the template, each nested in the class of its tokens' container. What lies between template
+pages, or for text in an article on half of those with its container, are the template where
+the container of their tokens is in a class, too. What lies between template
 tokens are the slots; the main text is that of the slots outside menus, headers,
 footers, side columns, notices, adverts, forms and comments, of the article where
-the page has one. The article's own text never counts as template, so copies of a page keep it.
+the page has one. An article of which the template would take half or more keeps its text
+(near copies repeat most of it).
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from pondflow.llm.common import materialise
 
+WHOLE = ""  # the token of a page itself, container of its outermost tokens
 LEAST_PAGES = 3
 LEAST_SHARE = 0.5
 BROADCAST_TOKENS = 1_000_000  # most template tokens that are broadcast (8 MB); beyond it pages are shuffled to their host's template
@@ -55,22 +59,25 @@ def walk(page: str):
         if tag is None:
             text = m[0]
             if text[0] != "<" or text == "<":
-                yield path + "=" + text if not article and not outside else None, path, text, outside, article, False
+                yield path + "=" + text if not outside else None, path, text, outside, article, False
             continue
         tag = tag.lower()
         if m["end"]:
+            token = path + "</" + tag
             if tag in CONTAINERS:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == tag:
-                        path = stack[i - 1][1]
+                        token, path = stack[i][1] + "</", stack[i - 1][1]
                         outside, article = stack[i][2], stack[i][3]
                         del stack[i:]
                         break
-            yield path + "</" + tag, path, None, outside, article, tag in BLOCKS
+            yield token, path, None, outside, article, tag in BLOCKS
             continue
-        yield path + "<" + tag, path, None, outside, article, tag in BLOCKS
-        if tag in CONTAINERS and not m["attr"].endswith("/"):
+        if tag not in CONTAINERS or m["attr"].endswith("/"):
+            yield path + "<" + tag, path, None, outside, article, tag in BLOCKS
+        else:
             words = _words_of(m["attr"]) if m["attr"] else ()
+            yield f"{path}/{tag}.{'.'.join(words)}", path, None, outside, article, tag in BLOCKS
             inside = article or tag in ("article", "main") or "main" in words
             off = (outside or tag in OUTSIDE or not HINTS.isdisjoint(words)
                    or (not inside and (tag == "header" or not HEAD_HINTS.isdisjoint(words))))
@@ -83,44 +90,52 @@ def name(token: str) -> int:
     return xxhash.xxh64_intdigest(token) - (1 << 63)
 
 
+def _repeated(seen: list, template: set) -> set:
+    """The template's texts in the article, unless they are half of it or more."""
+    texts = [(token, len(text.strip())) for token, _, text, outside, article, _ in seen if article and not outside and text is not None]
+    found = {token for token, n in texts if n and name(token) in template}
+    return found if 2 * sum(n for token, n in texts if token in found) < sum(n for _, n in texts) else set()
+
+
 def main_text(page: str, template: set) -> str:
     """The page's slots outside boilerplate, blocks joined by one space; of the article if there is one."""
     seen = list(walk(page))
     has_article = any(article and not outside and text is not None and text.strip() for _, _, text, outside, article, _ in seen)
+    repeated = _repeated(seen, template) if has_article and template else ()
     blocks, block = [], []
     for token, _, text, outside, article, ends in seen:
         if text is None:
             if ends:
                 blocks.append("".join(block))
                 block = []
-        elif not outside and article == has_article and (article or name(token) not in template):
+        elif not outside and article == has_article and (token not in repeated if article else name(token) not in template):
             block.append(text)
     blocks.append("".join(block))
     return " ".join(x for x in (" ".join(entities.unescape(b).split()) for b in blocks) if x)
 
 
 def _occurrences(batches):
-    """(host, token, container, vector's part, times) of every distinct token of a page."""
+    """(host, token, container, page, times, inside an article's text) of every distinct token of a page; ``WHOLE`` is the page itself."""
     import pyarrow as pa
-    import xxhash
 
     for batch in batches:
-        host, token, inside, part, times = [], [], [], [], []
-        for h, page_id, page in zip(*(c.to_pylist() for c in batch.columns)):
-            mark = f"{page_id}/{xxhash.xxh64_hexdigest(page)}"
-            found, container = Counter(), {}
-            for t, path, *_ in walk(page):
+        host, token, inside, digest, times, body = [], [], [], [], [], []
+        for h, page in zip(*(c.to_pylist() for c in batch.columns)):
+            mark = name(main_text(page, set()))
+            found, container = Counter({"": 1}), {"": ("", False)}
+            for t, path, text, _, article, _ in walk(page):
                 if t is not None:
                     found[t] += 1
-                    container[t] = path
+                    container[t] = path, article and text is not None
             for t, n in found.items():
                 host.append(h)
                 token.append(name(t))
-                inside.append(name(container[t].rpartition("/")[0] + "<" + container[t].rpartition("/")[2].partition(".")[0]) if container[t] else 0)
-                part.append(name(f"{mark}/{n}"))
+                inside.append(name(container[t][0]))
+                digest.append(mark)
                 times.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string())] + [pa.array(x, pa.int64()) for x in (token, inside, part, times)],
-                                         ["host", "token", "container", "part", "times"])
+                body.append(container[t][1])
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string())] + [pa.array(x, pa.int64()) for x in (token, inside, digest, times)] + [pa.array(body, pa.bool_())],
+                                         ["host", "token", "container", "page", "times", "body"])
 
 
 def _pages(df: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
@@ -132,22 +147,29 @@ def templates(df: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     """(host, class_id, parent_class, pages, tokens): the valid equivalence classes of every host.
 
     ``tokens`` are hashes; a token of a class occurs on half of the host's pages
-    at least, so a host's classes together hold at most twice as many tokens as its mean page.
-    ``parent_class`` is the class of the container of the class's tokens (null at the top).
+    at least, so a host's classes together hold at most twice as many tokens as its mean page
+    (for text in an article, on half of the pages with its container).
+    ``parent_class`` is the class of the container of the tokens (null where it is in none);
+    a class whose tokens lie in containers of several classes has a row for each.
     """
     pages = _pages(df, page_id, url, html)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("all"))
-    tokens = (pages.select("host", "page_id", "html").mapInArrow(_occurrences, "host string, token long, container long, part long, times long")
-              .groupBy("host", "token").agg(F.min("container").alias("container"), F.bit_xor("part").alias("vector"),
-                                            F.count("*").alias("pages"), F.sum("times").alias("times")))
-    often = tokens.join(sizes, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all")))
-    named = often.withColumn("class_id", F.xxhash64("vector", "pages", "times"))
-    classes = (named.groupBy("host", "class_id", "pages")
-               .agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.min("container").alias("container")).where(F.size("tokens") > 1))
-    classes = materialise(classes, "classes")
-    inside = classes.select(F.col("host").alias("h"), F.explode("tokens").alias("t"), F.col("class_id").alias("parent_class"))
-    return (classes.join(inside, (F.col("host") == F.col("h")) & (F.col("container") == F.col("t")), "left")
-            .select("host", "class_id", "parent_class", "pages", "tokens"))
+    tokens = (pages.select("host", "html").mapInArrow(_occurrences, "host string, token long, container long, page long, times long, body boolean")
+              .groupBy("host", "token", "page").agg(F.min("container").alias("container"), F.max("times").alias("times"), F.max("body").alias("body"))
+              .groupBy("host", "token").agg(F.min("container").alias("container"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"),
+                                            F.count("*").alias("pages"), F.sum("times").alias("times"), F.max("body").alias("body"))
+              .where(F.col("pages") >= LEAST_PAGES))
+    often = materialise(tokens, "tokens")
+    sizes = often.where(F.col("token") == name(WHOLE)).select("host", F.col("pages").alias("all"))
+    around = often.select(F.col("host").alias("h"), F.col("token").alias("t"), F.col("pages").alias("with_container"))
+    named = (often.join(sizes, "host").join(around, (F.col("host") == F.col("h")) & (F.col("container") == F.col("t")))
+             .where(F.col("pages") >= LEAST_SHARE * F.when(F.col("body"), F.col("with_container")).otherwise(F.col("all")))
+             .select("host", "token", "container", "pages", F.xxhash64("vector", "pages", "times").alias("class_id")))
+    valid = named.groupBy("host", "class_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    named = materialise(named.join(valid, ["host", "class_id"]), "classes")
+    inside = named.select(F.col("host").alias("h"), F.col("token").alias("t"), F.col("class_id").alias("parent_class"))
+    return (named.join(inside, (F.col("host") == F.col("h")) & (F.col("container") == F.col("t")), "left")
+            .where(F.col("token") != name(WHOLE))
+            .groupBy("host", "class_id", "parent_class", "pages").agg(F.sort_array(F.collect_list("token")).alias("tokens")))
 
 
 def _extract(batches):
@@ -171,7 +193,7 @@ def extract_text(df: DataFrame, page_id: str = "page_id", url: str = "url", html
     pairs in a fingerprint, never in a count); an empty table gives an empty result. The templates are broadcast only while they
     hold ``BROADCAST_TOKENS`` tokens at most; otherwise pages are joined to them by host.
     """
-    found = materialise(templates(df, page_id, url, html).groupBy("host").agg(F.flatten(F.collect_set("tokens")).alias("tokens")), "templates")
+    found = materialise(templates(df, page_id, url, html).where("parent_class is not null").groupBy("host").agg(F.flatten(F.collect_set("tokens")).alias("tokens")), "templates")
     size = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
     if size <= BROADCAST_TOKENS:
         found = F.broadcast(found)

@@ -285,6 +285,22 @@ def test_shuffled_templates_give_the_same(spark, monkeypatch):
     assert sorted(tuple(r) for r in html_text.extract_text(df).collect()) == first
 
 
+def extracted(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+
+
+def test_boilerplate_in_articles_is_template_but_copies_are_not(spark):
+    box = "<div class='nl-box'><p>Get our mail</p><p>No spam</p></div>"
+    rows = [(i, f"http://n.example/{i}", f"<body><article><p>Story {i} tells of the day {i} at length{box if i % 2 else ''}<p>and ends {i}</article>") for i in range(8)]
+    rows += [(20 + i, f"http://c.example/{i}", f"<body><div>Visit {i}</div><article><p>One body<p>of two parts</article>") for i in range(6)]
+    rows += [(30 + i, f"http://d.example/{i}", f"<body><article><p>A near copy has the same long body<p>in two parts<p>No {i}</article>") for i in range(6)]
+    text = extracted(spark, rows)
+    assert all(text[i] == f"Story {i} tells of the day {i} at length and ends {i}" for i in range(8))
+    assert all(text[20 + i] == "One body of two parts" for i in range(6))
+    assert all(text[30 + i] == f"A near copy has the same long body in two parts No {i}" for i in range(6))
+
+
 # ---------------------------------------------------------------- op8
 
 def test_language(spark, odd, none):
