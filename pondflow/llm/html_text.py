@@ -9,8 +9,9 @@ vector is gathered); classes of two tokens or more that occur on half of the hos
 pages, or for text in an article on half of those with its container, are the template where
 the container of their tokens is in a class, too. What lies between template
 tokens are the slots; the main text is that of the slots outside menus, headers,
-footers, side columns, notices, adverts, forms and comments, of the article where
-the page has one. An article of which the template would take half or more keeps its text
+footers and side columns, of the article where it has at least as much text as the rest
+of the page. Containers named like side columns, notices, adverts or comments, and forms, are left
+out where they hold less than half of that text. An article of which the template would take half or more keeps its text
 (near copies repeat most of it).
 """
 
@@ -38,50 +39,70 @@ CONTAINERS = frozenset("head body div section article main nav header footer asi
                        "select button fieldset template svg object".split())
 BLOCKS = CONTAINERS | frozenset("html p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre address hr br "
                                 "figcaption summary option optgroup legend center hgroup search".split())
-OUTSIDE = frozenset("head nav footer aside form dialog menu select button template svg object fieldset".split())
+OUTSIDE = frozenset("head nav footer aside dialog menu select button template svg object".split())
+FORMS = frozenset(("form", "fieldset"))
 HINTS = frozenset("ad ads advert advertisement adverts banner cookie cookies consent notice notices sidebar comment comments menu nav "
                   "navbar navigation footer promo sponsor sponsored share social related subscribe newsletter breadcrumb breadcrumbs "
                   "popup modal gdpr disqus respond replies complementary contentinfo search".split())
 HEAD_HINTS = frozenset("header masthead topbar".split())
+ABOUT = frozenset("has no not with without".split())  # has-sidebar, no-sidebar: the name tells of other containers
 
 
-def _words_of(attributes: str) -> tuple[str, ...]:
+def _words_of(attributes: str) -> tuple[tuple[str, ...], set[str]]:
+    """All words of class, id and role, and those of names that tell of the container itself."""
     found = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes))
-    return tuple(w for w in re.split(r"[^a-z]+", found.lower()) if w)
+    names = [[w for w in re.split(r"[^a-z]+", x) if w] for x in found.lower().split()]
+    return tuple(w for x in names for w in x), {w for x in names if x and x[0] not in ABOUT for w in x}
+
+
+class Box:
+    """An open container: whether it lies outside the content, is named like boilerplate (itself, or with
+    a container around it), and the outermost article or main element that it is or lies in."""
+
+    __slots__ = ("tag", "path", "parent", "outside", "hint", "hinted", "root", "chars", "off")
+
+    def __init__(self, tag: str, path: str, parent: Box | None, words=(), own=frozenset()):
+        self.tag, self.path, self.parent, self.chars, self.off, self.root = tag, path, parent, 0, False, None
+        if parent is None:
+            self.outside = self.hint = self.hinted = False
+            return
+        named = tag in FORMS or not HINTS.isdisjoint(own)
+        self.root = parent.root or (self if tag in ("article", "main") or ("main" in words and not named) else None)
+        self.outside = parent.outside or tag in OUTSIDE or (self.root is None and tag == "header")
+        self.hint = tag != "body" and (named or (self.root is None and not HEAD_HINTS.isdisjoint(own)))
+        self.hinted = parent.hinted or self.hint
 
 
 def walk(page: str):
-    """(token, container's token, text or None, outside, in article, ends a block) for each token of a page."""
-    stack = [("", "", False, False)]  # tag, path, outside, in article
+    """(token, its Box, text or None, ends a block, in a link) for each token of a page."""
+    stack, linked = [Box("", "", None)], False
     for m in TOKEN.finditer(page):
-        tag = m["tag"]
-        tag_here, path, outside, article = stack[-1]
+        tag, box = m["tag"], stack[-1]
         if tag is None:
             text = m[0]
             if text[0] != "<" or text == "<":
-                yield path + "=" + text if not outside else None, path, text, outside, article, False
+                yield box.path + "=" + text if not box.outside else None, box, text, False, linked
             continue
         tag = tag.lower()
+        if tag == "a" or tag in BLOCKS:
+            linked = tag == "a" and not m["end"]
         if m["end"]:
-            token = path + "</" + tag
+            token = box.path + "</" + tag
             if tag in CONTAINERS:
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        token, path = stack[i][1] + "</", stack[i - 1][1]
-                        outside, article = stack[i][2], stack[i][3]
+                    if stack[i].tag == tag:
+                        token, box = stack[i].path + "</", stack[i - 1]
                         del stack[i:]
                         break
-            yield token, path, None, outside, article, tag in BLOCKS
+            yield token, box, None, tag in BLOCKS, linked
             continue
         if tag not in CONTAINERS or m["attr"].endswith("/"):
-            yield path + "<" + tag, path, None, outside, article, tag in BLOCKS
+            yield box.path + "<" + tag, box, None, tag in BLOCKS, linked
         else:
-            words = _words_of(m["attr"]) if m["attr"] else ()
-            yield f"{path}/{tag}.{'.'.join(words)}", path, None, outside, article, tag in BLOCKS
-            inside = article or tag in ("article", "main") or "main" in words
-            off = (outside or tag in OUTSIDE or not HINTS.isdisjoint(words)
-                   or (not inside and (tag == "header" or not HEAD_HINTS.isdisjoint(words))))
-            stack.append((tag, f"{path}/{tag}.{'.'.join(words)}", off, inside))
+            words, own = _words_of(m["attr"]) if m["attr"] else ((), frozenset())
+            path = f"{box.path}/{tag}.{'.'.join(words)}"
+            yield path, box, None, tag in BLOCKS, linked
+            stack.append(Box(tag, path, box, words, own))
 
 
 def name(token: str) -> int:
@@ -90,25 +111,56 @@ def name(token: str) -> int:
     return xxhash.xxh64_intdigest(token) - (1 << 63)
 
 
-def _repeated(seen: list, template: set) -> set:
+def _content(seen: list, template: set) -> list | None:
+    """The outermost articles whose text is the page's main text; None: the whole page. Sets ``off`` for containers to leave out."""
+    boxes, plain = {}, 0
+    for _, box, text, _, _ in seen:
+        n = len(text.strip()) if text is not None and not box.outside else 0
+        while box is not None and (n or box not in boxes):
+            boxes[box] = None
+            box.chars += n
+            box = box.parent
+    roots = [b for b in boxes if b.root is b and b.chars]
+    every = sum(r.chars for r in roots)
+    roots = [r for r in roots if not r.hinted or 2 * r.chars >= every] or roots
+    within = sum(r.chars for r in roots)
+    if roots:
+        chosen = set(roots)
+        for token, box, text, _, linked in seen:
+            if text is not None and not linked and not box.outside and not box.hinted and box.root not in chosen and name(token) not in template:
+                plain += len(text.strip())
+        if plain > within:
+            roots = []
+    whole = within if roots else max((b.chars for b in boxes if b.parent is None), default=0)
+    for b in sorted(boxes, key=lambda b: b.path.count("/")):  # outermost first
+        if b.parent is not None and not (roots and b.root is b):
+            b.off = b.parent.off or (b.hint and 2 * b.chars < whole)
+    return roots or None
+
+
+def _repeated(texts: list, template: set) -> set:
     """The template's texts in the article, unless they are half of it or more."""
-    texts = [(token, len(text.strip())) for token, _, text, outside, article, _ in seen if article and not outside and text is not None]
+    texts = [(token, len(text.strip())) for token, text in texts]
     found = {token for token, n in texts if n and name(token) in template}
     return found if 2 * sum(n for token, n in texts if token in found) < sum(n for _, n in texts) else set()
 
 
 def main_text(page: str, template: set) -> str:
-    """The page's slots outside boilerplate, blocks joined by one space; of the article if there is one."""
-    seen = list(walk(page))
-    has_article = any(article and not outside and text is not None and text.strip() for _, _, text, outside, article, _ in seen)
-    repeated = _repeated(seen, template) if has_article and template else ()
+    """The page's slots outside boilerplate, blocks joined by one space; of the article if it has most of the text."""
+    return _joined(list(walk(page)), template)
+
+
+def _joined(seen: list, template: set) -> str:
+    roots = _content(seen, template)
+    shown = [text is not None and not box.outside and not box.off and (roots is None or box.root in roots) for _, box, text, _, _ in seen]
+    repeated = _repeated([(x[0], x[2]) for x, y in zip(seen, shown) if y], template) if roots and template else ()
     blocks, block = [], []
-    for token, _, text, outside, article, ends in seen:
+    for (token, _, text, ends, _), show in zip(seen, shown):
         if text is None:
             if ends:
                 blocks.append("".join(block))
                 block = []
-        elif not outside and article == has_article and (token not in repeated if article else name(token) not in template):
+        elif show and (token not in repeated if roots else name(token) not in template):
             block.append(text)
     blocks.append("".join(block))
     return " ".join(x for x in (" ".join(entities.unescape(b).split()) for b in blocks) if x)
@@ -121,12 +173,13 @@ def _occurrences(batches):
     for batch in batches:
         host, token, inside, digest, times, body = [], [], [], [], [], []
         for h, page in zip(*(c.to_pylist() for c in batch.columns)):
-            mark = name(main_text(page, set()))
+            seen = list(walk(page))
+            mark = name(_joined(seen, set()))
             found, container = Counter({"": 1}), {"": ("", False)}
-            for t, path, text, _, article, _ in walk(page):
+            for t, box, text, _, _ in seen:
                 if t is not None:
                     found[t] += 1
-                    container[t] = path, article and text is not None
+                    container[t] = box.path, box.root is not None and text is not None
             for t, n in found.items():
                 host.append(h)
                 token.append(name(t))

@@ -301,6 +301,21 @@ def test_boilerplate_in_articles_is_template_but_copies_are_not(spark):
     assert all(text[30 + i] == f"A near copy has the same long body in two parts No {i}" for i in range(6))
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='page no-sidebar'><p>Long story{}</body>", "<div id='content' class='has-sidebar'><p>Long story{}</div>", "<article class='post share'>Long story{}</article>",
+    "<main class='with-comments'>Long story{}</main>", "<div class='search-results'>Long story{}</div>", "<form><div>Long story{}</div></form>",
+    "<article class='card'>Tease</article><div>Long story{}</div>", "<div class='share'><article>Long story{}</article></div>"])
+def test_a_name_alone_takes_no_main_text(page):
+    got = html_text.main_text(page.format("<div class='ad'>Buy</div><form>Mail</form>"), set())
+    assert got.removeprefix("Tease ") == "Long story"
+
+
+def test_comments_are_no_main_text_however_long():
+    page = "<article>Story</article><section id='comments'>" + "<article>I do not agree at all</article>" * 9 + "</section><ul>" + "<li><a href='/x'>Another page</a>" * 9 + "</ul>"
+    assert html_text.main_text(page, set()) == "Story"
+    assert html_text.main_text("<div>" * 3000 + "deep", set()) == "deep"
+
+
 # ---------------------------------------------------------------- op8
 
 def test_language(spark, odd, none):
