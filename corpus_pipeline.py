@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows the stage before it kept;
 all but the last return the columns of ``documents``. ``run`` writes every stage's rows as Parquet to the
-shared checkpoint folder and rereads them. Rows with null ids or texts follow the operators'
-rules: a null text is an empty one.
+shared checkpoint folder and rereads them. Every stage judges each row by its own text, told apart by id and a digest of
+the text, so rows that share an id or have none do not decide for each other; a null text is an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pondflow.llm.common import crc_fold, materialise, read_table
+from pondflow.llm.common import crc_fold, materialise, read_table, row_key, without_rows
 from pondflow.llm.decontaminate import clean_rows
 from pondflow.llm.exact_dedup import drop_copies
 from pondflow.llm.ngram_join import jaccard_classes
@@ -20,20 +20,12 @@ from pondflow.llm.quality import quality_scores
 from pondflow.llm.queries import digests, tokenizer
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is among ``ids.doc_id``."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. Rows of one id stay or go together: they go only
-    if the classifier rejects all of them."""
+    """Rows whose text the quality classifier accepts."""
     labels = read_table(spark, sf_dir, "labels")
-    scores = materialise(quality_scores(docs, labels, lambda i: crc_fold(i, 3) != 1), "scores")
-    rejected = scores.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0")
-    return _without(docs, rejected)
+    keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
+    scores = materialise(quality_scores(keyed, labels, lambda i: crc_fold(i, 3) != 1, carry="row_key"), "scores")
+    return without_rows(docs, scores.where("predicted = 0"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +34,14 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id."""
-    classes = jaccard_classes(docs)
-    return _without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each component of near copies the row with the smallest id (rows without an id come after all
+    others), of equal ids the one with the smallest digest."""
+    classes = jaccard_classes(docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text"), "row_key")
+    return without_rows(docs, classes.where("doc_id != component_id").select(F.col("doc_id").alias("row_key")))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Rows that hold no benchmark passage."""
     return clean_rows(docs, read_table(spark, sf_dir, "benchmark"))
 
 

@@ -60,6 +60,20 @@ def keep_rows(df: DataFrame, kept: DataFrame, doc_id: str = "doc_id") -> DataFra
     return packed.join(ids, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("_row.*")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """(no id, id, digest of the text): tells rows of one id apart, and those without an id; the latter sort last.
+    A null text is the empty one. Never null."""
+    digest = F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
+    return F.struct(F.when(doc_id.isNull(), F.lit(1)).alias("no_id"), doc_id.alias("id"), digest.alias("digest"))
+
+
+def without_rows(df: DataFrame, keys: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose ``row_key`` is not among ``keys.row_key``, with all their columns."""
+    rows = df.select(F.struct("*").alias("_row"), row_key(F.col(doc_id), F.col(text)).alias("_key"))
+    gone = keys.select(F.col("row_key").alias("_gone")).distinct()
+    return rows.join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds`` (a null id counts as the text '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

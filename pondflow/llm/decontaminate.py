@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pondflow.llm.common import GOLDEN, documents, mix, string_buffers
+from pondflow.llm.common import GOLDEN, documents, mix, row_key, string_buffers, without_rows
 from pondflow.llm.shingles import NOT_WORD, Hasher, fold_latin
 
 MIN_MATCH = 5
@@ -166,7 +166,6 @@ def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
 
 def clean_rows(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that hold no benchmark item, with all their columns."""
-    out = contaminated(df, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    rows = df.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"))
-    return rows.join(out, F.col("_id").eqNullSafe(F.col("_leak")), "left_anti").select("_row.*")
+    """The rows of ``df`` that hold no benchmark item, with all their columns. Each row is judged by its own text."""
+    keyed = df.select(row_key(F.col(doc_id), F.col(text)).alias("doc_id"), F.col(text).alias("text"))
+    return without_rows(df, contaminated(keyed, benchmark, **options).select(F.col("doc_id").alias("row_key")), doc_id, text)

@@ -418,6 +418,32 @@ def test_queries_match_their_sql(spark, sf_small, name):
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in QUERIES[name](spark, sf_small).select(*columns).collect())
 
 
+def test_pipeline_stages_judge_rows_that_share_an_id_or_have_none(spark, sf_small):
+    import corpus_pipeline as cp
+
+    def text(seed, end):
+        return " ".join([f"t{seed}x{i}" for i in range(60)] + [end])
+
+    rows = [(None, text("a", "one"), "en"), (None, text("a", "two"), "en"), (None, text("b", "clean"), "en"), (None, None, "en"), (1, text("c", "one"), "en"),
+            (None, text("c", "two"), "en"), (7, text("d", "one"), "en"), (7, text("e", "other"), "en"), (3, text("d", "two"), "en"),
+            (9, text("f", "one"), "en"), (9, text("f", "two"), "en")]
+    left = [(r["doc_id"], r["text"]) for r in cp.without_near_copies(spark, docs_frame(spark, rows), sf_small).collect()]
+    always = [(i, t) for i, t, _ in (rows[2], rows[3], rows[4], rows[7], rows[8])]
+    assert set(always) < set(left) and len(left) == 7
+    assert len(set(left) & {x[:2] for x in rows[:2]}) == 1 and len(set(left) & {x[:2] for x in rows[9:]}) == 1
+
+    passage = spark.read.parquet(f"{sf_small}/benchmark.parquet").first()["text"]
+    leaks = [(None, f"x {passage}", "en"), (7, passage, "en")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in cp.without_benchmark(spark, docs_frame(spark, rows + leaks), sf_small).collect()))) \
+        == sorted(str(x[:2]) for x in rows)
+
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    nameless = docs.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    kept = cp.good_quality(spark, docs.unionByName(nameless), sf_small).cache()
+    named = sorted(r["text"] for r in kept.where("doc_id is not null").collect())
+    assert sorted(r["text"] for r in kept.where("doc_id is null").collect()) == named and 0 < len(named) < docs.count()
+
+
 def test_pipeline_stages_against_brute_force(spark, sf_small):
     import corpus_pipeline as cp
 
