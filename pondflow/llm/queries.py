@@ -1,4 +1,4 @@
-"""The driver queries of the ten operators and of the pipeline, with their SQL where SQL can say it.
+"""The driver queries of the operators and of the pipeline, with their SQL where SQL can say it.
 
 Every query applies its operator, with production parameters, to the whole of its table.
 """
@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pondflow.llm import chat, decontaminate, exact_dedup, html_text, language, ngram_join, pieces, quality, secret_scan, token_counts
+from pondflow.llm import (chat, decontaminate, exact_dedup, html_text, language, ngram_join, packing, phrases, pieces, quality, secret_scan,
+                          token_counts)
 from pondflow.llm.common import crc_fold, read_table
 from pondflow.llm.sql import ORACLE  # noqa: F401
 
@@ -101,6 +102,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(pieces.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces_ = packing.token_pieces(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packing.best_fit(pieces_.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,4 +119,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_ngram_jaccard_join, op3_exact_dedup, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination,
-    op7_html_extraction, op8_language_id, op9_chat_formatting, op10_sentencepiece, pipeline)}
+    op7_html_extraction, op8_language_id, op9_chat_formatting, op10_sentencepiece, op11_best_fit_packing,
+    op13_phrase_collocations, pipeline)}

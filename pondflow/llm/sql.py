@@ -81,9 +81,29 @@ CHAT = rf"""
             + length(replace(replace(replace(text, '\', '\s'), '<', '\l'), '#', '\h')) + {len(END)}) * (1 + again))::BIGINT AS formatted_chars
     FROM g GROUP BY conv_id"""
 
+PHRASES = r"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+    words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+    grams AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 5) t(k) WHERE len(w) >= k),
+    f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+    cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    cuts AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS j FROM cand),
+    scored AS (SELECT c.lang, c.phrase, c.a, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score FROM cuts c
+        JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:], ' ')),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    lens AS (SELECT lang, a, w, unnest(range(2, k)) AS m FROM cand WHERE k > 2),
+    inside AS (SELECT lang, a, array_to_string(w[s:s + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS s FROM lens)),
+    longer AS (SELECT lang, phrase, max(a) AS b FROM inside GROUP BY ALL),
+    free AS (SELECT l.* FROM lowest l LEFT JOIN longer g ON g.lang = l.lang AND g.phrase = l.phrase WHERE b IS NULL OR 100 * b < 80 * a),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN totals USING (lang) WHERE rank <= 2000"""
+
 ORACLE: dict[str, str] = {
     "op1_secret_scans": _secrets(),
     "op2_ngram_jaccard_join": JACCARD,
     "op3_exact_dedup": EXACT,
     "op9_chat_formatting": CHAT,
+    "op13_phrase_collocations": PHRASES,
 }
