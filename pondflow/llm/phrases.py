@@ -92,19 +92,20 @@ class Words:
         return cls._power[i]
 
     def reach(self, bits: list[np.ndarray]):
-        """For every number of words k from 2 on: whether the k words from here on are in one piece and all shorter
-        runs in them pass the bitmaps, and the bucket of the k words. One more than there are bitmaps."""
+        """For every number of words k from 2 on, one more than there are bitmaps: whether the k words from here on are in one
+        piece and all shorter runs in them pass the bitmaps, their bucket, and whether they pass their own bitmap, if any."""
         run, ok = self.hash[0], self.next
         for k in range(2, len(bits) + 3):
             run = mix(run[:-1] * GOLDEN + self.hash[0][k - 1:])
             ok = ok[:len(run)]
             bucket = (run >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            yield ok, bucket
+            passed = ok
             if k - 2 < len(bits):
                 words = bits[k - 2]
                 slot = bucket & (64 * len(words) - 1)
-                ok = ok & ((words[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-                ok = ok[:-1] & ok[1:]
+                passed = ok & ((words[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            yield ok, bucket, passed
+            ok = passed[:-1] & passed[1:]
 
     def names(self):
         """(number of every word among the slice's distinct ones, their texts as an Arrow array)."""
@@ -146,7 +147,7 @@ def _buckets(bits: list[np.ndarray]):
         for batch in batches:
             for words, *_ in _each(batch):
                 with np.errstate(over="ignore"):
-                    ok, bucket = list(words.reach(bits))[-1]
+                    ok, bucket, _ = list(words.reach(bits))[-1]
                 found, n = np.unique(bucket[ok], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n.astype(np.int32))], ["bucket", "n"])
     return run
@@ -162,8 +163,8 @@ def _windows(bits: list[np.ndarray], longest: int):
                 number, texts, at = words.names()
                 size = np.ones(len(number), np.int8)
                 with np.errstate(over="ignore"):
-                    for ok, _ in words.reach(bits):
-                        size[:len(ok)] += ok
+                    for *_, passed in words.reach(bits):
+                        size[:len(passed)] += passed
                 # lead columns; 0 pads
                 lead = np.zeros((len(number), longest), np.int32)
                 for k in range(longest):
