@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pondflow.llm import (chat, decontaminate, exact_dedup, html_text, language, ngram_join, packing, phrases, pieces, quality, secret_scan,
-                          token_counts)
-from pondflow.llm.common import crc_fold, read_table
+from pondflow.llm import (chat, decontaminate, exact_dedup, html_text, language, ngram_join, packing, phrases, pieces, prefix_trie, quality,
+                          secret_scan, token_counts)
+from pondflow.llm.common import crc_fold, materialise, read_table
 from pondflow.llm.sql import ORACLE  # noqa: F401
 
 
@@ -107,6 +107,12 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(pieces_.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that share heads: each begins with turns of the first one of its hundred."""
+    turns = materialise(prefix_trie.number_turns(read_table(spark, sf_dir, "conversations")), "numbered")
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(turns), turns)
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"))
 
@@ -120,4 +126,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_ngram_jaccard_join, op3_exact_dedup, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination,
     op7_html_extraction, op8_language_id, op9_chat_formatting, op10_sentencepiece, op11_best_fit_packing,
-    op13_phrase_collocations, pipeline)}
+    op12_prefix_trie, op13_phrase_collocations, pipeline)}

@@ -81,6 +81,36 @@ CHAT = rf"""
             + length(replace(replace(replace(text, '\', '\s'), '<', '\l'), '#', '\h')) + {len(END)}) * (1 + again))::BIGINT AS formatted_chars
     FROM g GROUP BY conv_id"""
 
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit over its bytes."""
+    step = "CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END"
+    eight = f"list_reduce(list_prepend(xor(c, b), [0::BIGINT,0,0,0,0,0,0,0]), lambda r, z: {step})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda y: ascii(y)::BIGINT)), lambda c, b: {eight}), 4294967295)"
+
+
+TRIE = f"""
+    WITH talks AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32('conv_id::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM talks)),
+    rebuilt AS (SELECT i.conv_id, 0 AS part, t.n, role, text FROM ids i JOIN talks t ON t.conv_id = i.base AND t.n <= h
+        UNION ALL SELECT i.conv_id, 1, t.n, role, text FROM ids i JOIN talks t ON t.conv_id = i.conv_id AND t.n > h),
+    line AS (SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars,
+        string_agg(sha256(length(role) || ':' || role || text), '' ORDER BY part, n) OVER (w ROWS UNBOUNDED PRECEDING) AS key FROM rebuilt
+        WINDOW w AS (PARTITION BY conv_id ORDER BY part, n)),
+    lens AS (SELECT i.conv_id, coalesce(max(depth), 0) AS len FROM ids i LEFT JOIN line l ON l.conv_id = i.conv_id GROUP BY 1),
+    every AS (SELECT conv_id, depth, key, chars FROM line UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+    nodes AS (SELECT key, any_value(depth) AS depth, min(e.conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+        coalesce(string_agg(e.conv_id::VARCHAR, ',' ORDER BY e.conv_id) FILTER (len = depth), '') AS ends FROM every e JOIN lens USING (conv_id) GROUP BY key),
+    up AS (SELECT *, CASE WHEN depth > 0 THEN key[1:64 * (depth - 1)] END AS above FROM nodes),
+    kids AS (SELECT above, count(*) AS k FROM up GROUP BY above),
+    weighed AS (SELECT n.*, p.conv_id AS parent_conv_id, coalesce(k, 0) AS n_children, (n.n_convs - 1) * n.chars AS own, coalesce(k, 0) = 0 AS leaf
+        FROM up n LEFT JOIN nodes p ON p.key = n.above LEFT JOIN kids ON kids.above = n.key),
+    reps AS (SELECT conv_id, depth, own, leaf FROM weighed),
+    below AS (SELECT e.key, coalesce(sum(r.own), 0) AS saved, count(*) FILTER (r.leaf) AS leaves
+        FROM every e JOIN reps r ON r.conv_id = e.conv_id AND r.depth >= e.depth GROUP BY e.key)
+    SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+    FROM weighed JOIN below USING (key)"""
+
 PHRASES = r"""
     WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
@@ -105,5 +135,6 @@ ORACLE: dict[str, str] = {
     "op2_ngram_jaccard_join": JACCARD,
     "op3_exact_dedup": EXACT,
     "op9_chat_formatting": CHAT,
+    "op12_prefix_trie": TRIE,
     "op13_phrase_collocations": PHRASES,
 }
