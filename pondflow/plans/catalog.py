@@ -920,6 +920,40 @@ def final_concentration_q(spark, sf):
 register("final_concentration_score", None)(final_concentration_q)
 
 
+# ---------------------------------------------------------------------------
+# M3/M6/M8 per site: second-order boosting whose trees SQL can replay
+# ---------------------------------------------------------------------------
+
+SITE_FEATURES = ["brine_in", "brine_out", "month", "year"]
+SITE_SMALL = dict(trees=2, depth=3, rate=0.3, bins=16, rows=1.0, columns=1.0)
+
+
+def _site_rows(spark, sf):
+    """(pond, date, features, evaporation); outflow is blank on days without one."""
+    p = T.pond_inputs(spark, sf)
+    return p.select(F.substring_index("site", "-", 2).alias("pond"), "date", "brine_in", F.when(F.col("brine_out") != 0, F.col("brine_out")).alias("brine_out"),
+                    F.month("date").cast("double").alias("month"), F.year("date").cast("double").alias("year"), "evaporation")
+
+
+_SITE_ROWS = T.with_sql("pond_evap", "pond_in", "pond_out") + """,
+rows AS (SELECT site[1:len(site) - 7] AS pond, date, brine_in, CASE WHEN brine_out <> 0 THEN brine_out END AS brine_out,
+         month(date)::DOUBLE AS month, year(date)::DOUBLE AS year, evaporation
+         FROM pond_evap JOIN pond_in USING (site, date) JOIN pond_out USING (site, date)),
+"""
+
+
+def boosted_by_site_q(spark, sf):
+    """One small ensemble per pond, all grown in the same jobs, and its value at every row."""
+    from pondflow.operators.boosting import fit_boosted, score_boosted
+    rows = _site_rows(spark, sf)
+    model = fit_boosted(rows, ["pond"], SITE_FEATURES, "evaporation", SITE_SMALL)
+    return r(score_boosted(model, rows).select("pond", "date", "prediction"))
+
+
+register("boosted_by_site", _SITE_ROWS + q.boosted("rows", "pond", SITE_FEATURES, "evaporation", 2, 3, 0.3, 16) + """
+SELECT pond, date, round(pred, 6) AS prediction FROM fitted""")(boosted_by_site_q)
+
+
 def _flag_history(spark, sf):
     wl, ev = T.zone_flag_inputs(spark, sf)
     z = bal.zone_balance(wl, ev, IN_CON_ZONE, chained=False)
@@ -1217,6 +1251,7 @@ QUERY_IDS = {
     "evaporation_forecast_cumulative": "Q1 W2 M7 M9 F19",
     "water_level_forecast": "Q2 M5 M7 M9 S7 S10 F24",
     "final_concentration_score": "Q5 M1 M6 M8 M9 P8 F5 F7 S10 K5",
+    "boosted_by_site": "M3 M6 M8 Q5",
     "recursive_forecast": "Q6 M9 M12 M14 M16 M17 W3 W4 W5 W6 W7 W8 W13 J3 J4 O3 A11 F6 F8 S9 S10 K5 P6 P17",
     "recursive_forecast_365": "Q6 M9 M14 M15 J4 P9",
     "csv_roundtrip": "S1 S2 S4 S5 K1 K2 F23",

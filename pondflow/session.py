@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -111,3 +112,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return base
+
+
+def stored(df, name: str):
+    """Write ``df`` to the shared checkpoint folder as Parquet and read it back: the lineage is cut, a lost executor
+    costs no recomputation, later readers fetch only the columns they use, and Spark plans with the table's real size.
+    The folder goes when the driver's JVM ends, or with ``drop_stored``."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pondflow-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def drop_stored(df) -> None:
+    """Remove the folder of a table that ``stored`` wrote and no later step reads."""
+    spark = df.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(df._stored)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
