@@ -71,7 +71,7 @@ def _drawn(features: int, share: float, tree: int, seed: int) -> list[int]:
     return sorted(order[:max(1, round(share * features))])
 
 
-def _keyed(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def keyed(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``df`` with the columns of ``table`` (one row per key) at its rows."""
     other = table.withColumnsRenamed({c: f"_k_{c}" for c in keys})
     cond = F.lit(True)
@@ -115,7 +115,7 @@ def best_splits(rows: DataFrame, keys: list[str], columns: Sequence[int], l2: fl
 
 
 #: From a row's bins to the number of the node its walk through ``tree`` (an array of nodes in heap order) ends in.
-WALK = ("aggregate(sequence(1, {depth}), 0, (i, s) -> if(tree[i].f is null, i, 2 * i + if("
+WALK = ("aggregate(sequence(1, {depth}), 0, (i, _) -> if(tree[i].f is null, i, 2 * i + if("
         "if(bins[tree[i].f] < 0, tree[i].blanks_left, bins[tree[i].f] <= tree[i].bin), 1, 2)))")
 
 
@@ -141,7 +141,7 @@ def _grow(rows: DataFrame, keys: list[str], columns: Sequence[int], drawn: Colum
         if trees is None:
             at = at.withColumn("node", F.lit(0))
         else:
-            at = _keyed(at, trees, keys).withColumn("node", F.expr(WALK.format(depth=p["depth"]))).where(F.col("node") >= 2 ** level - 1)
+            at = keyed(at, trees, keys).withColumn("node", F.expr(WALK.format(depth=p["depth"]))).where(F.col("node") >= 2 ** level - 1)
         grads = at.select(*keys, "node", (F.col("pred") - F.col("y")).alias("g"), "bins")
         found = best_splits(grads, keys, columns, p["l2"], p["gamma"], p["least_rows"])
         new = found.select(*keys, F.explode(found_nodes).alias("n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list("n")).alias("new"))
@@ -150,7 +150,7 @@ def _grow(rows: DataFrame, keys: list[str], columns: Sequence[int], drawn: Colum
             grown = stored(new.select(*keys, "tree"), "trees")
         else:
             # a key whose nodes are all closed has no new ones
-            new = _keyed(trees, new, keys, "left").withColumn("tree", F.expr("if(new is null, tree, transform(tree, (n, i) -> coalesce(new[i], n)))"))
+            new = keyed(trees, new, keys, "left").withColumn("tree", F.expr("if(new is null, tree, transform(tree, (n, i) -> coalesce(new[i], n)))"))
             grown = stored(new.select(*keys, "tree"), "trees")
             drop_stored(trees)
         trees = grown
@@ -168,9 +168,9 @@ def fit_boosted(df: DataFrame, keys, features: Sequence[str], label: str, params
     known = df.select(*keys, *[_number(f).alias(f) for f in features], _number(label).alias("_y")).where("_y is not null")
     known = known.select(*keys, F.array(*features).alias("x"), F.col("_y").alias("y"))
     wide = known.select(*keys, "y", *[F.element_at("x", i + 1).alias(f) for i, f in enumerate(features)])
-    cuts = stored(_keyed(feature_cuts(wide, keys, features, p["bins"]), known.groupBy(*keys).agg(F.avg("y").alias("base")), keys), "cuts")
+    cuts = stored(keyed(feature_cuts(wide, keys, features, p["bins"]), known.groupBy(*keys).agg(F.avg("y").alias("base")), keys), "cuts")
     bins = F.transform(F.arrays_zip("x", "cuts"), lambda z: F.when(z["x"].isNull(), -1).otherwise(F.size(F.filter(z["cuts"], lambda c: c < z["x"]))))
-    rows = _keyed(known, cuts, keys).select(*keys, bins.alias("bins"), "y", F.col("base").alias("pred"),
+    rows = keyed(known, cuts, keys).select(*keys, bins.alias("bins"), "y", F.col("base").alias("pred"),
                                             F.xxhash64("x", "y", F.lit(p["seed"])).alias("mark"))
     rows, trees = stored(rows, "rows"), []
     for t in range(p["trees"]):
@@ -179,13 +179,13 @@ def fit_boosted(df: DataFrame, keys, features: Sequence[str], label: str, params
         trees.append(tree)
         if t + 1 < p["trees"]:
             gain = F.coalesce(F.expr(f"tree[{WALK.format(depth=p['depth'])}].value"), F.lit(0.0))
-            new = stored(_keyed(rows, tree, keys, "left").select(*keys, "bins", "y", (F.col("pred") + gain).alias("pred"), "mark"), "rows")
+            new = stored(keyed(rows, tree, keys, "left").select(*keys, "bins", "y", (F.col("pred") + gain).alias("pred"), "mark"), "rows")
             drop_stored(rows)
             rows = new
     drop_stored(rows)
     every = [x.withColumn("t", F.lit(t)) for t, x in enumerate(trees)]
     cut = "case when n.f is null then null when n.bin >= size(cuts[n.f]) then double('infinity') else get(cuts[n.f], n.bin) end"
-    table = _keyed(functools.reduce(DataFrame.unionByName, every), cuts, keys).withColumn("n", F.expr(
+    table = keyed(functools.reduce(DataFrame.unionByName, every), cuts, keys).withColumn("n", F.expr(
         f"transform(tree, n -> struct(n.f as feature, {cut} as cut, n.blanks_left as blanks_left, n.value as value))"))
     one = F.struct("t", *[F.col(f"n.{c}").alias(c) for c in ("feature", "cut", "blanks_left", "value")])
     table = table.groupBy(*keys).agg(F.first("base").alias("base"), F.sort_array(F.collect_list(one)).alias("ensemble"))
@@ -195,16 +195,17 @@ def fit_boosted(df: DataFrame, keys, features: Sequence[str], label: str, params
     return Boosted(keys, features, table)
 
 
-def prediction(x: str = "_x", base: str = "base", depth: str = "depth", ensemble: str = "ensemble") -> Column:
+def prediction(x: str = "_x", base: str = "base", depth: str = "depth", ensemble: str = "ensemble", as_text: bool = False) -> Column | str:
     """The ensemble's value at the feature array ``x``: base plus, for every tree, the value of the node its walk ends in."""
     goes_left = f"if(get({x}, t.feature[i]) is null, t.blanks_left[i], get({x}, t.feature[i]) <= t.cut[i])"
-    walk = f"aggregate(sequence(1, {depth}), 0, (i, s) -> if(t.feature[i] is null, i, 2 * i + if({goes_left}, 1, 2)))"
-    return F.expr(f"aggregate({ensemble}, {base}, (a, t) -> a + t.value[{walk}])")
+    walk = f"aggregate(sequence(1, {depth}), 0, (i, _) -> if(t.feature[i] is null, i, 2 * i + if({goes_left}, 1, 2)))"
+    text = f"aggregate({ensemble}, {base}, (a, t) -> a + t.value[{walk}])"
+    return text if as_text else F.expr(text)
 
 
 def score_boosted(model: Boosted, df: DataFrame, out: str = "prediction") -> DataFrame:
     """``df`` with each row's prediction by its key's ensemble; null for keys that have none. One join on the keys, where adaptive
     skew joins split a hot key; the walk is a column expression."""
     x = F.array(*[_number(f) for f in model.features])
-    rows = _keyed(df.withColumn("_x", x), model.table.select(*model.keys, "base", "depth", "ensemble"), model.keys, "left")
+    rows = keyed(df.withColumn("_x", x), model.table.select(*model.keys, "base", "depth", "ensemble"), model.keys, "left")
     return rows.withColumn(out, prediction()).drop("_x", "base", "depth", "ensemble")

@@ -36,11 +36,12 @@ from pyspark.sql import types as Ty
 from pondflow.functions.dates import calendar_columns, month_end, month_start
 from pondflow.keys import as_keys as _keys
 from pondflow.operators import models as M
+from pondflow.operators.boosting import RECURSIVE, Boosted, fit_boosted, keyed, prediction
 from pondflow.operators.filters import require_feature_count
 from pondflow.operators.lookup import cyclic_lookup
 from pondflow.operators.series import date_spine
 from pondflow.operators.windows import lag_features, last_n_rows
-from pondflow.session import checkpoint_dir
+from pondflow.session import checkpoint_dir, stored
 
 CAL = ["dayofyear_sin", "dayofyear_cos", "month_sin", "month_cos"]
 
@@ -205,19 +206,9 @@ def fit_or_load_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, ex
     return rm
 
 
-def forecast_recursive(rm: RecursiveModel, hist: DataFrame, start_ym: str, end_ym: str,
-                       compat: bool = False, horizon_days: int | None = None,
-                       index_base: int = 0) -> DataFrame:
-    """M14/M15 scoring: ``(keys…, date, prediction, status)`` over ``start_ym..end_ym``.
-
-    Series too short for one full training row (lag window) are not dropped: their days come
-    out with a NULL prediction and the status ``series too short``.
-
-    ``horizon_days`` (M15) forecasts a fixed number of days after the last
-    observation and then slices the requested range. ``index_base`` is where
-    the cyclic exogenous lookup (J4) starts counting (0, or 1 in the older
-    fixed-horizon variant).
-    """
+def _future(rm, hist: DataFrame, start_ym: str, end_ym: str, compat: bool, horizon_days: int | None, index_base: int):
+    """What both ways to forecast start from: the last values of every series, its future days with calendar, exogenous values (J4) and
+    state, the rows of series too short to forecast, and the condition for the days asked for."""
     k, y, exog, date = rm.keys, rm.y, rm.exog, rm.date
     span = max([rm.lags, *rm.windows])
     hist_y = hist.select(*k, date, y).where(F.col(y).isNotNull())
@@ -239,7 +230,29 @@ def forecast_recursive(rm: RecursiveModel, hist: DataFrame, start_ym: str, end_y
     fut = fut.join(state, k).join(tstate, k)
     fut = fut.select(*k, date, *CAL, *exog, "_n", "_mean", "_m2", "_last_trend", "_n_train")
     seed = last_n_rows(hist_y, k, span, date=date)  # O3
+    asked = F.col(date).between(start, end)
+    short = state.join(tstate, k, "left_anti").select(*k, first.alias("lo"), last.alias("hi"))
+    short = short.toDF(*short.columns)
+    short = (date_spine(short, k, "lo", "hi", out=date).where(asked)
+             .select(*k, date, F.lit(None).cast("double").alias("prediction"), F.lit("series too short").alias("status")))
+    return seed, fut, short, asked
+
+
+def forecast_recursive(rm: RecursiveModel, hist: DataFrame, start_ym: str, end_ym: str,
+                       compat: bool = False, horizon_days: int | None = None,
+                       index_base: int = 0) -> DataFrame:
+    """M14/M15 scoring: ``(keys…, date, prediction, status)`` over ``start_ym..end_ym``.
+
+    Series too short for one full training row (lag window) are not dropped: their days come
+    out with a NULL prediction and the status ``series too short``.
 
+    ``horizon_days`` (M15) forecasts a fixed number of days after the last
+    observation and then slices the requested range. ``index_base`` is where
+    the cyclic exogenous lookup (J4) starts counting (0, or 1 in the older
+    fixed-horizon variant).
+    """
+    k, y, exog, date = rm.keys, rm.y, rm.exog, rm.date
+    seed, fut, short, span_dates = _future(rm, hist, start_ym, end_ym, compat, horizon_days, index_base)
     key_types = {f.name: f.dataType for f in hist.schema.fields if f.name in k}
     schema = Ty.StructType([Ty.StructField(c, key_types[c]) for c in k]
                            + [Ty.StructField(date, Ty.DateType()), Ty.StructField("prediction", Ty.DoubleType())])
@@ -247,12 +260,7 @@ def forecast_recursive(rm: RecursiveModel, hist: DataFrame, start_ym: str, end_y
     # fresh attribute ids on both sides: they share lineage with ``hist``
     seed, fut = seed.toDF(*seed.columns), fut.toDF(*fut.columns)
     out = seed.groupBy(*k).cogroup(fut.groupBy(*k)).applyInPandas(fn, schema)
-    out = out.where(F.col(date).between(start, end)).withColumn("status", F.lit("forecast"))
-    short = state.join(tstate, k, "left_anti").select(*k, first.alias("lo"), last.alias("hi"))
-    short = short.toDF(*short.columns)
-    short = (date_spine(short, k, "lo", "hi", out=date).where(F.col(date).between(start, end))
-             .select(*k, date, F.lit(None).cast("double").alias("prediction"), F.lit("series too short").alias("status")))
-    return out.unionByName(short)
+    return out.where(span_dates).withColumn("status", F.lit("forecast")).unionByName(short)
 
 
 def recursive_forecast(spark: SparkSession, hist: DataFrame, keys, y: str, exog: Sequence[str],
@@ -267,3 +275,76 @@ def recursive_forecast(spark: SparkSession, hist: DataFrame, keys, y: str, exog:
     """
     rm = fit_recursive(spark, hist, keys, y, exog, lags, windows, params, date, model_path)
     return forecast_recursive(rm, hist, start_ym, end_ym, compat=compat, horizon_days=horizon_days)
+
+
+# --- recursion as a column expression ----------------------------------------
+
+@dataclass
+class FoldedModel:
+    """A keyed or pooled boosted ensemble over the recursive features (M12, M13), with what its forecasts start from."""
+    model: Boosted
+    keys: list[str]
+    y: str
+    exog: list[str]
+    lags: int
+    windows: list[int]
+    train: DataFrame
+    date: str = "date"
+
+
+def fit_folded(hist: DataFrame, keys, y: str, exog: Sequence[str] = (), lags: int = 120, windows: Sequence[int] = (14, 30, 60),
+               params: dict | None = None, date: str = "date", pooled: bool = False) -> FoldedModel:
+    """Boosted trees on the lag, rolling, expanding, calendar and exogenous features: one ensemble per series, all
+    grown in the same jobs, or with ``pooled`` one for all. ``boosting.RECURSIVE`` and ``RECURSIVE_KG`` are the reference's capacities.
+    Trees split on order alone, so the features are not scaled."""
+    k, exog, windows = _keys(keys), list(exog), [int(w) for w in windows]
+    train = stored(training_frame(hist, k, y, exog, lags, windows, date), "train")
+    model = fit_boosted(train, [] if pooled else k, feature_names(exog, lags, windows), y, RECURSIVE if params is None else params)
+    return FoldedModel(model, k, y, exog, lags, windows, train, date)
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _step(fm: FoldedModel) -> str:
+    """The state after one more day: features from the last values (A11), the ensemble's walk, the prediction appended."""
+    def last(n: int) -> str:
+        return f"slice(s.buf, greatest(size(s.buf) - {n - 1}, 1), {n})"
+
+    def mean(w: str) -> str:
+        return f"aggregate({w}, 0D, (a, v) -> a + v) / size({w})"
+
+    means = [_let(last(w), "w", mean("w")) for w in fm.windows]
+    stds = [_let(last(w), "w", _let(mean("w"), "m", "if(size(w) > 1, sqrt(aggregate(w, 0D, (a, v) -> a + (v - m) * (v - m)) / (size(w) - 1)), null)"))
+            for w in fm.windows]
+    parts = ["d.cal", "array(d.trend0 + s.i, s.mean, if(s.n > 1, sqrt(s.m2 / (s.n - 1)), null))", "d.exog",
+             f"array({', '.join([*means, *stds])})" if means else "cast(array() as array<double>)", f"reverse({last(fm.lags)})"]
+    walked = prediction(x="x", as_text=True)
+    moved = ("struct(slice(concat(s.buf, array(p)), -least(size(s.buf) + 1, {span}), least(size(s.buf) + 1, {span})) as buf, s.i + 1D as i, s.n + 1D as n, "
+             "s.mean + (p - s.mean) / (s.n + 1D) as mean, s.m2 + (p - s.mean) * (p - (s.mean + (p - s.mean) / (s.n + 1D))) as m2, "
+             "concat(s.days, array(struct(d.date as date, p as prediction))) as days)").format(span=max([fm.lags, *fm.windows]))
+    return _let(f"concat({', '.join(parts)})", "x", _let(walked, "p", moved))
+
+
+def forecast_folded(fm: FoldedModel, hist: DataFrame, start_ym: str, end_ym: str, horizon_days: int | None = None, index_base: int = 0) -> DataFrame:
+    """``(keys…, date, prediction, status)``, as ``forecast_recursive`` gives, without Python and without a limit on steps or rows.
+
+    Each series is one row: its last values, its state and its future days. A fold over the days builds the features of a day, walks
+    the trees and appends the prediction, so a series' work is its horizon and its memory the values it looks back on. (A recursive
+    query would run one job a day over all series and stop at the session's level and row limits.) Series without an ensemble
+    come out with a NULL prediction, like those too short.
+    """
+    k, date = fm.keys, fm.date
+    seed, fut, short, asked = _future(fm, hist, start_ym, end_ym, False, horizon_days, index_base)
+    values = seed.groupBy(*k).agg(F.transform(F.sort_array(F.collect_list(F.struct(date, F.col(fm.y).cast("double").alias("v")))), lambda r: r["v"]).alias("_seed"))
+    day = F.struct(F.col(date).alias("date"), F.array(*[F.col(c).cast("double") for c in CAL]).alias("cal"),
+                   F.array(*[F.col(c).cast("double") for c in fm.exog]).cast("array<double>").alias("exog"), (F.col("_last_trend") + 1).cast("double").alias("trend0"))
+    days = fut.groupBy(*k).agg(F.sort_array(F.collect_list(day)).alias("_days"), *[F.first(c).alias(c) for c in ("_n", "_mean", "_m2")])
+    rows = days.join(values.toDF(*values.columns), k)
+    rows = keyed(rows, fm.model.table.select(*fm.model.keys, "base", "depth", "ensemble"), fm.model.keys, "left")
+    start = ("struct(_seed as buf, 0D as i, _n as n, _mean as mean, _m2 as m2, cast(array() as array<struct<date: date, prediction: double>>) as days)")
+    done = rows.select(*k, F.explode(F.expr(f"aggregate(_days, {start}, (s, d) -> {_step(fm)}).days")).alias("o"))
+    out = done.select(*k, F.col("o.date").alias(date), F.col("o.prediction").alias("prediction")).where(asked)
+    return out.withColumn("status", F.when(F.col("prediction").isNull(), "no model").otherwise("forecast")).unionByName(short)

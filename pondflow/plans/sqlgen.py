@@ -88,3 +88,33 @@ def boosted(rows: str, key: str, features, label: str, trees: int, depth: int, r
         out.append(f"r{t + 1} AS (SELECT * EXCLUDE (pred, node, v, is_open), pred + v AS pred FROM p{t}_{depth})")
     out.append(f"fitted AS (SELECT * FROM r{trees})")
     return ",\n".join(out)
+
+
+def boosted_nodes(key: str, features, trees: int, depth: int, rate: float, l2: float = 1.0) -> str:
+    """CTEs ``nodes`` and ``walks`` after ``boosted``: each key's base and a map from 1000 * tree + heap number to (f, cut, v)."""
+    value = f"-({{g}}) / ({{h}} + {d(l2)}) * {d(rate)}"
+    rows = []
+    for t in range(trees):
+        for level in range(depth):
+            n = f"{t}_{level}"
+            cut = "CASE x.f " + " ".join(f"WHEN {i} THEN c{i}[x.bin + 1]" for i in range(len(features))) + " END"
+            rows.append(f"SELECT z.{key}, {1000 * t} + z.node AS place, x.f, {cut} AS cut, {value.format(g='z.gs', h='z.hs')} AS v "
+                        f"FROM t{n} z JOIN cuts USING ({key}) LEFT JOIN x{n} x ON x.{key} = z.{key} AND x.node = z.node")
+        n = f"{t}_{depth - 1}"
+        for side, g, h in ((1, "x.gl", "x.hl"), (2, "z.gs - x.gl", "z.hs - x.hl")):
+            rows.append(f"SELECT z.{key}, {1000 * t} + 2 * z.node + {side}, NULL, NULL, {value.format(g=g, h='(' + h + ')')} "
+                        f"FROM t{n} z JOIN x{n} x ON x.{key} = z.{key} AND x.node = z.node")
+    return (f"nodes AS ({' UNION ALL '.join(rows)}),\n"
+            f"walks AS (SELECT {key}, map(list(place), list({{'f': f, 'cut': cut, 'v': v}})) AS m FROM nodes GROUP BY {key})")
+
+
+def boosted_walk(x: str, base: str, trees: int, depth: int) -> str:
+    """The ensemble's value at the feature list ``x``, walking the map ``m``."""
+    total = base
+    for t in range(trees):
+        at = str(1000 * t)
+        for _ in range(depth):
+            node = f"m[{at}]"
+            at = f"CASE WHEN {node}.f IS NULL THEN {at} WHEN {x}[{node}.f + 1] <= {node}.cut THEN {1000 * t} + 2 * ({at} - {1000 * t}) + 1 ELSE {1000 * t} + 2 * ({at} - {1000 * t}) + 2 END"
+        total += f" + m[{at}].v"
+    return total
