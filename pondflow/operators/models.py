@@ -9,6 +9,7 @@ base score), so equal *capability* is claimed, not equal numbers.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -233,11 +234,46 @@ def minmax_arrays(stats: DataFrame, features: Sequence[str]) -> tuple[np.ndarray
 
 # --- persistence and registry (K5, S10, M9, M10) ----------------------------
 
+def publish(spark: SparkSession, root: str, write: Callable[[str], None]) -> str:
+    """K5: let ``write`` fill a new version folder under ``root``, then name it in the manifest ``root/current`` by one rename.
+
+    Until that rename the version before stays current and whole, so a save that breaks half-way loses nothing; readers of the
+    version before keep their files until the next save but one.
+    """
+    root = root.rstrip("/")
+    before = read_saved(spark, f"{root}/current")
+    version = f"v-{uuid.uuid4().hex}"
+    write(f"{root}/{version}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(conf)
+    fresh = path(f"{root}/.current-{version}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(f"{version}\n".encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(root).toUri(), conf).rename(
+        fs.makeQualified(fresh), fs.makeQualified(path(f"{root}/current")), how)
+    for found in fs.listStatus(path(root)):
+        name = found.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(found.getPath(), True)
+    return f"{root}/{version}"
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The folder of the version that was published last under ``root``, or None."""
+    name = read_saved(spark, f"{root.rstrip('/')}/current")
+    return None if name is None else f"{root.rstrip('/')}/{name}"
+
+
 class ModelRegistry:
-    """Fitted pipelines under ``root/<name>`` plus their feature list.
+    """Fitted pipelines under ``root/<name>`` plus their feature list (M9/M10), saved in versions (see ``publish``).
 
-    Everything is written through Spark, so ``root`` can be any shared Hadoop
-    file system path (it must be shared storage on a cluster).
+    Everything goes through Spark's file systems, so ``root`` can be any shared Hadoop
+    path (it must be shared storage on a cluster).
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -245,17 +281,20 @@ class ModelRegistry:
         self.root = root.rstrip("/")
 
     def save(self, name: str, model: PipelineModel, features: Sequence[str], tag: str = "") -> None:
-        model.write().overwrite().save(f"{self.root}/{name}/model")
-        meta = self.spark.createDataFrame([(json.dumps({"features": list(features), "tag": tag}),)], "value string")
-        meta.coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/features")
+        def write(folder: str) -> None:
+            model.write().save(f"{folder}/model")
+            meta = self.spark.createDataFrame([(json.dumps({"features": list(features), "tag": tag}),)], "value string")
+            meta.coalesce(1).write.text(f"{folder}/features")
+
+        publish(self.spark, f"{self.root}/{name}", write)
 
     def load(self, name: str) -> tuple[PipelineModel, list[str], str] | None:
         """(model, features, tag), or None when nothing is saved under the name; other errors are raised."""
-        line = read_saved(self.spark, f"{self.root}/{name}/features")
-        if line is None:
+        folder = current_version(self.spark, f"{self.root}/{name}")
+        if folder is None:
             return None
-        meta = json.loads(line)
-        return PipelineModel.load(f"{self.root}/{name}/model"), meta["features"], meta["tag"]
+        meta = json.loads(read_saved(self.spark, f"{folder}/features"))
+        return PipelineModel.load(f"{folder}/model"), meta["features"], meta["tag"]
 
     def load_or_fit(self, name: str, features: Sequence[str], fit: Callable[[], PipelineModel],
                     params: dict | None = None, data: DataFrame | None = None) -> PipelineModel:

@@ -191,19 +191,21 @@ def fit_or_load_recursive(spark: SparkSession, hist: DataFrame, keys, y: str, ex
     feats = feature_names(list(exog), lags, windows)
     p = dict(params or M.GBT_RECURSIVE)
     tag = M.fit_tag(p, hist.select(*k, date, y, *exog), features=feats, y=y)
-    saved = M.read_saved(spark, f"{root}/meta")
-    meta = json.loads(saved) if saved is not None else None
-    if meta is not None and meta["tag"] == tag:
-        model = (RandomForestRegressionModel if "numTrees" in p else GBTRegressionModel).load(f"{root}/trees")
-        trees = M.tree_arrays(spark, model, f"{root}/trees", save=False)
-        train = training_frame(hist, k, y, list(exog), lags, windows, date).cache()
-        return RecursiveModel(spark.sparkContext.broadcast(trees), np.array(meta["lo"]), np.array(meta["rng"]),
-                              k, y, list(exog), lags, windows, train, date)
-    rm = fit_recursive(spark, hist, k, y, exog, lags, windows, p, date, model_path=f"{root}/trees")
-    meta = {"tag": tag, "lo": rm.lo.tolist(), "rng": rm.rng.tolist()}
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{root}/meta")
-    return rm
+    folder = M.current_version(spark, root)
+    if folder is None or json.loads(M.read_saved(spark, f"{folder}/meta"))["tag"] != tag:
+        def write(at: str) -> None:
+            rm = fit_recursive(spark, hist, k, y, exog, lags, windows, p, date, model_path=f"{at}/trees")
+            meta = {"tag": tag, "lo": rm.lo.tolist(), "rng": rm.rng.tolist()}
+            spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{at}/meta")
+            rm.train.unpersist()
+
+        folder = M.publish(spark, root, write)
+    meta = json.loads(M.read_saved(spark, f"{folder}/meta"))
+    model = (RandomForestRegressionModel if "numTrees" in p else GBTRegressionModel).load(f"{folder}/trees")
+    trees = M.tree_arrays(spark, model, f"{folder}/trees", save=False)
+    train = stored(training_frame(hist, k, y, list(exog), lags, windows, date), "train")
+    return RecursiveModel(spark.sparkContext.broadcast(trees), np.array(meta["lo"]), np.array(meta["rng"]),
+                          k, y, list(exog), lags, windows, train, date)
 
 
 def _future(rm, hist: DataFrame, start_ym: str, end_ym: str, compat: bool, horizon_days: int | None, index_base: int):

@@ -899,22 +899,22 @@ SELECT DISTINCT l_returnflag AS site, CAST(334 AS BIGINT) AS days, DATE '2002-01
 
 
 def _pond_rows(spark, sf):
-    p = bal.pond_balance(T.pond_evap(spark, sf), T.pond_in(spark, sf), T.pond_out(spark, sf),
-                         IN_CON_POND, area=_pond_area())
-    j = p.join(T.pond_in(spark, sf), ["site", "date"]).join(T.pond_out(spark, sf), ["site", "date"])
+    inputs = T.pond_inputs(spark, sf)
+    p = bal.pond_balance_frame(inputs, IN_CON_POND, area=_pond_area())
+    j = p.select("site", "date", "c1", "c2").join(inputs.select("site", "date", "brine_in", "brine_out"), ["site", "date"])
     return j.select(F.substring_index("site", "-", 2).alias("pond"), "date", "brine_in", "brine_out",
                     F.col("c1").alias("initial_concentration"), F.col("c2").alias("final_concentration"))
 
 
+SITE_CONCENTRATION = dict(trees=15, depth=4, rate=0.35, rows=0.8, columns=0.8)  # far fewer trees than the default
+
+
 def final_concentration_q(spark, sf):
     from pondflow.plans import forecast as fc
-    from pondflow.operators.models import ModelRegistry
-    rows = _pond_rows(spark, sf)
-    reg = ModelRegistry(spark, _model_root(spark, sf, "final-concentration"))
-    model = reg.load_or_fit("pooled", fc.CONC_FEATURES,
-                            lambda: fc.fit_concentration_model(rows, keys=["pond"]), data=rows)  # M9
-    return fc.score_final_concentration(model, rows.drop("final_concentration"), "1998-01", "1998-12",
-                                        keys=["pond"])
+    from pondflow.session import stored
+    rows = stored(_pond_rows(spark, sf), "pond-rows")  # read by the fingerprint, the fit and the scoring
+    model = fc.site_concentration_model(spark, rows, ["pond"], _model_root(spark, sf, "final-concentration"), SITE_CONCENTRATION)  # M9
+    return fc.score_site_concentration(model, rows.drop("final_concentration"), "1998-01", "1998-12")
 
 
 register("final_concentration_score", None)(final_concentration_q)

@@ -23,9 +23,9 @@ from pondflow.functions.numeric import minmax_inverse, minmax_transform
 from pondflow.functions.dates import calendar_columns, month_end, month_start
 from pondflow.operators import models as M
 from pondflow.operators import stats as st
+from pondflow.operators.boosting import CALENDAR, Boosted, fit_boosted, load_boosted, score_boosted
 from pondflow.operators.filters import (date_range, drop_null_rows, month_range_with_fallback, require_columns,
                                         require_finite_target, require_rows)
-from pondflow.operators.recursive import recursive_forecast
 from pondflow.operators.scan import running_sum
 from pondflow.operators.series import date_spine, spine_after_last
 from pondflow.session import checkpoint_dir
@@ -111,25 +111,28 @@ def _attach(df: DataFrame, y_stats: dict[str, DataFrame], keys: Sequence[str], h
 
 
 def save_calendar_model(spark: SparkSession, cm: CalendarModel, root: str, tag: str = "") -> None:
-    """K5: models through the registry, scaler statistics and feature ranges as Parquet."""
-    reg = M.ModelRegistry(spark, root)
-    for t, m in cm.models.items():
-        reg.save(f"model-{t}", m, cm.features, tag)
-    cm.x_stats.write.mode("overwrite").parquet(f"{root}/x_stats")
-    cm.ranges.write.mode("overwrite").parquet(f"{root}/ranges")
-    if cm.signals is not None:
-        cm.signals.write.mode("overwrite").parquet(f"{root}/signals")
-    for t, df in cm.y_stats.items():
-        df.write.mode("overwrite").parquet(f"{root}/y_stats-{t}")
-    spark.createDataFrame([(",".join(cm.models),)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{root}/targets")
+    """K5: models through the registry, scaler statistics and feature ranges as Parquet, all in one published version."""
+    def write(folder: str) -> None:
+        reg = M.ModelRegistry(spark, folder)
+        for t, m in cm.models.items():
+            reg.save(f"model-{t}", m, cm.features, tag)
+        cm.x_stats.write.parquet(f"{folder}/x_stats")
+        cm.ranges.write.parquet(f"{folder}/ranges")
+        if cm.signals is not None:
+            cm.signals.write.parquet(f"{folder}/signals")
+        for t, df in cm.y_stats.items():
+            df.write.parquet(f"{folder}/y_stats-{t}")
+        spark.createDataFrame([(",".join(cm.models),)], "value string").coalesce(1).write.text(f"{folder}/targets")
+
+    M.publish(spark, root, write)
 
 
 def load_calendar_model(spark: SparkSession, root: str, targets: Sequence[str], tag: str = "",
                         keys: Sequence[str] = ()) -> CalendarModel | None:
     """The saved bundle, or None when absent or saved for other targets, features,
     parameters or data (M10); a bundle that cannot be read raises."""
-    saved = M.read_saved(spark, f"{root}/targets")
+    root = M.current_version(spark, root)
+    saved = M.read_saved(spark, f"{root}/targets") if root else None
     if saved is None or saved.split(",") != list(targets):
         return None
     reg = M.ModelRegistry(spark, root)
@@ -245,10 +248,34 @@ def score_final_concentration(model: PipelineModel, rows: DataFrame, start_ym: s
     return scored.select(*keys, date, *CONC_FEATURES, "predicted_final")
 
 
-def forecast_concentration(spark: SparkSession, hist: DataFrame, keys, start_ym: str, end_ym: str,
-                           exog: Sequence[str], y: str = "c2", **kw) -> DataFrame:
-    """Q6: recursive forecast of ``y`` (see ``operators.recursive``)."""
-    return recursive_forecast(spark, hist, keys, y, exog, start_ym, end_ym, **kw)
+def fit_site_concentration(train: DataFrame, keys: Sequence[str], label: str = "final_concentration", date: str = "date",
+                           params: dict | None = None, test_fraction: float = 0.2) -> Boosted:
+    """M6 per site: one second-order ensemble for every key, all grown in the same jobs. Blank inputs stay blank."""
+    df = with_calendar(train, date).where(F.col(label).isNotNull())
+    tr, _ = M.hash_split(df, [*keys, date], test_fraction)  # M1
+    return fit_boosted(tr, keys, CONC_FEATURES, label, params or CALENDAR)
+
+
+def site_concentration_model(spark: SparkSession, train: DataFrame, keys: Sequence[str], root: str, params: dict | None = None) -> Boosted:
+    """M9: the ensembles published under ``root`` when they were fitted with the same parameters on the same rows, else fitted and published."""
+    tag = M.fit_tag(params, train, keys=list(keys), features=CONC_FEATURES)
+    folder = M.current_version(spark, root)
+    if folder and M.read_saved(spark, f"{folder}/tag") == tag:
+        return load_boosted(spark, f"{folder}/ensembles", keys, CONC_FEATURES)
+    model = fit_site_concentration(train, keys, params=params)
+
+    def write(folder: str) -> None:
+        model.save(f"{folder}/ensembles")
+        spark.createDataFrame([(tag,)], "value string").coalesce(1).write.text(f"{folder}/tag")
+
+    return load_boosted(spark, f"{M.publish(spark, root, write)}/ensembles", keys, CONC_FEATURES)
+
+
+def score_site_concentration(model: Boosted, rows: DataFrame, start_ym: str | None, end_ym: str | None, date: str = "date") -> DataFrame:
+    """Q5: P8 range filter with fallback, then every remaining row by its own site's ensemble (M8); sites without one get NULL."""
+    df = with_calendar(rows.where(F.col(date).isNotNull()), date)  # P14 quarantine: undated rows skipped
+    df = month_range_with_fallback(df, model.keys, start_ym, end_ym, date)
+    return score_boosted(model, df, "predicted_final").select(*model.keys, date, *CONC_FEATURES, "predicted_final")
 
 
 def compare_series(history: DataFrame, forecast: DataFrame, start, end, y: str,
