@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pondflow.functions.numeric import minmax_inverse, minmax_transform
-from pondflow.session import checkpoint_dir
+from pondflow.session import checkpoint_dir, stored
 from pondflow.keys import as_keys as _keys
 
 # Stats tables with at most this many rows are broadcast when joined back.
 BROADCAST_ROW_LIMIT = 200_000
+BRACKET_ACCURACY = 10_000  # of the sketch that brackets exact quantiles; its error is a share of 1/accuracy of the rows
+MARGIN = 3                 # errors between a quantile and the ends of its bracket
 
 
 def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
@@ -100,12 +102,11 @@ def quantiles(df: DataFrame, keys, col: str, probs: Sequence[float], method: str
 
     ``method``:
 
-    ``sort``   exact and skew-proof. Equal values of a key are counted into
-               one row first, then the distinct ``(key, value)`` rows are
-               range-partitioned, which spreads a single hot key across all
-               tasks. They are checkpointed once, per-partition counts give
-               each partition its first rank within its key, and only the
-               partitions around wanted ranks are summed up.
+    ``sort``   exact and skew-proof. A quantile sketch per key brackets each wanted
+               rank; a second pass counts what lies below, above and, value by
+               value, inside the brackets, so only their few values are shuffled and
+               sorted. Both passes combine map-side: neither a hot key nor a hot value
+               lands whole in one task. The input is read twice.
     ``hash``   exact, Spark's ``percentile`` aggregate: one task per key holds
                all of the key's distinct values, so use it only for groups of
                known small size (never for raw data with hot keys).
@@ -128,42 +129,48 @@ def quantiles(df: DataFrame, keys, col: str, probs: Sequence[float], method: str
     if method != "sort":
         raise ValueError("method must be 'sort', 'hash' or 'approx'")
 
-    # 1. equal values become one row with a count (combined map-side), so neither a hot
-    # key nor a hot value lands whole in one task; the distinct values are range-partitioned.
-    # The range partitioner samples with a seed that changes per execution, so the
-    # rows are checkpointed once: offsets and picks must see the same layout.
-    checkpoint_dir(df.sparkSession)
-    counted = (base.groupBy(*k, "_x").agg(F.count(F.lit(1)).alias("_c"))
-               .repartitionByRange(*[F.col(c) for c in k], F.col("_x"))
-               .withColumn("_pid", F.spark_partition_id())
-               .checkpoint(eager=True))
-    # 2. rows per (key, partition) -> offset of each partition within its key
-    parts = counted.groupBy(*k, "_pid").agg(F.sum("_c").alias("_c"))
-    wk = Window.partitionBy(*k).orderBy("_pid")
-    parts = (parts.withColumn("_off", F.coalesce(F.sum("_c").over(
-        wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_n", F.sum("_c").over(Window.partitionBy(*k))))
-    # 3. wanted ranks per key: floor/ceil of p*(n-1), each in one (key, partition)
-    pos = F.array(*[(F.lit(float(p)) * (F.col("_n") - 1)) for p in probs])
-    ranks = F.array_distinct(F.flatten(F.transform(pos, lambda x: F.array(F.floor(x), F.ceil(x)))))
-    ranks = F.filter(ranks, lambda x: (x >= F.col("_off")) & (x < F.col("_off") + F.col("_c")))
-    want = parts.select(*k, "_pid", "_off", "_n", ranks.alias("_ranks")).where(F.size("_ranks") > 0)
-    # only partitions that hold a wanted rank are summed up; each window group is one of them
-    here = join_small(counted, want, k + ["_pid"])
-    below = F.sum("_c").over(Window.partitionBy(*k, "_pid").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
-    here = here.withColumn("_hi", F.col("_off") + below)
-    picked = (here.withColumn("_r", F.explode(F.filter("_ranks", lambda x: (x >= F.col("_hi") - F.col("_c")) & (x < F.col("_hi")))))
-              .select(*k, "_r", "_x", "_n"))
-    # 4. interpolate between the two picked ranks of every probability
-    vals = picked.groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"),
-                                  F.first("_n").alias("_n"))
-    cols = []
-    for i, p in enumerate(probs):
-        posc = F.lit(float(p)) * (F.col("_n") - 1)
-        lo, hi = F.floor(posc), F.ceil(posc)
-        vlo, vhi = F.element_at("_m", lo), F.element_at("_m", hi)
-        cols.append(_lerp(vlo, vhi, posc - lo).alias(names[i]))
-    return vals.select(*k, *cols)
+    # 1. a sketch brackets every quantile: its values at p -+ MARGIN errors stand below and above the wanted ranks
+    eps = 1.0 / BRACKET_ACCURACY
+    ends = [min(1.0, max(0.0, float(p) + d)) for p in probs for d in (-MARGIN * eps, MARGIN * eps)]
+    sketch = stored(base.groupBy(*k).agg(F.percentile_approx("_x", ends, BRACKET_ACCURACY).alias("_b")), "brackets")
+    rows = _with_brackets(base, sketch, k)
+    # 2. one pass counts the values of each bracket one by one and those beside it whole (combined map-side); beside it only
+    # the next value can be wanted
+    cells = []
+    for i in range(len(probs)):
+        lo, hi = F.col("_b")[2 * i], F.col("_b")[2 * i + 1]
+        side = F.when(F.col("_x") < lo, -1).when(F.col("_x") > hi, 1).otherwise(0)
+        cells.append(F.struct(F.lit(i).alias("_i"), side.alias("_side"), F.when(side == 0, F.col("_x")).alias("_v")))
+    counted = (rows.select(*k, "_x", F.inline(F.array(*cells))).groupBy(*k, "_i", "_side", "_v")
+               .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max")))
+    # 3. ranks: only what lies inside a bracket is sorted
+    line = Window.partitionBy(*k, "_i").orderBy("_side", "_v")
+    upto = F.sum("_c").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumns({"_to": upto, "_n": F.sum("_c").over(Window.partitionBy(*k, "_i"))})
+    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
+    ranked = ranked.withColumn("_pos", prob * (F.col("_n") - 1))
+    first, last = F.col("_to") - F.col("_c"), F.col("_to") - 1
+
+    def value_at(rank):
+        return F.max(F.when((F.col("_side") == 0) & rank.between(first, last), F.col("_v")).when((F.col("_side") < 0) & (rank == last), F.col("_max"))
+                     .when((F.col("_side") > 0) & (rank == first), F.col("_min")))
+
+    picked = ranked.groupBy(*k, "_i").agg(F.first("_pos").alias("_pos"), value_at(F.floor("_pos")).alias("_lo"), value_at(F.ceil("_pos")).alias("_hi"))
+    outside = F.raise_error(F.lit("a sketch missed its error bound: no bracket holds a wanted rank")).cast("double")
+    picked = picked.withColumn("_q", F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), outside)
+                               .otherwise(_lerp(F.col("_lo"), F.col("_hi"), F.col("_pos") - F.floor("_pos"))))
+    return picked.groupBy(*k).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+
+
+def _with_brackets(base: DataFrame, sketch: DataFrame, k: list[str]) -> DataFrame:
+    """Each row beside its key's brackets: a join on the keys that Spark plans by the sketch table's written size."""
+    if not k:
+        return base.withColumn("_one", F.lit(1)).join(sketch.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    other = sketch.withColumnsRenamed({c: f"_k_{c}" for c in k})
+    cond = F.lit(True)
+    for c in k:
+        cond = cond & base[c].eqNullSafe(other[f"_k_{c}"])
+    return base.join(other, cond).drop(*[f"_k_{c}" for c in k])
 
 
 def percentile_trim(df: DataFrame, keys, col: str, lo_p: float = 0.01, hi_p: float = 0.99,
