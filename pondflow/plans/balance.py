@@ -167,12 +167,28 @@ def zone_balance_from_readings(evap_readings: DataFrame, wl_readings: DataFrame,
     return zone_balance_frame(daily.drop("freq"), in_con, keys=keys, **kw)
 
 
+def flows_by_period(flow: DataFrame, periods: DataFrame, keys, value: str, ts: str = "ts", date: str = "date") -> DataFrame:
+    """(keys…, date, value): raw flow readings summed over the evaporation period that holds them.
+
+    ``periods`` has each key's evaporation ``freq``: a period is a day, or under monthly evaporation a month named by its last day.
+    Readings are summed per day before they meet the periods, so the join sees one row per key and day.
+    """
+    k = _keys(keys)
+    daily = flow.groupBy(*k, F.to_date(ts).alias("_day")).agg(F.sum(value).alias(value))
+    period = F.when(F.col("freq") == "monthly", F.last_day("_day")).otherwise(F.col("_day"))
+    return daily.join(periods.select(*k, "freq").distinct(), k).groupBy(*k, period.alias(date)).agg(F.sum(value).alias(value))
+
+
 def pond_balance_from_readings(evap_readings: DataFrame, inflow: DataFrame, outflow: DataFrame,
                                in_con: float, keys=("site",), ts: str = "ts", **kw) -> DataFrame:
-    """Q4 end to end: evaporation normalised by its frequency; flows summed per day."""
-    from pondflow.operators.series import normalize_readings, resample
+    """Q4 end to end: evaporation normalised by its frequency, flows summed over its periods.
+
+    A row is an evaporation period with readings of both flows, as the merge of the daily files gives it: no day is made up,
+    repeated dates are one row, and under monthly evaporation every flow of the month counts.
+    """
+    from pondflow.operators.series import normalize_readings
     k = _keys(keys)
-    ev = normalize_readings(evap_readings, None, k, ts).drop("freq")
-    fin = resample(inflow, k, ts, ["brine_in"], "D", "sum")
-    fout = resample(outflow, k, ts, ["brine_out"], "D", "sum")
-    return pond_balance(ev, fin, fout, in_con, keys=keys, **kw)
+    ev = normalize_readings(evap_readings, None, k, ts)
+    fin = flows_by_period(inflow, ev, k, "brine_in", ts)
+    fout = flows_by_period(outflow, ev, k, "brine_out", ts)
+    return pond_balance(ev.drop("freq"), fin, fout, in_con, keys=keys, **kw)

@@ -395,6 +395,12 @@ register("lag_features", T.with_sql("line_daily") + "SELECT site, date, round(v,
     f"round(lag(v, {i}) OVER (PARTITION BY site ORDER BY date), 6) AS lag_{i}" for i in range(1, N_LAGS + 1))
     + " FROM line_daily")(lambda spark, sf: r(wn.lag_features(T.line_daily(spark, sf), ["site"], "v", N_LAGS)))
 
+# the same features with every series cut in years: one series is many tasks' work
+for _name, _of in (("rolling_stats", lambda df: wn.rolling_stats(df, ["site"], "v", (14, 30, 60), segment=F.year("date"))),
+                   ("expanding_stats", lambda df: wn.expanding_stats(df, ["site"], "v", segment=F.year("date"))),
+                   ("lag_features", lambda df: wn.lag_features(df, ["site"], "v", N_LAGS, segment=F.year("date")))):
+    register(f"{_name}_segmented", ORACLE[_name])(lambda spark, sf, of=_of: r(of(T.line_daily(spark, sf))))
+
 register("trend_index", T.with_sql("line_daily") + """
 SELECT site, date, round(v, 6) AS v, row_number() OVER (PARTITION BY site ORDER BY date) - 1 AS trend,
        round(v - lag(v) OVER (PARTITION BY site ORDER BY date), 6) AS v_diff
@@ -1207,22 +1213,19 @@ def pond_balance_from_readings_q(spark, sf):
     return r(df, 6, ["cum_net_flow", "evaporation"])
 
 
-register("pond_balance_from_readings", f"""
-WITH o AS (SELECT o_orderpriority || '-' || strftime(o_orderdate, '%Y%m') AS site, o_orderdate AS ts, o_orderkey,
-                  o_totalprice, o_orderstatus FROM orders),
+def _pond_from_readings_sql(readings: str) -> str:
+    """The balance after CTEs ``e`` (site, ts, e), ``fin`` and ``fout`` (site, ts, v)."""
+    period = "CASE WHEN freq = 'monthly' THEN last_day(CAST(ts AS DATE)) ELSE CAST(ts AS DATE) END"
+    return f"""
+WITH {readings},
 fq AS (SELECT site, CASE WHEN count(ts) >= 2 THEN ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) / (count(ts) - 1) END AS g
-       FROM o GROUP BY site),
+       FROM e GROUP BY site),
 f AS (SELECT site, CASE WHEN g <= 3600.0 THEN 'hourly' WHEN g <= 86400.0 THEN 'daily' ELSE 'monthly' END AS freq FROM fq),
-eb AS (SELECT o.site, f.freq, CASE WHEN f.freq = 'monthly' THEN last_day(CAST(o.ts AS DATE)) ELSE CAST(o.ts AS DATE) END AS date,
-              (o_orderkey % 9) + {D(0.5)} AS e FROM o JOIN f USING (site) WHERE o.ts IS NOT NULL),
+eb AS (SELECT site, freq, {period} AS date, e FROM e JOIN f USING (site) WHERE ts IS NOT NULL),
 ev AS (SELECT site, date, CASE WHEN freq = 'hourly' THEN COALESCE(sum(e), 0.0) ELSE avg(e) END AS evaporation
        FROM eb GROUP BY site, freq, date),
-fi AS (SELECT site, CAST(ts AS DATE) AS date, sum(o_totalprice) AS v FROM o GROUP BY 1, 2),
-fo AS (SELECT site, CAST(ts AS DATE) AS date, sum(o_totalprice * {D(0.6)}) AS v FROM o WHERE o_orderstatus = 'F' GROUP BY 1, 2),
-spi AS (SELECT site, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM fi GROUP BY site),
-spo AS (SELECT site, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM fo GROUP BY site),
-bi AS (SELECT spi.site, spi.date, COALESCE(fi.v, 0.0) AS brine_in FROM spi LEFT JOIN fi USING (site, date)),
-bo AS (SELECT spo.site, spo.date, COALESCE(fo.v, 0.0) AS brine_out FROM spo LEFT JOIN fo USING (site, date)),
+bi AS (SELECT site, {period} AS date, sum(v) AS brine_in FROM fin JOIN f USING (site) GROUP BY ALL),
+bo AS (SELECT site, {period} AS date, sum(v) AS brine_out FROM fout JOIN f USING (site) GROUP BY ALL),
 j AS (SELECT ev.site, ev.date, ev.evaporation, bi.brine_in, bo.brine_out
       FROM ev JOIN bi USING (site, date) JOIN bo USING (site, date)
       WHERE ev.evaporation IS NOT NULL AND NOT isnan(ev.evaporation)),
@@ -1238,7 +1241,28 @@ SELECT site, date, round(cum_net_flow, 6) AS cum_net_flow, round_even(depth, 6)
        round_even(v2, 2) AS volume_v2_m3, round_even({D(IN_CON_POND)} * pe, 3) AS c1,
        round_even({D(IN_CON_POND)} * p, 3) AS c2,
        round_even(v2 * {D(IN_CON_POND)} / {D(1000)}, 0) AS quantity_t
-FROM c""")(pond_balance_from_readings_q)
+FROM c"""
+
+
+_FLOWS_SQL = """
+fin AS (SELECT site, ts, o_totalprice AS v FROM o), fout AS (SELECT site, ts, o_totalprice * CAST(0.6 AS DOUBLE) AS v FROM o WHERE o_orderstatus = 'F')"""
+
+register("pond_balance_from_readings", _pond_from_readings_sql("""
+o AS (SELECT o_orderpriority || '-' || strftime(o_orderdate, '%Y%m') AS site, o_orderdate AS ts, o_orderkey, o_totalprice, o_orderstatus FROM orders),
+e AS (SELECT site, ts, (o_orderkey % 9) + CAST(0.5 AS DOUBLE) AS e FROM o),""" + _FLOWS_SQL))(pond_balance_from_readings_q)
+
+
+def pond_balance_monthly_q(spark, sf):
+    """Monthly evaporation readings and daily flows with gaps: every flow counts in the month that holds it."""
+    ev, fin, fout = (x.withColumn("site", F.substring_index("site", "-", 2)) for x in _order_readings(spark, sf))
+    monthly = ev.groupBy("site", F.trunc("ts", "month").alias("ts")).agg(F.avg("evaporation").alias("evaporation"))
+    df = bal.pond_balance_from_readings(monthly.withColumn("ts", F.col("ts").cast("timestamp_ntz")), fin, fout, IN_CON_POND, area=_pond_area())
+    return r(df, 6, ["cum_net_flow", "evaporation"])
+
+
+register("pond_balance_monthly", _pond_from_readings_sql("""
+o AS (SELECT o_orderpriority AS site, o_orderdate AS ts, o_orderkey, o_totalprice, o_orderstatus FROM orders),
+e AS (SELECT site, date_trunc('month', ts)::TIMESTAMP AS ts, avg((o_orderkey % 9) + CAST(0.5 AS DOUBLE)) AS e FROM o GROUP BY ALL),""" + _FLOWS_SQL))(pond_balance_monthly_q)
 
 
 # ---------------------------------------------------------------------------
@@ -1270,6 +1294,9 @@ QUERY_IDS = {
     "rolling_stats": "W4 W5",
     "expanding_stats": "W6 W7",
     "lag_features": "W3",
+    "rolling_stats_segmented": "W4 W5",
+    "expanding_stats_segmented": "W6 W7",
+    "lag_features_segmented": "W3",
     "trend_index": "W8 W9",
     "last_n_rows": "O3",
     "last_row": "O4 A7",
@@ -1313,5 +1340,6 @@ QUERY_IDS = {
     "quantiles_p1_p99": "A6",
     "frequency_probe": "F1 F2 A4",
     "zone_balance_from_readings": "Q3 A1 A2 A3 A4 P5 W10 W11 W12",
+    "pond_balance_monthly": "Q4 A3 A4",
     "pond_balance_from_readings": "Q4 A1 A4 J2 W1 F17 W10 W11 W12",
 }
