@@ -912,6 +912,78 @@ def _pond_rows(spark, sf):
                     F.col("c1").alias("initial_concentration"), F.col("c2").alias("final_concentration"))
 
 
+STACK_SMALL = dict(trees=2, depth=3, rate=0.3, bins=16, rows=1.0, columns=1.0)
+_WEATHER = {"solar_irradiance": "avg(l_extendedprice) / 100.0", "slope": "avg(l_quantity) / 10.0", "saturation_vapour": "avg(l_tax) * 30.0",
+            "actual_vapour": "avg(l_discount) * 20.0", "wind_speed": "count(*) / 10.0", "radiation_based_evaporation": "avg(l_quantity) / 5.0",
+            "aerodynamics_evaporation": "avg(l_discount) * 100.0", "psychrometric_constant": "avg(l_tax) * 10.0 + 0.06"}
+
+
+def _stacked_sql(history: str, targets: list[str], days: str) -> str:
+    """CTEs up to ``wide`` (site, date, targets…): small ensembles of every (site, target) of ``hist`` at the days of ``future`` (site, date)."""
+    from pondflow.operators.models import CALENDAR_FEATURES as feats
+    cal = {c: f"{c}({{x}})::DOUBLE" for c in ("day", "month", "year")} | {
+        f"month_{f}": f"{f}({D(fd.TWO_PI)} * month({{x}}) / {D(12)})" for f in ("sin", "cos")}
+    spread = "CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END"
+    return f"""
+WITH hist AS ({history}),
+long AS ({" UNION ALL ".join(f"SELECT site || '|{t}' AS k, site, date, {t}::DOUBLE AS v FROM hist" for t in targets)}),
+qq AS (SELECT k, quantile_cont(v, 0.01) AS plo, quantile_cont(v, 0.99) AS phi FROM long GROUP BY k),
+mm AS (SELECT k, min(v) AS lo, max(v) AS hi FROM long JOIN qq USING (k) WHERE v > plo AND v < phi GROUP BY k),
+rows AS (SELECT k, {", ".join(cal[f].format(x="date") + f" AS {f}" for f in feats)}, (v - lo) / {spread} AS scaled FROM long JOIN mm USING (k)
+         WHERE ('0x' || substr(md5(concat_ws('|', site, CAST(date AS VARCHAR), '42')), 1, 8))::BIGINT % 10000 < 9000),
+{q.boosted("rows", "k", feats, "scaled", STACK_SMALL["trees"], STACK_SMALL["depth"], STACK_SMALL["rate"], STACK_SMALL["bins"])},
+{q.boosted_nodes("k", feats, STACK_SMALL["trees"], STACK_SMALL["depth"], STACK_SMALL["rate"])},
+bases AS (SELECT k, avg(scaled) AS base FROM rows GROUP BY k),
+future AS ({days}),
+asked AS (SELECT f.site, f.date, mm.k, lo, hi, base, m, [{", ".join(cal[x].format(x="f.date") for x in feats)}] AS x
+          FROM future f JOIN mm ON split_part(mm.k, '|', 1) = f.site JOIN bases USING (k) JOIN walks USING (k)),
+pred AS (SELECT site, date, split_part(k, '|', 2) AS target, ({q.boosted_walk("x", "base", STACK_SMALL["trees"], STACK_SMALL["depth"])}) * {spread} + lo AS y FROM asked),
+wide AS (SELECT site, date, {", ".join(f"max(y) FILTER (target = '{t}') AS {t}" for t in targets)} FROM pred GROUP BY site, date)"""
+
+
+_HISTORY_SQL = (f"SELECT l_returnflag AS site, l_shipdate::DATE AS date, {', '.join(f'round({x}, 6) AS {t}' for t, x in _WEATHER.items())} FROM lineitem GROUP BY 1, 2")
+_MONTHS_SQL = "SELECT site, unnest(generate_series(DATE '2002-01-01', DATE '2002-11-30', INTERVAL 1 DAY))::DATE AS date FROM (SELECT DISTINCT site FROM hist)"
+_AFTER_SQL = "SELECT site, unnest(generate_series(last + INTERVAL 1 DAY, last + INTERVAL 365 DAY, INTERVAL 1 DAY))::DATE AS date FROM (SELECT site, max(date) AS last FROM hist GROUP BY site)"
+_PENMAN_SQL = ("slope / (slope + psychrometric_constant) * radiation_based_evaporation + psychrometric_constant / (slope + psychrometric_constant) * "
+               "aerodynamics_evaporation")
+
+
+def _stacked_weather(spark, sf):
+    from pondflow.plans import forecast as fc
+    hist = r(T.weather_daily(spark, sf))
+    return hist, fc.fit_stacked_calendar(hist, list(_WEATHER), ["site"], params=STACK_SMALL)
+
+
+def evaporation_stacked_q(spark, sf):
+    """Q1 with an ensemble for every site and target, all grown in the same jobs."""
+    from pondflow.plans import forecast as fc
+    out, _ = fc.forecast_evaporation(spark, _stacked_weather(spark, sf)[1], "2002-01", "2002-11")
+    return r(out.select("site", "date", *_WEATHER, "evaporation"))
+
+
+def evaporation_stacked_after_last_q(spark, sf):
+    """Q11: the 365 days after each site's last one."""
+    from pondflow.plans import forecast as fc
+    hist, sm = _stacked_weather(spark, sf)
+    return r(fc.forecast_after_last(spark, sm, hist, 365).select("site", "date", *_WEATHER, "evaporation"))
+
+
+def water_level_stacked_q(spark, sf):
+    """Q2/M5: the water level of every day of the range, per site."""
+    from pondflow.plans import forecast as fc
+    hist, _ = T.zone_flag_inputs(spark, sf)
+    out = fc.forecast_water_level(spark, fc.fit_stacked_calendar(hist, ["wl"], ["site"], params=STACK_SMALL), "2002-01", "2002-11")
+    return r(out.select("site", "date", "wl"))
+
+
+_ROUNDED = ", ".join(f"round({t}, 6) AS {t}" for t in _WEATHER)
+for _name, _days, _fn in (("evaporation_stacked", _MONTHS_SQL, evaporation_stacked_q), ("evaporation_stacked_after_last", _AFTER_SQL, evaporation_stacked_after_last_q)):
+    register(_name, _stacked_sql(_HISTORY_SQL, list(_WEATHER), _days) + f" SELECT site, date, {_ROUNDED}, round({_PENMAN_SQL}, 6) AS evaporation FROM wide")(_fn)
+register("water_level_stacked", _stacked_sql(
+    "SELECT l_returnflag AS site, l_shipdate::DATE AS date, round(avg(l_quantity) / 25.5 - 0.4, 6) AS wl FROM lineitem GROUP BY 1, 2", ["wl"], _MONTHS_SQL)
+    + " SELECT site, date, round(wl, 6) AS wl FROM wide")(water_level_stacked_q)
+
+
 SITE_CONCENTRATION = dict(trees=15, depth=4, rate=0.35, rows=0.8, columns=0.8)  # far fewer trees than the default
 
 
@@ -1329,6 +1401,9 @@ QUERY_IDS = {
     "water_level_forecast": "Q2 M5 M7 M9 S7 S10 F24",
     "final_concentration_score": "Q5 M1 M6 M8 M9 P8 F5 F7 S10 K5",
     "boosted_by_site": "M3 M6 M8",
+    "evaporation_stacked": "Q1 M1 M2 M3 M4 M7 F3 F5 F7 F19 F24 S7 P11 P12 P16",
+    "evaporation_stacked_after_last": "Q11 M3 M4 M7 A7 S8 F19",
+    "water_level_stacked": "Q2 M2 M5 M7 S7 F24",
     "recursive_folded": "Q6 M12 M14 A11 W3 W4 W5 W6 W7 W8 F6 F8 O3 P6",
     "recursive_forecast": "Q6 M9 M12 M14 M16 M17 W3 W4 W5 W6 W7 W8 W13 J3 J4 O3 A11 F6 F8 S9 S10 K5 P6 P17",
     "recursive_forecast_365": "Q6 M9 M14 M15 J4 P9",

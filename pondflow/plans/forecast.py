@@ -28,7 +28,7 @@ from pondflow.operators.filters import (date_range, drop_null_rows, month_range_
                                         require_finite_target, require_rows)
 from pondflow.operators.scan import running_sum
 from pondflow.operators.series import date_spine, spine_after_last
-from pondflow.session import checkpoint_dir
+from pondflow.session import checkpoint_dir, stored
 from pondflow.sources.sinks import labelled_union
 
 FEATURES = M.CALENDAR_FEATURES
@@ -110,6 +110,47 @@ def _attach(df: DataFrame, y_stats: dict[str, DataFrame], keys: Sequence[str], h
     return st.join_small(df, wide.drop("_one"), list(keys), how)
 
 
+@dataclass
+class StackedModel:
+    """Second-order ensembles for every (key, target): ``scalers`` has each one's target range, ``ranges`` the features' (A5)."""
+    model: Boosted
+    scalers: DataFrame
+    ranges: DataFrame
+    keys: list[str]
+    targets: list[str]
+
+
+def _stacked(df: DataFrame, keys: Sequence[str], targets: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """One row per target: (keys…, more…, target, y)."""
+    each = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])
+    return df.select(*keys, *more, F.inline(each))
+
+
+def fit_stacked_calendar(hist: DataFrame, targets: Sequence[str], keys: Sequence[str] = (), date: str = "date", params: dict | None = None,
+                         test_fraction: float = 0.1) -> StackedModel:
+    """M2-M5 with second-order boosting: the target is one more key, so the trees of all targets and series grow in the same jobs.
+
+    Rows, split and robust target scaling are those of ``fit_calendar_models``; features are not scaled, as trees split on order alone.
+    """
+    k, targets = list(keys), list(targets)
+    df = stored(calendar_history(hist, targets, date), "history")
+    long = _stacked(df, k, targets, [date, *FEATURES])
+    scalers = stored(st.robust_minmax_fit(long, [*k, "target"], "y"), "scalers")  # A6 + P10 + A8, all targets in one pass
+    train, _ = M.hash_split(long, [*k, date], test_fraction)  # M1
+    scaled = st.join_small(train, scalers, [*k, "target"]).withColumn("y", minmax_transform("y", "y_min", "y_max"))  # F24
+    return StackedModel(fit_boosted(scaled, [*k, "target"], FEATURES, "y", params or CALENDAR), scalers,
+                        st.feature_ranges(df, [], FEATURES), k, targets)
+
+
+def predict_stacked(sm: StackedModel, future: DataFrame, date: str = "date") -> DataFrame:
+    """M7: (keys…, date, calendar, targets…): every target of every row of ``future``, inverse-scaled; NULL for keys not seen."""
+    k = sm.keys
+    rows = with_calendar(future, date).select(*k, date, *FEATURES, F.explode(F.array(*[F.lit(t) for t in sm.targets])).alias("target"))
+    out = score_boosted(sm.model, st.join_small(rows, sm.scalers, [*k, "target"], "left"))
+    out = out.withColumn("y", minmax_inverse("prediction", "y_min", "y_max"))
+    return out.groupBy(*k, date, *FEATURES).agg(*[F.max(F.when(F.col("target") == t, F.col("y"))).alias(t) for t in sm.targets])
+
+
 def save_calendar_model(spark: SparkSession, cm: CalendarModel, root: str, tag: str = "") -> None:
     """K5: models through the registry, scaler statistics and feature ranges as Parquet, all in one published version."""
     def write(folder: str) -> None:
@@ -179,18 +220,23 @@ def predict_calendar(cm: CalendarModel, future: DataFrame, date: str = "date") -
     return out.withColumns({c: F.col(f"_raw_{c}") for c in FEATURES}).drop(*raw, *extra, *used)
 
 
-def _month_spine(spark: SparkSession, cm: CalendarModel, start_ym: str, end_ym: str) -> DataFrame:
+def _month_spine(spark: SparkSession, cm: CalendarModel | StackedModel, start_ym: str, end_ym: str) -> DataFrame:
     """The days of the month range, for every key of the model."""
-    series = cm.signals.select(*cm.keys) if cm.keys else spark.range(1)
+    table = cm.scalers if isinstance(cm, StackedModel) else cm.signals
+    series = table.select(*cm.keys).distinct() if cm.keys else spark.range(1)
     bounds = series.withColumns({"lo": month_start(F.lit(start_ym)), "hi": month_end(F.lit(end_ym))})
     return date_spine(bounds, list(cm.keys), "lo", "hi")
 
 
+def _predict(cm: CalendarModel | StackedModel, future: DataFrame, date: str = "date") -> DataFrame:
+    return predict_stacked(cm, future, date) if isinstance(cm, StackedModel) else predict_calendar(cm, future, date)
+
+
 def _penman() -> Column:
     return ph.penman("slope", "psychrometric_constant", "radiation_based_evaporation", "aerodynamics_evaporation")  # F19
 
 
-def forecast_evaporation(spark: SparkSession, cm: CalendarModel, start_ym: str, end_ym: str,
+def forecast_evaporation(spark: SparkSession, cm: CalendarModel | StackedModel, start_ym: str, end_ym: str,
                          mode: str = "a") -> tuple[DataFrame, DataFrame]:
     """Q1: spine over the month range per key, target predictions, Penman evaporation.
 
@@ -199,7 +245,7 @@ def forecast_evaporation(spark: SparkSession, cm: CalendarModel, start_ym: str,
     """
     future = _month_spine(spark, cm, start_ym, end_ym)
     report = st.out_of_range(with_calendar(future), cm.ranges, FEATURES)
-    out = predict_calendar(cm, future).withColumn("evaporation", _penman())
+    out = _predict(cm, future).withColumn("evaporation", _penman())
     if mode != "a":
         out = cumulative_evaporation(out, cm.keys)
     return out, report
@@ -212,17 +258,17 @@ def cumulative_evaporation(daily: DataFrame, keys: Sequence[str] = ()) -> DataFr
     return running_sum(daily.withColumn("_k", F.lit(1)), ["_k"], "evaporation", "evaporation").drop("_k")
 
 
-def forecast_after_last(spark: SparkSession, cm: CalendarModel, hist: DataFrame, n_days: int,
+def forecast_after_last(spark: SparkSession, cm: CalendarModel | StackedModel, hist: DataFrame, n_days: int,
                         date: str = "date") -> DataFrame:
     """Q11: Q1 for the ``n_days`` after each key's last observed date (A7 + S8)."""
     k = list(cm.keys) or ["_k"]
     future = spine_after_last(hist if cm.keys else hist.withColumn("_k", F.lit(1)), k, n_days, date=date)
-    return predict_calendar(cm, future.drop("_k"), date).withColumn("evaporation", _penman())
+    return _predict(cm, future.drop("_k"), date).withColumn("evaporation", _penman())
 
 
-def forecast_water_level(spark: SparkSession, cm: CalendarModel, start_ym: str, end_ym: str) -> DataFrame:
+def forecast_water_level(spark: SparkSession, cm: CalendarModel | StackedModel, start_ym: str, end_ym: str) -> DataFrame:
     """Q2: one calendar regressor for ``wl`` over the month range, per key."""
-    return predict_calendar(cm, _month_spine(spark, cm, start_ym, end_ym))
+    return _predict(cm, _month_spine(spark, cm, start_ym, end_ym))
 
 
 CONC_FEATURES = ["brine_in", "brine_out", "initial_concentration", *FEATURES]
