@@ -1021,11 +1021,15 @@ rows AS (SELECT site[1:len(site) - 7] AS pond, date, brine_in, CASE WHEN brine_o
 
 
 def boosted_by_site_q(spark, sf):
-    """One small ensemble per pond, all grown in the same jobs, and its value at every row."""
-    from pondflow.operators.boosting import fit_boosted, score_boosted
+    """One small ensemble per pond, all grown in the same jobs, published, loaded again, and its value at every row."""
+    from pondflow.operators import models as M
+    from pondflow.operators.boosting import fit_boosted, load_boosted, score_boosted
     rows = _site_rows(spark, sf)
     model = fit_boosted(rows, ["pond"], SITE_FEATURES, "evaporation", SITE_SMALL)
-    return r(score_boosted(model, rows).select("pond", "date", "prediction"))
+    root = _model_root(spark, sf, "by-site")
+    M.publish(spark, root, model.save)  # K5
+    loaded = load_boosted(spark, M.current_version(spark, root), ["pond"], SITE_FEATURES)  # S10
+    return r(score_boosted(loaded, rows).select("pond", "date", "prediction"))
 
 
 register("boosted_by_site", _SITE_ROWS + q.boosted("rows", "pond", SITE_FEATURES, "evaporation", 2, 3, 0.3, 16) + """
@@ -1041,19 +1045,23 @@ def _flag_history(spark, sf):
 
 
 FOLD_SMALL = dict(trees=2, depth=2, rate=0.3, bins=8, rows=1.0, columns=1.0)
-FOLD_WINDOWS = (7, 14)
+FOLD_KG = {**FOLD_SMALL, "gamma": 0.1}
 
 
 def recursive_folded_q(spark, sf):
     """The recursive forecast of each return flag's daily value by a small ensemble of its own."""
     from pondflow.operators.recursive import fit_folded, forecast_folded
     hist = T.line_daily(spark, sf)
-    fm = fit_folded(hist, ["site"], "v", [], lags=5, windows=FOLD_WINDOWS, params=FOLD_SMALL)
+    fm = fit_folded(hist, ["site"], "v", [], lags=5, windows=(7, 14), params=FOLD_SMALL)
     return r(forecast_folded(fm, hist, "2002-01", "2002-03"))
 
 
-_FOLD_FEATURES = ["dayofyear_sin", "dayofyear_cos", "month_sin", "month_cos", "trend", "cumulative_mean", "cumulative_std",
-                  *[f"rolling_mean_{w}" for w in FOLD_WINDOWS], *[f"rolling_std_{w}" for w in FOLD_WINDOWS], *[f"lag_{i}" for i in range(1, 6)]]
+def recursive_folded_kg_q(spark, sf):
+    """The "kg" variant (30 lags, one window, a least gain) over 365 days from the last one, cut to the months asked for."""
+    from pondflow.operators.recursive import fit_folded, forecast_folded
+    hist = T.line_daily(spark, sf)
+    fm = fit_folded(hist, ["site"], "v", [], lags=30, windows=(14,), params=FOLD_KG)
+    return r(forecast_folded(fm, hist, "2002-01", "2002-06", horizon_days=365))
 
 
 def _mean_sql(n: int) -> str:
@@ -1065,29 +1073,41 @@ def _std_sql(n: int) -> str:
     return f"sqrt(list_sum(list_transform(buf[-{n}:], lambda z: (z - {_mean_sql(n)}) * (z - {_mean_sql(n)}))) / {D(n - 1)})"
 
 
-register("recursive_folded", T.with_sql("line_daily").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
-f AS (SELECT site, date, v, sin({D(fd.TWO_PI)} * dayofyear(date) / {D(365)}) AS dayofyear_sin, cos({D(fd.TWO_PI)} * dayofyear(date) / {D(365)}) AS dayofyear_cos,
-             sin({D(fd.TWO_PI)} * month(date) / {D(12)}) AS month_sin, cos({D(fd.TWO_PI)} * month(date) / {D(12)}) AS month_cos,
-             CAST({_N} - 1 AS DOUBLE) AS trend, {q.running('avg', 'v')} AS cumulative_mean, {q.running('stddev_samp', 'v')} AS cumulative_std,
-             {", ".join(f"avg(v) {_frame(w)} AS rolling_mean_{w}, stddev_samp(v) {_frame(w)} AS rolling_std_{w}" for w in FOLD_WINDOWS)},
-             {", ".join(f"lag(v, {i}) OVER (PARTITION BY site ORDER BY date) AS lag_{i}" for i in range(1, 6))}
+def _fold_sql(lags: int, windows: tuple, params: dict, start: str, end: str, until: str) -> str:
+    """The folded forecast as a recursive query, a row for each series and day up to ``until`` (an expression over ``last``)."""
+    features = ["dayofyear_sin", "dayofyear_cos", "month_sin", "month_cos", "trend", "cumulative_mean", "cumulative_std",
+                *[f"rolling_mean_{w}" for w in windows], *[f"rolling_std_{w}" for w in windows], *[f"lag_{i}" for i in range(1, lags + 1)]]
+    span, (t, d) = max(lags, *windows), (params["trees"], params["depth"])
+    fit = q.boosted("rows", "site", features, "v", t, d, params["rate"], params["bins"], gamma=params.get("gamma", 0.0))
+
+    def cal(x: str) -> str:
+        return ", ".join(f"{f}({D(fd.TWO_PI)} * {part}({x}) / {D(n)})" for part, n in (("dayofyear", 365), ("month", 12)) for f in ("sin", "cos"))
+
+    named = ", ".join(f"{x} AS {c}" for x, c in zip(cal("date").split(", "), features))
+    return T.with_sql("line_daily").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+f AS (SELECT site, date, v, {named}, CAST({_N} - 1 AS DOUBLE) AS trend, {q.running('avg', 'v')} AS cumulative_mean, {q.running('stddev_samp', 'v')} AS cumulative_std,
+             {", ".join(f"avg(v) {_frame(w)} AS rolling_mean_{w}, stddev_samp(v) {_frame(w)} AS rolling_std_{w}" for w in windows)},
+             {", ".join(f"lag(v, {i}) OVER (PARTITION BY site ORDER BY date) AS lag_{i}" for i in range(1, lags + 1))}
       FROM line_daily),
-rows AS (SELECT * FROM f WHERE trend >= 13),
-{q.boosted("rows", "site", _FOLD_FEATURES, "v", 2, 2, 0.3, 8)},
-{q.boosted_nodes("site", _FOLD_FEATURES, 2, 2, 0.3)},
-start AS (SELECT site, list(v ORDER BY date) AS buf, count(*)::DOUBLE AS n, avg(v) AS mean, coalesce(var_samp(v) * (count(*) - 1), 0) AS m2,
-                 max(date) AS date FROM line_daily GROUP BY site),
+rows AS (SELECT * FROM f WHERE trend >= {max(lags, max(windows) - 1)}),
+{fit},
+{q.boosted_nodes("site", features, t, d, params["rate"])},
+first AS (SELECT site, list(v ORDER BY date) AS buf, count(*)::DOUBLE AS n, avg(v) AS mean, coalesce(var_samp(v) * (count(*) - 1), 0) AS m2,
+                 max(date) AS last FROM line_daily GROUP BY site),
 bases AS (SELECT site, avg(v) AS base FROM rows GROUP BY site),
-steps AS (SELECT site, date, buf[-14:] AS buf, n, mean, m2, n AS trend, NULL::DOUBLE AS p FROM start
+steps AS (SELECT site, last AS date, buf[-{span}:] AS buf, n, mean, m2, n AS trend, NULL::DOUBLE AS p FROM first
     UNION ALL
-    SELECT site, date, list_append(buf, p)[-14:], n + 1, mean + (p - mean) / (n + 1), m2 + (p - mean) * (p - (mean + (p - mean) / (n + 1))), trend + 1, p
-    FROM (SELECT *, {q.boosted_walk("x", "base", 2, 2)} AS p FROM (
-        SELECT site, day AS date, buf, n, mean, m2, trend, base, m, [sin({D(fd.TWO_PI)} * dayofyear(day) / {D(365)}), cos({D(fd.TWO_PI)} * dayofyear(day) / {D(365)}),
-            sin({D(fd.TWO_PI)} * month(day) / {D(12)}), cos({D(fd.TWO_PI)} * month(day) / {D(12)}), trend, mean, sqrt(m2 / (n - 1)),
-            {", ".join(_mean_sql(w) for w in FOLD_WINDOWS)}, {", ".join(_std_sql(w) for w in FOLD_WINDOWS)}, {", ".join(f"buf[-{i}]" for i in range(1, 6))}] AS x
+    SELECT site, date, list_append(buf, p)[-{span}:], n + 1, mean + (p - mean) / (n + 1), m2 + (p - mean) * (p - (mean + (p - mean) / (n + 1))), trend + 1, p
+    FROM (SELECT *, {q.boosted_walk("x", "base", t, d)} AS p FROM (
+        SELECT site, day AS date, buf, n, mean, m2, trend, base, m, [{cal("day")}, trend, mean, sqrt(m2 / (n - 1)),
+            {", ".join(_mean_sql(w) for w in windows)}, {", ".join(_std_sql(w) for w in windows)}, {", ".join(f"buf[-{i}]" for i in range(1, lags + 1))}] AS x
         FROM (SELECT s.* EXCLUDE (p, date), (s.date + 1)::DATE AS day, base, m FROM steps s JOIN bases USING (site) JOIN walks USING (site)
-              WHERE s.date < DATE '2002-03-31'))))
-SELECT site, date, round(p, 6) AS prediction, 'forecast' AS status FROM steps WHERE p IS NOT NULL AND date >= DATE '2002-01-01'""")(recursive_folded_q)
+              JOIN (SELECT site, last FROM first) USING (site) WHERE s.date < {until}))))
+SELECT site, date, round(p, 6) AS prediction, 'forecast' AS status FROM steps WHERE p IS NOT NULL AND date BETWEEN DATE '{start}' AND DATE '{end}'"""
+
+
+register("recursive_folded", _fold_sql(5, (7, 14), FOLD_SMALL, "2002-01-01", "2002-03-31", "DATE '2002-03-31'"))(recursive_folded_q)
+register("recursive_folded_kg", _fold_sql(30, (14,), FOLD_KG, "2002-01-01", "2002-06-30", "last + 365"))(recursive_folded_kg_q)
 
 
 RECURSIVE_EXOG = ["wl", "evaporation", "volume", "surface_area", "evap_volume"]
@@ -1400,10 +1420,11 @@ QUERY_IDS = {
     "evaporation_forecast_cumulative": "Q1 W2 M7 M9 F19",
     "water_level_forecast": "Q2 M5 M7 M9 S7 S10 F24",
     "final_concentration_score": "Q5 M1 M6 M8 M9 P8 F5 F7 S10 K5",
-    "boosted_by_site": "M3 M6 M8",
+    "boosted_by_site": "M3 M6 M8 K5 S10",
     "evaporation_stacked": "Q1 M1 M2 M3 M4 M7 F3 F5 F7 F19 F24 S7 P11 P12 P16",
     "evaporation_stacked_after_last": "Q11 M3 M4 M7 A7 S8 F19",
     "water_level_stacked": "Q2 M2 M5 M7 S7 F24",
+    "recursive_folded_kg": "Q6 M13 M14 M15 A11 P9",
     "recursive_folded": "Q6 M12 M14 A11 W3 W4 W5 W6 W7 W8 F6 F8 O3 P6",
     "recursive_forecast": "Q6 M9 M12 M14 M16 M17 W3 W4 W5 W6 W7 W8 W13 J3 J4 O3 A11 F6 F8 S9 S10 K5 P6 P17",
     "recursive_forecast_365": "Q6 M9 M14 M15 J4 P9",

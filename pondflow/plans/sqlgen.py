@@ -50,7 +50,7 @@ def running(agg: str, expr: str, part: str = "site", order: str = "date", exclus
             f"ROWS BETWEEN UNBOUNDED PRECEDING AND {end})")
 
 
-def boosted(rows: str, key: str, features, label: str, trees: int, depth: int, rate: float, bins: int, l2: float = 1.0) -> str:
+def boosted(rows: str, key: str, features, label: str, trees: int, depth: int, rate: float, bins: int, l2: float = 1.0, gamma: float = 0.0) -> str:
     """CTEs ``cuts``, ``r0``, … after a CTE ``rows``, and last ``fitted`` (its columns and ``pred``): the keyed second-order
     ensemble of ``operators.boosting`` on all rows and columns, every level of every tree spelled out."""
     fs = range(len(features))
@@ -74,7 +74,7 @@ def boosted(rows: str, key: str, features, label: str, trees: int, depth: int, r
             out.append(f"s{n} AS (SELECT *, gl * gl / (hl + {d(l2)}) + (gs - gl) * (gs - gl) / (hs - hl + {d(l2)}) - gs * gs / (hs + {d(l2)}) AS gain FROM ("
                        f"SELECT *, ga AS gl, ha AS hl, true AS blanks_left FROM w{n} WHERE bin >= 0 UNION ALL "
                        f"SELECT *, ga - gm AS gl, ha - hm AS hl, false FROM w{n} WHERE bin >= 0) WHERE hl >= 1 AND hs - hl >= 1)")
-            out.append(f"x{n} AS (SELECT {key}, node, f, bin, blanks_left, gl, hl FROM s{n} WHERE gain > 1e-9 QUALIFY row_number() OVER "
+            out.append(f"x{n} AS (SELECT {key}, node, f, bin, blanks_left, gl, hl FROM s{n} WHERE gain > {max(gamma, 1e-9)!r} QUALIFY row_number() OVER "
                        f"(PARTITION BY {key}, node ORDER BY gain::FLOAT DESC, f, bin, blanks_left) = 1)")
             out.append(f"t{n} AS (SELECT {key}, node, gs, hs FROM w{n} WHERE f = 0 GROUP BY ALL)")
             bin_ = "CASE x.f " + " ".join(f"WHEN {i} THEN b{i}" for i in fs) + " END"
