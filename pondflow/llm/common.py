@@ -98,6 +98,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def text_slices(batch, column: int, size: int):
+    """Parts of an Arrow batch with at most ``size`` bytes of text in ``column`` each (or one row), without copying."""
+    _, offsets = string_buffers(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield batch.slice(at, min(stop, batch.num_rows) - at)
+        at = stop
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers are used again by later stages, and what their allocators
+    keep adds up."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def string_buffers(array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string array without copying; offsets has one entry more than rows."""
     import pyarrow as pa

@@ -79,22 +79,24 @@ def _vector(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _vectors(idf: np.ndarray):
+    """(mark, lang, at, x) of (mark, lang, text): each row's own label beside its vector."""
     def run(batches):
         import pyarrow as pa
 
         grams = Grams()
         for batch in batches:
-            ids, at, x = [], [], []
+            rows, at, x = [], [], []
             with np.errstate(over="ignore"):
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for i, text in enumerate(batch.column(2).to_pylist()):
                     counts = grams.counts(text)
                     if counts is not None:
                         a, v = _vector(counts, idf)
-                        ids.append(i)
+                        rows.append(i)
                         at.append(a.astype(np.int32))
                         x.append(v.astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(at, pa.list_(pa.int32())),
-                                              pa.array(x, pa.list_(pa.float32()))], ["doc_id", "at", "x"])
+            kept = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(at, pa.list_(pa.int32())),
+                                              pa.array(x, pa.list_(pa.float32()))], ["mark", "lang", "at", "x"])
     return run
 
 
@@ -162,13 +164,14 @@ def identify(df: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", l
 
     Learns from the text and non-null ``lang`` of rows whose id satisfies ``learn`` (a function of
     the id column): document frequencies over all of them, weights on at most about
-    ``sample_rows`` (of every language those with the smallest id hashes). A null or empty text,
+    ``sample_rows`` (of every language those whose hash of id, language and text is smallest). Rows that share an id, or have none, are
+    learned from each with its own text and label. A null or empty text,
     or one without a letter, is ``und`` with score 0, as is everything where nothing can be learned. Repeated
     rows are predicted each; an empty table gives an empty result.
     """
     docs = documents(df, doc_id, text)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull())
+    known = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull())
     known = known.where(learn(F.col("doc_id")))
     sums = known.select("text").mapInArrow(_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -179,14 +182,14 @@ def identify(df: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", l
     rows = []
     if classes:
         each = max(1, sample_rows // len(classes))
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+        # a row's mark is the hash of its id, language and text: rows that share an id stay apart, each with its own label
+        marked = known.select(F.xxhash64("doc_id", "lang", "text").alias("mark"), "lang", "text")
+        place = F.pmod("mark", F.lit(1 << 30)) / (1 << 30)
         share = F.lit(0.0)
         for name, count in sizes.items():
             share = F.when(F.col("lang") == name, min(1.0, each / count)).otherwise(share)
-        sample = known.where(place < share).select("doc_id", "text", "lang")
-        keys = sample.select("doc_id", F.col("lang")).dropDuplicates(["doc_id"])
-        vectors = sample.select("doc_id", "text").mapInArrow(_vectors(idf), f"doc_id {kind}, at array<int>, x array<float>").dropDuplicates(["doc_id"])
-        got = vectors.join(keys, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_rows).select("at", "x", "lang").toArrow()
+        vectors = marked.where(place < share).mapInArrow(_vectors(idf), "mark long, lang string, at array<int>, x array<float>")
+        got = vectors.orderBy("mark", "lang").limit(2 * sample_rows).select("at", "x", "lang").toArrow()
         rows = [(a.values.to_numpy(), x.values.to_numpy(), classes.index(y.as_py()))  # views of the table, no copies
                 for a, x, y in zip(*(got[c] for c in ("at", "x", "lang")))]
         del got

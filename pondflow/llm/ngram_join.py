@@ -8,7 +8,8 @@ transpose, restricted to the blocks that can hold an entry large enough:
 2. Columns (shingles) are ordered: common ones last, by hash otherwise. With overlap
    at least 4/9 of the summed sizes, two nodes must share one of the first
    n - ceil(0.8 n) + 1 columns of each; only those entries are multiplied. Any order
-   is exact; the common columns (a bounded list, found by counting) only save work.
+   is exact; the common columns (a bounded list of hash buckets, found by counting) only save
+   work. Entries whose bucket holds no other entry are dropped before the shuffle.
 3. In each column one node (the pivot, the one with most common shingles) is paired
    with the others, never all with all. Size and position bounds discard pairs
    before their overlap is accumulated.
@@ -34,12 +35,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pondflow.llm.common import discard, documents, materialise, string_buffers
+from pondflow.llm.common import discard, documents, materialise, mix, release, string_buffers, text_slices
 from pondflow.llm.components import connected_components
 from pondflow.llm.shingles import Hasher, set_name
 
 HOT_AT = 16            # a column with more nodes than this counts as common
-HOT_COLUMNS = 100_000  # most columns in the list of common ones (0.8 MB broadcast)
+HOT_COLUMNS = 100_000  # most buckets in the list of common ones (0.8 MB broadcast)
+BUCKET_BITS = 30       # buckets that columns are counted in
+SLICE = 2 << 20        # bytes of text worked on at a time
 BLOCK = 1024           # nodes of a column in one block of the second product
 FILTER_BITS = (1 << 16, 1 << 26)  # fewest and most bits of the filter of documents (8 MB broadcast)
 SKETCH = 8             # longs of the parity sketch
@@ -56,63 +59,84 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches, k: int) -> Iterator:
-    """(ids, shingle sets, set names) of Arrow batches of (doc_id, text)."""
+    """(ids, shingle sets, set names) of parts of Arrow batches of (doc_id, text)."""
     hasher = Hasher()
-    for batch in batches:
-        raw, offsets = string_buffers(batch.column(1))
-        with np.errstate(over="ignore"):
-            sets = list(hasher.shingles(raw, offsets, k))
-            yield batch.column(0), sets, [set_name(s) for s in sets]
+    for whole in batches:
+        for batch in text_slices(whole, 1, SLICE):
+            raw, offsets = string_buffers(batch.column(1))
+            with np.errstate(over="ignore"):
+                sets = list(hasher.shingles(raw, offsets, k))
+                yield batch.column(0), sets, [set_name(s) for s in sets]
+    release()
 
 
-def _describe(k: int, percent: int):
+def _describe(k: int):
     def run(batches):
         import pyarrow as pa
 
         for ids, sets, names in _sets(batches, k):
-            seen: set = set()
-            columns = []
-            for s, name in zip(sets, names):
-                fresh = len(s) and name not in seen
-                seen.add(name)
-                columns.append(s[:_prefix(len(s), percent)].view(np.int64) if fresh else None)
             node = np.array(names, np.uint64).view(np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(node, mask=sizes == 0), pa.array(sizes), pa.array(columns, pa.list_(pa.int64())),
-                 pa.array([_sketch(s) for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "node", "n", "columns", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(node, mask=sizes == 0), pa.array(sizes), pa.array([_sketch(s) for s in sets], pa.list_(pa.int64()))],
+                                             ["doc_id", "node", "n", "sketch"])
     return run
 
 
-def _entries(k: int, percent: int, hot: np.ndarray):
-    """Rows (col, node, n, pos, common) of the ordered prefixes, each node once a batch."""
+def _buckets(shingles: np.ndarray) -> np.ndarray:
+    """The bucket of each shingle: bits that do not decide its place in the order."""
+    return (mix(shingles) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _prefixes(batches, k: int, percent: int, hot: np.ndarray) -> Iterator:
+    """(shingles of the ordered prefixes, their buckets, (node, n, prefix length, thousandths that are common) of each set): each set once a part.
+    Shingles of the buckets ``hot`` are common and come last, the others by hash: one order for all sets."""
+    for _, sets, names in _sets(batches, k):
+        seen, parts, heads = set(), [], []
+        for s, name in zip(sets, names):
+            if not len(s) or name in seen:
+                continue
+            seen.add(name)
+            with np.errstate(over="ignore"):
+                bucket = _buckets(s)
+            at = np.searchsorted(hot, bucket)
+            at[at == len(hot)] = 0
+            common = hot[at] == bucket if len(hot) else np.zeros(len(s), bool)
+            p = _prefix(len(s), percent)
+            first = s[~common][:p]
+            parts.append(np.concatenate((first, s[common][:p - len(first)])))
+            heads.append((int(np.uint64(name).view(np.int64)), len(s), p, 1000 * int(common.sum()) // len(s)))
+        if parts:
+            shingles = np.concatenate(parts)
+            with np.errstate(over="ignore"):
+                yield shingles, _buckets(shingles), heads
+
+
+def _counts(k: int, percent: int, hot: np.ndarray):
+    """(bucket, c): the entries of the ordered prefixes counted by bucket, part by part."""
     def run(batches):
         import pyarrow as pa
 
-        for _, sets, names in _sets(batches, k):
-            seen, parts, heads = set(), [], []
-            for s, name in zip(sets, names):
-                if not len(s) or name in seen:
-                    continue
-                seen.add(name)
-                at = np.searchsorted(hot, s)
-                at[at == len(hot)] = 0
-                common = hot[at] == s if len(hot) else np.zeros(len(s), bool)
-                p = _prefix(len(s), percent)
-                first = s[~common][:p]
-                parts.append(np.concatenate((first, s[common][:p - len(first)])))
-                heads.append((int(np.uint64(name).view(np.int64)), len(s), p, 1000 * int(common.sum()) // len(s)))
-            if not parts:
-                continue
+        for _, bucket, _ in _prefixes(batches, k, percent, hot):
+            found, c = np.unique(bucket, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(c.astype(np.int32))], ["bucket", "c"])
+    return run
+
+
+def _entries(k: int, percent: int, hot: np.ndarray, shared: np.ndarray):
+    """Rows (col, node, n, pos, common) of the ordered prefixes, but for entries whose bucket the bitmap ``shared`` does not hold:
+    they stand alone in their column."""
+    def run(batches):
+        import pyarrow as pa
+
+        for shingles, bucket, heads in _prefixes(batches, k, percent, hot):
             reps = np.array([h[2] for h in heads])
             pos = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(parts).view(np.int64))]
-                + [pa.array(np.repeat(np.array([h[i] for h in heads], t), reps)) for i, t in ((0, np.int64), (1, np.int32))]
-                + [pa.array(pos.astype(np.int32)),
-                   pa.array(np.repeat(np.array([h[3] for h in heads], np.int32), reps))],
-                ["col", "node", "n", "pos", "common"])
+            slot = bucket & (64 * len(shared) - 1)
+            kept = ((shared[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            of = np.repeat(np.arange(len(heads)), reps)[kept]
+            head = [np.array([h[i] for h in heads], t)[of] for i, t in ((0, np.int64), (1, np.int32), (3, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(shingles[kept].view(np.int64)), pa.array(head[0]), pa.array(head[1]),
+                                              pa.array(pos[kept].astype(np.int32)), pa.array(head[2])], ["col", "node", "n", "pos", "common"])
     return run
 
 
@@ -146,11 +170,12 @@ def _filter(marks: DataFrame) -> np.ndarray:
 
 def _shingle_sets(docs: DataFrame, found: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of ``nodes``, from one document of each. A bitmap of those documents' ids lets
-    nearly all others pass without a shuffle; what it lets through besides is never joined."""
+    nearly all others pass without a shuffle."""
     first = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     bits = _filter(first.select(F.xxhash64("doc_id").alias("mark")))
     marked = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("mark"))
-    return materialise(marked.mapInArrow(_chosen(k, bits), "node long, shingles array<long>"), "shingles")
+    sets = marked.mapInArrow(_chosen(k, bits), "node long, shingles array<long>")
+    return materialise(sets.dropDuplicates(["node"]), "shingles")  # a node once, however many copies the bitmap lets through
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -207,13 +232,6 @@ def _open_columns(entries: DataFrame, label: DataFrame) -> DataFrame:
     return found.join(main, "col")
 
 
-def _slim(found: DataFrame) -> DataFrame:
-    """``found`` without the columns' hashes, which are no longer needed."""
-    out = materialise(found.drop("columns"), "sets")
-    discard(found)
-    return out
-
-
 def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of ``df``.
 
@@ -225,14 +243,19 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     """
     docs = documents(df, doc_id, text)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = materialise(docs.mapInArrow(_describe(k, percent),
-                                        f"doc_id {kind}, node long, n long, columns array<long>, sketch array<long>"), "sets")
-    hot = (found.select(F.explode("columns").alias("col")).groupBy("col").count()
-           .where(F.col("count") > HOT_AT).orderBy(F.desc("count"), "col").limit(HOT_COLUMNS).select("col").toPandas())
-    hot = np.sort(hot["col"].to_numpy(np.int64).view(np.uint64))
+    found = materialise(docs.mapInArrow(_describe(k), f"doc_id {kind}, node long, n long, sketch array<long>"), "sets")
+    # buckets of the columns' hashes, counted: common ones order the columns, single ones drop entries before they are shuffled
+    none = np.zeros(0, np.int64)
+    hot = (docs.mapInArrow(_counts(k, percent, none), "bucket int, c int").groupBy("bucket").agg(F.sum("c").alias("c"))
+           .where(F.col("c") > HOT_AT).orderBy(F.desc("c"), "bucket").limit(HOT_COLUMNS).select("bucket").toPandas())
+    hot = np.sort(hot["bucket"].to_numpy(np.int64))
+    several = materialise(docs.mapInArrow(_counts(k, percent, hot), "bucket int, c int").groupBy("bucket").agg(F.sum("c").alias("c"))
+                          .where("c > 1").select(F.col("bucket").cast("long").alias("mark")), "several")
+    shared = _filter(several)
+    discard(several)
 
     column = Window.partitionBy("col")
-    entries = (docs.mapInArrow(_entries(k, percent, hot), "col long, node long, n int, pos int, common int")
+    entries = (docs.mapInArrow(_entries(k, percent, hot, shared), "col long, node long, n int, pos int, common int")
                .repartition("col").dropDuplicates(["col", "node"])
                .withColumn("m", F.count("*").over(column))
                .withColumn("pivot", F.max(F.struct("common", (-F.col("n")).alias("less"), "node", "n", "pos")).over(column))
@@ -240,7 +263,6 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
                .select("col", "node", "n", "pos", "m", F.col("pivot.node").alias("p_node"),
                        F.col("pivot.n").alias("p_n"), F.col("pivot.pos").alias("p_pos")))
     entries = materialise(entries, "entries")
-    found = _slim(found)
 
     sketches = materialise(found.join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
                            .select("node", "n", "sketch"), "sketches")

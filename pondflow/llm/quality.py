@@ -16,11 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pondflow.llm.common import bounded_sample, documents, materialise, string_buffers
+from pondflow.llm.common import bounded_sample, documents, materialise, release, string_buffers, text_slices
 from pondflow.llm.shingles import Hasher
 
 SAMPLE_ROWS = 20_000   # most labelled rows the model is fitted on
 PAIRS = 200_000        # preference pairs drawn from them
+SLICE = 1 << 20        # bytes of text described at a time
 RIDGE = 1e-3
 
 FEATURES = ("log_bytes", "upper", "symbol", "mark", "digit", "other_space", "non_ascii", "word_bytes", "line_bytes", "log_lines",
@@ -82,13 +83,15 @@ def _describe(batches):
     newline = np.zeros(256, bool)
     newline[10] = True
     hasher, line_hasher = Hasher(), Hasher(newline)
-    for batch in batches:
-        raw, offsets = string_buffers(batch.column(1))
-        with np.errstate(over="ignore"):
-            x = features_of(raw, offsets, hasher, line_hasher).astype(np.float32)
-        flat = pa.array(x.ravel())
-        at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, flat), *batch.columns[2:]], ["doc_id", "x", *batch.schema.names[2:]])
+    for whole in batches:
+        for batch in text_slices(whole, 1, SLICE):
+            raw, offsets = string_buffers(batch.column(1))
+            with np.errstate(over="ignore"):
+                x = features_of(raw, offsets, hasher, line_hasher).astype(np.float32)
+            flat = pa.array(x.ravel())
+            at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, flat), *batch.columns[2:]], ["doc_id", "x", *batch.schema.names[2:]])
+    release()
 
 
 def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = 7) -> dict:

@@ -47,16 +47,17 @@ def fold_latin(raw: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Keeps the tables of powers between batches. ``separators``: which bytes end a word."""
+    """``separators``: which bytes end a word. The tables of powers are one pair for all hashers of a worker."""
+
+    up = down = np.ones(1, np.uint64)
 
     def __init__(self, separators: np.ndarray = _SPACE):
         self.separators = separators
-        self.up = _powers(_BASE, PIECE + 1)
-        self.down = _powers(_INVERSE, PIECE + 1)
 
-    def _grow(self, n: int) -> None:
-        if n > len(self.up):
-            self.up, self.down = _powers(_BASE, n), _powers(_INVERSE, n)
+    @classmethod
+    def _grow(cls, n: int) -> None:
+        if n > len(cls.up):
+            cls.up, cls.down = _powers(_BASE, n), _powers(_INVERSE, n)
 
     def _pieces(self, raw: np.ndarray, offsets: np.ndarray):
         """Byte ranges of about PIECE bytes that end at a document's end or at a separator."""
