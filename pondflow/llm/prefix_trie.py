@@ -226,7 +226,8 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
                 .withColumn("n_convs", F.sum("n").over(down)).withColumn("conv_id", F.min("m").over(down)).withColumn("n_leaves", F.sum("leaf").over(down))
                 .withColumn("run", (F.col("n_convs") - 1) * (F.col("m1") - F.col("m0")))
                 .withColumn("rest", F.sum("saved").over(down) + F.coalesce(F.sum("run").over(below), zero)))
-        rows = materialise(rows.select("path", "at", "top", "low", F.col("depth").alias("high"), "m1", "n_convs", "conv_id", "n_leaves", "kids", "run", "rest"), "sums")
+        rows = materialise(rows.select("path", "at", "top", "low", F.col("depth").alias("high"), "m1", "n_convs", "conv_id", "n_leaves",
+                                       (F.col("kids") + (F.col("depth") < F.col("len")).cast("long")).alias("kids"), "run", "rest"), "sums")
         done.append(rows)
         hung = rows.where("low = top").groupBy(F.col("at").alias("path"), F.col("top").alias("depth")).agg(
             F.sum("n_convs").alias("n"), F.min("conv_id").alias("m"), F.sum("n_leaves").alias("leaves"), F.sum(F.col("run") + F.col("rest")).alias("saved"),
