@@ -554,13 +554,13 @@ mm AS (SELECT site, min(y) AS lo, max(y) AS hi FROM t GROUP BY site)
 SELECT site, l_orderkey, l_linenumber, round(y, 6) AS y,
        round((y - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END, 6) AS y_scaled
 FROM price JOIN mm USING (site)""")(
-    lambda spark, sf: r(st.robust_scale(_price(spark, sf), ["site"], "y").drop("y_min", "y_max")))
+    lambda spark, sf: r(flt.drop_columns(st.robust_scale(_price(spark, sf), ["site"], "y"), ["y_min", "y_max"])))
 
 
 def minmax_scale_q(spark, sf):
     p = _price(spark, sf)
     stats = st.minmax_fit(p, ["site"], "y")
-    return r(st.minmax_apply(p, stats, ["site"], "y", out="y_scaled").drop("y_min", "y_max"))
+    return r(flt.drop_columns(st.minmax_apply(p, stats, ["site"], "y", out="y_scaled"), ["y_min", "y_max"]))
 
 
 _MINMAX_SQL = f"""
@@ -1368,7 +1368,7 @@ QUERY_IDS = {
     "recursive_training_frame": "W3 W4 W5 W6 W7 W8 F6 F8 P6",
     "cumulative_evaporation": "F19 W2",
     "horizon_lengths": "F4 A7",
-    "forecast_days": "Q2 M5 M7 S7",
+    "forecast_days": "S7",
     "zone_balance_stateless": "Q8 P5 F9 F10 F14 F15",
     "zone_balance_cubic_wt": "Q7 P5 F11 F12 F14 F15",
     "zone_balance_cubic_kg": "Q7 P5 F11 F12 F16",
@@ -1409,7 +1409,7 @@ QUERY_IDS = {
     "ols_slope": "A9 F20",
     "penman": "F19",
     "cyclic_lookup": "J4",
-    "result_page": "O5 O2 F15",
+    "result_page": "O5 F15",
     "history_vs_forecast": "Q10 U1 P6 P7",
     "chart_series": "K6 U1",
     "records_json": "K3",
