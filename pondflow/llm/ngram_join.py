@@ -44,7 +44,7 @@ HOT_COLUMNS = 100_000  # most buckets in the list of common ones (0.8 MB broadca
 BUCKET_BITS = 30       # buckets that columns are counted in
 SLICE = 2 << 20        # bytes of text worked on at a time
 BLOCK = 1024           # nodes of a column in one block of the second product
-FILTER_BITS = (1 << 16, 1 << 26)  # fewest and most bits of the filter of documents (8 MB broadcast)
+FILTER_BITS = (1 << 16, 1 << 25)  # fewest and most bits of the filters of documents and buckets (4 MB broadcast)
 SKETCH = 8             # longs of the parity sketch
 ROUNDS = 4             # most further rounds of pivots before the rest is joined
 
@@ -165,6 +165,8 @@ def _filter(marks: DataFrame) -> np.ndarray:
              .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
     bits = np.zeros(size // 64, np.uint64)
     bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    del words
+    release()
     return bits
 
 
