@@ -316,6 +316,75 @@ def test_comments_are_no_main_text_however_long():
     assert html_text.main_text("<div>" * 3000 + "deep", set()) == "deep"
 
 
+LONG = "Reader words go on and on and on. " * 12
+
+
+@pytest.mark.parametrize("page", [
+    "<article>A short story<section id='comments'><p>{}</section></article>", "<article>A short story<form><p>{}</form></article>",
+    "<article>A short story<div class='advert'><p>{}</div></article>", "<div><p>A short story</div><div class='sidebar'><p>{}</div>",
+    "<div><p>A short story</div><div class='cookie-notice'><p>{}</div>", "<form><article>A short story</article><div class='comments'><article>{}</article></div></form>",
+    "<div class='post-with-comments'>A short story<ol class='comment-list'><li>{}</ol></div>"])
+def test_named_boilerplate_goes_whatever_its_length(page):
+    assert html_text.main_text(page.format(LONG), set()) == "A short story"
+
+
+def layouts(n):
+    """Pages of one host in three layouts without any telling name: only what repeats tells the template."""
+    around = [("<div class='a-x'><p>Home<p>Shop</div>", "<div class='a-y'><p>Made here<p>Call us</div>"),
+              ("<section class='b-x'><p>All topics<p>Archive</section>", "<div class='b-y'><p>Imprint<p>Terms</div>"),
+              ("<div class='c-x'><p>Forum<p>Wiki</div>", "<section class='c-y'><p>About<p>Jobs</section>")]
+    return [(i, f"http://many.example/{i}", f"<body>{around[i % 3][0]}<div class='m'><p>Story {i}<p>told on day {i}</div>{around[i % 3][1]}</body>") for i in range(n)]
+
+
+def test_each_layout_of_a_host_has_its_template(spark):
+    rows = layouts(30)
+    rows += [(100 + i, "http://many.example/copy", rows[0][2]) for i in range(20)]  # copies do not make their body template
+    text = extracted(spark, rows)
+    assert all(text[i] == f"Story {i} told on day {i}" for i in range(30))
+    assert all(text[100 + i] == "Story 0 told on day 0" for i in range(20))
+    assert "Home" in html_text.main_text(rows[0][2], set())  # names alone keep the repeated blocks
+
+
+def brute_classes(pages):
+    """(pages, hashes of tokens) of the valid classes of one group of pages by comparing whole occurrence vectors."""
+    counts, container, body, content = {}, {"": ("", False)}, {}, {}
+    for page in pages:
+        seen = list(html_text.walk(page))
+        content[html_text._joined(seen, set())] = seen
+    for key, seen in content.items():
+        counts.setdefault("", {})[key] = 1
+        for t, box, text, _, _ in seen:
+            if t is not None:
+                found = counts.setdefault(t, {})
+                found[key] = found.get(key, 0) + 1
+                container[t] = box.path, box.root is not None and text is not None
+    kept = {t for t, v in counts.items() if len(v) >= html_text.LEAST_PAGES
+            and len(v) * 2 >= len(counts[container[t][0] if container[t][1] else ""])}
+    classes = {}
+    for t in kept:
+        classes.setdefault(tuple(sorted(counts[t].items())), set()).add(t)
+    classes = {v: c for v, c in classes.items() if len(c) > 1}
+    valid = set().union(*classes.values()) if classes else set()
+    return {(len(v), html_text.name(t)) for v, c in classes.items() for t in c if t and container[t][0] in valid}
+
+
+def test_templates_equal_a_brute_force_deduction(spark):
+    rows = layouts(30) + [(50 + i, f"http://mix.example/{i}", f"<body><p>Top {i % 2}<div><p>Same<p>Box</div><article><p>Part {i}{'<p>Ask us<p>Now' if i % 3 else ''}<p>and a long end {i}</article></body>")
+                          for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {}
+    for r in html_text.templates(df).where("parent_class is not null").collect():
+        got.setdefault((r["host"], r["layout"]), set()).update((r["pages"], t) for t in r["tokens"])
+    where = {r["page_id"]: (r["host"], r["layout"]) for r in html_text._pages(df, "page_id", "url", "html").collect()}
+    groups = {}
+    for i, _, page in rows:
+        groups.setdefault(where[i], []).append(page)
+        groups.setdefault((where[i][0], html_text.HOST), []).append(page)
+    assert len(groups) == 6
+    want = {g: brute_classes(pages) for g, pages in groups.items()}
+    assert got == {g: t for g, t in want.items() if t}
+
+
 # ---------------------------------------------------------------- op8
 
 def test_language(spark, odd, none):
