@@ -20,6 +20,10 @@ Two physical shapes are offered:
     totals, an exclusive prefix over the small totals table, and a window
     partitioned by (key, segment). A single key is then spread over as many
     tasks as it has segments. Valid because sum and product are associative.
+
+``scaled_product`` carries a product as (mantissa, exponent), so a chain that passes
+through values no double can hold (0 or infinity to a plain product) comes out right
+where its value can be held again.
 """
 
 from __future__ import annotations
@@ -78,6 +82,55 @@ def prefix_scan(df: DataFrame, keys, col, kind: str, out: str, date: str = "date
     return res.drop(seg, "_v", "_off")
 
 
+BLOCK_DAYS = 1024  # of a scaled product: mantissas stay within 2**(+-0.5) a row, so a block of daily rows within 2**(+-512)
+
+
+def _times_power(x: Column, e: Column) -> Column:
+    """``x * 2**e`` in two steps, so that neither factor leaves the range of doubles on the way."""
+    half = F.floor(e / 2)
+    return x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), e - half)
+
+
+def _scaled(x: Column) -> tuple[Column, Column]:
+    """(mantissa, exponent) of x; zero, infinities and NaN are their own mantissas."""
+    plain = (x != 0) & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    e = F.when(plain, F.floor(F.log2(F.abs(x)) + 0.5)).otherwise(F.lit(0)).cast("long")
+    return F.when(plain, _times_power(x, -e)).otherwise(x), e
+
+
+def scaled_product(df: DataFrame, keys, col, out: str, date: str = "date", exclusive_out: str | None = None,
+                   tie_break: str | None = None) -> DataFrame:
+    """Running product of ``col`` per key in date order, for chains of any length.
+
+    Products are carried as (mantissa, exponent) in two phases: a window within blocks of
+    ``BLOCK_DAYS`` days, so one key is spread over as many tasks as it has blocks, and a prefix over
+    the blocks' totals. ``exclusive_out`` gets the prefix ending one row earlier, 1 on a key's first row.
+    A null factor counts as 1; zero, infinite and NaN factors act as in a plain product.
+    """
+    k, order = _keys(keys), [date, tie_break] if tie_break else [date]
+    value = F.coalesce((F.col(col) if isinstance(col, str) else col).cast("double"), F.lit(1.0))
+    base = df.withColumn("_v", value).withColumn("_b", F.floor(F.datediff(F.col(date), F.lit("1970-01-01")) / BLOCK_DAYS))
+    m, e = _scaled(F.col("_v"))
+    base = base.withColumns({"_m": m, "_e": e}).drop("_v")
+    totals = base.groupBy(*k, "_b").agg(F.product("_m").alias("_tm"), F.sum("_e").alias("_te"))
+    m, e = _scaled(F.col("_tm"))
+    before = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (totals.withColumns({"_tm": m, "_te": F.col("_te") + e})
+               .select(*[F.col(c).alias(f"_j_{c}") for c in [*k, "_b"]], F.coalesce(F.product("_tm").over(before), F.lit(1.0)).alias("_om"),
+                       F.coalesce(F.sum("_te").over(before), F.lit(0)).alias("_oe")))
+    same = F.lit(True)
+    for c in [*k, "_b"]:
+        same = same & base[c].eqNullSafe(offsets[f"_j_{c}"])
+    joined = base.join(offsets, same)
+    w = Window.partitionBy(*k, "_b").orderBy(*order)
+    for name, last in ((out, 0), (exclusive_out, -1)):
+        if name:
+            frame = w.rowsBetween(Window.unboundedPreceding, last)
+            joined = joined.withColumn(name, _times_power(F.col("_om") * F.coalesce(F.product("_m").over(frame), F.lit(1.0)),
+                                                          F.col("_oe") + F.coalesce(F.sum("_e").over(frame), F.lit(0))))
+    return joined.drop("_m", "_e", "_om", "_oe", "_b", *[f"_j_{c}" for c in [*k, "_b"]])
+
+
 def running_sum(df: DataFrame, keys, col, out: str, date: str = "date",
                 segment: Column | None = None, tie_break: str | None = None) -> DataFrame:
     """Cumulative sum per key."""
@@ -85,12 +138,17 @@ def running_sum(df: DataFrame, keys, col, out: str, date: str = "date",
 
 
 def chained_ratio(df: DataFrame, keys, ratio, initial: float, closing: str, opening: str,
-                  date: str = "date", segment: Column | None = None, tie_break: str | None = None) -> DataFrame:
+                  date: str = "date", segment: Column | None = None, tie_break: str | None = None,
+                  scaled: bool = False) -> DataFrame:
     """W10 + W12: ``closing_i = initial * prod(ratio_1..i)``, ``opening_i = closing_{i-1}``
-    (``initial`` on the first row). Both unrounded; round at the sink (F21).
+    (``initial`` on the first row). Both unrounded; round at the sink (F21). ``scaled`` is for
+    chains of very many days (``scaled_product``).
     """
-    res = prefix_scan(df, keys, ratio, "product", "_p", date=date,
-                      exclusive_out="_pe", segment=segment, tie_break=tie_break)
+    if scaled:
+        res = scaled_product(df, keys, ratio, "_p", date=date, exclusive_out="_pe", tie_break=tie_break)
+    else:
+        res = prefix_scan(df, keys, ratio, "product", "_p", date=date,
+                          exclusive_out="_pe", segment=segment, tie_break=tie_break)
     c0 = F.lit(float(initial))
     return (res.withColumn(closing, c0 * F.col("_p"))
             .withColumn(opening, c0 * F.col("_pe"))

@@ -230,14 +230,54 @@ def asfreq_daily(df: DataFrame, keys: Sequence[str], date: str = "date") -> Data
     return fill_gaps(df.where(F.col(date).isNotNull()), k, others, date, "D")
 
 
+def _between(c: str, date: str, v0: Column, d0: Column, v1: Column, d1: Column) -> Column:
+    """Column ``c`` with its gaps filled from the known values v0 (day d0) and v1 (day d1) around them."""
+    slope = (v1 - v0) / F.datediff(d1, d0)
+    return (F.when(F.col(c).isNotNull(), F.col(c))
+            .when(v0.isNull(), F.lit(None))
+            .when(v1.isNull(), v0)
+            .otherwise(slope * F.datediff(F.col(date), d0) + v0))
+
+
+def _carried_neighbours(df: DataFrame, k: list[str], cols: Sequence[str], date: str) -> DataFrame:
+    """``df`` with, for each of ``cols``, the last known (date, value) of the segments before a row's own
+    (``_before_c``) and the first known one of those after it (``_after_c``)."""
+    ends = [x for c in cols for known in (F.when(F.col(c).isNotNull(), F.struct(F.col(date).alias("d"), F.col(c).alias("v"))),)
+            for x in (F.min(known).alias(f"_first_{c}"), F.max(known).alias(f"_last_{c}"))]
+    small = df.groupBy(*k, "_seg").agg(*ends)
+    up = Window.partitionBy(*k).orderBy(F.col("_seg").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*k).orderBy(F.col("_seg").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    small = small.select(*[F.col(c).alias(f"_j_{c}") for c in [*k, "_seg"]],
+                         *[F.last(f"_last_{c}", ignorenulls=True).over(up).alias(f"_before_{c}") for c in cols],
+                         *[F.last(f"_first_{c}", ignorenulls=True).over(down).alias(f"_after_{c}") for c in cols])
+    same = F.lit(True)
+    for c in [*k, "_seg"]:
+        same = same & df[c].eqNullSafe(small[f"_j_{c}"])
+    return df.join(small, same).drop(*[f"_j_{c}" for c in [*k, "_seg"]])
+
+
 def interpolate_time(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
-                     date: str = "date") -> DataFrame:
+                     date: str = "date", segment: Column | None = None) -> DataFrame:
     """Time-weighted linear interpolation of NULL gaps per key.
 
     Inner gaps use the nearest known neighbours on both sides; a trailing gap
     carries the last known value (as pandas does); a leading gap stays NULL.
+    With ``segment`` (a year, say; never decreasing with the date) one long series is spread over
+    as many tasks as it has segments: the known values nearest to a segment are carried
+    over from the others, which takes one row per segment.
     """
     k = _keys(keys)
+    if segment is not None:
+        df = _carried_neighbours(df.withColumn("_seg", segment), k, cols, date)
+        own, names = [*k, "_seg"], df.columns
+        before = Window.partitionBy(*own).orderBy(F.col(date).asc()).rowsBetween(Window.unboundedPreceding, 0)
+        after = Window.partitionBy(*own).orderBy(F.col(date).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        for c in cols:
+            known = F.when(F.col(c).isNotNull(), F.struct(F.col(date).alias("d"), F.col(c).alias("v")))
+            df = df.withColumns({"_n0": F.coalesce(F.last(known, ignorenulls=True).over(before), F.col(f"_before_{c}")),
+                                 "_n1": F.coalesce(F.last(known, ignorenulls=True).over(after), F.col(f"_after_{c}"))})
+            df = df.withColumn(c, _between(c, date, F.col("_n0.v"), F.col("_n0.d"), F.col("_n1.v"), F.col("_n1.d"))).drop("_n0", "_n1")
+        return df.select(*[c for c in names if c != "_seg" and not c.startswith(("_before_", "_after_"))])
     # both neighbours are running frames (O(n) per key): the next known value is
     # the running last non-null in descending date order. A frame from the
     # current row to UNBOUNDED FOLLOWING would be re-aggregated for every row.
@@ -250,10 +290,5 @@ def interpolate_time(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
         d0 = F.last(known_d, ignorenulls=True).over(before)
         v1 = F.last(c, ignorenulls=True).over(after)
         d1 = F.last(known_d, ignorenulls=True).over(after)
-        slope = (v1 - v0) / F.datediff(d1, d0)
-        filled = (F.when(F.col(c).isNotNull(), F.col(c))
-                  .when(v0.isNull(), F.lit(None))
-                  .when(v1.isNull(), v0)
-                  .otherwise(slope * F.datediff(F.col(date), d0) + v0))
-        out = out.withColumn(c, filled)
+        out = out.withColumn(c, _between(c, date, v0, d0, v1, d1))
     return out

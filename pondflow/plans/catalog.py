@@ -361,6 +361,15 @@ SELECT site, date, round(CASE WHEN v IS NOT NULL THEN v WHEN v0 IS NULL THEN NUL
        ELSE (v1 - v0) / CAST(date_diff('day', d0, d1) AS DOUBLE) * CAST(date_diff('day', d0, date) AS DOUBLE) + v0 END, 6) AS v
 FROM b""")(interpolate_gaps_q)
 
+
+
+def interpolate_gaps_segmented_q(spark, sf):
+    a = sr.asfreq_daily(T.user_daily(spark, sf), ["site"])
+    return r(sr.interpolate_time(a, ["site"], ["v"], segment=F.trunc("date", "month")))
+
+
+register("interpolate_gaps_segmented", ORACLE["interpolate_gaps"])(interpolate_gaps_segmented_q)
+
 # ---------------------------------------------------------------------------
 # Window features on a long daily series
 # ---------------------------------------------------------------------------
@@ -1150,7 +1159,7 @@ def csv_roundtrip_q(spark, sf):
     wl = T.zone_wl(spark, sf).withColumn("flag", F.substring("site", 1, 1))
     sinks.write_csv(wl.select("flag", "site", F.date_format("date", "dd-MM-yyyy").alias("Date"),
                               F.col("wl").alias("Wl"), F.lit(None).cast("string").alias("")),
-                    out, partition_by=["flag"], sort_by=["site", "Date"])
+                    out, partition_by=["flag"], sort_by=["site", F.to_date("Date", "dd-MM-yyyy")])
     back = C.read_readings(spark, f"{out}/flag=*/*.csv", {"Wl": "wl"}, hourly=False)
     return r(back.select("site", "date", "wl"))
 
@@ -1158,6 +1167,26 @@ def csv_roundtrip_q(spark, sf):
 register("csv_roundtrip", T.with_sql("zone_wl") + "SELECT site, date, round(wl, 6) AS wl FROM zone_wl")(csv_roundtrip_q)
 
 
+def csv_order_q(spark, sf):
+    """Each row's place in the files of its flag, in the order of their names: that of site and date (O1)."""
+    from pyspark.sql import Window
+
+    from pondflow.session import checkpoint_dir
+    out = f"{checkpoint_dir(spark).rstrip('/')}/pondflow-csv/order-{abs(hash(sf)) % 10**8}"
+    wl = T.zone_wl(spark, sf).withColumn("flag", F.substring("site", 1, 1))
+    sinks.write_csv(wl.select("flag", "site", F.date_format("date", "dd-MM-yyyy").alias("Date"), "wl"), out, partition_by=["flag"],
+                    sort_by=["site", F.to_date("Date", "dd-MM-yyyy")])
+    back = spark.read.schema("site string, Date string, wl double, flag string").option("header", True).csv(out)
+    lines = back.select("flag", "site", F.to_date("Date", "dd-MM-yyyy").alias("date"), "_metadata.file_name", "_metadata.file_block_start",
+                        F.monotonically_increasing_id().alias("line"))
+    place = F.row_number().over(Window.partitionBy("flag").orderBy("file_name", "file_block_start", "line")).cast("long")
+    return lines.select("flag", "site", "date", place.alias("place"))
+
+
+register("csv_order", T.with_sql("zone_wl") + """
+SELECT site[1:1] AS flag, site, date, row_number() OVER (PARTITION BY site[1:1] ORDER BY site, date) AS place FROM zone_wl""")(csv_order_q)
+
+
 def result_labels_q(spark, sf):
     from pondflow.functions.labels import result_label, site_key
     s = T.pond_in(spark, sf).select(F.substring_index("site", "-", 2).alias("pond")).distinct()
@@ -1213,6 +1242,22 @@ register("running_sum_segmented", T.with_sql("line_daily") + f"""
 SELECT site, date, round(v, 6) AS v, round({q.running('sum', 'v')}, 6) AS cum_v FROM line_daily""")(
     running_sum_segmented_q)
 
+
+def chained_ratio_scaled_q(spark, sf):
+    """Opening and closing value (base-2 logarithms) of a chain over all days of a return flag; null where no double holds them.
+    Partial products pass that range and come back into it."""
+    from pondflow.operators.scan import chained_ratio
+    days = T.line_daily(spark, sf).select("site", "date", F.when(F.day("date") <= 15, F.lit(2.0 ** 100)).otherwise(F.lit(2.0 ** -100)).alias("ratio"))
+    out = chained_ratio(days, ["site"], "ratio", 0.5, "closing", "opening", scaled=True)
+    return r(out.select("site", "date", *[F.when((F.col(c) > 1e-300) & (F.col(c) < float("inf")), F.log2(c)).alias(c) for c in ("opening", "closing")]))
+
+
+register("chained_ratio_scaled", T.with_sql("line_daily") + """,
+p AS (SELECT site, date, CASE WHEN day(date) <= 15 THEN 100 ELSE -100 END AS own,
+             sum(CASE WHEN day(date) <= 15 THEN 100 ELSE -100 END) OVER (PARTITION BY site ORDER BY date) AS e FROM line_daily)
+SELECT site, date, round(CASE WHEN e - own - 1 BETWEEN -996 AND 1023 THEN (e - own - 1)::DOUBLE END, 6) AS opening,
+       round(CASE WHEN e - 1 BETWEEN -996 AND 1023 THEN (e - 1)::DOUBLE END, 6) AS closing FROM p""")(chained_ratio_scaled_q)
+
 register("quantiles_p1_p99", f"""
 WITH {_PRICE_SQL}
 SELECT site, round(quantile_cont(y, 0.01), 6) AS q0, round(quantile_cont(y, 0.99), 6) AS q1
@@ -1383,6 +1428,9 @@ QUERY_IDS = {
     "resample_monthly_mean": "A3 J3",
     "asfreq_daily": "J3 S7",
     "interpolate_gaps": "W13 J3",
+    "interpolate_gaps_segmented": "W13 J3",
+    "csv_order": "O1 K1 K2",
+    "chained_ratio_scaled": "W10 W12",
     "rolling_stats": "W4 W5",
     "expanding_stats": "W6 W7",
     "lag_features": "W3",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -51,17 +51,18 @@ def to_display(df: DataFrame, kind: str, keep_keys: Sequence[str] = ()) -> DataF
 
 
 def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), single_file: bool = False,
-              sort_by: Sequence[str] = ()) -> None:
+              sort_by: Sequence[str | Column] = ()) -> None:
     """K1/K2: overwrite CSV with header; optional ``site=``/``unit=`` partitions.
 
-    O1: ``sort_by`` (e.g. ``["site", "date"]``) orders rows inside each output
-    task only (``sortWithinPartitions`` after clustering on the partition
-    columns), so files come out date-ordered without a global sort.
+    O1: ``sort_by`` (names or expressions, e.g. ``["site", "date"]``; a date written as text is
+    sorted by the date, not by its text) orders the rows of a partition value over all of its files,
+    read in the order of their names. Rows are split by ranges of (partition columns,
+    ``sort_by``), so a large partition value is written by several tasks and small ones share one.
     """
     out = df
     if sort_by:
-        out = (out.repartition(*[F.col(c) for c in partition_by]) if partition_by else out)
-        out = out.sortWithinPartitions(*sort_by)
+        order = [F.col(c) if isinstance(c, str) else c for c in (*partition_by, *sort_by)]
+        out = out.repartitionByRange(*order).sortWithinPartitions(*order)
     out = out.coalesce(1) if single_file else out
     w = out.write.mode("overwrite").option("header", True)
     if partition_by:

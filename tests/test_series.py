@@ -1,6 +1,7 @@
 """L1/L4: frequency, resampling, spines, interpolation, windows, lookups."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pondflow.operators import filters as flt
 from pondflow.operators import lookup as lk
+from pondflow.operators import scan
 from pondflow.operators import series as sr
 from pondflow.operators import windows as wn
 
@@ -220,3 +222,44 @@ def test_duplicate_dates_detected_and_tie_break(spark):
     got = [r["cum"] for r in running_sum(df, ["site"], "v", "cum", tie_break="line").orderBy("line").collect()]
     assert got == [1.0, 3.0, 7.0]
     assert flt.require_unique(df, ["site", "date", "line"]) is df
+
+
+def test_interpolation_in_segments_equals_one_window(spark):
+    """Gaps longer than a segment, at both ends, a key that is null and one without values."""
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(400)]
+    rows = [(k, d, float(i % 17) if i in keep else None, None if k else 1.0) for k, keep in
+            (("a", {3, 4, 90, 300}), ("b", set()), (None, {0, 399}), ("c", set(range(400)))) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "site string, date date, v double, u double")
+    one = sr.interpolate_time(df, ["site"], ["v", "u"])
+    cut = sr.interpolate_time(df, ["site"], ["v", "u"], segment=F.trunc("date", "month"))
+    assert cut.columns == df.columns
+
+    def norm(x):
+        return sorted((tuple(r) for r in x.collect()), key=str)
+
+    assert norm(one) == norm(cut)
+
+
+def test_scaled_product_outlasts_the_range_of_doubles(spark):
+    """100,000 days whose plain product is 0 from day 6,712 on; compared with sums of logarithms."""
+    n = 100_000
+    df = spark.range(n).select(F.lit("a").alias("site"), F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+                               F.when(F.col("id") < n // 2, 0.9).otherwise(1 / 0.9).alias("x"), "id")
+    out = scan.scaled_product(df, ["site"], "x", "p", exclusive_out="pe")
+    got = {r["id"]: (r["p"], r["pe"]) for r in out.where("id in (0, 10, 5000, 50000, 95000, 99998, 99999)").collect()}
+    for i, (p, pe) in got.items():
+        for value, days in ((p, i + 1), (pe, i)):
+            net = days if days <= n // 2 else n - days
+            assert value == pytest.approx(math.exp(net * math.log(0.9)) if net < 6500 else 0.0, rel=1e-9, abs=1e-300)
+    assert got[0][1] == 1.0 and got[99999][0] == pytest.approx(1.0)
+
+
+def test_scaled_product_of_odd_factors(spark):
+    rows = [("a", dt.date(2020, 1, d), x) for d, x in enumerate([2.0, None, -3.0, 1e300, 1e300, 1e-300, 5e-324], 1)]
+    rows += [("z", dt.date(2020, 1, 1), 0.0), ("z", dt.date(2020, 1, 2), 5.0), (None, dt.date(2020, 1, 1), float("inf")), (None, dt.date(2020, 1, 2), 0.0)]
+    df = spark.createDataFrame(rows, "site string, date date, x double")
+    got = {(r["site"], r["date"].day): r["p"] for r in scan.scaled_product(df, ["site"], "x", "p").collect()}
+    assert [got["a", d] for d in (1, 2, 3)] == [2.0, 2.0, -6.0] and got["a", 4] == pytest.approx(-6e300)
+    assert got["a", 5] == float("-inf") and got["a", 6] == pytest.approx(-6e300) and got["a", 7] == pytest.approx(-6e300 * 5e-324)
+    assert got["z", 1] == got["z", 2] == 0.0 and got[None, 1] == float("inf") and math.isnan(got[None, 2])
+    assert scan.scaled_product(df.where("false"), ["site"], "x", "p").count() == 0

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from pondflow.functions.labels import result_label
 from pondflow.operators import series as sr
@@ -107,6 +108,23 @@ def test_write_csv_sorted_per_site(spark):
         assert [ln.split(",")[0] for ln in lines] == exp      # O1: date order inside the file
 
 
+def test_a_large_partition_value_is_written_in_order_by_several_tasks(spark):
+    out = tempfile.mkdtemp(prefix="pf-out-") + "/ranges"
+    df = spark.range(2000).select(F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("site"),
+                                  F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 7919 % 2000).cast("int")), "dd-MM-yyyy").alias("Date"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_csv(df, out, partition_by=["site"], sort_by=[F.to_date("Date", "dd-MM-yyyy")])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(f for f in os.listdir(f"{out}/site=large") if f.endswith(".csv"))
+    dates = []
+    for f in files:
+        with open(f"{out}/site=large/{f}") as fh:
+            dates += [dt.datetime.strptime(x, "%d-%m-%Y") for x in fh.read().split()[1:]]
+    assert len(files) > 1 and len(dates) == 1800 and dates == sorted(dates)
+
+
 def test_documented_cluster_workflow_end_to_end(spark):
     """The README example on local files: per-site folders, reference date dialects."""
     from pondflow.plans import balance
