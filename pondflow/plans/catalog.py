@@ -1082,9 +1082,10 @@ def _std_sql(n: int) -> str:
     return f"sqrt(list_sum(list_transform(buf[-{n}:], lambda z: (z - {_mean_sql(n)}) * (z - {_mean_sql(n)}))) / {D(n - 1)})"
 
 
-def _fold_sql(lags: int, windows: tuple, params: dict, start: str, end: str, until: str) -> str:
-    """The folded forecast as a recursive query, a row for each series and day up to ``until`` (an expression over ``last``)."""
-    features = ["dayofyear_sin", "dayofyear_cos", "month_sin", "month_cos", "trend", "cumulative_mean", "cumulative_std",
+def _fold_sql(lags: int, windows: tuple, params: dict, start: str, end: str, until: str, source: str | None = None, exog: tuple = ()) -> str:
+    """The folded forecast as a recursive query, a row for each series and day up to ``until`` (an expression over ``last``).
+    ``source``: common table expressions that end with ``line_daily`` (site, date, v, exogenous columns)."""
+    features = ["dayofyear_sin", "dayofyear_cos", "month_sin", "month_cos", "trend", "cumulative_mean", "cumulative_std", *exog,
                 *[f"rolling_mean_{w}" for w in windows], *[f"rolling_std_{w}" for w in windows], *[f"lag_{i}" for i in range(1, lags + 1)]]
     span, (t, d) = max(lags, *windows), (params["trees"], params["depth"])
     fit = q.boosted("rows", "site", features, "v", t, d, params["rate"], params["bins"], gamma=params.get("gamma", 0.0))
@@ -1093,8 +1094,9 @@ def _fold_sql(lags: int, windows: tuple, params: dict, start: str, end: str, unt
         return ", ".join(f"{f}({D(fd.TWO_PI)} * {part}({x}) / {D(n)})" for part, n in (("dayofyear", 365), ("month", 12)) for f in ("sin", "cos"))
 
     named = ", ".join(f"{x} AS {c}" for x, c in zip(cal("date").split(", "), features))
-    return T.with_sql("line_daily").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
-f AS (SELECT site, date, v, {named}, CAST({_N} - 1 AS DOUBLE) AS trend, {q.running('avg', 'v')} AS cumulative_mean, {q.running('stddev_samp', 'v')} AS cumulative_std,
+    own = "".join(f"{c}, " for c in exog)
+    return (source or T.with_sql("line_daily")).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+f AS (SELECT site, date, v, {own}{named}, CAST({_N} - 1 AS DOUBLE) AS trend, {q.running('avg', 'v')} AS cumulative_mean, {q.running('stddev_samp', 'v')} AS cumulative_std,
              {", ".join(f"avg(v) {_frame(w)} AS rolling_mean_{w}, stddev_samp(v) {_frame(w)} AS rolling_std_{w}" for w in windows)},
              {", ".join(f"lag(v, {i}) OVER (PARTITION BY site ORDER BY date) AS lag_{i}" for i in range(1, lags + 1))}
       FROM line_daily),
@@ -1103,14 +1105,14 @@ rows AS (SELECT * FROM f WHERE trend >= {max(lags, max(windows) - 1)}),
 {q.boosted_nodes("site", features, t, d, params["rate"])},
 first AS (SELECT site, list(v ORDER BY date) AS buf, count(*)::DOUBLE AS n, avg(v) AS mean, coalesce(var_samp(v) * (count(*) - 1), 0) AS m2,
                  max(date) AS last FROM line_daily GROUP BY site),
-bases AS (SELECT site, avg(v) AS base FROM rows GROUP BY site),
+bases AS (SELECT site, avg(v) AS base, list([{", ".join(f"{c}::DOUBLE" for c in exog) or "0::DOUBLE"}] ORDER BY date) AS ex, count(*) AS n_ex FROM rows GROUP BY site),
 steps AS (SELECT site, last AS date, buf[-{span}:] AS buf, n, mean, m2, n AS trend, NULL::DOUBLE AS p FROM first
     UNION ALL
     SELECT site, date, list_append(buf, p)[-{span}:], n + 1, mean + (p - mean) / (n + 1), m2 + (p - mean) * (p - (mean + (p - mean) / (n + 1))), trend + 1, p
     FROM (SELECT *, {q.boosted_walk("x", "base", t, d)} AS p FROM (
         SELECT site, day AS date, buf, n, mean, m2, trend, base, m, [{cal("day")}, trend, mean, sqrt(m2 / (n - 1)),
-            {", ".join(_mean_sql(w) for w in windows)}, {", ".join(_std_sql(w) for w in windows)}, {", ".join(f"buf[-{i}]" for i in range(1, lags + 1))}] AS x
-        FROM (SELECT s.* EXCLUDE (p, date), (s.date + 1)::DATE AS day, base, m FROM steps s JOIN bases USING (site) JOIN walks USING (site)
+            {"".join(f"e[{i}], " for i in range(1, len(exog) + 1))}{", ".join(_mean_sql(w) for w in windows)}, {", ".join(_std_sql(w) for w in windows)}, {", ".join(f"buf[-{i}]" for i in range(1, lags + 1))}] AS x
+        FROM (SELECT s.* EXCLUDE (p, date), (s.date + 1)::DATE AS day, base, m, ex[date_diff('day', last, s.date) % n_ex + 1] AS e FROM steps s JOIN bases USING (site) JOIN walks USING (site)
               JOIN (SELECT site, last FROM first) USING (site) WHERE s.date < {until}))))
 SELECT site, date, round(p, 6) AS prediction, 'forecast' AS status FROM steps WHERE p IS NOT NULL AND date BETWEEN DATE '{start}' AND DATE '{end}'"""
 
@@ -1119,6 +1121,27 @@ register("recursive_folded", _fold_sql(5, (7, 14), FOLD_SMALL, "2002-01-01", "20
 register("recursive_folded_kg", _fold_sql(30, (14,), FOLD_KG, "2002-01-01", "2002-06-30", "last + 365"))(recursive_folded_kg_q)
 
 
+POND_EXOG = ["initial_conc", "evaporation", "volume"]
+
+
+def recursive_folded_pond_q(spark, sf):
+    """The pond variant: the opening concentration is a feature besides evaporation and volume (M16); each pond's closing
+    concentration is forecast, exogenous values from the cyclic lookup (J4)."""
+    from pondflow.operators.recursive import fit_folded, forecast_folded
+    p = pond_balance_chained(spark, sf)
+    hist = p.select(F.substring_index("site", "-", 2).alias("site"), "date",
+                    F.col("c2").alias("v"), F.col("c1").alias("initial_conc"), "evaporation", F.col("volume_v1_m3").alias("volume"))
+    fm = fit_folded(hist, ["site"], "v", POND_EXOG, lags=5, windows=(7,), params=FOLD_SMALL)
+    return r(forecast_folded(fm, hist, "2001-08", "2001-10"))
+
+
+_POND_HISTORY = f"""WITH line_daily AS (SELECT site[1:len(site) - 7] AS site, date, c2 AS v, c1 AS initial_conc, evaporation, volume_v1_m3 AS volume
+    FROM ({ORACLE["pond_balance_chained"]}))"""
+
+register("recursive_folded_pond", _fold_sql(5, (7,), FOLD_SMALL, "2001-08-01", "2001-10-31", "DATE '2001-10-31'", _POND_HISTORY, tuple(POND_EXOG)))(
+    recursive_folded_pond_q)
+
+
 RECURSIVE_EXOG = ["wl", "evaporation", "volume", "surface_area", "evap_volume"]
 
 
@@ -1472,6 +1495,7 @@ QUERY_IDS = {
     "evaporation_stacked": "Q1 M1 M2 M3 M4 M7 F3 F5 F7 F19 F24 S7 P11 P12 P16",
     "evaporation_stacked_after_last": "Q11 M3 M4 M7 A7 S8 F19",
     "water_level_stacked": "Q2 M2 M5 M7 S7 F24",
+    "recursive_folded_pond": "Q4 Q6 M12 M14 M16 J4 A11 W3 W6 W7 W8",
     "recursive_folded_kg": "Q6 M13 M14 M15 A11 P9",
     "recursive_folded": "Q6 M12 M14 A11 W3 W4 W5 W6 W7 W8 F6 F8 O3 P6",
     "recursive_forecast": "Q6 M9 M12 M14 M16 M17 W3 W4 W5 W6 W7 W8 W13 J3 J4 O3 A11 F6 F8 S9 S10 K5 P6 P17",
