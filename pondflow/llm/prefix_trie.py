@@ -1,16 +1,18 @@
 """Z-fast trie of conversations: a node for every distinct beginning of turns.
 
-The trie is built compacted: an edge (low, high] of a path is a run of turns without branch or end. Edges are hashed by
-the prefix at their handle, the two-fattest depth in (low, high], the one divisible by the highest power of two. A conversation finds
-its exit edge by fat binary search: probing the two-fattest depth of the interval still open either meets a handle and goes on below that edge or
-halves the interval, so a conversation of n turns takes log n probes. Handles may lie deeper than the exit, so one
-more probe, at the first turn below the edge met, settles it.
+The trie is built compacted: an edge (low, high] of a path is a run of turns without branch or end, and is found by the prefix at its
+handle, the two-fattest depth in (low, high], the one divisible by the highest power of two. A random order of the conversations (by a hash of
+their ids) decides whose path a node lies on: the first of its members in that order. A conversation hangs where it leaves the trie of those before it.
 
-Conversations are inserted in batches. In a batch, those that leave the trie at one node by one turn elect one of them (by
-a hash of its id, so the election is random), which becomes a path that hangs there; the others search on from that node
-in the next batch. The expected number of batches grows with the logarithm of the largest family. Paths hang from paths, so sums over subtrees
-are taken batch by batch backwards, within a path as running sums over its events (depths where others hang or end), and edges
-are expanded to one row per turn at the end.
+That exit is found by fat binary search, for all conversations at once. At the level of a power of two every conversation whose open interval
+has its two-fattest depth there probes that depth: prefixes are grouped by name, with those of the paths that others hang from, and of each group the
+path it lies on, else the first conversation, is what the others go on from; a conversation alone with its prefix, or the first of a group, has missed. So
+there are as many levels as bits in the number of turns of the longest conversation, whatever the size of a family, and each turn's name is moved once
+over all levels.
+
+Paths hang from paths. The expected number of paths on the way to the root grows with the logarithm of a family, and these ways are found by
+doubling. What hangs at a depth of a path is summed over whole subtrees by sending each path's sums up its way; within a path, sums run
+over its events (depths where others hang or end). Edges are expanded to one row per turn at the end.
 
 A prefix's name is 128 bits: two exclusive ors of the hashes of its (place, turn digest) pairs. It is kept in segments, so a conversation
 that holds a third of all turns is spread over many rows and tasks. Two equal names of different prefixes are not ruled out, but as likely as
@@ -21,13 +23,12 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pondflow.llm.common import materialise
 
 SEGMENT = 256  # turns in one row of a path
-STEPS = 3      # probes in one job of the search
 
 
 def number_turns(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -68,70 +69,44 @@ def _segments(turns: DataFrame) -> DataFrame:
     return rows.select("c", "seg", *[F.expr(f"transform(x, e -> {how})").alias(name) for name, how in each.items()])
 
 
-def _at(df: DataFrame, paths: DataFrame, who: str, depth: str, **out: str) -> DataFrame:
-    """``df`` with columns out = what ``paths`` has of the path ``who`` at ``depth`` (null where there is none)."""
-    seg = paths.select(F.col("c").alias("_c"), F.col("seg").alias("_seg"), *[F.col(x).alias(f"_{x}") for x in set(out.values())])
-    found = df.join(seg, (F.col(who) == F.col("_c")) & (F.expr(f"({depth} - 1) div {SEGMENT}") == F.col("_seg")), "left")
-    return found.select(*df.columns, *[F.expr(f"get(_{x}, cast(({depth} - 1) % {SEGMENT} as int))").alias(name) for name, x in out.items()])
-
-
-def fattest(low: Column, high: Column) -> Column:
-    """The number in (low, high] that the highest power of two divides."""
-    return high.bitwiseAND(F.call_function("shiftleft", F.lit(-1).cast("long"), F.length(F.bin(low.bitwiseXOR(high))) - 1))
-
-
-def _edges(events: DataFrame, lows: DataFrame, paths: DataFrame) -> DataFrame:
-    """(path, low, high, names of the prefixes at the handle f, at the first turn s and at the end e, m0, m1) between the events of paths."""
-    line = Window.partitionBy("path").orderBy("depth")
-    rows = events.join(lows, "path").select("path", F.coalesce(F.lag("depth").over(line), "low").alias("low"), F.col("depth").alias("high"))
-    rows = rows.withColumn("f", fattest(F.col("low"), F.col("high"))).withColumn("s", F.col("low") + 1)
-    rows = _at(rows, paths, "path", "f", fa="a", fb="b")
-    rows = _at(rows, paths, "path", "s", sa="a", sb="b", m0="m0")
-    return _at(rows, paths, "path", "high", ea="a", eb="b", m1="m1")
+def _level(paths: DataFrame, step: int) -> DataFrame:
+    """(c, n, a, b, m1): the name and code points of the prefixes whose depth n is an odd multiple of ``step``, a power of two."""
+    first = min(step, SEGMENT)
+    here = f"transform(sequence({first}, size(a), {2 * first}), k -> named_struct('n', seg * {SEGMENT} + k, 'a', a[k - 1], 'b', b[k - 1], 'm1', m1[k - 1]))"
+    return paths.where(F.size("a") >= first).select("c", F.explode(F.expr(here)).alias("x")).select("c", "x.*").where(f"n % {2 * step} = {step}")
 
 
-def _search(pending: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """(c, len, at, depth): where each pending (c, len, known, at) leaves the trie; at depth ``known`` it has a node, on path ``at``."""
-    handles = edges.select(F.col("f").alias("_f"), F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), F.col("path").alias("_path"),
-                           F.col("low").alias("_low"), F.col("high").alias("_high"))
-    none = F.lit(None).cast("long")
-    work = pending.select("*", F.col("known").alias("lo"), F.col("len").alias("hi"), F.col("at").alias("path"), none.alias("low"), none.alias("high"))
-    names, done = work.columns, None
-    while True:
-        for _ in range(STEPS):
-            probe = _at(work.withColumn("f", F.when(F.col("lo") < F.col("hi"), fattest(F.col("lo"), F.col("hi")))), paths, "c", "f", fa="a", fb="b")
-            probe = probe.join(handles, (F.col("f") == F.col("_f")) & (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")), "left")
-            hit, miss = F.col("_high").isNotNull(), F.col("f").isNotNull() & F.col("_high").isNull()
-            new = {"lo": F.when(hit, F.col("_high")).otherwise(F.col("lo")), "hi": F.when(miss, F.col("f") - 1).otherwise(F.col("hi")),
-                   "path": F.when(hit, F.col("_path")).otherwise(F.col("path")), "low": F.when(hit, F.col("_low")).otherwise(F.col("low")),
-                   "high": F.when(hit, F.col("_high")).otherwise(F.col("high"))}
-            work = probe.select(*[new.get(c, F.col(c)).alias(c) for c in names])
-        work = materialise(work, "search")
-        over = work.where("lo >= hi")
-        done = over if done is None else done.unionByName(over)
-        work = work.where("lo < hi")
-        if work.isEmpty():
-            break
-    # on below the edge met, if all of it matches: to the edge that begins with the next turn
-    met = _at(done, paths, "c", "high", ha="a", hb="b")
-    ends = edges.select(F.col("path").alias("_path"), F.col("high").alias("_high"), "ea", "eb")
-    met = met.join(ends, (F.col("path") == F.col("_path")) & (F.col("high") == F.col("_high")), "left")
-    whole = F.col("high").isNull() | F.coalesce((F.col("ha") == F.col("ea")) & (F.col("hb") == F.col("eb")), F.lit(False))
-    met = met.withColumn("node", F.when(whole, F.coalesce("high", "known"))).withColumn("first", F.when(F.col("node") < F.col("len"), F.col("node") + 1))
-    met = _at(met.select("c", "len", "path", "low", "high", "node", "first"), paths, "c", "first", na="a", nb="b")
-    starts = edges.select(F.col("s").alias("_s"), "sa", "sb", F.col("path").alias("_path"), F.col("low").alias("_low"), F.col("high").alias("_high"))
-    met = met.join(starts, (F.col("first") == F.col("_s")) & (F.col("na") == F.col("sa")) & (F.col("nb") == F.col("sb")), "left")
-    inside = F.col("_path").isNotNull() | F.col("node").isNull()
-    met = materialise(met.select("c", "len", F.coalesce("_path", "path").alias("at"), F.when(inside, F.coalesce("_low", "low")).alias("low"),
-                                 F.when(inside, F.coalesce("_high", "high")).alias("high"), "node"), "met")
-    # within that edge names are equal up to the exit and differ from there on
-    mine, other = paths.select("c", "seg", "a", "b"), paths.select(F.col("c").alias("at"), "seg", F.col("a").alias("oa"), F.col("b").alias("ob"))
-    equal = F.expr("size(filter(zip_with(arrays_zip(a, b), arrays_zip(oa, ob), (x, y) -> x = y), z -> z))")
-    span = F.sequence(F.expr(f"low div {SEGMENT}"), F.expr(f"(least(len, high) - 1) div {SEGMENT}"))
-    along = (met.where("low is not null").select("c", "at", "low", "high", F.explode(span).alias("seg")).join(mine, ["c", "seg"]).join(other, ["at", "seg"])
-             .select("c", "low", "high", F.col("seg") * SEGMENT + equal).toDF("c", "low", "high", "upto")
-             .groupBy("c").agg(F.least(F.max("high"), F.greatest(F.max("low"), F.max("upto"))).alias("upto")))
-    return met.join(along, "c", "left").select("c", "len", "at", F.coalesce("upto", "node").alias("depth"))
+def _search(members: DataFrame, paths: DataFrame, longest: int) -> DataFrame:
+    """(c, len, at, low, shared): at depth ``low`` each member (c, len) leaves the trie of those before it, on path ``at`` (null at
+    the root), having shared the first ``low`` turns' code points. One with low = len has no nodes of its own."""
+    zero = F.lit(0).cast("long")
+    work = members.select("c", "len", F.lit(None).cast(members.schema["c"].dataType).alias("at"), zero.alias("low"), zero.alias("shared"))
+    columns = work.columns
+    step = 1 << longest.bit_length() >> 1
+    while step:
+        # low is a multiple of 2 * step, so low + step is the two-fattest depth of what is open
+        probing = work.where(F.col("low") + step <= F.col("len")).withColumn("n", F.col("low") + step)
+        owners = probing.where("at is not null").select(F.col("at").alias("c"), "n").distinct()
+        # the key has the join that brings a group's first back dealt anew, so that a very common prefix can be split
+        named = probing.unionByName(owners, allowMissingColumns=True).join(_level(paths, step), ["c", "n"]).withColumn("key", F.xxhash64("n", "a", "b"))
+        first = named.groupBy("n", "a", "b").agg(F.min(F.struct(F.col("len").isNotNull().alias("new"), F.xxhash64("c").alias("order"), "c"))["c"].alias("first"))
+        hit = F.col("first") != F.col("c")
+        new = {"at": F.col("first"), "low": F.col("n"), "shared": F.col("m1")}
+        found = named.where("len is not null").join(first.withColumn("key", F.xxhash64("n", "a", "b")), ["key", "n", "a", "b"]).select(
+            *[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in columns])
+        work = materialise(found.unionByName(work.where(F.col("low") + step > F.col("len"))), "search")
+        step >>= 1
+    return work
+
+
+def _ways(own: DataFrame) -> DataFrame:
+    """(path, up): the (path, depth) pairs that each path hangs from, directly or through others."""
+    ways = materialise(own.select("path", F.expr("filter(array(struct(at as path, low as depth)), x -> x.path is not null)").alias("up"), F.col("at").alias("on")), "ways")
+    while not ways.where("on is not null").isEmpty():
+        more = ways.select(F.col("path").alias("on"), F.col("up").alias("_up"), F.col("on").alias("_on"))
+        longer = ways.where("on is not null").join(more, "on").select("path", F.concat("up", "_up").alias("up"), F.col("_on").alias("on"))
+        ways = materialise(ways.where("on is null").unionByName(longer), "ways")
+    return ways.select("path", "up")
 
 
 def _digests(ends: DataFrame) -> DataFrame:
@@ -166,13 +141,6 @@ def _digests(ends: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, f"path {kind}, depth long, ends_sha256 string")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256): one row per node, the root (depth 0) included.
 
@@ -182,82 +150,61 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     text over it. No conversations, no nodes. Equal conversations end at one node.
     """
     kind = turns.schema["conv_id"].dataType
+    zero, one, nothing = F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(None).cast(kind)
     paths = materialise(_segments(turns), "paths")
     sizes = paths.groupBy("c").agg(F.max(F.col("seg") * SEGMENT + F.size("a")).alias("len"))
     members = materialise(conversations.select(F.col("conv_id").alias("c")).where("c is not null").distinct().join(sizes, "c", "left")
                           .select("c", F.coalesce("len", F.lit(0)).cast("long").alias("len")), "members")
-    root = F.lit(None).cast(kind)
-    pending = members.where("len > 0").select("c", "len", F.lit(0).cast("long").alias("known"), root.alias("at"))
-    ends = [members.where("len = 0").select(root.alias("path"), F.lit(0).cast("long").alias("depth"), "c")]
-    batches, events, edges, lows = [], None, None, None
-    while not pending.isEmpty():
-        found = pending.select("c", "len", "at", F.col("known").alias("depth")) if edges is None else materialise(_search(pending, edges, paths), "found")
-        ends.append(found.where("depth = len").select(F.col("at").alias("path"), "depth", "c"))
-        more = found.where("depth < len").withColumn("next", F.col("depth") + 1)
-        elect = _at(more, paths, "c", "next", na="a", nb="b").groupBy("next", "na", "nb").agg(F.min(F.struct(F.xxhash64("c"), "c"))["c"].alias("c"))
-        new = materialise(more.join(elect, "c").select(F.col("c").alias("path"), "at", F.col("depth").alias("low"), "len"), "new")
-        ends.append(new.select("path", F.col("len").alias("depth"), F.col("path").alias("c")))
-        pending = materialise(more.join(new.select(F.col("path").alias("c")), "c", "left_anti").select("c", "len", F.col("depth").alias("known"), "at"), "pending")
-        batches.append(new)
-        fresh = new.select("path", F.col("len").alias("depth")).unionByName(found.where("at is not null").select(F.col("at").alias("path"), "depth")).distinct()
-        low = new.select("path", "low")
-        lows = low if lows is None else lows.unionByName(low)
-        changed = fresh.select("path").distinct()
-        if events is None:
-            events = materialise(fresh, "events")
-            edges = materialise(_edges(events, lows, paths), "edges")
-        else:
-            events = materialise(events.unionByName(fresh).distinct(), "events")
-            again = _edges(events.join(changed, "path", "left_semi"), lows, paths)
-            edges = materialise(edges.join(changed, "path", "left_anti").unionByName(again), "edges")
-    ends = materialise(_union(ends), "ends")
-    zero = F.lit(0).cast("long")
-    ended = ends.groupBy("path", "depth").agg(F.count("*").alias("n"), F.min("c").alias("m"))
-    given = materialise(ended.select("path", "depth", "n", "m", zero.alias("leaves"), zero.alias("saved"), zero.alias("kids")), "given")
-    done = []
-    for new in reversed(batches):
-        own = new.select("path", F.col("low").alias("top"), "len", "at")
-        rows = (given.groupBy("path", "depth").agg(F.sum("n").alias("n"), F.min("m").alias("m"), *[F.sum(x).alias(x) for x in ("leaves", "saved", "kids")])
-                .join(own, "path").join(edges.select("path", "low", F.col("high").alias("depth"), "m0", "m1"), ["path", "depth"]))
-        # a path has at most sqrt(2 * turns) events: each needs a conversation of that length
-        down = Window.partitionBy("path").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, 0)
-        below = Window.partitionBy("path").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)
-        rows = (rows.withColumn("leaf", F.col("leaves") + F.when((F.col("depth") == F.col("len")) & (F.col("kids") == 0), 1).otherwise(0))
-                .withColumn("n_convs", F.sum("n").over(down)).withColumn("conv_id", F.min("m").over(down)).withColumn("n_leaves", F.sum("leaf").over(down))
-                .withColumn("run", (F.col("n_convs") - 1) * (F.col("m1") - F.col("m0")))
-                .withColumn("rest", F.sum("saved").over(down) + F.coalesce(F.sum("run").over(below), zero)))
-        rows = materialise(rows.select("path", "at", "top", "low", F.col("depth").alias("high"), "m1", "n_convs", "conv_id", "n_leaves",
-                                       (F.col("kids") + (F.col("depth") < F.col("len")).cast("long")).alias("kids"), "run", "rest"), "sums")
-        done.append(rows)
-        hung = rows.where("low = top").groupBy(F.col("at").alias("path"), F.col("top").alias("depth")).agg(
-            F.sum("n_convs").alias("n"), F.min("conv_id").alias("m"), F.sum("n_leaves").alias("leaves"), F.sum(F.col("run") + F.col("rest")).alias("saved"),
-            F.count("*").alias("kids"))
-        given = materialise(given.join(own.select("path"), "path", "left_anti").unionByName(hung), "given")
+    longest, smallest = members.agg(F.max("len"), F.min("c")).first()
+    found = _search(members, paths, longest or 0)
+    own = found.where("low < len").withColumnRenamed("c", "path")
+    kids = own.where("at is not null").groupBy(F.col("at").alias("path"), F.col("low").alias("depth")).agg(F.count("*").alias("kids"))
+    below = kids.select("path", F.col("depth").alias("len"), "kids")
+    own = materialise(own.join(below, ["path", "len"], "left").withColumn("leaves", F.when(F.col("kids").isNull(), 1).otherwise(0).cast("long")).drop("kids"), "own")
+    digests = materialise(_digests(found.select(F.when(F.col("low") < F.col("len"), F.col("c")).otherwise(F.col("at")).alias("path"), F.col("len").alias("depth"), "c")),
+                          "digests")
+    # what hangs at a depth of a path: members, the smallest, code points they share with those before them, and childless nodes
+    sums = {"n": F.sum("n"), "m": F.min("m"), "shared": F.sum("shared"), "leaves": F.sum("leaves")}
+    short = (found.where("low = len and len > 0").groupBy(F.col("at").alias("path"), F.col("low").alias("depth"))
+             .agg(F.count("*").alias("n"), F.min("c").alias("m"), F.sum("shared").alias("shared")).withColumn("leaves", zero))
+    self = own.select("path", F.col("len").alias("depth"), one.alias("n"), F.col("path").alias("m"), "shared", "leaves")
+    whole = self.unionByName(short).groupBy("path").agg(*[how.alias(name) for name, how in sums.items()])
+    sent = (whole.join(_ways(own), "path").select(F.explode("up").alias("x"), *sums).select("x.path", "x.depth", *sums))
+    # a path shares its own nodes with none before it; its end says where it hangs
+    ends = self.withColumn("shared", zero).join(own.select("path", "at", F.col("low").alias("top")), "path")
+    events = (ends.unionByName(short, allowMissingColumns=True).unionByName(sent, allowMissingColumns=True).unionByName(kids, allowMissingColumns=True)
+              .groupBy("path", "depth").agg(*[how.alias(name) for name, how in sums.items()], F.max("at").alias("at"), F.max("top").alias("top"),
+                                            (F.coalesce(F.sum("kids"), zero) + F.when(F.max("top").isNull(), 1).otherwise(0)).alias("kids")))
+    # a path has at most sqrt(2 * turns) events: each needs a conversation of that length
+    line = Window.partitionBy("path").orderBy(F.desc("depth"))
+    down = line.rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.select("path", F.col("depth").alias("high"), "kids", F.lead("depth").over(line).alias("_low"), F.max("at").over(down).alias("at"),
+                         F.max("top").over(down).alias("top"), F.sum("n").over(down).alias("n_convs"), F.min("m").over(down).alias("conv_id"),
+                         F.sum("leaves").over(down).alias("n_leaves"), F.sum("shared").over(down).alias("shared"), "depth")
+    rows = materialise(rows.withColumn("above", F.lead("conv_id").over(line)).withColumn("low", F.coalesce("_low", "top")).drop("depth", "_low"), "sums")
+    # the first edge of a path is below a node of the path it hangs from
+    upper = rows.select(F.col("path").alias("at"), F.col("high").alias("low"), F.col("conv_id").alias("_above"))
+    hung = F.col("above").isNull() & F.col("at").isNotNull()
+    under = rows.where(hung).join(upper, ["at", "low"]).withColumn("above", F.col("_above")).drop("_above")
+    rows = under.unionByName(rows.where(~hung).withColumn("above", F.coalesce("above", F.lit(smallest).cast(kind))))
     empty = hashlib.sha256(b"").hexdigest()
-    digests = materialise(_digests(ends), "digests")
-    top = (given.groupBy("path").agg(F.sum("n").alias("n_convs"), F.min("m").alias("conv_id"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved_tokens"),
-                                     F.sum("kids").alias("n_children"))
-           .join(digests.where("path is null").select("ends_sha256"), F.lit(True), "left")
-           .select("conv_id", zero.alias("depth"), root.alias("parent_conv_id"), "n_convs", "n_children", F.greatest("leaves", F.lit(1)).cast("long").alias("n_leaves"),
-                   "saved_tokens", F.coalesce("ends_sha256", F.lit(empty)).alias("ends_sha256")))
-    if not done:
-        return top
-    sums = _union(done)
-    smallest = members.agg(F.min("c")).first()[0]
-    # an edge's upper end is an event of its own path or, for a path's first edge, of the path it hangs from
-    upper = sums.select(F.col("path").alias("_path"), F.col("high").alias("_depth"), F.col("conv_id").alias("_conv"))
-    sums = sums.withColumn("over", F.when(F.col("low") > F.col("top"), F.col("path")).otherwise(F.col("at")))
-    sums = sums.join(upper, (F.col("over") == F.col("_path")) & (F.col("low") == F.col("_depth")), "left")
-    sums = (sums.withColumn("above", F.coalesce("_conv", F.lit(smallest).cast(kind)))
-            .join(digests.select("path", F.col("depth").alias("high"), "ends_sha256"), ["path", "high"], "left"))
-    sums = sums.withColumn("seg", F.explode(F.sequence(F.expr(f"low div {SEGMENT}"), F.expr(f"(high - 1) div {SEGMENT}"))))
-    rows = sums.join(paths.select(F.col("c").alias("path"), "seg", "m0"), ["path", "seg"]).select("*", F.posexplode("m0").alias("i", "before"))
+    rows = rows.join(digests.select("path", F.col("depth").alias("high"), "ends_sha256"), ["path", "high"], "left")
+    rows = rows.withColumn("seg", F.explode(F.sequence(F.expr(f"low div {SEGMENT}"), F.expr(f"(high - 1) div {SEGMENT}"))))
+    rows = rows.join(paths.select(F.col("c").alias("path"), "seg", "m0"), ["path", "seg"]).select("*", F.posexplode("m0").alias("i", "before"))
     rows = rows.withColumn("depth", F.col("seg") * SEGMENT + F.col("i") + 1).where("depth > low and depth <= high")
     last = F.col("depth") == F.col("high")
+    # all members share what is before the node; of the rest a member's shared code points are those it saves
     rows = rows.select("conv_id", "depth", F.when(F.col("depth") == F.col("low") + 1, F.col("above")).otherwise(F.col("conv_id")).alias("parent_conv_id"),
                        "n_convs", F.when(last, F.col("kids")).otherwise(1).cast("long").alias("n_children"), "n_leaves",
-                       ((F.col("n_convs") - 1) * (F.col("m1") - F.col("before")) + F.col("rest")).alias("saved_tokens"),
+                       (F.col("shared") - (F.col("n_convs") - 1) * F.col("before")).alias("saved_tokens"),
                        F.when(last, F.coalesce("ends_sha256", F.lit(empty))).otherwise(empty).alias("ends_sha256"))
+    top = (found.select(F.col("c").alias("conv_id"), one.alias("n_convs"), "shared")
+           .unionByName(own.select("leaves", F.when(F.col("at").isNull(), 1).otherwise(0).alias("kids")), allowMissingColumns=True)
+           .unionByName(digests.where("path is null").select("ends_sha256"), allowMissingColumns=True)
+           .agg(F.min("conv_id").alias("conv_id"), zero.alias("depth"), nothing.alias("parent_conv_id"), F.coalesce(F.sum("n_convs"), zero).alias("n_convs"),
+                F.coalesce(F.sum("kids"), zero).alias("n_children"), F.greatest(F.coalesce(F.sum("leaves"), zero), one).alias("n_leaves"),
+                F.coalesce(F.sum("shared"), zero).alias("saved_tokens"), F.coalesce(F.max("ends_sha256"), F.lit(empty)).alias("ends_sha256"))
+           .where("n_convs > 0"))
     return rows.unionByName(top)
 
 

@@ -140,6 +140,16 @@ def test_trie_of_long_conversations_that_part_far_down(spark, monkeypatch):
     assert trie(spark, talks) == brute_nodes(talks)
 
 
+def test_trie_of_a_large_family_takes_few_steps(spark, monkeypatch):
+    written, materialise = [], prefix_trie.materialise
+    monkeypatch.setattr(prefix_trie, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    draw = random.Random(3)
+    talks = {c: [("s", "same")] + [(draw.choice("ua"), draw.choice("xyz")) for _ in range(draw.randint(0, 7))] for c in range(0, 900, 3)}
+    talks |= {c: [("s", "same")] + [("u", "copy")] * 7 for c in range(1, 300, 3)}
+    assert trie(spark, talks) == brute_nodes(talks)
+    assert len(written) <= 16, written  # grows with the bits of the longest conversation, not with the family
+
+
 def test_turns_are_numbered_with_nulls_ties_and_repeats(spark):
     rows = [(1, None, "u", "b"), (1, 2, None, None), (1, 1, "u", "same"), (1, 1, "u", "same"), (1, 1, "a", "same"), (None, 1, "u", "lost"), (2, 1, "u", "é")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, digest string")
