@@ -45,6 +45,7 @@ BUCKET_BITS = 30       # buckets that columns are counted in
 SLICE = 2 << 20        # bytes of text worked on at a time
 BLOCK = 1024           # nodes of a column in one block of the second product
 FILTER_BITS = (1 << 16, 1 << 25)  # fewest and most bits of the filters of documents and buckets (4 MB broadcast)
+WORDS = 1024           # words of a filter in one row for the driver
 SKETCH = 8             # longs of the parity sketch
 ROUNDS = 4             # most further rounds of pivots before the rest is joined
 
@@ -156,16 +157,24 @@ def _chosen(k: int, bits: np.ndarray):
     return run
 
 
+def _packed(what: str, digits: int):
+    """The values ``what`` of all elements e of the list x as one binary of big-endian numbers."""
+    return F.expr(f"unhex(array_join(transform(x, e -> lpad(hex({what}), {digits}, '0')), ''))")
+
+
 def _filter(marks: DataFrame) -> np.ndarray:
-    """A bitmap of the marks' low bits, built by Spark and bounded in size whatever their number."""
+    """A bitmap of the marks' low bits, built by Spark and bounded in size whatever their number. Its words reach the
+    driver packed by the thousand: a row each would take many times the bitmap's memory there."""
     least, most = FILTER_BITS
     size = min(most, max(least, 1 << (8 * marks.count()).bit_length()))
     words = (marks.select(F.shiftright(F.col("mark").bitwiseAND(F.lit(size - 1)), 6).alias("w"),
                           F.expr("shiftleft(1L, cast(mark & 63 as int))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
+             .groupBy("w").agg(F.bit_or("b").alias("b")))
+    blocks = (words.groupBy(F.expr(f"w div {WORDS}").alias("block")).agg(F.collect_list(F.struct("w", "b")).alias("x"))
+              .select("block", _packed(f"e.w % {WORDS}", 4).alias("at"), _packed("e.b", 16).alias("b")))
     bits = np.zeros(size // 64, np.uint64)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-    del words
+    for block, at, b in blocks.collect():
+        bits[block * WORDS + np.frombuffer(at, ">u2").astype(np.int64)] = np.frombuffer(b, ">u8")
     release()
     return bits
 
@@ -249,8 +258,9 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     # buckets of the columns' hashes, counted: common ones order the columns, single ones drop entries before they are shuffled
     none = np.zeros(0, np.int64)
     hot = (docs.mapInArrow(_counts(k, percent, none), "bucket int, c int").groupBy("bucket").agg(F.sum("c").alias("c"))
-           .where(F.col("c") > HOT_AT).orderBy(F.desc("c"), "bucket").limit(HOT_COLUMNS).select("bucket").toPandas())
-    hot = np.sort(hot["bucket"].to_numpy(np.int64))
+           .where(F.col("c") > HOT_AT).orderBy(F.desc("c"), "bucket").limit(HOT_COLUMNS)
+           .agg(F.collect_list("bucket").alias("x")).select(_packed("e", 8)).first()[0])
+    hot = np.sort(np.frombuffer(hot, ">u4").astype(np.int64))
     several = materialise(docs.mapInArrow(_counts(k, percent, hot), "bucket int, c int").groupBy("bucket").agg(F.sum("c").alias("c"))
                           .where("c > 1").select(F.col("bucket").cast("long").alias("mark")), "several")
     shared = _filter(several)

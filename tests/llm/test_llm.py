@@ -134,6 +134,20 @@ def test_jaccard_classes_edges(odd, none):
     assert got.count((5, 1, 4)) == 2 and (None, 1, 4) in got and (6, 1, 4) in got and (None, 0, None) in got
 
 
+def test_filter_reaches_the_driver_in_few_rows(spark, monkeypatch):
+    frame, rows = type(spark.range(0)), []
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name): rows.append(len(out := f(self))) or out)
+    marks = spark.range(30_000).select((F.col("id") * 2_654_435_761 - 40_000_000).alias("mark"))
+    bits = ngram_join._filter(marks)
+    slots = (np.arange(30_000) * 2_654_435_761 - 40_000_000) & (64 * len(bits) - 1)
+    want = np.zeros(64 * len(bits), bool)
+    want[slots] = True
+    assert (np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool) == want).all()
+    assert sum(rows) <= 1 + len(bits) // ngram_join.WORDS
+    assert not ngram_join._filter(marks.limit(0)).any()
+
+
 def test_words_of_long_texts_are_hashed_like_short_ones():
     text = ("alpha Beta\tgamma " * 400_000).encode()
     raw, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
