@@ -1,6 +1,9 @@
 """SentencePiece encoding with byte spans of the original text, and decoding.
 
-Ids are the library's own, from whole texts.
+Ids are the library's own. A long text is encoded and decoded in parts, cut only between two
+characters that no piece of the model holds side by side: no merge of the BPE can reach over such a
+place, so the parts' ids are those of the whole text, and memory does not grow with it as the library's
+(some 50 bytes a character) does.
 
 Spans come from ``normalizer``: longest-prefix normalisation records each normalised
 byte's source, and the pieces, which tile the normalised text, project to it.
@@ -8,45 +11,90 @@ byte's source, and the pieces, which tile the normalised text, project to it.
 
 from __future__ import annotations
 
-from itertools import chain
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from pondflow.llm.common import documents
+from pondflow.llm.common import documents, release, text_slices
 from pondflow.llm.normalizer import Normalizer
 
-SLICE_CHARS = 2_000_000  # characters encoded at a time
+SLICE = 2 << 20  # bytes of text turned into rows at a time
+PART_CHARS = 1 << 16  # characters of a text given to the library at once, up to the next place to cut
 
 
 class Encoder:
     """One model in one task."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, goes_on: bool = False):
+        """goes_on: for what follows in a text that has begun, so without the dummy prefix."""
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         spec = proto.ModelProto()
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
         norm = spec.normalizer_spec
+        norm.add_dummy_prefix &= not goes_on
+        self.path, self.model = path, sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
         self.normalize = Normalizer(norm.precompiled_charsmap, norm.add_dummy_prefix, norm.remove_extra_whitespaces, norm.escape_whitespaces)
         byte = proto.ModelProto.SentencePiece.BYTE
         self.sizes = np.array([1 if p.type == byte else len(p.piece.encode()) for p in spec.pieces], np.int64)
         self.by_id = spec.trainer_spec.byte_fallback  # else an unknown piece's length depends on the text
         # where only spaces change, a piece's source is as long as its text with ▁ as a space
-        self.spaces_only = (not norm.precompiled_charsmap and norm.add_dummy_prefix and not norm.remove_extra_whitespaces
+        self.spaces_only = (not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
                             and norm.escape_whitespaces and self.by_id)
+        self.prefix = int(norm.add_dummy_prefix)
         self.plain = np.array([1 if p.type == byte else len(p.piece.replace("▁", " ").encode()) for p in spec.pieces], np.int64)
+        # pairs of characters inside pieces; None where a text's ids may depend on more than those
+        self.pairs = None
+        if (self.spaces_only and spec.trainer_spec.model_type == proto.TrainerSpec.BPE and not spec.trainer_spec.treat_whitespace_as_suffix
+                and all(p.type != proto.ModelProto.SentencePiece.USER_DEFINED for p in spec.pieces)):
+            self.pairs = {a + b for p in spec.pieces if p.type != byte for a, b in zip(p.piece, p.piece[1:])}
+
+    @cached_property
+    def rest(self) -> Encoder:
+        """The encoder of a text's later parts."""
+        return Encoder(self.path, goes_on=True)
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text in parts of about ``PART_CHARS``, or itself where it is short or has no place to cut."""
+        at = 0
+        while (cut := self._cut(text, at + PART_CHARS)) < len(text):
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
+
+    def _cut(self, text: str, least: int) -> int:
+        """The first place from ``least`` on that no piece reaches over, or the text's end."""
+        if self.pairs is not None:
+            for at in range(least, len(text)):
+                if text[at - 1:at + 1].replace(" ", "▁") not in self.pairs:
+                    return at
+        return len(text)
+
+    def encoded(self, text: str, spans: bool = True) -> tuple:
+        """(ids, decoded text), and with ``spans`` (ids, decoded text, begins, ends)."""
+        found, at = [], 0
+        for k, part in enumerate(self.parts(text)):
+            own = self.rest if k else self
+            ids = own.ids([part])[0]
+            found.append((np.array(ids, np.int32), own.decode([ids])[0]))
+            if spans:
+                found[-1] += tuple((x + at).astype(np.int32) for x in own.spans(part, ids))
+                at += len(part.encode())
+        ids, decoded, *ends = zip(*found)
+        del found
+        return _joined(ids), "".join(decoded), *map(_joined, ends)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1) if texts else []
+        return [self.model.encode(t) for t in texts]  # given a list, the library makes a pool of threads each time
 
     def spans(self, text: str, ids) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of every piece in the text's UTF-8 bytes."""
         if self.spaces_only and "▁" not in text:  # the same as aligned(), from the pieces' sizes alone
-            stop = np.cumsum(self.plain[np.asarray(ids, np.int64)]) - 1
+            stop = np.cumsum(self.plain[np.asarray(ids, np.int64)]) - self.prefix
             if (int(stop[-1]) if len(stop) else 0) != len(text.encode()):
                 raise ValueError("the pieces do not tile the text")
             return np.concatenate(([0], stop[:-1])) if len(stop) else stop, stop
@@ -66,18 +114,11 @@ class Encoder:
         return begin[stop - size], end[stop - 1]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.model.decode(ids) if ids else []
+        return [self.model.decode(i) for i in ids]
 
 
-def _slices(texts: list[str]):
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE_CHARS:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def _joined(arrays) -> np.ndarray:
+    return arrays[0] if len(arrays) == 1 else np.concatenate(arrays)
 
 
 def _encode(path: str, spans: bool):
@@ -85,20 +126,14 @@ def _encode(path: str, spans: bool):
         import pyarrow as pa
 
         encoder = Encoder(path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _slices(texts):
-                each = encoder.ids(texts[a:b])
-                at = np.cumsum([0] + [len(x) for x in each])
-                where = pa.array(at.astype(np.int32))
-                flat = np.fromiter(chain.from_iterable(each), np.int32, int(at[-1]))
-                columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(where, pa.array(flat)),
-                           pa.array(encoder.decode(each), pa.string())]
-                if spans:
-                    found = [encoder.spans(t, i) for t, i in zip(texts[a:b], each)]
-                    columns += [pa.ListArray.from_arrays(where, pa.array(np.concatenate([f[k] for f in found]).astype(np.int32)))
-                                for k in (0, 1)]
+        for whole in batches:
+            for batch in text_slices(whole, 1, SLICE):
+                each, decoded, *ends = zip(*(encoder.encoded(t, spans) for t in batch.column(1).to_pylist()))
+                where = pa.array(np.cumsum([0] + [len(x) for x in each]).astype(np.int32))
+                columns = [batch.column(0), pa.ListArray.from_arrays(where, pa.array(_joined(each))), pa.array(decoded, pa.string())]
+                columns += [pa.ListArray.from_arrays(where, pa.array(_joined(x))) for x in ends]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded", "begins", "ends"][:len(columns)])
+        release()
     return run
 
 

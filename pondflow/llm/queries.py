@@ -91,11 +91,14 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """The digest columns of encoded documents."""
+    """The digest columns of encoded documents. The ids are written out in one go: a string for each of a long
+    text's millions of ids would fill an executor's heap. A text without ids has 0 bytes (``element_at`` fails there)."""
+    listed = F.to_json("ids").cast("binary")  # [1,2,3]
+    joined = F.substr(listed, F.lit(2), F.octet_length(listed) - 2)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                          F.sha2(joined, 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"),
-                          F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("n_bytes"))
+                          F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

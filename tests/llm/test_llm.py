@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pondflow.llm import chat, decontaminate, exact_dedup, html_text, language, ngram_join, pieces, quality, secret_scan, token_counts
 from pondflow.llm.components import connected_components
-from pondflow.llm.queries import ORACLE, QUERIES, tokenizer
+from pondflow.llm.queries import ORACLE, QUERIES, digests, tokenizer
 from pondflow.llm.shingles import Hasher
 
 DOCS = "doc_id long, text string, lang string, source string, node long, n int, spans string, kept boolean, _row int"
@@ -465,6 +465,45 @@ def test_sentencepiece_equals_the_library(spark, odd, none):
             assert all((a == b).all() for a, b in zip(encoder.spans(t, ids), encoder.aligned(t, ids)))
 
 
+def test_long_texts_reach_the_library_in_parts(monkeypatch):
+    import pyarrow as pa
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    rng = random.Random(18)
+    bits = [" ", "  ", "the", "ing ", "é", "▁", "😀", "<s>", "\n", "日本", " a", "1", "при", "<0x0A>"]
+    texts = ["", "short", *("".join(rng.choice(bits) for _ in range(n)) for n in (300_000, 90_000, 5)), "日" * 200_000, "ab" * 70_000, ""]
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    want, seen = [model.encode(t) for t in texts], []
+    real = sentencepiece.SentencePieceProcessor.encode
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "encode", lambda self, x, **k: (seen.extend([x] if isinstance(x, str) else x), real(self, x, **k))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    rows = [r for b in pieces._encode(path, True)(iter([batch])) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [*range(len(texts))]
+    for r, t, ids in zip(rows, texts, want):
+        assert r["ids"] == ids and r["decoded"] == model.decode(ids)
+        begins, ends = pieces.Encoder(path).aligned(t, ids)
+        assert r["begins"] == begins.tolist() and r["ends"] == ends.tolist()
+    assert max(len(x) for x in seen if "abab" not in x) < 70_000  # no piece ends inside "abab": nowhere to cut
+
+
+def test_digests_make_no_string_for_each_id(spark):
+    rng = random.Random(19)
+    rows = [(i, [rng.randrange(32_000) for _ in range(n)], "é" * n, [*range(1, n + 1)]) for i, n in enumerate((0, 1, 2, 5_000))]
+    found = digests(spark.createDataFrame(rows, "doc_id long, ids array<int>, decoded string, ends array<int>"))
+    assert {tuple(r) for r in found.collect()} == {
+        (i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), len(ids)) for i, ids, t, _ in rows}
+    assert "array<string>" not in found._jdf.queryExecution().toString()
+
+
+def test_sentencepiece_query_takes_empty_texts(spark, odd, tmp_path):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["op10_sentencepiece"](spark, str(tmp_path)).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"]) for r in found) == sorted((-1 if i is None else i, len((t or "").encode())) for i, t, _ in ODD)
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert all((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (0, nothing, nothing) for r in found if r["doc_id"] in (1, 2))
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_compiled_maps_normalise_like_the_library(rule):
     import sentencepiece
